@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, token_counts
+from . import language, mixing, simhash, token_counts, topk, toxicity
 
 
 def queries():
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_simhash": simhash.op2_simhash,
+        "op3_topk": topk.op3_topk,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op9_language_id": language.op9_language_id,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.OP1_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op3_topk": topk.OP3_SQL}
