@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,20 +10,23 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: White space between two ASCII letters: no token, contraction, composition or special string spans it.
-_SAFE = re.compile(r"(?<=[A-Za-z])[ \n](?=[A-Za-z])")
+#: Pieces of up to so many characters are looked up before they are encoded; the table is emptied at so many entries.
+SHORT, KNOWN = 48, 400_000
 
 
-def pieces(text: str, limit: int) -> Iterator[str]:
-    """Cut text after about `limit` characters, only where tokens cannot span; whole if no such place exists."""
-    at = 0
-    while len(text) - at > limit:
-        found = _SAFE.search(text, at + limit - 1)
-        if not found:
-            break
-        yield text[at : found.start()]
-        at = found.start()
-    yield text[at:]
+def pieces(text: str) -> Iterator[str]:
+    """Cut text before each single space that follows other than white space and precedes a letter.
+
+    No token, contraction, composed character or special string of the .json models spans such a place, and a
+    space keeps the letter run it stands before; so counts of the pieces add up to that of the text.
+    """
+    start, at, last = 0, text.find(" ", 1), len(text) - 1
+    while 0 < at < last:
+        if text[at + 1].isalpha() and not text[at - 1].isspace():
+            yield text[start:at]
+            start = at
+        at = text.find(" ", at + 1)
+    yield text[start:]
 
 
 def _load(path: str):
@@ -48,13 +50,14 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, batch_bytes: int = 1 << 20, piece_chars: int = 1 << 16) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, batch_bytes: int = 1 << 20) -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, over_limit.
 
-    tokenizer is a name in the public tokenizer folder or a path every executor can open. Each Arrow batch is cut
-    into encoder calls of about batch_bytes; a text beyond piece_chars is split at safe boundaries (for a .json
-    model; a .model is fed whole texts). Null text counts as empty (0 tokens); a null id stays null; repeated rows
-    give repeated rows; an empty table gives an empty result. Other columns are ignored, whatever their names.
+    tokenizer is a name in the public tokenizer folder or a path every executor can open. Texts for a .json model are
+    split at safe boundaries, so a long text is never one call; short pieces met before are looked up, the others
+    gathered into encoder calls of about batch_bytes. A .model is fed whole texts. Null text counts as empty (0
+    tokens); a null id stays null; repeated rows give repeated rows; an empty table gives an empty result. Other
+    columns are ignored, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -64,26 +67,42 @@ def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
 
         encode = _load(tokenizer if os.path.sep in tokenizer else default_path(tokenizer))
         split = not tokenizer.endswith(".model")
+        known: dict[str, int] = {}
         for batch in batches:
             text = batch.column(1)
             size = pc.binary_length(pc.cast(pc.fill_null(text, ""), pa.binary())).cast(pa.int64())
             total = [0] * len(text)
-            owner, waiting, held = [], [], 0
+            waiting: dict[str, list[int]] = {}
+            held = 0
 
             def flush():
-                for i, n in zip(owner, encode(waiting) if waiting else ()):
-                    total[i] += n
-                owner.clear(), waiting.clear()
-
-            for i, (t, n) in enumerate(zip(text.to_pylist(), size.to_pylist())):
+                if len(known) > KNOWN:
+                    known.clear()
+                for (piece, owners), n in zip(waiting.items(), encode(list(waiting)) if waiting else ()):
+                    if len(piece) <= SHORT:
+                        known[piece] = n
+                    for i in owners:
+                        total[i] += n
+                waiting.clear()
+
+            for i, t in enumerate(text):
+                t = t.as_py()
                 if not t:
                     continue
-                for part in pieces(t, piece_chars) if split else (t,):
-                    owner.append(i), waiting.append(part)
-                    held += len(part)
-                    if held >= batch_bytes:
-                        flush()
-                        held = 0
+                n = 0
+                for piece in pieces(t) if split else (t,):
+                    found = known.get(piece)
+                    if found is not None:
+                        n += found
+                    elif piece in waiting:
+                        waiting[piece].append(i)
+                    else:
+                        waiting[piece] = [i]
+                        held += len(piece)
+                        if held >= batch_bytes:
+                            flush()
+                            held = 0
+                total[i] += n
             flush()
             tokens = pa.array(total, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, tokens, pc.greater(tokens, max_tokens)], ["id", "n_bytes", "n_tokens", "over_limit"])
