@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, simhash, token_counts, topk, toxicity
+from . import decontaminate, language, mixing, simhash, token_counts, topk, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_mixing": mixing.op1_mixing,
         "op2_simhash": simhash.op2_simhash,
         "op3_topk": topk.op3_topk,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op6_toxicity": toxicity.op6_toxicity,
         "op9_language_id": language.op9_language_id,
         "op10_token_counts": token_counts.op10_token_counts,
@@ -17,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.OP1_SQL, "op3_topk": topk.OP3_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op3_topk": topk.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL}
