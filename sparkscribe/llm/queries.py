@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, simhash, token_counts, topk, toxicity
+from . import decontaminate, language, mixing, simhash, substring_dedup, suffix_dedup, token_counts, topk, toxicity
 
 
 def queries():
@@ -11,11 +11,13 @@ def queries():
         "op2_simhash": simhash.op2_simhash,
         "op3_topk": topk.op3_topk,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op9_language_id": language.op9_language_id,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.OP1_SQL, "op3_topk": topk.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op3_topk": topk.OP3_SQL, "op4_decontaminate": decontaminate.OP4_SQL, "op5_substring_dedup": substring_dedup.OP5_SQL, "op7_suffix_dedup": suffix_dedup.OP7_SQL}
