@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, simhash, substring_dedup, suffix_dedup, token_counts, topk, toxicity
+from . import decontaminate, html_text, language, mixing, simhash, substring_dedup, suffix_dedup, token_counts, topk, toxicity
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+        "op8_html_text": html_text.op8_html_text,
         "op9_language_id": language.op9_language_id,
         "op10_token_counts": token_counts.op10_token_counts,
     }
