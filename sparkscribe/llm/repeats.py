@@ -1,12 +1,14 @@
 """Which elements of a corpus lie in windows that also occur earlier: the frame of the two exact dedup operators.
 
-1. Every document gives its anchors (see anchors.py); those that occur once are dropped, by a bitmap of fixed size that
-   lets some through.
+1. Every document gives its anchors (see anchors.py). Those that occur once are dropped, by a bitmap of fixed size that lets
+   some through; the few that occur most often are listed.
 2. Anchors with equal contexts form a class. All but a class's first occurrence are covered over their whole context.
-3. What is left are first occurrences of anchors that have several contexts. Their contexts, merged into regions of each document,
-   go to the block of the anchor's first document. A region meets there all text it can share a window with.
-4. An operator's own method finds the repeats of each block. A first document with very many regions gets several blocks;
-   these also report the first occurrence of each window, and such reports are merged by binary search.
+3. What is left are first occurrences of anchors that have several contexts. Their contexts, merged into regions of each
+   document, go to the block of that part of the anchor's first document, or of the anchor itself if it has many contexts. A
+   region meets there all text it can share a window with.
+4. An operator's own method finds the repeats of each block. A listed anchor is dealt over several blocks: its classes by
+   context, its regions by document, and its blocks also report the windows that stand in more than one place; reports are merged
+   by binary search. Copies in one batch of documents are settled there, so they are not shuffled to one task.
 5. Covered spans are applied to the texts. Texts move only for documents that have regions or spans.
 
 Positions are those of elements: bytes or words. A document is (doc, th): its id, the largest number for a null one, and a hash of its
@@ -28,8 +30,10 @@ from .common import stage_table
 from .rolling import BYTE, STEP, arrow_bytes, mix, runs
 
 NO_ID = (1 << 63) - 1
-#: Slots of a bitmap; bytes of a block; bytes of text handled at once.
-SLOTS, BLOCK_BYTES, STEP_BYTES = 1 << 27, 4 << 20, 1 << 20
+#: Slots of a bitmap; bytes of a block; bytes of text handled at once; rows of a bucket of occurrences.
+SLOTS, BLOCK_BYTES, STEP_BYTES, BUCKET_ROWS = 1 << 27, 1 << 20, 1 << 20, 200_000
+#: An anchor of more occurrences is listed, the most frequent first, up to so many; one of more contexts has a block of its own.
+HOT, LISTED, MANY = 8192, 500_000, 200
 
 
 @dataclass(frozen=True)
@@ -59,52 +63,92 @@ def _elements(unit: Unit, texts):
     return elements, offsets, data, starts, stops
 
 
-def _signed(x: np.ndarray):
-    import pyarrow as pa
-
-    return pa.array(x.view(np.int64))
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc, th, _text and the kept columns under their names after `k_`."""
     text = F.col(text_col)
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("_text"), *(F.col(c).alias(f"k_{c}") for c in keep))
 
 
-def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
-    return keys >> np.uint64(65 - slots.bit_length())
+@dataclass
+class Repeated:
+    """Keys seen more than once: a broadcast bitmap by their leading bits, those seen most often, and how many rows they make up."""
 
+    bits: object
+    slots: int
+    hot: object
+    rows: int
 
-def bitmap(keys: DataFrame, column: str, slots: int = SLOTS):
-    """A broadcast bitmap of well mixed 64-bit keys, by their leading bits: slots / 8 bytes, whatever the data. Executors build one part each."""
-    parts = 64
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
 
-    def build(batches):
-        import pyarrow as pa
+    def held(self, keys: np.ndarray) -> np.ndarray:
+        slot = self.slot(keys)
+        return (self.bits.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+    def often(self, keys: np.ndarray) -> np.ndarray:
+        hot, short = self.hot.value, keys.view(np.uint64) >> np.uint64(24)
+        if not len(hot):
+            return np.zeros(len(keys), bool)
+        return hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] == short
 
-        mine: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slot = _slot(batch.column(0).to_numpy().view(np.uint64), slots)
-            which = (slot // np.uint64(slots // parts)).astype(np.int64)
-            for p in np.unique(which).tolist():
-                bits = mine.setdefault(p, np.zeros(slots // parts, bool))
-                bits[(slot[which == p] % np.uint64(slots // parts)).astype(np.int64)] = True
-        for p, bits in mine.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
 
-    # the leading bits of a key give its part, so each part is made in one task
-    found = keys.select(F.col(column)).repartition(parts, F.shiftrightunsigned(column, 58)).mapInArrow(build, "part int, bits binary")
-    whole = np.zeros((parts, slots // parts // 8), np.uint8)
-    for r in found.groupBy("part").agg(F.collect_list("bits").alias("bits")).toLocalIterator():
-        for b in r.bits:
-            whole[r.part] |= np.frombuffer(bytes(b), np.uint8)
-    return keys.sparkSession.sparkContext.broadcast(whole.reshape(-1)), slots
+def _parts(rows: DataFrame) -> int:
+    """Parts of the key space: 256, more where the input has more partitions."""
+    return min(1 << 16, max(256, 1 << (rows.rdd.getNumPartitions() - 1).bit_length()))
 
 
-def held(bits: tuple, keys: np.ndarray) -> np.ndarray:
-    shared, slots = bits
-    slot = _slot(keys.view(np.uint64), slots).astype(np.int64)
-    return (shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+def _packed(keys: list[np.ndarray], parts: int):
+    """Rows (part, the next 32 bits of its keys): the leading 40 bits of well mixed keys."""
+    import pyarrow as pa
+
+    bits = parts.bit_length() - 1
+    short = np.sort(np.concatenate(keys) >> np.uint64(24))
+    part = (short >> np.uint64(40 - bits)).astype(np.int64)
+    low = (short & np.uint64((1 << (40 - bits)) - 1)).astype(np.uint32)
+    head = np.flatnonzero(np.diff(part, prepend=-1))
+    data = [x.tobytes() for x in np.split(low, head[1:])] if len(low) else []
+    return pa.RecordBatch.from_arrays([pa.array(part[head], pa.int32()), pa.array(data, pa.binary())], ["part", "keys"])
+
+
+def seen_more(packed: DataFrame, parts: int, slots: int = SLOTS, least: int = 2) -> Repeated:
+    """From _packed() rows: each part is counted by one task, slots / 8 bytes of bits come back in all."""
+    bits = parts.bit_length() - 1
+    down = 40 - bits - (slots.bit_length() - 1 - bits)
+
+    def count(key, batch):
+        import pyarrow as pa
+
+        keys = np.sort(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in batch["keys"]]))
+        head = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint32(1)))
+        n = np.diff(np.append(head, len(keys)))
+        keys = keys[head]
+        own = np.zeros(slots // parts, bool)
+        own[(keys[n >= least] >> np.uint32(down)).astype(np.int64)] = True
+        hot = n > HOT
+        part = key[0].as_py()
+        full = (np.uint64(part) << np.uint64(40 - bits)) | keys[hot].astype(np.uint64)
+        return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary()), "rows": pa.array([int(n[n >= least].sum())], pa.int64()), "hot": pa.array([full.astype(np.int64).tolist()], pa.list_(pa.int64())), "times": pa.array([n[hot].tolist()], pa.list_(pa.int64()))})
+
+    found = stage_table(packed.groupBy("part").applyInArrow(count, "part int, bits binary, rows long, hot array<long>, times array<long>"))
+    whole, rows = np.zeros((parts, slots // parts // 8), np.uint8), 0
+    for r in found.select("part", "bits", "rows").toLocalIterator():
+        whole[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
+        rows += r.rows
+    often = found.select(F.explode(F.arrays_zip("hot", "times")).alias("x")).orderBy(F.desc("x.times"), "x.hot").limit(LISTED).select("x.hot").collect()
+    sc = packed.sparkSession.sparkContext
+    return Repeated(sc.broadcast(whole.reshape(-1)), slots, sc.broadcast(np.sort(np.array([r.hot for r in often], np.uint64))), rows)
+
+
+def marked(keys: DataFrame, column: str, slots: int = 1 << 24) -> Repeated:
+    """A bitmap of all keys of a column."""
+    parts = 256
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield _packed([batch.column(0).to_numpy().view(np.uint64)], parts)
+
+    return seen_more(keys.select(column).mapInArrow(pack, "part int, keys binary"), parts, slots, least=1)
 
 
 def _merge(row: np.ndarray, start: np.ndarray, stop: np.ndarray, key: np.ndarray | None = None):
@@ -126,71 +170,135 @@ def _merge(row: np.ndarray, start: np.ndarray, stop: np.ndarray, key: np.ndarray
     return row[first], start[first], np.maximum.reduceat(stop, first), None if key is None else key[first]
 
 
-def _occurrences(rows: DataFrame, unit: Unit, repeated: tuple | None) -> DataFrame:
-    """Anchors of all documents: only `a` (first pass), or all columns of those in the bitmap (second pass)."""
+def _anchor_keys(rows: DataFrame, unit: Unit) -> Repeated:
+    parts = _parts(rows)
+
+    def scan(batches):
+        waiting, held = [], 0
+        for batch in batches:
+            for part in _slices(batch, 0):
+                elements, offsets, *_ = _elements(unit, part.column(0))
+                waiting.append(anchors(elements, offsets, unit.window, unit.gram)["a"])
+                held += len(waiting[-1])
+                if held > 1 << 21:
+                    yield _packed(waiting, parts)
+                    waiting, held = [], 0
+        if waiting:
+            yield _packed(waiting, parts)
+
+    return seen_more(rows.select("_text").mapInArrow(scan, "part int, keys binary"), parts)
+
+
+_ROW = ("b", "kind", "a", "c", "doc", "th", "at", "lo", "hi")
+#: Kinds of occurrence rows: to compare, of a listed anchor, covered already.
+LIVE, OFTEN, DONE = 0, 1, 2
+
+
+def _classes(v: dict[str, np.ndarray], unit: Unit) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Sort rows by class and place in the corpus: (which come later than their class's first, index of the first, sorted rows)."""
+    order = np.lexsort((v["at"], v["th"], v["doc"], v["c"], v["a"]))
+    v = {k: x[order] for k, x in v.items()}
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (v["a"][1:] != v["a"][:-1]) | (v["c"][1:] != v["c"][:-1])
+    first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+    later = v["doc"] != v["doc"][first]
+    if unit.by_start:
+        later |= (v["th"] != v["th"][first]) | (v["at"] != v["at"][first])
+    return later, first, v
+
+
+def _occurrences(rows: DataFrame, unit: Unit, repeated: Repeated) -> DataFrame:
+    """The anchors in the bitmap. b deals them: by anchor, a listed one by context, what is covered already by document."""
 
     def scan(batches):
         import pyarrow as pa
 
         for batch in batches:
+            often = []
             for part in _slices(batch, 2):
                 elements, offsets, *_ = _elements(unit, part.column(2))
-                found = anchors(elements, offsets, unit.window, unit.gram)
-                if repeated is None:
-                    yield pa.RecordBatch.from_arrays([_signed(found["a"])], ["a"])
-                    continue
-                own = held(repeated, found["a"])
-                found = {k: v[own] for k, v in found.items()}
-                base, d = offsets[found["doc"]], found["doc"]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(d)), part.column(1).take(pa.array(d)), _signed(found["a"]), _signed(found["c"]), *(pa.array(found[k] - base) for k in ("at", "left", "right"))],
-                    ["doc", "th", "a", "c", "at", "lo", "hi"],
-                )
-
-    return rows.select("doc", "th", "_text").mapInArrow(scan, "a long" if repeated is None else "doc long, th long, a long, c long, at long, lo long, hi long")
-
-
-def _by_document(occurrences: DataFrame, unit: Unit) -> DataFrame:
-    """(doc, th, cov, need): merged covered spans, and merged spans to compare with the block of an anchor's first document."""
-    classes = occurrences.groupBy("a", "c").agg(F.min(F.struct("doc", "th", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-    anchor = classes.groupBy("a").agg(F.min(F.struct("first.doc", "first.th")).alias("m"), F.count(F.lit(1)).alias("k"))
-    ranked = classes.join(anchor, "a").where("n > 1 or k > 1").select("a", "c", "first", "k", F.xxhash64("m.doc", "m.th").alias("m"))
-    later = F.struct("doc", "th", "at") > F.col("first") if unit.by_start else F.col("doc") > F.col("first.doc")
-    spans = occurrences.join(ranked, ["a", "c"]).where(later | (F.col("k") > 1)).select("doc", "th", F.when(~later, F.col("m")).alias("m"), F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))
-    # as many spans as the document has anchors
-    gathered = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("m", "lo", "hi")).alias("s"))
-
-    def merge(batches):
+                v = anchors(elements, offsets, unit.window, unit.gram)
+                own = repeated.held(v["a"])
+                v = {k: x[own] for k, x in v.items()}
+                d = v["doc"]
+                doc, th = (part.column(i).to_numpy()[d] for i in (0, 1))
+                v = {"b": v["a"].view(np.int64), "kind": np.zeros(len(d), np.int32), "a": v["a"].view(np.int64), "c": v["c"].view(np.int64), "doc": doc, "th": th} | {n: (v[k] - offsets[d]).astype(np.int32) for n, k in (("at", "at"), ("lo", "left"), ("hi", "right"))}
+                hot = repeated.often(v["a"])
+                if hot.any():
+                    often.append({k: x[hot] for k, x in v.items()})
+                    v = {k: x[~hot] for k, x in v.items()}
+                yield pa.RecordBatch.from_arrays([pa.array(v[k]) for k in _ROW], _ROW)
+            if often:  # the map side of their classes: only a batch's first of a class goes on
+                later, first, v = _classes({k: np.concatenate([x[k] for x in often]) for k in _ROW}, unit)
+                v["kind"] = np.where(later, DONE, OFTEN).astype(np.int32)
+                v["b"] = np.where(later, mix(v["th"].view(np.uint64)), mix((v["a"] ^ v["c"]).view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(v[k]) for k in _ROW], _ROW)
+
+    return rows.select("doc", "th", "_text").mapInArrow(scan, "b long, kind int, a long, c long, doc long, th long, at int, lo int, hi int")
+
+
+def _by_document(occurrences: DataFrame, unit: Unit, buckets: int) -> DataFrame:
+    """(doc, th, cov, need): merged covered spans, and merged spans to compare, each with its block's key m (odd: of a listed anchor)."""
+
+    def settle(key, table):
         import pyarrow as pa
 
-        for batch in batches:
-            lists = batch.column(2)
-            flat = lists.flatten()
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            m, lo, hi = flat.field("m"), flat.field("lo").to_numpy().astype(np.int64), flat.field("hi").to_numpy().astype(np.int64)
-            none = m.is_null().to_numpy(zero_copy_only=False)
-            key = m.fill_null(0).to_numpy()
-            cov = _merge(row[none], lo[none], hi[none])
-            need = _merge(row[~none], lo[~none], hi[~none], key[~none])
+        v = {k: table[k].to_numpy() for k in _ROW}
+        done = v["kind"] == DONE
+        ready = {k: v[k][done] for k in ("doc", "th", "lo", "hi")}
+        later, first, v = _classes({k: x[~done] for k, x in v.items()}, unit)
+        n = len(later)
+        new_anchor = np.ones(n, bool)
+        new_anchor[1:] = v["a"][1:] != v["a"][:-1]
+        heads = np.flatnonzero(new_anchor)
+        which = np.cumsum(new_anchor) - 1
+        classes = np.add.reduceat((first == np.arange(n)).astype(np.int64), heads)[which] if n else np.empty(0, np.int64)
+        # an anchor's first occurrence: the least document, and its place there
+        by = np.lexsort((v["at"], v["doc"], which))
+        lead = by[np.searchsorted(which[by], np.arange(len(heads)))][which] if n else np.empty(0, np.int64)
+        segment = mix(mix(v["doc"][lead].view(np.uint64)) + (v["at"][lead] // (20 * unit.window)).astype(np.uint64))
+        often = v["kind"] == OFTEN
+        m = np.where(often | (classes > MANY), mix(v["a"].view(np.uint64)), segment)
+        m = (m & ~np.uint64(1)) | often.astype(np.uint64)
+        need = ~later & (often | (classes > 1))
+        use = later | need
+        out = {k: np.concatenate((v[k][use], ready[k])) for k in ("doc", "th", "lo", "hi")}
+        out["m"] = np.concatenate((m.view(np.int64)[use], np.zeros(len(ready["doc"]), np.int64)))
+        out["need"] = np.concatenate((need[use], np.zeros(len(ready["doc"]), bool)))
+        return pa.table(out)
+
+    spans = occurrences.withColumn("bucket", F.pmod("b", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(settle, "doc long, th long, lo int, hi int, m long, need boolean")
+
+    def gather(key, table):
+        import pyarrow as pa
+
+        v = {k: table[k].to_numpy(zero_copy_only=False) for k in ("doc", "th", "lo", "hi", "m", "need")}
+        order = np.lexsort((v["th"], v["doc"]))
+        v = {k: x[order] for k, x in v.items()}
+        row, need = _document(v["doc"], v["th"]), v["need"]
+        at = _firsts(v["doc"], v["th"])
+        lo, hi = v["lo"].astype(np.int64), v["hi"].astype(np.int64)
 
-            def pack(kind, found):
-                at = np.searchsorted(found[0], np.arange(batch.num_rows + 1))
-                fields = {"lo": pa.array(found[1], pa.int64()), "hi": pa.array(found[2], pa.int64())} | ({"m": pa.array(found[3], pa.int64())} if kind else {})
-                return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([*fields.values()], [*fields]))
+        def pack(found):
+            edges = np.searchsorted(found[0], np.arange(len(at) + 1))
+            fields = {"lo": pa.array(found[1]), "hi": pa.array(found[2])} | ({"m": pa.array(found[3])} if found[3] is not None else {})
+            return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([*fields.values()], [*fields]))
 
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pack(0, cov), pack(1, need)], ["doc", "th", "cov", "need"])
+        return pa.table({"doc": v["doc"][at], "th": v["th"][at], "cov": pack(_merge(row[~need], lo[~need], hi[~need])), "need": pack(_merge(row[need], lo[need], hi[need], v["m"][need]))})
 
-    return gathered.mapInArrow(merge, "doc long, th long, cov array<struct<lo: long, hi: long>>, need array<struct<lo: long, hi: long, m: long>>")
+    # by documents, so a group holds as many spans as some documents have anchors
+    dealt = spans.withColumn("bucket", F.pmod(F.xxhash64("doc", "th"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("bucket").applyInArrow(gather, "doc long, th long, cov array<struct<lo: long, hi: long>>, need array<struct<lo: long, hi: long, m: long>>")
 
 
-def only(rows: DataFrame, bits: tuple, inside: bool = True) -> DataFrame:
+def only(rows: DataFrame, bits: Repeated, inside: bool = True) -> DataFrame:
     """Rows whose th is (or is not) in a bitmap."""
 
     @F.pandas_udf(T.BooleanType())
     def test(th):
         import pandas as pd
 
-        return pd.Series(held(bits, th.to_numpy()) == inside)
+        return pd.Series(bits.held(th.to_numpy()) == inside)
 
     return rows.where(test("th"))
 
@@ -198,7 +306,7 @@ def only(rows: DataFrame, bits: tuple, inside: bool = True) -> DataFrame:
 def _regions(rows: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
     """(m, doc, th, lo, text): the text of each span to compare; words parted by one space."""
     wanted = spans.where(F.size("need") > 0).select("doc", "th", "need")
-    joined = only(rows.select("doc", "th", "_text"), bitmap(wanted, "th", 1 << 24)).join(wanted, ["doc", "th"]).select("_text", "doc", "th", "need")
+    joined = only(rows.select("doc", "th", "_text"), marked(wanted, "th")).join(wanted, ["doc", "th"]).select("_text", "doc", "th", "need")
 
     def cut(batches):
         import pyarrow as pa
@@ -226,14 +334,25 @@ Method = Callable[..., tuple[np.ndarray, np.ndarray]]
 
 def _compare(regions: DataFrame, unit: Unit, method: Method, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc, th, lo, hi): covered spans that the blocks find, and those that only several blocks of one first document show."""
-    sizes = regions.groupBy("m").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    total = sizes.agg(F.sum("bytes")).first()[0]
-    spark = regions.sparkSession
-    blocks = max(12, -(-(total or 0) // block_bytes) * 2)
+    total = regions.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sizes = regions.where("m & 1 = 1").groupBy("m").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = max(12, 2 * -(-total // block_bytes))
     split = sizes.where(F.col("bytes") > block_bytes).select("m", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("parts"))
     dealt = regions.join(split, "m", "left").withColumn("part", F.pmod(F.xxhash64("doc", "th"), F.coalesce("parts", F.lit(1))))
     dealt = dealt.select(F.pmod(F.xxhash64("m", "part"), F.lit(blocks)).cast("int").alias("block"), "doc", "th", "lo", "text", (F.coalesce("parts", F.lit(1)) > 1).alias("shared"))
 
+    def window_keys(batches):
+        for batch in batches:
+            if batch.num_rows:
+                data, ends = arrow_bytes_binary(batch.column(0))
+                elements, offsets = word_elements(data, ends)[:2] if unit.words else (BYTE[data], ends)
+                n = np.repeat(np.diff(offsets), np.diff(offsets)) - (np.arange(len(elements)) - np.repeat(offsets[:-1], np.diff(offsets)))
+                own = mix(runs(elements, unit.window))[np.flatnonzero(n >= unit.window)]
+                if len(own):
+                    yield _packed([own], 256)
+
+    twice = seen_more(dealt.where("shared").select("text").mapInArrow(window_keys, "part int, keys binary"), 256, 1 << 24)
+
     def solve(key, batch):
         import pyarrow as pa
 
@@ -261,6 +380,7 @@ def _compare(regions: DataFrame, unit: Unit, method: Method, block_bytes: int =
         if shared.any():
             open_ = np.flatnonzero((cls >= 0) & ~covered & shared[region])
             w = runs(elements, unit.window)
+            open_ = open_[twice.held(mix(w[open_]))]
             w1, w2 = mix(w[open_]), mix(runs(elements ^ STEP[5], unit.window)[open_] + np.uint64(1))
             own = region[open_]
             more = {"doc": doc[own], "th": th[own], "lo": at[open_], "hi": np.full(len(open_), -1), "w1": w1.view(np.int64), "w2": w2.view(np.int64)}
@@ -311,9 +431,9 @@ def arrow_bytes_binary(array) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_spans(rows: DataFrame, unit: Unit, method: Method) -> DataFrame:
     """(doc, th, spans): for each document of keyed() rows with any, its covered spans in elements, merged."""
-    once = _occurrences(rows, unit, None).groupBy("a").count().where("count > 1").select("a")
-    found = stage_table(_occurrences(rows, unit, bitmap(once, "a")))
-    spans = stage_table(_by_document(found, unit))
+    repeated = _anchor_keys(rows, unit)
+    buckets = max(12, -(-repeated.rows // BUCKET_ROWS))
+    spans = stage_table(_by_document(_occurrences(rows, unit, repeated), unit, buckets))
     compared = _compare(stage_table(_regions(rows, spans, unit)), unit, method)
     every = spans.where(F.size("cov") > 0).select("doc", "th", F.explode("cov").alias("s")).select("doc", "th", "s.lo", "s.hi").unionByName(compared)
     return stage_table(every.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
@@ -323,7 +443,7 @@ def apply_spans(rows: DataFrame, spans: DataFrame, finish: Callable, schema: T.S
     """finish(data, starts, stops) -> values for each document, its merged covered spans given; kept columns come first.
 
     Only documents with spans are shuffled."""
-    bits = bitmap(spans, "th", 1 << 24)
+    bits = marked(spans, "th")
     kept = [c for c in rows.columns if c.startswith("k_")]
     out = T.StructType([*(rows.schema[c] for c in kept), *schema.fields])
 
