@@ -167,18 +167,11 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int
     return [benchmark.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)) == i) for i in range(blocks)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", clean: bool = False, keep: tuple[str, ...] = (), most: int = 32 << 20) -> DataFrame:
-    """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated, kept columns, and with `clean` the text less its hit spans.
-
-    A benchmark over `most` bytes (its size is checked first) is searched in blocks, one pass each, and the passes' hits are merged.
-    Null texts have no words (n_words 0, the hash of nothing), null items and items without words no windows; an item
-    with null id hits but is not named; items that repeat an id count once. Null document ids and repeated rows
-    pass through; an empty table gives no rows, an empty benchmark no hits. Columns not kept are ignored.
-    """
+def _hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", clean: bool = False, keep: tuple[str, ...] = (), most: int = 32 << 20) -> DataFrame:
     blocks = [[(r[0], bytes(r[1])) for r in b.select(F.col(item_col).cast("string"), F.coalesce(F.col(item_text), F.lit("")).cast("binary")).collect()] for b in benchmark_blocks(benchmark, item_col, item_text, most)]
     spark = docs.sparkSession
     shared = [spark.sparkContext.broadcast(phrases_of(b, window)) for b in blocks]  # each at most about `most` bytes of text
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *keep)
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"k_{c}") for c in keep))
     kind = source.schema["_id"].dataType.simpleString()
     kept = source.drop("_id", "_text").schema
     schema = f"_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", _clean string" * clean + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -226,7 +219,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
                     columns.append(pa.array([(_cleaned(t, hit[a : a + len(w)]).decode("utf-8", "replace") if n else t.decode("utf-8", "replace")) if v.is_valid else None for t, w, a, n, v in zip(texts, words, offsets.tolist(), n_hit, part.column(1))], pa.string()))
                 yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], ["_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["_clean"] * clean, *part.schema.names[2:]])
 
-    return source.mapInArrow(scan, schema).withColumnRenamed("_id", id_col) if id_col not in keep else source.mapInArrow(scan, schema)
+    return source.mapInArrow(scan, schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = (), clean: bool = False, **options) -> DataFrame:
+    """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated, kept columns, and with `clean` clean_text, the text less its hit spans.
+
+    A benchmark over `most` bytes (its size is checked first) is searched in blocks, one pass each, and the passes' hits are merged.
+    Null texts have no words (n_words 0, the hash of nothing), null items and items without words no windows; an item
+    with null id hits but is not named; items that repeat an id count once. Null document ids and repeated rows
+    pass through; an empty table gives no rows, an empty benchmark no hits. Columns not kept are ignored.
+    """
+    out = _hits(docs, benchmark, id_col=id_col, keep=keep, clean=clean, **options)
+    return out.withColumnsRenamed({"_id": id_col, "_clean": "clean_text"} | {f"k_{c}": c for c in keep})
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """docs, all rows and columns, with each text less its hit spans."""
+    others = tuple(c for c in docs.columns if c != text_col)
+    out = _hits(docs, benchmark, text_col=text_col, keep=others, clean=True, **options)
+    return out.select(*(F.col("_clean" if c == text_col else f"k_{c}").alias(c) for c in docs.columns))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

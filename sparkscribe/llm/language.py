@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, table
+from .common import crc_fold, cut, table
 from .rolling import BYTE, arrow_bytes, mix, runs, sums
 
 #: Bytes of an n-gram, log2 of the filter's slots, look-ups for each n-gram.
@@ -109,6 +109,9 @@ def training_rows(docs: DataFrame, train, *, per_language: int = 2000, max_bytes
     """A bounded sample of labelled rows: per language, up to per_language documents in the order of a hash of the id, up
     to max_bytes over all languages; a document over a sixty-fourth of that is not drawn. Whole texts."""
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("doc_id"), F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).where(F.col("n") <= max_bytes // 64)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
+    # the hash thins each language to about one and a half times what is drawn, so the window sees a bounded number of rows
+    known = cut(known.join(counts, "lang").where(F.pmod("h", F.lit(1 << 40)) <= (1 << 40) * 1.5 * per_language / F.col("total")).drop("total"))
     by = Window.partitionBy("lang").orderBy("h", "doc_id")
     drawn = known.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language)
     n_langs = max(1, min(languages, drawn.select("lang").distinct().count()))
@@ -152,6 +155,29 @@ def identify(docs: DataFrame, model: LanguageFilters, *, id_col: str = "doc_id",
     return source.mapInArrow(predict, schema)
 
 
+def accepted(docs: DataFrame, model: LanguageFilters, *, least: float = 0.2, short: int = 50, text_col: str = "text") -> DataFrame:
+    """The rows, unchanged, whose text has a letter and, from `short` characters on, a language that holds at least `least` of
+    its n-grams. Null texts go; an empty table stays empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def test(texts):
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        array = pa.array(texts, pa.large_string(), from_pandas=True)
+        out = []
+        for at in range(0, len(array), 1000):
+            part = array.slice(at, 1000)
+            letters = pc.fill_null(pc.match_substring_regex(part, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            best = shared.value.shares(part).max(1) if shared.value.languages else np.ones(len(part))
+            out.append(letters & ((best >= least) | (pc.fill_null(pc.utf8_length(part), 0).to_numpy() < short)))
+        return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
+
+    return docs.where(test(F.col(text_col)))
+
+
 def held_out_training(docs: DataFrame):
     return F.coalesce(crc_fold("doc_id", 4) != 2, F.lit(True))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 
 from .common import cut, stage_table, table
 from .components import components
+from .repeats import NO_ID, marked, only
 
 #: A variant shared by more fingerprints than this is not joined with itself; its members go by the one-bit neighbourhoods.
 BUCKET = 64
@@ -35,7 +36,7 @@ def fingerprint(data: bytes, shingle: int = 3) -> bytes:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number; null text has no words."""
+    """(doc_id, th, fp): th hashes the text, fp is the fingerprint as a signed 64-bit number; null text has no words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def prints(batches):
@@ -43,9 +44,9 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
         for batch in batches:
             found = b"".join(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(prints, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")).mapInArrow(prints, f"doc_id {kind}, th long, fp long")
 
 
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -87,13 +88,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     and never paired. An empty table gives no rows; other columns are ignored.
     """
     found = stage_table(fingerprints(docs, id_col=id_col, text_col=text_col))
-    nodes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes.select("fp")))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(found)
     label = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(label, "root").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _rooted(found: DataFrame) -> DataFrame:
+    """(fp, first, root) for each distinct fingerprint: its least document and its component."""
+    nodes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(nodes.select("fp")))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, the one of the least id (a null one last), with all columns of docs.
+
+    Rows that repeat an id are told apart by their texts' hash; of rows that repeat both one stays. Only rows that may go
+    are shuffled with their texts.
+    """
+    found = stage_table(fingerprints(docs, id_col=id_col, text_col=text_col).withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))))
+    rows = found.join(_rooted(found).select("fp", "root"), "fp")
+    # combined before the shuffle: a row for each component and task
+    stays = rows.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("k")).select("k.doc", "k.th", F.lit(True).alias("stay"))
+    each = found.groupBy("doc", "th").agg(F.count(F.lit(1)).alias("n"))
+    judged = stage_table(each.join(stays, ["doc", "th"], "left").select("doc", "th", "n", F.coalesce("stay", F.lit(False)).alias("stay")))
+    doubtful = marked(judged.where("n > 1 or not stay"), "th")
+    own = [c for c in docs.columns]
+    keyed_docs = docs.select(F.struct(*own).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_col).alias("th"))
+    clear = only(keyed_docs, doubtful, inside=False).select("row.*")
+    rest = only(keyed_docs, doubtful).join(judged.where("stay").select("doc", "th"), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("row.*")
+    return clear.unionByName(rest)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -13,8 +13,6 @@ from .common import table
 from .repeats import Unit, apply_spans, keyed, repeated_spans
 from .rolling import runs
 
-UNIT = Unit(window=100, gram=24, words=False, by_start=True)
-
 
 def _ranks(first: np.ndarray, second: np.ndarray | None, places: np.ndarray, n: int) -> np.ndarray:
     """Ranks (from 0, equal for equal keys) of places 0 to n - 1 by one or two keys; -1 for other places.
@@ -120,9 +118,13 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id"
     and a text count as one document and do not cover each other, rows of one id with different texts are ordered by a hash of the text. An empty
     table gives no rows. In kept texts, bytes that no longer form a character are dropped.
     """
-    unit = Unit(window, min(24, window), False, True)
-    rows = keyed(docs, id_col, text_col, (id_col, *(c for c in keep if c != id_col)))
-    spans = repeated_spans(rows, unit, suffix_classes)
+    out = _removed(docs, window, id_col, text_col, (id_col, *(c for c in keep if c != id_col)), texts)
+    return out.withColumnsRenamed({c: c[2:] for c in out.columns if c.startswith("k_")})
+
+
+def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, keep: tuple[str, ...], texts: bool) -> DataFrame:
+    rows = keyed(docs, id_col, text_col, keep)
+    spans = repeated_spans(rows, Unit(window, min(24, window), False, True), suffix_classes)
 
     def finish(data, lo, hi):
         raw = data or b""
@@ -131,8 +133,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id"
         return [*found, None if data is None else kept.decode("utf-8", "ignore")] if texts else found
 
     schema = T.StructType().add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
-    out = apply_spans(rows, spans, finish, schema.add("kept_text", "string") if texts else schema)
-    return out.withColumnsRenamed({c: c[2:] for c in out.columns if c.startswith("k_")})
+    return apply_spans(rows, spans, finish, schema.add("kept_text", "string") if texts else schema)
+
+
+def without_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all rows and columns, with the kept text in place of the text."""
+    others = tuple(c for c in docs.columns if c != text_col)
+    out = _removed(docs, window, id_col, text_col, others, True)
+    return out.select(*(F.col("kept_text" if c == text_col else f"k_{c}").alias(c) for c in docs.columns))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

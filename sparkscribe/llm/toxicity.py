@@ -154,7 +154,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, per_label: int = 6000,
     train = F.coalesce(crc_fold("doc_id", 5) != 0, F.lit(False))
     by = Window.partitionBy("label").orderBy("h", "doc_id")
     known = labels.where(train & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    drawn = known.withColumn("h", F.xxhash64("doc_id")).withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_label)
+    counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("total"))
+    known = known.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(counts), "label")  # two rows
+    # the hash thins each label to about one and a half times what is drawn, so the window sees a bounded number of rows
+    known = known.where(F.pmod("h", F.lit(1 << 40)) <= (1 << 40) * 1.5 * per_label / F.col("total"))
+    drawn = known.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_label)
     # at most 2 * per_label rows of an id, a label and a hash
     short = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.octet_length("text").alias("n")).where(F.col("n") <= max_bytes // 256)
     rows = short.join(F.broadcast(drawn.limit(2 * per_label)), "doc_id").withColumn("b", F.sum("n").over(by)).where(F.col("b") <= max_bytes // 2)
