@@ -12,7 +12,7 @@ import numpy as np
 from .rolling import BYTE, double, mix, runs
 
 #: Elements handled at once; a longer document is cut into such slices that overlap by two windows.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -74,7 +74,8 @@ def _slice(elements, offsets, window, gram, core, stop) -> dict[str, np.ndarray]
     g = mix(runs(x, gram))
     while span < wide * 2 and len(h) > span:
         h, span = double(h, span), span * 2
-        spans[span] = h
+        if span >= wide:
+            spans[span] = h
     np.maximum(g, 1, out=g)
     # windows inside one document
     starts = np.clip(offsets[:-1] - low, 0, n)

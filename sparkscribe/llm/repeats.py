@@ -31,7 +31,7 @@ from .rolling import BYTE, STEP, arrow_bytes, mix, runs
 
 NO_ID = (1 << 63) - 1
 #: Slots of a bitmap; bytes of a block; bytes of text handled at once; rows of a bucket of occurrences.
-SLOTS, BLOCK_BYTES, STEP_BYTES, BUCKET_ROWS = 1 << 27, 1 << 20, 1 << 20, 200_000
+SLOTS, BLOCK_BYTES, STEP_BYTES, BUCKET_ROWS = 1 << 27, 1 << 20, 1 << 19, 200_000
 #: An anchor of more occurrences is listed, the most frequent first, up to so many; one of more contexts has a block of its own.
 HOT, LISTED, MANY = 8192, 500_000, 200
 
