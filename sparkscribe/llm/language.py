@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_fold, cut, table
-from .rolling import BYTE, arrow_bytes, mix, runs, sums
+from .rolling import BYTE, arrow_bytes, mix, runs, slices, sums
 
 #: Bytes of an n-gram, log2 of the filter's slots, look-ups for each n-gram.
 GRAM, SLOT_BITS, LOOKUPS = 4, 22, 2
@@ -138,8 +138,8 @@ def identify(docs: DataFrame, model: LanguageFilters, *, id_col: str = "doc_id",
         filters = shared.value
         names = np.array([*filters.languages, "und"], dtype=object)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at, n in slices(batch.column(1)):
+                part = batch.slice(at, n)
                 text = part.column(1)
                 letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
                 if filters.languages:
@@ -168,8 +168,8 @@ def accepted(docs: DataFrame, model: LanguageFilters, *, least: float = 0.2, sho
 
         array = pa.array(texts, pa.large_string(), from_pandas=True)
         out = []
-        for at in range(0, len(array), 1000):
-            part = array.slice(at, 1000)
+        for at, n in slices(array):
+            part = array.slice(at, n)
             letters = pc.fill_null(pc.match_substring_regex(part, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             best = shared.value.shares(part).max(1) if shared.value.languages else np.ones(len(part))
             out.append(letters & ((best >= least) | (pc.fill_null(pc.utf8_length(part), 0).to_numpy() < short)))

@@ -65,3 +65,12 @@ def arrow_bytes(array) -> tuple[np.ndarray, np.ndarray]:
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of consecutive slices, also empty ones."""
     return np.diff(np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[offsets])
+
+
+def slices(texts, step: int = 1 << 19) -> list[tuple[int, int]]:
+    """(start, length) of runs of rows of about `step` bytes; a longer text is a run of its own or ends one."""
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // step)) + 1).tolist(), len(texts)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:]) if b > a]
