@@ -224,7 +224,7 @@ def gram_matrix(spark, sf_dir):
 
 @query
 def ucb_scores(spark, sf_dir):
-    events = on.events(spark, sf_dir)
+    events = on.events(spark, sf_dir).persist()  # one row per round, read by training and again below
     model, _ = bandit.train(events)
     return on.arms(spark, sf_dir).select("query_no", "rank", r6(model.score(F.col("feature")), "ucb"))
 
@@ -236,7 +236,7 @@ def ope_ips_snips(spark, sf_dir):
 
 
 def _terms(spark, sf_dir):
-    events = on.events(spark, sf_dir)
+    events = on.events(spark, sf_dir).persist()  # both policies read it
     return bandit.event_terms(events, "retrieval", WEIGHTS).unionByName(bandit.event_terms(events, "random", WEIGHTS))
 
 
@@ -252,7 +252,7 @@ def ope_bootstrap(spark, sf_dir):
 
 @query
 def ope_report(spark, sf_dir):
-    events = on.events(spark, sf_dir)
+    events = on.events(spark, sf_dir).persist()  # one row per round, read by training and again below
     model, _ = bandit.train(events)
     return bandit.evaluate(events, model).select("policy", *(r6(c, c) for c in ("ips", "snips", "dm", "dr", "lo", "hi")), "n_events")
 
