@@ -119,22 +119,21 @@ def fit_lexicon(rows: list[tuple[str, int]], *, entries: int = 600, least: int =
     ranked = sorted((f for f in toxic if toxic[f] / (toxic[f] + clean[f]) >= rate), key=lambda f: (-(toxic[f] - clean[f]) * toxic[f] / (toxic[f] + clean[f]), f))
     chosen = ranked[:entries]
     lexicon = Lexicon(dict.fromkeys(chosen, 1.0), list(exceptions or []))
-    at = {f: i for i, f in enumerate(chosen)}
-    x = np.zeros((len(texts), len(chosen)), np.float32)
-    beside: Counter = Counter()
     phrases: dict[str, list[int]] = {}
-    for row, (t, y) in enumerate(zip(texts, labels)):
-        words = norm(t.count(" ") - 1)
+    for t, y in zip(texts, labels):
         for s, e, _ in lexicon.hits(t):
-            x[row, at[t[s:e]]] += 1 / words
             end = e if t[e - 1] == " " else t.index(" ", e - 1) + 1
-            before, after = t.rfind(" ", 0, max(s, 0)), t.find(" ", end)
+            before, after = t.rfind(" ", 0, s), t.find(" ", end)
             for phrase in {t[before + 1 : end].strip() if before >= 0 else "", t[s:after].strip() if after > 0 else ""}:
                 if " " in phrase:
-                    n = phrases.setdefault(phrase, [0, 0])
-                    n[int(y)] += 1
-    beside.update({p: n[0] for p, n in phrases.items() if n[0] >= 5 and n[0] >= 9 * n[1]})
-    lexicon.exceptions += sorted(beside)
+                    phrases.setdefault(phrase, [0, 0])[int(y)] += 1
+    lexicon = Lexicon(lexicon.entries, sorted({*lexicon.exceptions, *(p for p, n in phrases.items() if n[0] >= 5 and n[0] >= 9 * n[1])}))
+    at = {f: i for i, f in enumerate(chosen)}
+    x = np.zeros((len(texts), len(chosen)), np.float32)
+    for row, t in enumerate(texts):
+        words = norm(t.count(" ") - 1)
+        for s, e, _ in lexicon.hits(t):
+            x[row, at[t[s:e]]] += 1 / words
     w, b, m, v, mb, vb = np.zeros(len(chosen), np.float32), -2.0, 0.0, 0.0, 0.0, 0.0
     for k in range(1, rounds + 1):  # full-batch Adam
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
