@@ -77,14 +77,20 @@ class Lexicon:
             if w is not None and not any(a <= s and e <= b for a, b in spared):
                 yield s, e, w
 
+    def amounts(self, folded: str) -> dict[str, float]:
+        """For each entry found one plus the logarithm of its hits, over the text's norm: repeats count less and less."""
+        times = Counter(folded[s:e] for s, e, _ in self.hits(folded))
+        words = norm(folded.count(" ") - 1)
+        return {f: (1 + math.log(n)) / words for f, n in times.items()}
+
     def score(self, text: str | None) -> float:
         folded = fold(text or "")
-        total = sum(w for *_, w in self.hits(folded)) / norm(folded.count(" ") - 1)
+        total = sum(self.entries[f] * n for f, n in self.amounts(folded).items())
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + total))))
 
 
 def norm(words: int) -> float:
-    return 1 + math.log2(1 + max(0, words)) / 4
+    return 1 + math.log2(1 + max(0, words)) / 8
 
 
 def _features(folded: str) -> set[str]:
@@ -95,11 +101,12 @@ def _features(folded: str) -> set[str]:
     return out
 
 
-def fit_lexicon(rows: list[tuple[str, int]], *, entries: int = 600, least: int = 4, rate: float = 0.5, exceptions: list[str] | None = None, rounds: int = 300) -> Lexicon:
+def fit_lexicon(rows: list[tuple[str, int]], *, share: float | None = None, entries: int = 300, least: int = 4, lift: float = 4.0, exceptions: list[str] | None = None, rounds: int = 250) -> Lexicon:
     """Learn entries, weights and exception phrases from (text, label) rows.
 
-    Candidates are words and word beginnings in `least` or more different toxic texts, of which at least `rate` of the
-    texts they occur in are toxic; copies count once. A logistic regression on length-normalised hits gives the weights.
+    Candidates are words and word beginnings in `least` or more different toxic texts that are `lift` times as frequent among toxic texts as
+    among others; copies count once, and of beginnings with equal counts the longest stays. A logistic regression on
+    length-normalised hits gives the weights; `share` is the labels' true share of toxic rows where the rows were drawn by label.
     """
     seen: dict[str, int] = {}
     for text, label in rows:
@@ -116,8 +123,15 @@ def fit_lexicon(rows: list[tuple[str, int]], *, entries: int = 600, least: int =
     for t, y in zip(texts, labels):
         if not y:
             clean.update(f for f in _features(t) if f in toxic)
-    ranked = sorted((f for f in toxic if toxic[f] / (toxic[f] + clean[f]) >= rate), key=lambda f: (-(toxic[f] - clean[f]) * toxic[f] / (toxic[f] + clean[f]), f))
-    chosen = ranked[:entries]
+    n_toxic, n_clean = float(labels.sum()), float((1 - labels).sum())
+    odds = {f: (toxic[f] / n_toxic) / ((clean[f] + 0.5) / n_clean) for f in toxic}
+    ranked = sorted((f for f in toxic if odds[f] >= lift), key=lambda f: (-toxic[f] * math.log(odds[f]), -len(f), f))
+    chosen: list[str] = []
+    longer: set[tuple[str, int, int]] = set()  # beginnings of a chosen entry with its counts
+    for f in ranked:
+        if (f, toxic[f], clean[f]) not in longer and len(chosen) < entries:
+            chosen.append(f)
+            longer.update((f[:n], toxic[f], clean[f]) for n in range(5, len(f)))
     lexicon = Lexicon(dict.fromkeys(chosen, 1.0), list(exceptions or []))
     phrases: dict[str, list[int]] = {}
     for t, y in zip(texts, labels):
@@ -131,13 +145,16 @@ def fit_lexicon(rows: list[tuple[str, int]], *, entries: int = 600, least: int =
     at = {f: i for i, f in enumerate(chosen)}
     x = np.zeros((len(texts), len(chosen)), np.float32)
     for row, t in enumerate(texts):
-        words = norm(t.count(" ") - 1)
-        for s, e, _ in lexicon.hits(t):
-            x[row, at[t[s:e]]] += 1 / words
+        for f, n in lexicon.amounts(t).items():
+            x[row, at[f]] = n
     w, b, m, v, mb, vb = np.zeros(len(chosen), np.float32), -2.0, 0.0, 0.0, 0.0, 0.0
+    rate = n_toxic / len(texts)
+    share = rate if share is None else min(0.99, max(0.001, share))
+    weight = np.where(labels > 0, share / rate, (1 - share) / (1 - rate)).astype(np.float32)
     for k in range(1, rounds + 1):  # full-batch Adam
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        g, gb = x.T @ (p - labels) / len(texts) + 1e-5 * w, float(np.mean(p - labels))
+        error = (p - labels) * weight
+        g, gb = x.T @ error / len(texts) + 1e-5 * w, float(np.mean(error))
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         w = w - 0.2 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         b -= 0.1 * (mb / (1 - 0.9**k)) / (math.sqrt(vb / (1 - 0.99**k)) + 1e-8)
@@ -147,9 +164,9 @@ def fit_lexicon(rows: list[tuple[str, int]], *, entries: int = 600, least: int =
     return lexicon
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, per_label: int = 6000, max_bytes: int = 48 << 20) -> list[tuple[str, int]]:
-    """(text, label) of a bounded sample: for each label, up to per_label labelled training rows in the order of a hash of
-    the id, up to half of max_bytes each; a document over a 256th of max_bytes is not drawn. Whole texts."""
+def training_rows(docs: DataFrame, labels: DataFrame, *, per_label: int = 3000, max_bytes: int = 20 << 20) -> tuple[list[tuple[str, int]], float | None]:
+    """(text, label) of a bounded sample, and the share of toxic rows among all training labels. For each label, up to per_label labelled training rows in the order of a hash of
+    the id, up to half of max_bytes each; a document over a 64th of max_bytes is not drawn. Whole texts."""
     train = F.coalesce(crc_fold("doc_id", 5) != 0, F.lit(False))
     by = Window.partitionBy("label").orderBy("h", "doc_id")
     known = labels.where(train & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -159,15 +176,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, per_label: int = 6000,
     known = known.where(F.pmod("h", F.lit(1 << 40)) <= (1 << 40) * 1.5 * per_label / F.col("total"))
     drawn = known.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_label)
     # at most 2 * per_label rows of an id, a label and a hash
-    short = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.octet_length("text").alias("n")).where(F.col("n") <= max_bytes // 256)
+    short = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.octet_length("text").alias("n")).where(F.col("n") <= max_bytes // 64)
     rows = short.join(F.broadcast(drawn.limit(2 * per_label)), "doc_id").withColumn("b", F.sum("n").over(by)).where(F.col("b") <= max_bytes // 2)
-    return [(r.text, r.label) for r in rows.select("text", "label").collect()]
+    totals = {r.label: r.total for r in counts.collect()}
+    share = totals.get(1, 0) / max(1, sum(totals.values())) if totals else None
+    return [(r.text, r.label) for r in rows.select("text", "label").collect()], share
 
 
 def toxicity(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score, predicted.
 
-    The score is the logistic of a bias plus the weights of all hits over 1 + log2(1 + words) / 4. Null and empty texts
+    The score is the logistic of a bias plus, for each entry found, its weight times 1 + ln(hits), over 1 + log2(1 + words) / 8. Null and empty texts
     have no hits; null ids, ties and repeated rows give rows like any others; an empty table gives none; other
     columns are ignored.
     """
@@ -187,5 +206,6 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.5, id_co
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lexicon = fit_lexicon(training_rows(docs, table(spark, sf_dir, "labels")))
+    rows, share = training_rows(docs, table(spark, sf_dir, "labels"))
+    lexicon = fit_lexicon(rows, share=share)
     return toxicity(docs, lexicon).select("doc_id", F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -215,7 +215,7 @@ def test_folding():
 def test_lexicon_and_exceptions():
     rng = random.Random(10)
     say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
-    rows = [(f"{say(20)} {rng.choice(['vilest', 'vilely', 'v1ler', 'm0ron'])} {say(5)}", 1) for _ in range(160)] + [(f"{say(25)} {'moron bay' if i % 3 == 0 else ''} {say(3)}", 0) for i in range(120)]
+    rows = [(f"{say(20)} {rng.choice(['vilest', 'vilely', 'v1ler', 'm0ron'])} {say(5)}", 1) for _ in range(160)] + [(f"{say(25)} {'moron bay' if i % 20 == 0 else ''} {say(3)}", 0) for i in range(400)]
     model = toxicity.fit_lexicon(rows)
     assert "moron bay" in model.exceptions
     assert model.score(say(10) + " vilеst") > 0.5 > model.score(say(10))
