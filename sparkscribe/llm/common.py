@@ -13,12 +13,26 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that goes to a Python worker: bounds a worker's memory where texts are long.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Lower the session's limit on the bytes of an Arrow batch; a smaller one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one only where that is unset (tests)."""
+    bound_batches(spark)
     jsc = spark.sparkContext._jsc.sc()
     root = spark.conf.get("spark.checkpoint.dir", None)
     if jsc.getCheckpointDir().isEmpty():

@@ -338,7 +338,8 @@ def _compare(regions: DataFrame, unit: Unit, method: Method, block_bytes: int =
     sizes = regions.where("m & 1 = 1").groupBy("m").agg(F.sum(F.octet_length("text")).alias("bytes"))
     blocks = max(12, 2 * -(-total // block_bytes))
     split = sizes.where(F.col("bytes") > block_bytes).select("m", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("parts"))
-    dealt = regions.join(split, "m", "left").withColumn("part", F.pmod(F.xxhash64("doc", "th"), F.coalesce("parts", F.lit(1))))
+    # only listed anchors are split, so at most LISTED rows are broadcast
+    dealt = regions.join(F.broadcast(split.limit(LISTED)), "m", "left").withColumn("part", F.pmod(F.xxhash64("doc", "th"), F.coalesce("parts", F.lit(1))))
     dealt = dealt.select(F.pmod(F.xxhash64("m", "part"), F.lit(blocks)).cast("int").alias("block"), "doc", "th", "lo", "text", (F.coalesce("parts", F.lit(1)) > 1).alias("shared"))
 
     def window_keys(batches):
