@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkscribe.llm import decontaminate, language, mixing, simhash, suffix_dedup
-from sparkscribe.llm.common import stage_table, table
+from sparkscribe.llm.common import bound_batches, stage_table, table
 
 
 def _recount(docs: DataFrame) -> DataFrame:
@@ -15,6 +15,7 @@ def _recount(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or of no learned language go."""
+    bound_batches(spark)
     model = language.fit_filters(language.training_rows(docs, F.lit(True)))
     return language.accepted(docs, model)
 
