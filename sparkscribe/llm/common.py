@@ -46,6 +46,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _trim() -> None:
+    """Give freed memory back: workers are reused, and what one operator needed would stay with them."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(scan):
+    """An Arrow batch function that gives memory back at its end."""
+
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            _trim()
+
+    return run
+
+
+def frugal_group(solve):
+    """The same for a function of a key and its rows."""
+
+    def run(key, rows):
+        try:
+            return solve(key, rows)
+        finally:
+            _trim()
+
+    return run
+
+
 _written: list[str] = []
 
 

@@ -11,11 +11,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
 from .rolling import sums
 
 #: Words of a window; words of a shard; every so many suffix positions of a run are sampled.
-WINDOW, SHARD_WORDS, SAMPLE = 10, 1 << 20, 8
+WINDOW, SHARD_WORDS, SAMPLE = 10, 1 << 18, 8
 
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -219,7 +219,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col
                     columns.append(pa.array([(_cleaned(t, hit[a : a + len(w)]).decode("utf-8", "replace") if n else t.decode("utf-8", "replace")) if v.is_valid else None for t, w, a, n, v in zip(texts, words, offsets.tolist(), n_hit, part.column(1))], pa.string()))
                 yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], ["_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["_clean"] * clean, *part.schema.names[2:]])
 
-    return source.mapInArrow(scan, schema)
+    return source.mapInArrow(frugal(scan), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = (), clean: bool = False, **options) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut, table
+from .common import _trim, crc_fold, cut, frugal, table
 from .rolling import BYTE, arrow_bytes, mix, runs, slices, sums
 
 #: Bytes of an n-gram, log2 of the filter's slots, look-ups for each n-gram.
@@ -58,11 +58,11 @@ class LanguageFilters:
 
     def false_rate(self) -> np.ndarray:
         """For each language the chance that an n-gram it has never seen passes all look-ups."""
-        return np.array([np.mean((self.masks >> np.uint64(i)) & np.uint64(1)) ** self.lookups for i in range(len(self.languages))])
+        return np.array([np.mean((self.masks >> self.masks.dtype.type(i)) & self.masks.dtype.type(1)) ** self.lookups for i in range(len(self.languages))])
 
     def add(self, language: int, hashes: np.ndarray) -> None:
         for i in range(self.lookups):
-            self.masks[self._slots(hashes, i)] |= np.uint64(1 << language)
+            self.masks[self._slots(hashes, i)] |= self.masks.dtype.type(1 << language)
 
     def shares(self, texts) -> np.ndarray:
         """Documents x languages: the share of n-grams that a language contains, corrected for false positives."""
@@ -76,7 +76,7 @@ class LanguageFilters:
         false = self.rate
         out = np.empty((len(offsets) - 1, len(self.languages)))
         for i in range(len(self.languages)):
-            hit = sums(((found >> np.uint64(i)) & np.uint64(1)).astype(np.uint8), offsets) / total
+            hit = sums((found >> found.dtype.type(i)) & found.dtype.type(1), offsets) / total
             out[:, i] = np.clip((hit - false[i]) / max(1e-9, 1 - false[i]), 0, 1)
         return out
 
@@ -89,7 +89,8 @@ def fit_filters(rows: list[tuple[str, str]], *, gram: int = GRAM, slot_bits: int
     languages = sorted({lang for lang, _ in rows})
     if len(languages) > 64:
         raise ValueError("a filter word has 64 bits: at most 64 languages")
-    model = LanguageFilters(languages, np.zeros(1 << slot_bits, np.uint64), gram, lookups)
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(t).itemsize)
+    model = LanguageFilters(languages, np.zeros(1 << slot_bits, kind), gram, lookups)
     seen = []
     for lang in languages:
         hashes, _ = _grams(pa.array([t for x, t in rows if x == lang], pa.large_string()), gram)
@@ -105,7 +106,7 @@ def fit_filters(rows: list[tuple[str, str]], *, gram: int = GRAM, slot_bits: int
     return model
 
 
-def training_rows(docs: DataFrame, train, *, per_language: int = 2000, max_bytes: int = 24 << 20, languages: int = 64) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, train, *, per_language: int = 1000, max_bytes: int = 8 << 20, languages: int = 64) -> list[tuple[str, str]]:
     """A bounded sample of labelled rows: per language, up to per_language documents in the order of a hash of the id, up
     to max_bytes over all languages; a document over a sixty-fourth of that is not drawn. Whole texts."""
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("doc_id"), F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).where(F.col("n") <= max_bytes // 64)
@@ -152,7 +153,7 @@ def identify(docs: DataFrame, model: LanguageFilters, *, id_col: str = "doc_id",
                 columns = [c for i, c in enumerate(part.columns) if i != 1]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0))], [*(n for n in part.schema.names if n != "_text"), "lang_pred", "score"])
 
-    return source.mapInArrow(predict, schema)
+    return source.mapInArrow(frugal(predict), schema)
 
 
 def accepted(docs: DataFrame, model: LanguageFilters, *, least: float = 0.2, short: int = 50, text_col: str = "text") -> DataFrame:
@@ -173,6 +174,7 @@ def accepted(docs: DataFrame, model: LanguageFilters, *, least: float = 0.2, sho
             letters = pc.fill_null(pc.match_substring_regex(part, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             best = shared.value.shares(part).max(1) if shared.value.languages else np.ones(len(part))
             out.append(letters & ((best >= least) | (pc.fill_null(pc.utf8_length(part), 0).to_numpy() < short)))
+        _trim()
         return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
 
     return docs.where(test(F.col(text_col)))

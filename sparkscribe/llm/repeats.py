@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import anchors, word_elements
-from .common import stage_table
+from .common import frugal, frugal_group, stage_table
 from .rolling import BYTE, STEP, arrow_bytes, mix, runs
 
 NO_ID = (1 << 63) - 1
 #: Slots of a bitmap; bytes of a block; bytes of text handled at once; rows of a bucket of occurrences.
-SLOTS, BLOCK_BYTES, STEP_BYTES, BUCKET_ROWS = 1 << 27, 1 << 20, 1 << 19, 200_000
+SLOTS, BLOCK_BYTES, STEP_BYTES, BUCKET_ROWS = 1 << 27, 1 << 19, 1 << 19, 100_000
 #: An anchor of more occurrences is listed, the most frequent first, up to so many; one of more contexts has a block of its own.
 HOT, LISTED, MANY = 8192, 500_000, 200
 
@@ -129,7 +129,7 @@ def seen_more(packed: DataFrame, parts: int, slots: int = SLOTS, least: int = 2)
         full = (np.uint64(part) << np.uint64(40 - bits)) | keys[hot].astype(np.uint64)
         return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary()), "rows": pa.array([int(n[n >= least].sum())], pa.int64()), "hot": pa.array([full.astype(np.int64).tolist()], pa.list_(pa.int64())), "times": pa.array([n[hot].tolist()], pa.list_(pa.int64()))})
 
-    found = stage_table(packed.groupBy("part").applyInArrow(count, "part int, bits binary, rows long, hot array<long>, times array<long>"))
+    found = stage_table(packed.groupBy("part").applyInArrow(frugal_group(count), "part int, bits binary, rows long, hot array<long>, times array<long>"))
     whole, rows = np.zeros((parts, slots // parts // 8), np.uint8), 0
     for r in found.select("part", "bits", "rows").toLocalIterator():
         whole[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
@@ -148,7 +148,7 @@ def marked(keys: DataFrame, column: str, slots: int = 1 << 24) -> Repeated:
             if batch.num_rows:
                 yield _packed([batch.column(0).to_numpy().view(np.uint64)], parts)
 
-    return seen_more(keys.select(column).mapInArrow(pack, "part int, keys binary"), parts, slots, least=1)
+    return seen_more(keys.select(column).mapInArrow(frugal(pack), "part int, keys binary"), parts, slots, least=1)
 
 
 def _merge(row: np.ndarray, start: np.ndarray, stop: np.ndarray, key: np.ndarray | None = None):
@@ -180,13 +180,13 @@ def _anchor_keys(rows: DataFrame, unit: Unit) -> Repeated:
                 elements, offsets, *_ = _elements(unit, part.column(0))
                 waiting.append(anchors(elements, offsets, unit.window, unit.gram)["a"])
                 held += len(waiting[-1])
-                if held > 1 << 21:
+                if held > 1 << 19:
                     yield _packed(waiting, parts)
                     waiting, held = [], 0
         if waiting:
             yield _packed(waiting, parts)
 
-    return seen_more(rows.select("_text").mapInArrow(scan, "part int, keys binary"), parts)
+    return seen_more(rows.select("_text").mapInArrow(frugal(scan), "part int, keys binary"), parts)
 
 
 _ROW = ("b", "kind", "a", "c", "doc", "th", "at", "lo", "hi")
@@ -234,7 +234,7 @@ def _occurrences(rows: DataFrame, unit: Unit, repeated: Repeated) -> DataFrame:
                 v["b"] = np.where(later, mix(v["th"].view(np.uint64)), mix((v["a"] ^ v["c"]).view(np.uint64))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(v[k]) for k in _ROW], _ROW)
 
-    return rows.select("doc", "th", "_text").mapInArrow(scan, "b long, kind int, a long, c long, doc long, th long, at int, lo int, hi int")
+    return rows.select("doc", "th", "_text").mapInArrow(frugal(scan), "b long, kind int, a long, c long, doc long, th long, at int, lo int, hi int")
 
 
 def _by_document(occurrences: DataFrame, unit: Unit, buckets: int) -> DataFrame:
@@ -267,7 +267,7 @@ def _by_document(occurrences: DataFrame, unit: Unit, buckets: int) -> DataFrame:
         out["need"] = np.concatenate((need[use], np.zeros(len(ready["doc"]), bool)))
         return pa.table(out)
 
-    spans = occurrences.withColumn("bucket", F.pmod("b", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(settle, "doc long, th long, lo int, hi int, m long, need boolean")
+    spans = occurrences.withColumn("bucket", F.pmod("b", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(frugal_group(settle), "doc long, th long, lo int, hi int, m long, need boolean")
 
     def gather(key, table):
         import pyarrow as pa
@@ -288,7 +288,7 @@ def _by_document(occurrences: DataFrame, unit: Unit, buckets: int) -> DataFrame:
 
     # by documents, so a group holds as many spans as some documents have anchors
     dealt = spans.withColumn("bucket", F.pmod(F.xxhash64("doc", "th"), F.lit(buckets)).cast("int"))
-    return dealt.groupBy("bucket").applyInArrow(gather, "doc long, th long, cov array<struct<lo: long, hi: long>>, need array<struct<lo: long, hi: long, m: long>>")
+    return dealt.groupBy("bucket").applyInArrow(frugal_group(gather), "doc long, th long, cov array<struct<lo: long, hi: long>>, need array<struct<lo: long, hi: long, m: long>>")
 
 
 def only(rows: DataFrame, bits: Repeated, inside: bool = True) -> DataFrame:
@@ -325,7 +325,7 @@ def _regions(rows: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
                         out["text"].append(b" ".join(items[s["lo"] : s["hi"]]) if unit.words else data[s["lo"] : s["hi"]])
                 yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("m", "doc", "th", "lo")), pa.array(out["text"], pa.binary())], [*out])
 
-    return joined.mapInArrow(cut, "m long, doc long, th long, lo long, text binary")
+    return joined.mapInArrow(frugal(cut), "m long, doc long, th long, lo long, text binary")
 
 
 #: A block's method: (elements, data, starts, stops, offsets, document number of each region, unit) -> (class of each window start or -1, ...)
@@ -352,7 +352,7 @@ def _compare(regions: DataFrame, unit: Unit, method: Method, block_bytes: int =
                 if len(own):
                     yield _packed([own], 256)
 
-    twice = seen_more(dealt.where("shared").select("text").mapInArrow(window_keys, "part int, keys binary"), 256, 1 << 24)
+    twice = seen_more(dealt.where("shared").select("text").mapInArrow(frugal(window_keys), "part int, keys binary"), 256, 1 << 24)
 
     def solve(key, batch):
         import pyarrow as pa
@@ -388,7 +388,7 @@ def _compare(regions: DataFrame, unit: Unit, method: Method, block_bytes: int =
             out = {k: np.concatenate((out[k], more[k])) for k in out}
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    found = stage_table(dealt.groupBy("block").applyInArrow(solve, "doc long, th long, lo long, hi long, w1 long, w2 long"))
+    found = stage_table(dealt.groupBy("block").applyInArrow(frugal_group(solve), "doc long, th long, lo long, hi long, w1 long, w2 long"))
     reports = found.where("hi < 0")
 
     def merge(key, batch):
@@ -406,7 +406,7 @@ def _compare(regions: DataFrame, unit: Unit, method: Method, block_bytes: int =
             late |= (v["th"] != v["th"][head]) | (v["lo"] != v["lo"][head])
         return pa.table({k: pa.array(x[late], pa.int64()) for k, x in (("doc", v["doc"]), ("th", v["th"]), ("lo", v["lo"]), ("hi", v["lo"] + unit.window))})
 
-    across = reports.withColumn("b", F.pmod("w1", F.lit(blocks))).groupBy("b").applyInArrow(merge, "doc long, th long, lo long, hi long")
+    across = reports.withColumn("b", F.pmod("w1", F.lit(blocks))).groupBy("b").applyInArrow(frugal_group(merge), "doc long, th long, lo long, hi long")
     return found.where("hi >= 0").select("doc", "th", "lo", "hi").unionByName(across)
 
 
@@ -466,4 +466,4 @@ def apply_spans(rows: DataFrame, spans: DataFrame, finish: Callable, schema: T.S
     none = F.lit(None).cast("array<struct<lo: long, hi: long>>")
     clean = only(rows, bits, inside=False).select("_text", none.alias("spans"), *kept)
     touched = only(rows, bits).join(spans, ["doc", "th"], "left").select("_text", "spans", *kept)
-    return clean.mapInArrow(work, out).unionByName(touched.mapInArrow(work, out))
+    return clean.mapInArrow(frugal(work), out).unionByName(touched.mapInArrow(frugal(work), out))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, stage_table, table
+from .common import cut, frugal, stage_table, table
 from .components import components
 from .repeats import NO_ID, marked, only
 
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             found = b"".join(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.frombuffer(found, ">i8").astype(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")).mapInArrow(prints, f"doc_id {kind}, th long, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")).mapInArrow(frugal(prints), f"doc_id {kind}, th long, fp long")
 
 
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:

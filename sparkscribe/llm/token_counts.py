@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
 
 #: Pieces of up to so many characters are looked up before they are encoded; the table is emptied at so many entries.
 SHORT, KNOWN = 48, 400_000
@@ -107,7 +107,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
             tokens = pa.array(total, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, tokens, pc.greater(tokens, max_tokens)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(count), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)
 
 

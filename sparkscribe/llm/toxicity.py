@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, table
+from .common import crc_fold, frugal, table
 
 #: Letters that look like Latin ones (Cyrillic, then Greek), and digits or signs read as letters.
 HOMOGLYPHS = dict(zip("аеіјорсухѕԁһӏвкмнтАЕІЈОРСУХЅВКМНТ", "aeijopcyxsdhlbkmhtaeijopcyxsbkmht")) | dict(zip("αεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeiknoptuxabezhikmnoptyx"))
@@ -201,7 +201,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.5, id_co
             scores = [model.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["id", "score", "predicted"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rate, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(rate), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
