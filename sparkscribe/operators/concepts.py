@@ -51,10 +51,11 @@ def extract_by_lexicon(chunks: DataFrame, lexicon: Sequence[tuple[str, str, str]
 
 def extract_by_model(chunks: DataFrame, reply: Callable[[list[str]], list[str]]) -> DataFrame:
     """The same columns from a model's replies; the model is any function from texts to JSON texts, called by Arrow batch."""
-    import pandas as pd
 
     @F.pandas_udf("string")
-    def ask(texts: pd.Series) -> pd.Series:
+    def ask(texts):
+        import pandas as pd
+
         return pd.Series(reply(texts.tolist()))
 
     return parse_replies(chunks.withColumn("reply", ask("chunk_text")))

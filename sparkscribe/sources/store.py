@@ -20,11 +20,11 @@ def embedder(backend: str, dim: int = 384, model: Callable[[list[str]], list[lis
     if backend == "hash":
         return lambda text: hash_embedding(text, dim)
     if backend == "model" and model:
-        import pandas as pd
 
         @F.pandas_udf("array<float>")
-        def encode(texts: pd.Series) -> pd.Series:
+        def encode(texts):
             import numpy as np
+            import pandas as pd
 
             rows = np.asarray(model(texts.tolist()), dtype=np.float32)
             size = np.linalg.norm(rows, axis=1, keepdims=True)
