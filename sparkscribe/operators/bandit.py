@@ -139,12 +139,13 @@ def predict(x: Column, w) -> Column:
     return sum((F.get(x, F.lit(i)) * float(v) for i, v in enumerate(w)), F.lit(0.0))
 
 
-def replay(arms: DataFrame, rounds: int, epsilon: float, seed: int = 42) -> DataFrame:
+def replay(arms: DataFrame, rounds: int, epsilon: float, seed: int = 42, n: int | None = None) -> DataFrame:
     """Events of the retrieval policy: rounds are independent, so each query's arms are built once and rounds are joined to them.
 
-    arms: (query_no, query, arms ARRAY<STRUCT<chunk_id, retrieval_score, rank, feature, text>>), best first.
+    arms: (query_no, query, arms ARRAY<STRUCT<chunk_id, retrieval_score, rank, feature, text>>), best first; n, its rows, is counted if not
+    given.
     """
-    n = arms.count()
+    n = n or arms.count()
     rows = arms.sparkSession.range(rounds).select(F.col("id").cast("int").alias("round"), (F.col("id") % n).cast("int").alias("query_no")).join(arms, "query_no")
     best = first_best(F.transform("arms", lambda a: a["retrieval_score"]))
     chosen, p = epsilon_greedy(best, F.size("arms"), epsilon, seed, F.col("round").cast("string"))
@@ -167,10 +168,10 @@ def _event_columns(policy: str, epsilon: float, seed: int) -> list[Column]:
     ]
 
 
-def replay_linucb(arms: DataFrame, rounds: int, epsilon: float, alpha: float = 1.0, seed: int = 42) -> DataFrame:
+def replay_linucb(arms: DataFrame, rounds: int, epsilon: float, alpha: float = 1.0, seed: int = 42, n: int | None = None) -> DataFrame:
     """(round, query_no, arm_index, propensity, reward): each choice depends on all earlier rewards, so one task folds the rounds in
     order. Only numbers go to it: features, and rewards of every arm, made beforehand."""
-    n = arms.count()
+    n = n or arms.count()
     rows = arms.sparkSession.range(rounds).select(F.col("id").cast("int").alias("round"), (F.col("id") % n).cast("int").alias("query_no")).join(arms, "query_no")
     key = (seed, F.col("round").cast("string"))
     rows = rows.select("round", "query_no", F.transform("arms", lambda a: a["feature"]).alias("x"), F.transform("arms", lambda a: reward(F.col("query"), a["text"], *key)).alias("rewards"), uniform(*key, "explore").alias("u"), uniform(*key, "arm").alias("v"))

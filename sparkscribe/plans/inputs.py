@@ -75,4 +75,4 @@ def arm_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bandit.replay(arm_lists(spark, sf_dir), ROUNDS, EPSILON, SEED)
+    return bandit.replay(arm_lists(spark, sf_dir), ROUNDS, EPSILON, SEED, table(spark, sf_dir, "benchmark").count())

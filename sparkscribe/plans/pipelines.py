@@ -161,9 +161,9 @@ def simulate(spark: SparkSession, workspace: str, *, queries: Sequence[str] = fi
         raise ValueError("no queries")
     arms = build_arms(spark, workspace, queries, k)
     if policy == "retrieval_epsilon":
-        events = bandit.replay(arms, rounds, epsilon, seed)
+        events = bandit.replay(arms, rounds, epsilon, seed, len(queries))
     elif policy == "linucb_epsilon":
-        chosen = bandit.replay_linucb(arms, rounds, epsilon, alpha, seed)
+        chosen = bandit.replay_linucb(arms, rounds, epsilon, alpha, seed, len(queries))
         events = chosen.join(arms, "query_no").withColumn("arm", F.get("arms", "arm_index")).select(*bandit._event_columns(policy, epsilon, seed))
     else:
         raise ValueError(f"unknown policy {policy!r}")

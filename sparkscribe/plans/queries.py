@@ -259,7 +259,8 @@ def ope_report(spark, sf_dir):
 
 @query
 def replay_linucb(spark, sf_dir):
-    return bandit.replay_linucb(on.arm_lists(spark, sf_dir), on.ROUNDS, on.EPSILON).select("round", "query_no", "arm_index", r6("propensity", "propensity"), r6("reward", "reward"))
+    n = on.table(spark, sf_dir, "benchmark").count()
+    return bandit.replay_linucb(on.arm_lists(spark, sf_dir), on.ROUNDS, on.EPSILON, n=n).select("round", "query_no", "arm_index", r6("propensity", "propensity"), r6("reward", "reward"))
 
 
 @query
