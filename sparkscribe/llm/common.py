@@ -46,7 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give freed memory back: workers are reused, and what one operator needed would stay with them."""
     import ctypes
 
@@ -54,7 +54,7 @@ def _trim() -> None:
 
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        ctypes.CDLL("libc.so.6").malloctrim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
@@ -66,7 +66,7 @@ def frugal(scan):
         try:
             yield from scan(batches)
         finally:
-            _trim()
+            trim()
 
     return run
 
@@ -78,7 +78,7 @@ def frugal_group(solve):
         try:
             return solve(key, rows)
         finally:
-            _trim()
+            trim()
 
     return run
 

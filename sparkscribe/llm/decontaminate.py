@@ -38,19 +38,31 @@ class Phrases:
 
 
 def phrases_of(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> Phrases:
+    """Windows are held as rows of numbers, about 60 bytes for each benchmark word."""
     vocabulary: dict[bytes, int] = {}
-    found: dict[tuple, set[int]] = {}
     names: dict = {}
+    rows, lengths, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for name, data in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(data)]
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(data)], np.int32)
         own = names.setdefault(name, len(names))
-        for i in range(max(1, len(ids) - window + 1) if ids else 0):
-            found.setdefault(tuple(ids[i : i + window]), set()).add(own)
-    rows = np.zeros((len(found), window), np.int64)
-    for r, w in enumerate(found):
-        rows[r, : len(w)] = w
-    counts = np.array([len(x) for x in found.values()], np.int64)
-    return Phrases(vocabulary, rows, np.array([len(w) for w in found], np.int64), np.concatenate(([0], np.cumsum(counts))), np.array([i for x in found.values() for i in sorted(x)], np.int64), list(names))
+        if not len(ids):
+            continue
+        short = min(window, len(ids))
+        found = np.zeros((len(ids) - short + 1, window), np.int32)
+        found[:, :short] = np.lib.stride_tricks.sliding_window_view(ids, short)
+        rows.append(found)
+        lengths.append(np.full(len(found), short))
+        owners.append(np.full(len(found), own))
+    every, own = np.concatenate(rows), np.concatenate(owners)
+    order = np.lexsort((own, *every.T))
+    every, own, length = every[order], own[order], np.concatenate(lengths)[order]
+    fresh = np.ones(len(every), bool)
+    fresh[1:] = (every[1:] != every[:-1]).any(1)
+    pair = fresh.copy()
+    pair[1:] |= own[1:] != own[:-1]
+    heads = np.flatnonzero(fresh)
+    first = np.concatenate(([0], np.cumsum(pair)))[np.append(heads, len(every))]
+    return Phrases(vocabulary, every[heads].astype(np.int64), length[heads], first, own[pair], list(names))
 
 
 class FMIndex:
@@ -167,10 +179,10 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int
     return [benchmark.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)) == i) for i in range(blocks)]
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", clean: bool = False, keep: tuple[str, ...] = (), most: int = 32 << 20) -> DataFrame:
-    blocks = [[(r[0], bytes(r[1])) for r in b.select(F.col(item_col).cast("string"), F.coalesce(F.col(item_text), F.lit("")).cast("binary")).collect()] for b in benchmark_blocks(benchmark, item_col, item_text, most)]
+def _hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", clean: bool = False, keep: tuple[str, ...] = (), most: int = 8 << 20) -> DataFrame:
+    blocks = [b.select(F.col(item_col).cast("string"), F.coalesce(F.col(item_text), F.lit("")).cast("binary")) for b in benchmark_blocks(benchmark, item_col, item_text, most)]
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(phrases_of(b, window)) for b in blocks]  # each at most about `most` bytes of text
+    shared = [spark.sparkContext.broadcast(phrases_of([(r[0], bytes(r[1])) for r in b.collect()], window)) for b in blocks]  # each of about `most` bytes of text
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"k_{c}") for c in keep))
     kind = source.schema["_id"].dataType.simpleString()
     kept = source.drop("_id", "_text").schema
@@ -189,34 +201,38 @@ def _hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col
         import pyarrow as pa
 
         for batch in batches:
-            for part in shards(batch):
-                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)]
-                words = [words_of(t) for t in texts]
-                offsets = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
-                hit, names = np.zeros(offsets[-1], bool), [set() for _ in texts]
-                for one in shared:
-                    phrases = one.value
+            parts = list(shards(batch))
+            texts_of = [[t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)] for part in parts]
+            ends = [np.concatenate(([0], np.cumsum([len(words_of(t)) + 1 for t in texts]))) for texts in texts_of]
+            hits, named = [np.zeros(e[-1], bool) for e in ends], [[set() for _ in texts] for texts in texts_of]
+            for one in shared:
+                phrases = one.value
+                number = phrases.vocabulary.get
+                for texts, offsets, hit, names in zip(texts_of, ends, hits, named):
                     text = np.zeros(offsets[-1], np.int64)
-                    number = phrases.vocabulary.get
-                    for w, at in zip(words, offsets.tolist()):
-                        text[at : at + len(w)] = np.fromiter(map(number, w, repeat(0)), np.int64, len(w))
+                    for t, a, b in zip(texts, offsets.tolist(), offsets[1:].tolist()):
+                        text[a : b - 1] = np.fromiter(map(number, words_of(t), repeat(0)), np.int64, b - a - 1)
                     more, found = _search(text, offsets, phrases)
                     hit |= more
                     for d, windows in found.items():
                         for w in windows:
                             names[d].update(phrases.names[i] for i in phrases.items[phrases.first_item[w] : phrases.first_item[w + 1]])
+                if len(shared) > 1:  # one block of the benchmark in memory at a time
+                    one.__dict__.pop("_value", None)
+            for part, texts, offsets, hit, names in zip(parts, texts_of, ends, hits, named):
+                n_words = np.diff(offsets) - 1
                 n_hit = sums(hit, offsets)
                 names = [sorted(x for x in n if x is not None) for n in names]
                 columns = [
                     part.column(0),
-                    pa.array([len(w) for w in words], pa.int64()),
+                    pa.array(n_words, pa.int64()),
                     pa.array(n_hit, pa.int64()),
                     pa.array([len(n) for n in names], pa.int64()),
                     pa.array([hashlib.sha256(",".join(n).encode()).hexdigest() for n in names], pa.string()),
                     pa.array(n_hit > 0),
                 ]
                 if clean:
-                    columns.append(pa.array([(_cleaned(t, hit[a : a + len(w)]).decode("utf-8", "replace") if n else t.decode("utf-8", "replace")) if v.is_valid else None for t, w, a, n, v in zip(texts, words, offsets.tolist(), n_hit, part.column(1))], pa.string()))
+                    columns.append(pa.array([(_cleaned(t, hit[a : a + w]).decode("utf-8", "replace") if n else t.decode("utf-8", "replace")) if v.is_valid else None for t, w, a, n, v in zip(texts, n_words.tolist(), offsets.tolist(), n_hit, part.column(1))], pa.string()))
                 yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], ["_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["_clean"] * clean, *part.schema.names[2:]])
 
     return source.mapInArrow(frugal(scan), schema)
@@ -225,7 +241,8 @@ def _hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = (), clean: bool = False, **options) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated, kept columns, and with `clean` clean_text, the text less its hit spans.
 
-    A benchmark over `most` bytes (its size is checked first) is searched in blocks, one pass each, and the passes' hits are merged.
+    A benchmark over `most` bytes (its size is checked first) is dealt into blocks of about that size; each batch of documents is searched for
+    one block after the other, and the hits are merged.
     Null texts have no words (n_words 0, the hash of nothing), null items and items without words no windows; an item
     with null id hits but is not named; items that repeat an id count once. Null document ids and repeated rows
     pass through; an empty table gives no rows, an empty benchmark no hits. Columns not kept are ignored.

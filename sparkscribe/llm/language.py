@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _trim, crc_fold, cut, frugal, table
+from .common import crc_fold, cut, frugal, table, trim
 from .rolling import BYTE, arrow_bytes, mix, runs, slices, sums
 
 #: Bytes of an n-gram, log2 of the filter's slots, look-ups for each n-gram.
@@ -93,9 +93,10 @@ def fit_filters(rows: list[tuple[str, str]], *, gram: int = GRAM, slot_bits: int
     model = LanguageFilters(languages, np.zeros(1 << slot_bits, kind), gram, lookups)
     seen = []
     for lang in languages:
-        hashes, _ = _grams(pa.array([t for x, t in rows if x == lang], pa.large_string()), gram)
-        keys, counts = np.unique(hashes, return_counts=True)
-        seen.append((keys, counts, max(1, len(hashes))))
+        texts = pa.array([t for x, t in rows if x == lang], pa.large_string())
+        hashes = np.sort(np.concatenate([np.empty(0, np.uint64), *(_grams(texts.slice(a, n), gram)[0] for a, n in slices(texts))]))
+        heads = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + np.uint64(1)))
+        seen.append((hashes[heads], np.diff(np.append(heads, len(hashes))), max(1, len(hashes))))
     for i, (keys, counts, total) in enumerate(seen):
         keep = counts >= least
         for j, (other, more, whole) in enumerate(seen):
@@ -103,6 +104,8 @@ def fit_filters(rows: list[tuple[str, str]], *, gram: int = GRAM, slot_bits: int
                 at = np.minimum(np.searchsorted(other, keys), len(other) - 1)
                 keep &= (other[at] != keys) | (counts / total >= 0.1 * more[at] / whole)
         model.add(i, keys[keep])
+    del seen
+    trim()
     return model
 
 
@@ -174,7 +177,7 @@ def accepted(docs: DataFrame, model: LanguageFilters, *, least: float = 0.2, sho
             letters = pc.fill_null(pc.match_substring_regex(part, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             best = shared.value.shares(part).max(1) if shared.value.languages else np.ones(len(part))
             out.append(letters & ((best >= least) | (pc.fill_null(pc.utf8_length(part), 0).to_numpy() < short)))
-        _trim()
+        trim()
         return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
 
     return docs.where(test(F.col(text_col)))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import anchors, word_elements
-from .common import frugal, frugal_group, stage_table
+from .common import frugal, frugal_group, stage_table, trim
 from .rolling import BYTE, STEP, arrow_bytes, mix, runs
 
 NO_ID = (1 << 63) - 1
@@ -136,7 +136,10 @@ def seen_more(packed: DataFrame, parts: int, slots: int = SLOTS, least: int = 2)
         rows += r.rows
     often = found.select(F.explode(F.arrays_zip("hot", "times")).alias("x")).orderBy(F.desc("x.times"), "x.hot").limit(LISTED).select("x.hot").collect()
     sc = packed.sparkSession.sparkContext
-    return Repeated(sc.broadcast(whole.reshape(-1)), slots, sc.broadcast(np.sort(np.array([r.hot for r in often], np.uint64))), rows)
+    out = Repeated(sc.broadcast(whole.reshape(-1)), slots, sc.broadcast(np.sort(np.array([r.hot for r in often], np.uint64))), rows)
+    del whole
+    trim()
+    return out
 
 
 def marked(keys: DataFrame, column: str, slots: int = 1 << 24) -> Repeated:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, frugal, table
+from .common import crc_fold, frugal, table, trim
 
 #: Letters that look like Latin ones (Cyrillic, then Greek), and digits or signs read as letters.
 HOMOGLYPHS = dict(zip("аеіјорсухѕԁһӏвкмнтАЕІЈОРСУХЅВКМНТ", "aeijopcyxsdhlbkmhtaeijopcyxsbkmht")) | dict(zip("αεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeiknoptuxabezhikmnoptyx"))
@@ -161,6 +161,8 @@ def fit_lexicon(rows: list[tuple[str, int]], *, share: float | None = None, entr
     lexicon.entries = {f: float(a) for f, a in zip(chosen, w)}
     lexicon.bias = float(b)
     lexicon._automaton = None
+    del x, toxic, clean
+    trim()
     return lexicon
 
 
