@@ -183,11 +183,7 @@ def accepted(docs: DataFrame, model: LanguageFilters, *, least: float = 0.2, sho
     return docs.where(test(F.col(text_col)))
 
 
-def held_out_training(docs: DataFrame):
-    return F.coalesce(crc_fold("doc_id", 4) != 2, F.lit(True))
-
-
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = fit_filters(training_rows(docs, held_out_training(docs)))
-    return identify(docs, model).select("doc_id", (~held_out_training(docs)).alias("held_out"), "lang_pred", "score")
+    model = fit_filters(training_rows(docs, F.coalesce(crc_fold("doc_id", 4) != 2, F.lit(False))))
+    return identify(docs, model).select("doc_id", F.coalesce(crc_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
