@@ -108,9 +108,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     are shuffled with their texts.
     """
     found = stage_table(fingerprints(docs, id_col=id_col, text_col=text_col).withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))))
-    rows = found.join(_rooted(found).select("fp", "root"), "fp")
-    # combined before the shuffle: a row for each component and task
-    stays = rows.groupBy("root").agg(F.min(F.struct("doc", "th")).alias("k")).select("k.doc", "k.th", F.lit(True).alias("stay"))
+    # copies of one fingerprint are combined before the shuffle, so the join sees each fingerprint once
+    least = found.groupBy("fp").agg(F.min(F.struct("doc", "th")).alias("k"))
+    stays = least.join(_rooted(found).select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.doc", "k.th", F.lit(True).alias("stay"))
     each = found.groupBy("doc", "th").agg(F.count(F.lit(1)).alias("n"))
     judged = stage_table(each.join(stays, ["doc", "th"], "left").select("doc", "th", "n", F.coalesce("stay", F.lit(False)).alias("stay")))
     doubtful = marked(judged.where("n > 1 or not stay"), "th")
