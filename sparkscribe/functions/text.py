@@ -76,10 +76,8 @@ def paragraphs(c: Column) -> Column:
 
 def is_title(c: Column) -> Column:
     """Holds a title keyword, or is short, few words, and does not end like a sentence."""
-    low, words = F.lower(c), F.size(F.filter(F.split(c, rf"(?U){SPACE}+"), lambda w: w != ""))
-    keyword = F.lit(False)
-    for k in TITLE_KEYWORDS:
-        keyword = keyword | F.contains(low, F.lit(k))
+    words = F.size(F.filter(F.split(c, rf"(?U){SPACE}+"), lambda w: w != ""))
+    keyword = F.lower(c).rlike("|".join(TITLE_KEYWORDS))
     return (F.coalesce(c, F.lit("")) != "") & (keyword | ((F.length(c) < 80) & ~c.rlike("[.!?;:]$") & (words <= 8)))
 
 

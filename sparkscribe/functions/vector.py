@@ -14,10 +14,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def bind(c: Column, f) -> Column:
+    """f of a value that is computed once: a lambda's variable, not the expression, stands in f's result."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def l2_normalize(a: Column) -> Column:
     """Double components of unit length; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    sized = lambda v: F.struct(v.alias("v"), norm(v).alias("n"))
+    return bind(bind(a, sized), lambda s: F.transform(s["v"], lambda x: x.cast("double") / F.when(s["n"] == 0, 1.0).otherwise(s["n"])))
 
 
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkscribe.functions.text import clean_text, estimate_tokens, is_title, paragraphs
+from sparkscribe.functions.vector import bind
 
 TARGET, LEAST, MOST, PAGE_LEAST = 1200, 600, 1800, 80
 
@@ -21,8 +22,8 @@ def clean_pages(pages: DataFrame, start_page: int = 11) -> DataFrame:
 
 def kept_pages(pages: DataFrame, least: int = PAGE_LEAST) -> DataFrame:
     """A page stays if it has `least` characters, or is short but reads like a title."""
-    text = F.coalesce("clean_text", F.lit(""))
-    return pages.where((text != "") & ((F.col("char_count") >= least) | is_title(text)))
+    short = bind(F.coalesce("clean_text", F.lit("")), is_title)  # the cleaned text, where it is computed, is computed once
+    return pages.where((F.col("char_count") > 0) & ((F.col("char_count") >= least) | short))
 
 
 def page_paragraphs(pages: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, *, id_col: str = "chunk_
         raise ValueError("k must be positive")
     count = queries.count()
     blocks = 1 if count <= QUERY_BLOCK else 2 * -(-count // QUERY_BLOCK)
-    rows = index.select(F.col(id_col).alias("_id"), F.col(order).cast("double").alias("_order"), F.col("embedding").cast("array<double>").alias("_e")).where("_e is not null")
+    rows = index.select(F.col(id_col).alias("_id"), F.col(order).cast("double").alias("_order"), F.col("embedding").cast("array<double>").alias("_e"))
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("_q")).where("_q is not null")
     kinds = dict(rows.dtypes)["_id"], dict(asked.dtypes)["query_id"]
     wanted = k + 1 if exclude_self else k
@@ -56,6 +56,8 @@ def _scan(spark: SparkSession, vectors: list[list[float]], k: int):
         q = shared.value
         ids, held = None, (np.empty(0, np.int64), np.empty(0), np.empty(0))  # query, order, score of the best so far; their ids beside
         for batch in batches:
+            if batch.column(2).null_count:
+                batch = batch.filter(batch.column(2).is_valid())
             lists = batch.column(2)
             n = len(lists)
             if not n or not q.shape[1]:

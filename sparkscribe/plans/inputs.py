@@ -44,7 +44,7 @@ def concept_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def knowledge(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    ideas, relations = concept_tables(spark, sf_dir)
+    ideas, relations = (df.persist() for df in concept_tables(spark, sf_dir))  # each is read by several joins
     return graph.build_graph(chunks(spark, sf_dir), ideas, relations, unique=False)
 
 
