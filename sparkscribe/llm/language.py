@@ -164,23 +164,24 @@ def accepted(docs: DataFrame, model: LanguageFilters, *, least: float = 0.2, sho
     its n-grams. Null texts go; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def test(texts):
-        import pandas as pd
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        array = pa.array(texts, pa.large_string(), from_pandas=True)
-        out = []
-        for at, n in slices(array):
-            part = array.slice(at, n)
-            letters = pc.fill_null(pc.match_substring_regex(part, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            best = shared.value.shares(part).max(1) if shared.value.languages else np.ones(len(part))
-            out.append(letters & ((best >= least) | (pc.fill_null(pc.utf8_length(part), 0).to_numpy() < short)))
-        trim()
-        return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
-
-    return docs.where(test(F.col(text_col)))
+        filters = shared.value
+        for batch in batches:
+            for start, n in slices(batch.column(at)):
+                part = batch.slice(start, n)
+                text = part.column(at)
+                letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+                best = filters.shares(text).max(1) if filters.languages else np.ones(n)
+                own = letters & ((best >= least) | (pc.fill_null(pc.utf8_length(text), 0).to_numpy() < short))
+                if own.any():
+                    yield part if own.all() else part.filter(pa.array(own))
+
+    return docs.mapInArrow(frugal(keep), docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,14 +296,17 @@ def _by_document(occurrences: DataFrame, unit: Unit, buckets: int) -> DataFrame:
 
 def only(rows: DataFrame, bits: Repeated, inside: bool = True) -> DataFrame:
     """Rows whose th is (or is not) in a bitmap."""
+    at = rows.columns.index("th")
 
-    @F.pandas_udf(T.BooleanType())
-    def test(th):
-        import pandas as pd
+    def keep(batches):
+        import pyarrow as pa
 
-        return pd.Series(bits.held(th.to_numpy()) == inside)
+        for batch in batches:
+            own = bits.held(batch.column(at).to_numpy()) == inside
+            if own.any():
+                yield batch if own.all() else batch.filter(pa.array(own))
 
-    return rows.where(test("th"))
+    return rows.mapInArrow(frugal(keep), rows.schema)
 
 
 def _regions(rows: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
@@ -455,6 +458,9 @@ def apply_spans(rows: DataFrame, spans: DataFrame, finish: Callable, schema: T.S
         import pyarrow as pa
 
         for batch in batches:
+            if batch.schema.names[-1] == "th":  # rows as they are scanned: those without spans are finished here
+                own = ~bits.held(batch.column(batch.num_columns - 1).to_numpy())
+                batch = batch.filter(pa.array(own)).select(batch.schema.names[:-1])
             for part in _slices(batch, 0):
                 values = [[] for _ in schema.fields]
                 for text, s in zip(part.column(0), part.column(1)):
@@ -467,6 +473,6 @@ def apply_spans(rows: DataFrame, spans: DataFrame, finish: Callable, schema: T.S
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], *(pa.array(v, t) for v, t in zip(values, types))], out.names)
 
     none = F.lit(None).cast("array<struct<lo: long, hi: long>>")
-    clean = only(rows, bits, inside=False).select("_text", none.alias("spans"), *kept)
+    clean = rows.select("_text", none.alias("spans"), *kept, "th")
     touched = only(rows, bits).join(spans, ["doc", "th"], "left").select("_text", "spans", *kept)
     return clean.mapInArrow(frugal(work), out).unionByName(touched.mapInArrow(frugal(work), out))
