@@ -281,12 +281,12 @@ def bm25_topk(spark, sf_dir):
 @query
 def retrieval_metrics(spark, sf_dir):
     e = on.table(spark, sf_dir, "embeddings")
-    hits = search.top_k(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), 11, id_col="vec_id", order="vec_id").where("query_id <> vec_id")
+    hits = search.top_k(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), 10, id_col="vec_id", order="vec_id", exclude_self=True)
     labels = e.select("vec_id", "label")
     total = labels.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("total_relevant"))
     own = labels.join(total, "label").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), "total_relevant")
-    judged = hits.join(labels, "vec_id").join(own, "query_id").select("query_id", (F.col("rank") - 1).alias("rank"), (F.col("label") == F.col("own")).alias("relevant"), "total_relevant")
-    m = quality.ranking_metrics(judged.where("rank >= 1"), 10)
+    judged = hits.join(labels, "vec_id").join(own, "query_id").select("query_id", "rank", (F.col("label") == F.col("own")).alias("relevant"), "total_relevant")
+    m = quality.ranking_metrics(judged, 10)
     return m.select("k", r6("precision", "precision"), r6("recall", "recall"), r6("mrr", "mrr"))
 
 

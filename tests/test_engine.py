@@ -48,6 +48,14 @@ def test_query_runs(spark, name):
     spark.catalog.clearCache()
 
 
+def test_metrics_of_copies(spark, tmp_path):
+    # vector 1 is a copy of vector 0, so 0 stands before 1 itself among the hits of 1
+    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.0, 1.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["retrieval_metrics"](spark, str(tmp_path)).first()
+    assert (got.k, got.precision, got.recall, got.mrr) == (10, round(2 / 30, 6), round(2 / 3, 6), round(2 / 3, 6))
+
+
 def one(spark, expression, *values, kinds="string"):
     row = spark.createDataFrame([values], ", ".join(f"c{i} {k}" for i, k in enumerate(kinds.split())))
     return row.select(expression(*(F.col(f"c{i}") for i in range(len(values)))).alias("x")).first()["x"]
