@@ -293,7 +293,7 @@ def retrieval_metrics(spark, sf_dir):
 @query
 def rank_fusion(spark, sf_dir):
     a = _bm25(spark, sf_dir).select("query_id", "id", "rank")
-    b = on.hits(spark, sf_dir).select(F.col("query_id").cast("long").alias("query_id"), F.substring("chunk_id", 5, 7).cast("long").alias("id"), "rank")
+    b = on.hits(spark, sf_dir).select(F.col("query_id").cast("long").alias("query_id"), F.expr("substring(chunk_id, 5)").cast("long").alias("id"), "rank")
     return quality.fuse(a, b, 10).select("query_id", "rank", F.col("id").alias("doc_id"), r6("rrf", "rrf"))
 
 

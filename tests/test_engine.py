@@ -56,6 +56,18 @@ def test_metrics_of_copies(spark, tmp_path):
     assert (got.k, got.precision, got.recall, got.mrr) == (10, round(2 / 30, 6), round(2 / 3, 6), round(2 / 3, 6))
 
 
+def test_fusion_of_long_ids(spark, tmp_path):
+    texts = ["alpha beta", "beta gamma", "gamma delta"]
+    spark.createDataFrame([(12345670 + i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "beta"), (1, "delta alpha")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = QUERIES["rank_fusion"](spark, str(tmp_path)).select("query_id", "rank", "doc_id", "rrf").collect()
+    assert {r.doc_id for r in got} == {12345670, 12345671, 12345672}
+    assert plain(got) == plain(con.sql(f"select query_id, rank, doc_id, rrf from ({ORACLES['rank_fusion']})").fetchall())
+
+
 def one(spark, expression, *values, kinds="string"):
     row = spark.createDataFrame([values], ", ".join(f"c{i} {k}" for i, k in enumerate(kinds.split())))
     return row.select(expression(*(F.col(f"c{i}") for i in range(len(values)))).alias("x")).first()["x"]
