@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -17,20 +18,70 @@ from .common import frugal, table
 PATHS, WORDS, PLAIN, UNITS = 128, 24, 8, 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_NEXT = re.compile(r"<[a-zA-Z/!?]|\Z")
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
-_UNSEEN = frozenset("script style noscript template svg iframe object canvas math title textarea select".split())
+_INLINE |= frozenset("math maction annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+#: Elements that hold plain text up to their end tag, and those that hold elements.
+_PLAIN = frozenset("script style iframe title textarea".split())
+_UNSEEN = _PLAIN | frozenset("noscript template svg object canvas select".split())
 #: A start tag of these ends an open element of the same set, or an open paragraph.
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd tr td th".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """Leaf blocks in page order: tokens of the tag path, text, share of its characters inside links."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+@lru_cache(maxsize=32)
+def _tags(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
+
+
+def _ends(page: str, name: str, at: int) -> dict[int, int]:
+    """Ends of the start tags of this name from `at` on, and of the end tags that close them; a start tag without one is missing."""
+    ends, opened = {}, []
+    for m in _tags(name).finditer(page, at):
+        if not m[1]:
+            if not (name == "svg" and m[2].endswith("/")):
+                opened.append(m.end())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
+class _Path:
+    """An open element: the sum of the hashed tokens of its tag path, its last token, elements below by their tokens."""
+
+    __slots__ = ("total", "last", "below")
+
+    def __init__(self, total: np.ndarray, last: str | None):
+        self.total, self.last, self.below = total, last, {}
+
+    def inner(self, tokens: tuple[str, ...]) -> _Path:
+        found = self.below.get(tokens)
+        if found is None:
+            total = self.total.copy()
+            for t in tokens:
+                i, sign = _bucket(t, PATHS)
+                total[i] += sign
+            found = self.below[tokens] = _Path(total, tokens[-1])
+        return found
+
+    def vector(self) -> np.ndarray:
+        v = self.total.copy()
+        if self.last is not None:
+            i, sign = _bucket(self.last, PATHS)
+            v[i] += 0.5 * sign
+        return np.clip(v, -2, 2)
+
+
+def blocks(page: str) -> list[tuple[_Path, str, float]]:
+    """Leaf blocks in page order: tag path, text, share of its characters inside links."""
+    out: list[tuple[_Path, str, float]] = []
+    root = _Path(np.zeros(PATHS, np.float32), None)
+    stack: list[tuple[str, _Path]] = []
+    ends: dict[str, dict[int, int]] = {}
+    unclosed: set[str] = set()
     words: list[str] = []
     linked = links = 0
 
@@ -38,7 +89,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(words)).split())
         if text:
-            out.append((tuple(t for _, ts in stack for t in ts), text, min(1.0, linked / max(1, len(text)))))
+            out.append((stack[-1][1] if stack else root, text, min(1.0, linked / max(1, len(text)))))
         words.clear()
         linked = 0
 
@@ -71,9 +122,21 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                     del stack[i:]
                     break
             continue
+        if name in _PLAIN:
+            stop = None if name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if not stop:  # only its own text goes, up to the next tag
+                unclosed.add(name)
+                stop = _NEXT.search(page, at)
+                at = stop.start()
+            else:
+                at = stop.end()
+            continue
         if name in _UNSEEN:
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
+            if name == "svg" and m[3].endswith("/"):
+                continue
+            if name not in ends:
+                ends[name] = _ends(page, name, m.start())
+            at = ends[name].get(at, at)
             continue
         if name in _INLINE:
             links += name == "a"
@@ -89,8 +152,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             stack.pop()
         tokens = [name]
         for a in _ATTR.finditer(m[3]):
-            tokens += [f".{t.lower()}" for t in _NAME.findall(a[2] or a[3] or a[4] or "")[:12]]
-        stack.append((name, tuple(tokens)))
+            tokens += [f".{t.lower()}" for t in _NAME.findall(a[2] or a[3] or a[4] or "")]
+        stack.append((name, (stack[-1][1] if stack else root).inner(tuple(tokens))))
         if m[3].endswith("/") and name not in ("p", "div"):
             stack.pop()
     end()
@@ -103,26 +166,16 @@ def _bucket(token: str, size: int) -> tuple[int, float]:
     return h % size, 1.0 if h >> 31 else -1.0
 
 
-@lru_cache(maxsize=20_000)
-def _path(tokens: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATHS, np.float32)
-    for depth, t in enumerate(reversed(tokens)):
-        i, sign = _bucket(t, PATHS)
-        v[i] += sign * (1.5 if depth == 0 else 1.0)
-    return np.clip(v, -2, 2)
-
-
-def features(page: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
+def features(page: list[tuple[_Path, str, float]]) -> np.ndarray:
     x = np.zeros((len(page), PATHS + WORDS + PLAIN), np.float32)
     for row, (path, text, linked) in enumerate(page):
-        x[row, :PATHS] = _path(path)
+        x[row, :PATHS] = path.vector()
         words = text.split(" ")
-        few = words if len(words) <= 64 else words[:: len(words) // 64 + 1]  # evenly over the whole block
         own = x[row, PATHS : PATHS + WORDS]
-        for w in few:
-            i, sign = _bucket(w.lower(), WORDS)
-            own[i] += sign
-        own /= np.sqrt(len(few))
+        for w, n in Counter(text.lower().split(" ")).items():
+            i, sign = _bucket(w, WORDS)
+            own[i] += sign * n
+        own *= np.sqrt(min(64, len(words))) / len(words)  # long blocks on the scale of 64 words
         marks = sum(text.count(c) for c in ".,;:!?")
         x[row, PATHS + WORDS :] = (min(3, np.log1p(len(words)) / 2), linked, min(1, 5 * marks / len(words)), text[-1] in ".!?…\"”»", "©" in text, min(1, len(page) / 100), row / len(page), 1.0)
     return x

@@ -317,3 +317,20 @@ def test_html(spark):
         down, _ = model.gradient(x, mask, y)
         model.p[k][at] += 1e-3
         assert g[k][at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=1e-4)
+
+
+def test_html_whole():
+    texts = lambda page: [t for _, t, _ in html_text.blocks(page)]
+    assert texts('<article><p>One <svg class="i"/> two</p><p>three</p></article>') == ["One two", "three"]
+    assert texts("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be; <math/> so</p></article>") == ["Let x=2 be; so"]
+    assert texts("<p>One</p><svg><p>two</p><svg><text>no</text></svg><p>three</p>") == ["One", "two", "three"]
+    assert texts("<p>One</p><svg><svg><text>no</text></svg><text>no</text></svg><object>no</object><p>two</p>") == ["One", "two"]
+    assert texts("<p>One</p><script>var a = 1;<p>two</p><script>b") == ["One", "two"]
+    utilities = " ".join(f"u{chr(97 + i)}x" for i in range(14))
+    a, b = (html_text.features(html_text.blocks(f'<div class="{utilities} {name}"><p>A text.</p></div>')) for name in ("comments", "article"))
+    assert (a != b).any()
+    words = [f"w{i}" for i in range(200)]
+    one = html_text.features(html_text.blocks(f"<p>{' '.join(words)}</p>"))
+    for i in (1, 50, 198):
+        other = html_text.features(html_text.blocks(f"<p>{' '.join([*words[:i], 'another', *words[i + 1 :]])}</p>"))
+        assert html_text._bucket("another", html_text.WORDS) == html_text._bucket(words[i], html_text.WORDS) or (one != other).any()
