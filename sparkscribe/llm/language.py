@@ -13,6 +13,8 @@ from .rolling import BYTE, arrow_bytes, mix, runs, slices, sums
 
 #: Bytes of an n-gram, log2 of the filter's slots, look-ups for each n-gram.
 GRAM, SLOT_BITS, LOOKUPS = 4, 22, 2
+#: Languages of one filter word.
+WORD = 64
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -44,39 +46,46 @@ def _grams(texts, gram: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[valid], np.concatenate(([0], np.cumsum(stops - starts)))
 
 
+def _bit(words: np.ndarray, language: int) -> np.ndarray:
+    return (words >> words.dtype.type(language % WORD)) & words.dtype.type(1)
+
+
 @dataclass
 class LanguageFilters:
     languages: list[str]
-    masks: np.ndarray  # a slot's word has bit l set if an n-gram of language l falls there
+    masks: np.ndarray  # words x slots: bit l % 64 of a slot's word l // 64 is set if an n-gram of language l falls there
     gram: int
     lookups: int
     rate: np.ndarray | None = None
 
     def _slots(self, hashes: np.ndarray, i: int) -> np.ndarray:
-        bits = len(self.masks).bit_length() - 1
+        bits = self.masks.shape[1].bit_length() - 1
         return ((mix(hashes + np.uint64(i)) if i else hashes) >> np.uint64(64 - bits)).astype(np.int64)
 
     def false_rate(self) -> np.ndarray:
         """For each language the chance that an n-gram it has never seen passes all look-ups."""
-        return np.array([np.mean((self.masks >> self.masks.dtype.type(i)) & self.masks.dtype.type(1)) ** self.lookups for i in range(len(self.languages))])
+        return np.array([np.mean(_bit(self.masks[i // WORD], i)) ** self.lookups for i in range(len(self.languages))])
 
     def add(self, language: int, hashes: np.ndarray) -> None:
         for i in range(self.lookups):
-            self.masks[self._slots(hashes, i)] |= self.masks.dtype.type(1 << language)
+            self.masks[language // WORD][self._slots(hashes, i)] |= self.masks.dtype.type(1 << language % WORD)
 
     def shares(self, texts) -> np.ndarray:
         """Documents x languages: the share of n-grams that a language contains, corrected for false positives."""
         hashes, offsets = _grams(texts, self.gram)
-        found = self.masks[self._slots(hashes, 0)]
-        for i in range(1, self.lookups):
-            found &= self.masks[self._slots(hashes, i)]
+        slots = [self._slots(hashes, i) for i in range(self.lookups)]
         total = np.maximum(np.diff(offsets), 1)
         if self.rate is None:
             self.rate = self.false_rate()
         false = self.rate
         out = np.empty((len(offsets) - 1, len(self.languages)))
         for i in range(len(self.languages)):
-            hit = sums((found >> found.dtype.type(i)) & found.dtype.type(1), offsets) / total
+            if i % WORD == 0:
+                word = self.masks[i // WORD]
+                found = word[slots[0]]
+                for other in slots[1:]:
+                    found &= word[other]
+            hit = sums(_bit(found, i), offsets) / total
             out[:, i] = np.clip((hit - false[i]) / max(1e-9, 1 - false[i]), 0, 1)
         return out
 
@@ -86,43 +95,45 @@ def fit_filters(rows: list[tuple[str, str]], *, gram: int = GRAM, slot_bits: int
     a rate of a tenth or more of its rate in any other language, so that foreign passages do not fill the filter."""
     import pyarrow as pa
 
-    languages = sorted({lang for lang, _ in rows})
-    if len(languages) > 64:
-        raise ValueError("a filter word has 64 bits: at most 64 languages")
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(t).itemsize)
-    model = LanguageFilters(languages, np.zeros(1 << slot_bits, kind), gram, lookups)
+    own: dict[str, list[str]] = {}
+    for lang, text in rows:
+        own.setdefault(lang, []).append(text)
+    languages = sorted(own)
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if min(len(languages), WORD) <= 8 * np.dtype(t).itemsize)
+    model = LanguageFilters(languages, np.zeros((max(1, -(-len(languages) // WORD)), 1 << slot_bits), kind), gram, lookups)
     seen = []
     for lang in languages:
-        texts = pa.array([t for x, t in rows if x == lang], pa.large_string())
+        texts = pa.array(own[lang], pa.large_string())
         hashes = np.sort(np.concatenate([np.empty(0, np.uint64), *(_grams(texts.slice(a, n), gram)[0] for a, n in slices(texts))]))
         heads = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] + np.uint64(1)))
         seen.append((hashes[heads], np.diff(np.append(heads, len(hashes))), max(1, len(hashes))))
+    every = np.concatenate([np.empty(0, np.uint64), *(keys for keys, _, _ in seen)])
+    least_rate = np.concatenate([np.empty(0), *(0.1 * counts / total for _, counts, total in seen)])
+    order = np.argsort(every)
+    heads = np.flatnonzero(np.diff(every[order], prepend=every[order][:1] + np.uint64(1)))
+    every, least_rate = every[order][heads], np.maximum.reduceat(least_rate[order], heads) if len(heads) else least_rate
     for i, (keys, counts, total) in enumerate(seen):
-        keep = counts >= least
-        for j, (other, more, whole) in enumerate(seen):
-            if i != j and len(other):
-                at = np.minimum(np.searchsorted(other, keys), len(other) - 1)
-                keep &= (other[at] != keys) | (counts / total >= 0.1 * more[at] / whole)
-        model.add(i, keys[keep])
-    del seen
+        model.add(i, keys[(counts >= least) & (counts / total >= least_rate[np.searchsorted(every, keys)])])
+    del seen, every, least_rate, order, heads
     trim()
     return model
 
 
-def training_rows(docs: DataFrame, train, *, per_language: int = 1000, max_bytes: int = 8 << 20, languages: int = 64) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, train, *, per_language: int = 1000, max_bytes: int = 8 << 20) -> list[tuple[str, str]]:
     """A bounded sample of labelled rows: per language, up to per_language documents in the order of a hash of the id, up
-    to max_bytes over all languages; a document over a sixty-fourth of that is not drawn. Whole texts."""
+    to max_bytes over all languages, of which each has an equal share, a sixty-fourth at least however many there are; a
+    document over a sixty-fourth is not drawn. Whole texts."""
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("doc_id"), F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).where(F.col("n") <= max_bytes // 64)
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
     # the hash thins each language to about one and a half times what is drawn, so the window sees a bounded number of rows
     known = cut(known.join(counts, "lang").where(F.pmod("h", F.lit(1 << 40)) <= (1 << 40) * 1.5 * per_language / F.col("total")).drop("total"))
     by = Window.partitionBy("lang").orderBy("h", "doc_id")
     drawn = known.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language)
-    n_langs = max(1, min(languages, drawn.select("lang").distinct().count()))
-    drawn = drawn.withColumn("b", F.sum("n").over(by)).where(F.col("b") <= max_bytes // n_langs).select("doc_id").distinct()
+    n_langs = max(1, drawn.select("lang").distinct().count())
+    drawn = drawn.withColumn("b", F.sum("n").over(by)).where(F.col("b") <= max_bytes // min(n_langs, 64)).select("doc_id").distinct()
     chosen = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes // 64))
     # at most per_language ids a language
-    return [(r.lang, r.text) for r in chosen.join(F.broadcast(drawn.limit(per_language * languages)), "doc_id", "left_semi").select("lang", "text").limit(per_language * n_langs).collect()]
+    return [(r.lang, r.text) for r in chosen.join(F.broadcast(drawn.limit(per_language * n_langs)), "doc_id", "left_semi").select("lang", "text").limit(per_language * n_langs).collect()]
 
 
 def identify(docs: DataFrame, model: LanguageFilters, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -253,6 +253,18 @@ def test_language_edges(spark):
     assert language.identify(docs(spark, [(1, "a", "")]), language.fit_filters([])).first().lang_pred == "und"
 
 
+def test_many_languages(spark):
+    names = [f"l{i:03}" for i in range(150)]
+    say = lambda i: "".join(chr(97 + i // 26 + 5 * k) + chr(97 + i % 26) + "q" for k in range(4))
+    model = language.fit_filters([(n, f"{say(i)} " * 30) for i, n in enumerate(names)], slot_bits=16)
+    assert model.languages == names
+    got = language.identify(docs(spark, [(i, f"{say(i)} " * 5, "") for i in range(150)]), model).collect()
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id)] == names
+    rows = spark.createDataFrame([(i, "word " * 20, f"l{i % 150:03}") for i in range(450)], "doc_id long, text string, lang string")
+    drawn = language.training_rows(rows, F.lit(True), per_language=2)
+    assert len(drawn) == 300 and len({x for x, _ in drawn}) == 150
+
+
 # tokens
 
 
