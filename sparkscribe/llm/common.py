@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word for the operators that split on ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     root = spark.conf.get("spark.checkpoint.dir", None)
     if jsc.getCheckpointDir().isEmpty():
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="sparkscribe-"))
     return jsc.getCheckpointDir().get()
 
@@ -46,17 +49,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def trim() -> None:
-    """Give freed memory back: workers are reused, and what one operator needed would stay with them."""
+_trimmed = 0.0
+
+
+def trim(least: float = 2.0) -> None:
+    """Give freed memory back: workers are reused, and what one operator needed would stay with them. Walking the heap takes time, so it is
+    done once in `least` seconds of a process at most."""
     import ctypes
+    import time
 
     import pyarrow as pa
 
+    global _trimmed
+    if time.monotonic() - _trimmed < least:
+        return
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloctrim(0)
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+    _trimmed = time.monotonic()
 
 
 def frugal(scan):
@@ -107,6 +119,25 @@ def _remove(spark: SparkSession) -> None:
         pass
 
 
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
+    """docs and a long in the order of the ids, null for null. Integers stand for themselves; other ids are sorted over ranges and numbered, and
+    the number is a further column."""
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, T.IntegralType):
+        return docs, F.col(id_col).cast("long")
+    spark, parts = docs.sparkSession, docs.rdd.getNumPartitions()
+    ids = docs.select(F.col(id_col).alias("_order_id")).where(F.col("_order_id").isNotNull()).distinct()
+    ordered = ids.repartitionByRange(parts, "_order_id").sortWithinPartitions("_order_id").select("_order_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i"))
+    ordered = stage_table(ordered)
+    sizes = {r.p: r.n for r in ordered.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
+    starts, at = [], 0
+    for p in sorted(sizes):
+        starts.append((p, at))
+        at += sizes[p]
+    numbers = ordered.join(F.broadcast(spark.createDataFrame(starts, "p int, start long")), "p").select("_order_id", (F.col("start") + F.col("i")).alias("_order_number"))
+    return docs.join(numbers, docs[id_col] == numbers["_order_id"], "left").drop("_order_id"), F.col("_order_number")
+
+
 def crc_fold(col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % mod

@@ -1,18 +1,18 @@
 """Which elements of a corpus lie in windows that also occur earlier: the frame of the two exact dedup operators.
 
-1. Every document gives its anchors (see anchors.py). Those that occur once are dropped, by a bitmap of fixed size that lets
-   some through; the few that occur most often are listed.
-2. Anchors with equal contexts form a class. All but a class's first occurrence are covered over their whole context.
-3. What is left are first occurrences of anchors that have several contexts. Their contexts, merged into regions of each
-   document, go to the block of that part of the anchor's first document, or of the anchor itself if it has many contexts. A
-   region meets there all text it can share a window with.
-4. An operator's own method finds the repeats of each block. A listed anchor is dealt over several blocks: its classes by
-   context, its regions by document, and its blocks also report the windows that stand in more than one place; reports are merged
-   by binary search. Copies in one batch of documents are settled there, so they are not shuffled to one task.
+1. Every document gives its anchors (see anchors.py). Those that occur once are dropped, by a bitmap sized from the corpus; it may let
+   some through and loses none. Beyond its largest size more are let through, and step 2 counts them exactly.
+2. Anchors only route. An anchor's group is the part of its first document in which it stands, or the anchor itself if it is one of the
+   most frequent. The text around its occurrences, merged into regions of each document, goes to that group, so two equal windows meet.
+3. Regions are sorted by group over range partitions and read as shards of bounded bytes. Equal regions enter a shard
+   once, with all their owners. An operator's own method finds the repeats of a shard by comparing text.
+4. A group too large for one shard, or cut by a partition's border, is spread over several. Their windows without an earlier
+   occurrence that several shards hold are merged: each shard's sorted windows are searched in the others' by binary search.
 5. Covered spans are applied to the texts. Texts move only for documents that have regions or spans.
 
 Positions are those of elements: bytes or words. A document is (doc, th): its id, the largest number for a null one, and a hash of its
-text; so rows that repeat both are one document, and rows of one id with different texts are told apart.
+text; so rows that repeat both are one document, and rows of one id with different texts are told apart. Ids that are not integers are
+numbered in their order.
 """
 
 from __future__ import annotations
@@ -26,14 +26,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import anchors, word_elements
-from .common import frugal, frugal_group, stage_table, trim
-from .rolling import BYTE, STEP, arrow_bytes, mix, runs
+from .common import frugal, frugal_group, numbered, stage_table, trim
+from .rolling import BYTE, arrow_bytes, mix, runs
 
 NO_ID = (1 << 63) - 1
-#: Slots of a bitmap; bytes of a block; bytes of text handled at once; rows of a bucket of occurrences.
-SLOTS, BLOCK_BYTES, STEP_BYTES, BUCKET_ROWS = 1 << 27, 1 << 19, 1 << 19, 100_000
-#: An anchor of more occurrences is listed, the most frequent first, up to so many; one of more contexts has a block of its own.
-HOT, LISTED, MANY = 8192, 500_000, 200
+#: Bytes of a shard; bytes of text handled at once; rows of a bucket of occurrences or windows; elements of a piece of a long region.
+SHARD_BYTES, STEP_BYTES, BUCKET_ROWS, PIECE = 1 << 19, 1 << 19, 100_000, 1 << 16
+#: An anchor is listed if it occurs more often than this, and more often than one in LISTED of all occurrences: so at most LISTED are.
+HOT, LISTED = 8192, 500_000
+#: Shards whose windows are merged in one task.
+FAN = 256
+#: Bits of the smallest and the largest bitmap (128 KB, 32 MB).
+LEAST_BITS, MOST_BITS = 20, 28
+
+
+def slots_for(rows: int) -> int:
+    """Slots of a bitmap of so many keys: eight for each, within the bounds."""
+    return 1 << max(LEAST_BITS, min(MOST_BITS, (8 * rows).bit_length()))
 
 
 @dataclass(frozen=True)
@@ -66,7 +75,8 @@ def _elements(unit: Unit, texts):
 def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc, th, _text and the kept columns under their names after `k_`."""
     text = F.col(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("_text"), *(F.col(c).alias(f"k_{c}") for c in keep))
+    docs, number = numbered(docs, id_col)
+    return docs.select(F.coalesce(number, F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("_text"), *(F.col(c).alias(f"k_{c}") for c in keep))
 
 
 @dataclass
@@ -110,7 +120,7 @@ def _packed(keys: list[np.ndarray], parts: int):
     return pa.RecordBatch.from_arrays([pa.array(part[head], pa.int32()), pa.array(data, pa.binary())], ["part", "keys"])
 
 
-def seen_more(packed: DataFrame, parts: int, slots: int = SLOTS, least: int = 2) -> Repeated:
+def seen_more(packed: DataFrame, parts: int, slots: int, least: int = 2) -> Repeated:
     """From _packed() rows: each part is counted by one task, slots / 8 bytes of bits come back in all."""
     bits = parts.bit_length() - 1
     down = 40 - bits - (slots.bit_length() - 1 - bits)
@@ -127,14 +137,24 @@ def seen_more(packed: DataFrame, parts: int, slots: int = SLOTS, least: int = 2)
         hot = n > HOT
         part = key[0].as_py()
         full = (np.uint64(part) << np.uint64(40 - bits)) | keys[hot].astype(np.uint64)
-        return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary()), "rows": pa.array([int(n[n >= least].sum())], pa.int64()), "hot": pa.array([full.astype(np.int64).tolist()], pa.list_(pa.int64())), "times": pa.array([n[hot].tolist()], pa.list_(pa.int64()))})
-
-    found = stage_table(packed.groupBy("part").applyInArrow(frugal_group(count), "part int, bits binary, rows long, hot array<long>, times array<long>"))
+        longs = pa.list_(pa.int64())
+        values = {
+            "part": pa.array([part], pa.int32()),
+            "bits": pa.array([np.packbits(own).tobytes()], pa.binary()),
+            "rows": pa.array([int(n[n >= least].sum())], pa.int64()),
+            "hot": pa.array([full.astype(np.int64).tolist()], longs),
+            "times": pa.array([n[hot].tolist()], longs),
+        }
+        return pa.table(values)
+
+    kind = "part int, bits binary, rows long, hot array<long>, times array<long>"
+    found = stage_table(packed.groupBy("part").applyInArrow(frugal_group(count), kind))
     whole, rows = np.zeros((parts, slots // parts // 8), np.uint8), 0
     for r in found.select("part", "bits", "rows").toLocalIterator():
         whole[r.part] = np.frombuffer(bytes(r.bits), np.uint8)
         rows += r.rows
-    often = found.select(F.explode(F.arrays_zip("hot", "times")).alias("x")).orderBy(F.desc("x.times"), "x.hot").limit(LISTED).select("x.hot").collect()
+    listed = found.select(F.explode(F.arrays_zip("hot", "times")).alias("x")).where(F.col("x.times") > max(HOT, rows // LISTED))
+    often = listed.select("x.hot").collect()  # fewer than LISTED: each is more than one in LISTED of all rows
     sc = packed.sparkSession.sparkContext
     out = Repeated(sc.broadcast(whole.reshape(-1)), slots, sc.broadcast(np.sort(np.array([r.hot for r in often], np.uint64))), rows)
     del whole
@@ -142,9 +162,9 @@ def seen_more(packed: DataFrame, parts: int, slots: int = SLOTS, least: int = 2)
     return out
 
 
-def marked(keys: DataFrame, column: str, slots: int = 1 << 24) -> Repeated:
-    """A bitmap of all keys of a column."""
-    parts = 256
+def marked(keys: DataFrame, column: str) -> Repeated:
+    """A bitmap of all keys of a column of a written table."""
+    parts, slots = _parts(keys), slots_for(keys.count())
 
     def pack(batches):
         for batch in batches:
@@ -175,6 +195,8 @@ def _merge(row: np.ndarray, start: np.ndarray, stop: np.ndarray, key: np.ndarray
 
 def _anchor_keys(rows: DataFrame, unit: Unit) -> Repeated:
     parts = _parts(rows)
+    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    about = size // (5 if unit.words else 1) * 2 // (unit.window - unit.gram + 2)
 
     def scan(batches):
         waiting, held = [], 0
@@ -189,35 +211,19 @@ def _anchor_keys(rows: DataFrame, unit: Unit) -> Repeated:
         if waiting:
             yield _packed(waiting, parts)
 
-    return seen_more(rows.select("_text").mapInArrow(frugal(scan), "part int, keys binary"), parts)
+    return seen_more(rows.select("_text").mapInArrow(frugal(scan), "part int, keys binary"), parts, slots_for(about))
 
 
-_ROW = ("b", "kind", "a", "c", "doc", "th", "at", "lo", "hi")
-#: Kinds of occurrence rows: to compare, of a listed anchor, covered already.
-LIVE, OFTEN, DONE = 0, 1, 2
-
-
-def _classes(v: dict[str, np.ndarray], unit: Unit) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-    """Sort rows by class and place in the corpus: (which come later than their class's first, index of the first, sorted rows)."""
-    order = np.lexsort((v["at"], v["th"], v["doc"], v["c"], v["a"]))
-    v = {k: x[order] for k, x in v.items()}
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (v["a"][1:] != v["a"][:-1]) | (v["c"][1:] != v["c"][:-1])
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-    later = v["doc"] != v["doc"][first]
-    if unit.by_start:
-        later |= (v["th"] != v["th"][first]) | (v["at"] != v["at"][first])
-    return later, first, v
+_ROW = ("b", "often", "a", "doc", "th", "at", "lo", "hi")
 
 
 def _occurrences(rows: DataFrame, unit: Unit, repeated: Repeated) -> DataFrame:
-    """The anchors in the bitmap. b deals them: by anchor, a listed one by context, what is covered already by document."""
+    """The anchors in the bitmap, with the spans of all windows they can stand for. b deals them: by anchor, listed ones by document."""
 
     def scan(batches):
         import pyarrow as pa
 
         for batch in batches:
-            often = []
             for part in _slices(batch, 2):
                 elements, offsets, *_ = _elements(unit, part.column(2))
                 v = anchors(elements, offsets, unit.window, unit.gram)
@@ -225,73 +231,59 @@ def _occurrences(rows: DataFrame, unit: Unit, repeated: Repeated) -> DataFrame:
                 v = {k: x[own] for k, x in v.items()}
                 d = v["doc"]
                 doc, th = (part.column(i).to_numpy()[d] for i in (0, 1))
-                v = {"b": v["a"].view(np.int64), "kind": np.zeros(len(d), np.int32), "a": v["a"].view(np.int64), "c": v["c"].view(np.int64), "doc": doc, "th": th} | {n: (v[k] - offsets[d]).astype(np.int32) for n, k in (("at", "at"), ("lo", "left"), ("hi", "right"))}
-                hot = repeated.often(v["a"])
-                if hot.any():
-                    often.append({k: x[hot] for k, x in v.items()})
-                    v = {k: x[~hot] for k, x in v.items()}
-                yield pa.RecordBatch.from_arrays([pa.array(v[k]) for k in _ROW], _ROW)
-            if often:  # the map side of their classes: only a batch's first of a class goes on
-                later, first, v = _classes({k: np.concatenate([x[k] for x in often]) for k in _ROW}, unit)
-                v["kind"] = np.where(later, DONE, OFTEN).astype(np.int32)
-                v["b"] = np.where(later, mix(v["th"].view(np.uint64)), mix((v["a"] ^ v["c"]).view(np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(v[k]) for k in _ROW], _ROW)
+                often = repeated.often(v["a"])
+                b = np.where(often, mix(th.view(np.uint64) + doc.view(np.uint64)), v["a"]).view(np.int64)
+                place = [(v[k] - offsets[d]).astype(np.int32) for k in ("at", "left", "right")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b, often, v["a"].view(np.int64), doc, th, *place)], _ROW)
 
-    return rows.select("doc", "th", "_text").mapInArrow(frugal(scan), "b long, kind int, a long, c long, doc long, th long, at int, lo int, hi int")
+    kind = "b long, often boolean, a long, doc long, th long, at int, lo int, hi int"
+    return rows.select("doc", "th", "_text").mapInArrow(frugal(scan), kind)
 
 
 def _by_document(occurrences: DataFrame, unit: Unit, buckets: int) -> DataFrame:
-    """(doc, th, cov, need): merged covered spans, and merged spans to compare, each with its block's key m (odd: of a listed anchor)."""
+    """(doc, th, need): the spans of a document to compare, each with its group m; those of one group are merged."""
 
-    def settle(key, table):
+    def route(key, table):
         import pyarrow as pa
 
-        v = {k: table[k].to_numpy() for k in _ROW}
-        done = v["kind"] == DONE
-        ready = {k: v[k][done] for k in ("doc", "th", "lo", "hi")}
-        later, first, v = _classes({k: x[~done] for k, x in v.items()}, unit)
-        n = len(later)
-        new_anchor = np.ones(n, bool)
-        new_anchor[1:] = v["a"][1:] != v["a"][:-1]
-        heads = np.flatnonzero(new_anchor)
-        which = np.cumsum(new_anchor) - 1
-        classes = np.add.reduceat((first == np.arange(n)).astype(np.int64), heads)[which] if n else np.empty(0, np.int64)
-        # an anchor's first occurrence: the least document, and its place there
-        by = np.lexsort((v["at"], v["doc"], which))
-        lead = by[np.searchsorted(which[by], np.arange(len(heads)))][which] if n else np.empty(0, np.int64)
-        segment = mix(mix(v["doc"][lead].view(np.uint64)) + (v["at"][lead] // (20 * unit.window)).astype(np.uint64))
-        often = v["kind"] == OFTEN
-        m = np.where(often | (classes > MANY), mix(v["a"].view(np.uint64)), segment)
-        m = (m & ~np.uint64(1)) | often.astype(np.uint64)
-        need = ~later & (often | (classes > 1))
-        use = later | need
-        out = {k: np.concatenate((v[k][use], ready[k])) for k in ("doc", "th", "lo", "hi")}
-        out["m"] = np.concatenate((m.view(np.int64)[use], np.zeros(len(ready["doc"]), np.int64)))
-        out["need"] = np.concatenate((need[use], np.zeros(len(ready["doc"]), bool)))
-        return pa.table(out)
-
-    spans = occurrences.withColumn("bucket", F.pmod("b", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(frugal_group(settle), "doc long, th long, lo int, hi int, m long, need boolean")
+        v = {k: table[k].to_numpy(zero_copy_only=False) for k in _ROW}
+        listed = np.flatnonzero(v["often"])
+        rest = np.flatnonzero(~v["often"])
+        rest = rest[np.lexsort(tuple(v[k][rest] for k in ("at", "th", "doc", "a")))]
+        a, doc, th, at = (v[k][rest] for k in ("a", "doc", "th", "at"))
+        fresh = np.ones(len(rest), bool)
+        fresh[1:] = a[1:] != a[:-1]
+        heads = np.flatnonzero(fresh)
+        size = np.diff(np.append(heads, len(rest)))
+        lead = np.repeat(heads, size)  # an anchor's first occurrence: the least document, and its place there
+        other = doc != doc[lead]
+        if unit.by_start:
+            other |= (th != th[lead]) | (at != at[lead])
+        several = np.repeat(np.add.reduceat(other, heads) > 0, size) if len(rest) else other
+        m = mix(mix(doc[lead].view(np.uint64)) + (at[lead] // (20 * unit.window)).astype(np.uint64))
+        use = np.concatenate((rest[several], listed))
+        m = np.concatenate((m[several], mix(v["a"][listed].view(np.uint64)))).view(np.int64)
+        return pa.table({k: v[k][use] for k in ("doc", "th", "lo", "hi")} | {"m": m})
+
+    dealt = occurrences.withColumn("bucket", F.pmod("b", F.lit(buckets)).cast("int"))
+    spans = dealt.groupBy("bucket").applyInArrow(frugal_group(route), "doc long, th long, lo int, hi int, m long")
 
     def gather(key, table):
         import pyarrow as pa
 
-        v = {k: table[k].to_numpy(zero_copy_only=False) for k in ("doc", "th", "lo", "hi", "m", "need")}
+        v = {k: table[k].to_numpy() for k in ("doc", "th", "lo", "hi", "m")}
         order = np.lexsort((v["th"], v["doc"]))
         v = {k: x[order] for k, x in v.items()}
-        row, need = _document(v["doc"], v["th"]), v["need"]
         at = _firsts(v["doc"], v["th"])
-        lo, hi = v["lo"].astype(np.int64), v["hi"].astype(np.int64)
-
-        def pack(found):
-            edges = np.searchsorted(found[0], np.arange(len(at) + 1))
-            fields = {"lo": pa.array(found[1]), "hi": pa.array(found[2])} | ({"m": pa.array(found[3])} if found[3] is not None else {})
-            return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([*fields.values()], [*fields]))
-
-        return pa.table({"doc": v["doc"][at], "th": v["th"][at], "cov": pack(_merge(row[~need], lo[~need], hi[~need])), "need": pack(_merge(row[need], lo[need], hi[need], v["m"][need]))})
+        row, lo, hi, m = _merge(_document(v["doc"], v["th"]), v["lo"].astype(np.int64), v["hi"].astype(np.int64), v["m"])
+        edges = np.searchsorted(row, np.arange(len(at) + 1))
+        fields = {"lo": pa.array(lo), "hi": pa.array(hi), "m": pa.array(m)}
+        need = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([*fields.values()], [*fields]))
+        return pa.table({"doc": v["doc"][at], "th": v["th"][at], "need": need})
 
     # by documents, so a group holds as many spans as some documents have anchors
     dealt = spans.withColumn("bucket", F.pmod(F.xxhash64("doc", "th"), F.lit(buckets)).cast("int"))
-    return dealt.groupBy("bucket").applyInArrow(frugal_group(gather), "doc long, th long, cov array<struct<lo: long, hi: long>>, need array<struct<lo: long, hi: long, m: long>>")
+    return dealt.groupBy("bucket").applyInArrow(frugal_group(gather), "doc long, th long, need array<struct<lo: long, hi: long, m: long>>")
 
 
 def only(rows: DataFrame, bits: Repeated, inside: bool = True) -> DataFrame:
@@ -309,111 +301,291 @@ def only(rows: DataFrame, bits: Repeated, inside: bool = True) -> DataFrame:
     return rows.mapInArrow(frugal(keep), rows.schema)
 
 
+_REGION = "m long, doc long, th long, lo long, hi long, size long, text binary"
+
+
 def _regions(rows: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
-    """(m, doc, th, lo, text): the text of each span to compare; words parted by one space."""
-    wanted = spans.where(F.size("need") > 0).select("doc", "th", "need")
-    joined = only(rows.select("doc", "th", "_text"), marked(wanted, "th")).join(wanted, ["doc", "th"]).select("_text", "doc", "th", "need")
+    """(m, doc, th, lo, hi, size, text): each span to compare with its text, words parted by one space; a long one in pieces that overlap.
+
+    Text that an earlier row of the same batch and group has, byte by byte, is not passed on: such a span is covered (its text is null)."""
+    joined = only(rows.select("doc", "th", "_text"), marked(spans, "th")).join(spans, ["doc", "th"]).select("_text", "doc", "th", "need")
+    step = PIECE - unit.window + 1
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in _slices(batch, 0):
-                out = {k: [] for k in ("m", "doc", "th", "lo", "text")}
-                for text, doc, th, need in zip(*(part.column(i) for i in range(4))):
-                    data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                    items = data.split() if unit.words else None
-                    for s in need.as_py():
-                        out["m"].append(s["m"])
-                        out["doc"].append(doc.as_py())
-                        out["th"].append(th.as_py())
-                        out["lo"].append(s["lo"])
-                        out["text"].append(b" ".join(items[s["lo"] : s["hi"]]) if unit.words else data[s["lo"] : s["hi"]])
-                yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in ("m", "doc", "th", "lo")), pa.array(out["text"], pa.binary())], [*out])
-
-    return joined.mapInArrow(frugal(cut), "m long, doc long, th long, lo long, text binary")
-
-
-#: A block's method: (elements, data, starts, stops, offsets, document number of each region, unit) -> (class of each window start or -1, ...)
-Method = Callable[..., tuple[np.ndarray, np.ndarray]]
-
-
-def _compare(regions: DataFrame, unit: Unit, method: Method, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc, th, lo, hi): covered spans that the blocks find, and those that only several blocks of one first document show."""
-    total = regions.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sizes = regions.where("m & 1 = 1").groupBy("m").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    blocks = max(12, 2 * -(-total // block_bytes))
-    split = sizes.where(F.col("bytes") > block_bytes).select("m", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("parts"))
-    # only listed anchors are split, so at most LISTED rows are broadcast
-    dealt = regions.join(F.broadcast(split.limit(LISTED)), "m", "left").withColumn("part", F.pmod(F.xxhash64("doc", "th"), F.coalesce("parts", F.lit(1))))
-    dealt = dealt.select(F.pmod(F.xxhash64("m", "part"), F.lit(blocks)).cast("int").alias("block"), "doc", "th", "lo", "text", (F.coalesce("parts", F.lit(1)) > 1).alias("shared"))
+            found = []
+            for text, doc, th, need in zip(*(batch.column(i) for i in range(4))):
+                data = text.as_buffer().to_pybytes() if text.is_valid else b""
+                items = data.split() if unit.words else None
+                doc, th = doc.as_py(), th.as_py()
+                for s in need.as_py():
+                    for lo in range(s["lo"], max(s["lo"] + 1, s["hi"] - unit.window + 1), step):
+                        hi = min(s["hi"], lo + PIECE)
+                        found.append((doc, th, lo, hi, s["m"], b" ".join(items[lo:hi]) if unit.words else data[lo:hi]))
+            found.sort(key=lambda x: x[:3])
+            out, first = [], {}
+            for doc, th, lo, hi, m, text in found:
+                owner = first.setdefault((m, text), (doc, th, lo))
+                if owner == (doc, th, lo):
+                    if (m, text, owner) not in first:  # a repeated row is one document
+                        first[m, text, owner] = True
+                        out.append((m, doc, th, lo, hi, len(text), text))
+                elif unit.by_start or owner[0] < doc:
+                    out.append((m, doc, th, lo, hi, 0, None))
+                else:
+                    out.append((m, doc, th, lo, hi, len(text), text))
+            names = ["m", "doc", "th", "lo", "hi", "size", "text"]
+            columns = [*zip(*out)] if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names)
+
+    return joined.mapInArrow(frugal(cut), _REGION)
+
+
+#: A shard's method: (symbols, offsets of its texts, Owners, window) -> for each place whether the window that starts there occurred earlier.
+Method = Callable[..., np.ndarray]
+
+
+@dataclass
+class Owners:
+    """The first owner of each text of a shard, in their order: numbers of ids and of documents, and where the text starts there."""
+
+    ids: np.ndarray
+    documents: np.ndarray
+    at: np.ndarray
+
+
+def symbols_of(texts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Texts end to end as bytes or as numbers of their words (equal words, equal numbers), and the offsets of each text."""
+    import pyarrow as pa
+
+    if not words:
+        return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+    data = b"".join(t + b" " for t in texts)
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    items = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+    stops = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    return items.dictionary_encode().indices.to_numpy().astype(np.int32), np.concatenate(([0], np.searchsorted(offsets, stops)))
+
+
+def solve(shard: dict[bytes, list[tuple[int, int, int, bool]]], unit: Unit, method: Method) -> list[tuple]:
+    """(doc, th, lo, hi, text) of a shard of texts and their owners (doc, th, lo, whether other shards hold the group too): covered spans, whose
+    text is null, and of shared groups the stretches of windows without an earlier occurrence here."""
+    entries = []
+    for text, owners in shard.items():
+        shared = any(o[3] for o in owners)
+        owners = sorted({o[:3] for o in owners})
+        entries.append((owners, text, shared))
+    entries.sort(key=lambda e: e[0][0])
+    first = [e[0][0] for e in entries]
+    symbols, offsets = symbols_of([e[1] for e in entries], unit.words)
+    doc, th, lo = (np.array([o[k] for o in first], np.int64) for k in range(3))
+    ids = np.cumsum(np.diff(doc, prepend=doc[:1]) != 0)
+    covered = method(symbols, offsets, Owners(ids, _document(doc, th), lo), unit.window)
+    size = np.diff(offsets)
+    region = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(symbols)) - offsets[region]
+    out = []
+
+    def stretches(on: np.ndarray):
+        """(region, first place, last place) of the runs of places."""
+        p = np.flatnonzero(on)
+        fresh = np.ones(len(p), bool)
+        fresh[1:] = (p[1:] != p[:-1] + 1) | (region[p[1:]] != region[p[:-1]])
+        head = np.flatnonzero(fresh)
+        tail = np.append(head[1:], len(p)) - 1 if len(p) else head
+        return zip(region[p[head]].tolist(), place[p[head]].tolist(), place[p[tail]].tolist())
+
+    # owners of the same id as the first fare like it; all others have every window earlier
+    alike = [[e[0][0]] if unit.by_start else [o for o in e[0] if o[0] == e[0][0][0]] for e in entries]
+    for r, a, b in stretches(covered):
+        out += [(d, t, s + a, s + b + unit.window, None) for d, t, s in alike[r]]
+    for (owners, _, _), same, n in zip(entries, alike, size.tolist()):
+        out += [(d, t, s, s + n, None) for d, t, s in owners[len(same) :]]
+    share = np.array([e[2] for e in entries], bool)
+    if share.any():
+        whole = place <= np.maximum(size - unit.window, -1)[region]
+        for r, a, b in stretches(whole & ~covered & share[region]):
+            text = entries[r][1]
+            text = b" ".join(text.split(b" ")[a : b + unit.window]) if unit.words else text[a : b + unit.window]
+            out += [(d, t, s + a, -1, text) for d, t, s in alike[r]]
+    return out
+
+
+def _shards(regions: DataFrame, unit: Unit, method: Method, shard_bytes: int) -> DataFrame:
+    """(doc, th, lo, hi, text, shard): what solve() finds in each shard."""
+    from pyspark import TaskContext
+
+    total = regions.agg(F.sum("size")).first()[0] or 0
+    parts = min(20_000, max(12, -(-total // (16 * shard_bytes))))
+    fields = ["doc", "th", "lo", "hi", "text", "shard"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        task, number = TaskContext.get().partitionId() << 32, 0
+        block, held = {}, 0  # whole groups
+        group, size, now, shared = {}, 0, None, True  # a partition's first group may have begun before it
+
+        def flush(shard):
+            nonlocal number
+            number += 1
+            out = solve(shard, unit, method)
+            columns = [*zip(*out)] if out else [()] * 5
+            rows = [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())]
+            return pa.RecordBatch.from_arrays([*rows, pa.array([task + number] * len(out), pa.int64())], fields)
+
+        def close():
+            nonlocal held, group, size
+            for text, owners in group.items():
+                block.setdefault(text, []).extend((*o, shared) for o in owners)
+            held += size
+            group, size = {}, 0
+
+        for batch in batches:
+            m, doc, th, lo = (batch.column(i).to_pylist() for i in range(4))
+            for i, text in enumerate(batch.column(4).to_pylist()):
+                if m[i] != now:
+                    if now is not None:
+                        if held and held + size > shard_bytes:
+                            yield flush(block)
+                            block, held = {}, 0
+                        close()
+                        shared = False
+                    now = m[i]
+                elif size > shard_bytes:  # the group goes on in another shard
+                    if held:
+                        yield flush(block)
+                        block, held = {}, 0
+                    shared = True
+                    close()
+                    yield flush(block)
+                    block, held = {}, 0
+                size += 64 + (0 if text in group else len(text))
+                group.setdefault(text, []).append((doc[i], th[i], lo[i]))
+        shared = True  # and its last one may go on in the next
+        close()
+        if block:
+            yield flush(block)
+
+    spread = regions.where(F.col("text").isNotNull()).select("m", "doc", "th", "lo", "text", F.xxhash64("doc", "th", "lo").alias("salt"))
+    ordered = spread.repartitionByRange(parts, "m", "salt").sortWithinPartitions("m", "salt").drop("salt")
+    return ordered.mapInArrow(frugal(run), "doc long, th long, lo long, hi long, text binary, shard long")
+
+
+def merged(arrays: list[list[bytes]]) -> list[bytes]:
+    """One sorted array of the distinct windows of several: two at a time, the places of one's windows found in the other by binary search."""
+    arrays = [np.array([*a, None], object)[:-1] for a in arrays]  # the extra item keeps numpy from making byte strings of it
+    while len(arrays) > 1:
+        pairs = []
+        for a, b in zip(arrays[::2], [*arrays[1::2], None]):
+            if b is not None:
+                at = np.searchsorted(a, b)
+                known = np.zeros(len(b), bool)
+                inside = np.flatnonzero(at < len(a))
+                known[inside] = a[at[inside]] == b[inside]
+                a = np.insert(a, at[~known], b[~known])
+            pairs.append(a)
+        arrays = pairs
+    return arrays[0]
+
+
+def _across(reports: DataFrame, unit: Unit, shards: int, size: int) -> DataFrame:
+    """(doc, th, lo, hi): windows of reports (doc, th, lo, text, shard) that an earlier document or place of another shard has."""
+    n = size // (5 if unit.words else 1)  # windows at most, about
+
+    def split(text: bytes):
+        items = text.split(b" ") if unit.words else text
+        return items, len(items) - unit.window + 1
 
     def window_keys(batches):
         for batch in batches:
-            if batch.num_rows:
-                data, ends = arrow_bytes_binary(batch.column(0))
+            for part in _slices(batch, 0):
+                symbols = [t.as_buffer().to_pybytes() for t in part.column(0)]
+                data, ends = np.frombuffer(b"".join(t + b" " for t in symbols), np.uint8), np.concatenate(([0], np.cumsum([len(t) + 1 for t in symbols])))
                 elements, offsets = word_elements(data, ends)[:2] if unit.words else (BYTE[data], ends)
-                n = np.repeat(np.diff(offsets), np.diff(offsets)) - (np.arange(len(elements)) - np.repeat(offsets[:-1], np.diff(offsets)))
-                own = mix(runs(elements, unit.window))[np.flatnonzero(n >= unit.window)]
-                if len(own):
-                    yield _packed([own], 256)
+                left = np.repeat(offsets[1:] - (0 if unit.words else 1), np.diff(offsets)) - np.arange(len(elements))
+                own = mix(runs(elements, unit.window))[np.flatnonzero(left >= unit.window)]
+                yield own, part, np.maximum(np.diff(offsets) - unit.window + (1 if unit.words else 0), 0)
 
-    twice = seen_more(dealt.where("shared").select("text").mapInArrow(frugal(window_keys), "part int, keys binary"), 256, 1 << 24)
+    parts = _parts(reports)
 
-    def solve(key, batch):
+    def keys(batches):
+        for own, _, _ in window_keys(batches):
+            if len(own):
+                yield _packed([own], parts)
+
+    twice = seen_more(reports.select("text").mapInArrow(frugal(keys), "part int, keys binary"), parts, slots_for(n))
+    names = ["w", "shard", "doc", "th", "lo", "text"]
+
+    def windows(batches):
         import pyarrow as pa
 
-        doc, th, lo = (batch[k].to_numpy() for k in ("doc", "th", "lo"))
-        shared = batch["shared"].to_numpy(zero_copy_only=False)
-        order = np.lexsort((lo, th, doc))  # regions by document and start: what stands first in the block is first in the corpus
-        texts = batch["text"].combine_chunks().take(pa.array(order))
-        doc, th, lo, shared = doc[order], th[order], lo[order], shared[order]
-        data, ends = arrow_bytes_binary(texts)
-        if unit.words:
-            elements, offsets, _, _ = word_elements(data, ends)
-        else:
-            elements, offsets = BYTE[data], ends
-        cls, covered = method(elements, data, offsets, doc, unit)
-        region = np.searchsorted(offsets, np.arange(len(cls)), "right") - 1
-        at = np.arange(len(cls)) - offsets[region] + lo[region]
-        known = np.flatnonzero(covered)  # a window may stand in two overlapping regions of one document: it does not cover itself
-        head = cls[known]
-        document = _document(doc, th)
-        covered[known] = (document[region[head]] != document[region[known]]) | (at[head] != at[known])
-        s, e = at[covered], at[covered] + unit.window
-        row, s, e, _ = _merge(document[region[covered]], s, e)
-        n = len(row)
-        out = {"doc": doc[_firsts(doc, th)][row], "th": th[_firsts(doc, th)][row], "lo": s, "hi": e, "w1": np.zeros(n, np.int64), "w2": np.zeros(n, np.int64)}
-        if shared.any():
-            open_ = np.flatnonzero((cls >= 0) & ~covered & shared[region])
-            w = runs(elements, unit.window)
-            open_ = open_[twice.held(mix(w[open_]))]
-            w1, w2 = mix(w[open_]), mix(runs(elements ^ STEP[5], unit.window)[open_] + np.uint64(1))
-            own = region[open_]
-            more = {"doc": doc[own], "th": th[own], "lo": at[open_], "hi": np.full(len(open_), -1), "w1": w1.view(np.int64), "w2": w2.view(np.int64)}
-            out = {k: np.concatenate((out[k], more[k])) for k in out}
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
-
-    found = stage_table(dealt.groupBy("block").applyInArrow(frugal_group(solve), "doc long, th long, lo long, hi long, w1 long, w2 long"))
-    reports = found.where("hi < 0")
-
-    def merge(key, batch):
+        for own, part, counts in window_keys(batches):
+            held = twice.held(own)
+            begin = np.concatenate(([0], np.cumsum(counts)))
+            for r in np.flatnonzero(np.add.reduceat(np.append(held, False), begin[:-1]) * (counts > 0) > 0).tolist() if len(counts) else ():
+                items, _ = split(part.column(0)[r].as_py())
+                at = np.flatnonzero(held[begin[r] : begin[r + 1]])
+                texts = [b" ".join(items[i : i + unit.window]) if unit.words else items[i : i + unit.window] for i in at.tolist()]
+                same = [pa.array(np.full(len(at), part.column(k)[r].as_py())) for k in (1, 2, 3)]
+                rows = [pa.array(own[begin[r] + at].view(np.int64)), *same, pa.array(at + part.column(4)[r].as_py()), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(rows, names)
+
+    live = reports.select("text", "shard", "doc", "th", "lo").mapInArrow(frugal(windows), "w long, shard long, doc long, th long, lo long, text binary")
+    buckets = max(12, -(-n // BUCKET_ROWS))
+
+    def merge(key, rows):
         import pyarrow as pa
 
-        v = {k: batch[k].to_numpy() for k in ("w1", "w2", "doc", "th", "lo")}
-        order = np.lexsort((v["lo"], v["th"], v["doc"], v["w2"], v["w1"]))
-        v = {k: x[order] for k, x in v.items()}
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (v["w1"][1:] != v["w1"][:-1]) | (v["w2"][1:] != v["w2"][:-1])
-        heads = np.flatnonzero(fresh)
-        head = heads[np.searchsorted(heads, np.arange(len(order)), "right") - 1]  # the first of all blocks for this window
-        late = v["doc"] > v["doc"][head]
+        v = {k: rows[k].to_numpy() for k in ("w", "shard", "doc", "th", "lo")}
+        text = rows["text"].to_pylist()
+        by: dict[int, dict[bytes, list[int]]] = {}
+        for i, (s, t) in enumerate(zip(v["shard"].tolist(), text)):
+            by.setdefault(s, {}).setdefault(t, []).append(i)
+        arrays = [sorted(x) for x in by.values()]
+        union = merged(arrays)
+        number = np.empty(len(text), np.int64)
+        for own, array in zip(by.values(), arrays):
+            for t, g in zip(array, np.searchsorted(union, np.array([*array, None], object)[:-1]).tolist()):
+                number[own[t]] = g
+        order = np.lexsort((v["lo"], v["th"], v["doc"], number))
+        number, v, text = number[order], {k: x[order] for k, x in v.items()}, [text[i] for i in order.tolist()]
+        heads = np.searchsorted(number, number)  # the first of all shards
+        late = v["doc"] != v["doc"][heads]
         if unit.by_start:
-            late |= (v["th"] != v["th"][head]) | (v["lo"] != v["lo"][head])
-        return pa.table({k: pa.array(x[late], pa.int64()) for k, x in (("doc", v["doc"]), ("th", v["th"]), ("lo", v["lo"]), ("hi", v["lo"] + unit.window))})
+            late |= (v["th"] != v["th"][heads]) | (v["lo"] != v["lo"][heads])
+        left = [None if x else t for x, t in zip(late.tolist(), text)]
+        values = {k: v[k] for k in ("w", "shard", "doc", "th", "lo")} | {"hi": np.where(late, v["lo"] + unit.window, -1)}
+        return pa.table({k: pa.array(x, pa.int64()) for k, x in values.items()} | {"text": pa.array(left, pa.binary())})
+
+    kind = "w long, shard long, doc long, th long, lo long, hi long, text binary"
+    covered = []
+    while True:  # of a window that more than FAN shards hold, each round leaves one of FAN
+        sets = -(-shards // FAN)
+        dealt = live.withColumn("b", F.pmod("w", F.lit(buckets))).withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(sets)) if sets > 1 else F.col("shard"))
+        dealt = dealt.withColumn("set", F.col("shard") if sets > 1 else F.lit(0).cast("long"))
+        done = stage_table(dealt.groupBy("b", "set").applyInArrow(frugal_group(merge), kind))
+        covered.append(done.where("hi >= 0").select("doc", "th", "lo", "hi"))
+        if sets == 1:
+            break
+        live, shards = done.where("hi < 0").select("w", "shard", "doc", "th", "lo", "text"), sets
+    out = covered[0]
+    for more in covered[1:]:
+        out = out.unionByName(more)
+    return out
 
-    across = reports.withColumn("b", F.pmod("w1", F.lit(blocks))).groupBy("b").applyInArrow(frugal_group(merge), "doc long, th long, lo long, hi long")
-    return found.where("hi >= 0").select("doc", "th", "lo", "hi").unionByName(across)
+
+def _compare(regions: DataFrame, unit: Unit, method: Method) -> DataFrame:
+    """(doc, th, lo, hi): the covered spans of all shards, and those that only several shards of one group show."""
+    found = stage_table(_shards(regions, unit, method, SHARD_BYTES))
+    spans = [x.where(F.col("text").isNull()).select("doc", "th", "lo", "hi") for x in (regions, found)]
+    out = spans[0].unionByName(spans[1])
+    reports = found.where(F.col("text").isNotNull())
+    n, shards, size = reports.agg(F.count(F.lit(1)), F.countDistinct("shard"), F.sum(F.octet_length("text"))).first()
+    return out.unionByName(_across(reports, unit, shards, size)) if n else out
 
 
 def _document(doc: np.ndarray, th: np.ndarray) -> np.ndarray:
@@ -426,23 +598,12 @@ def _firsts(doc: np.ndarray, th: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate(([-1], _document(doc, th)))))
 
 
-def arrow_bytes_binary(array) -> tuple[np.ndarray, np.ndarray]:
-    import pyarrow as pa
-
-    array = array.chunk(0) if isinstance(array, pa.ChunkedArray) and array.num_chunks else array
-    array = array.cast(pa.large_binary())
-    ends = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
-    data = np.frombuffer(array.buffers()[2], np.uint8) if array.buffers()[2] is not None else np.empty(0, np.uint8)
-    return data[ends[0] : ends[-1]], ends - ends[0]
-
-
 def repeated_spans(rows: DataFrame, unit: Unit, method: Method) -> DataFrame:
     """(doc, th, spans): for each document of keyed() rows with any, its covered spans in elements, merged."""
     repeated = _anchor_keys(rows, unit)
     buckets = max(12, -(-repeated.rows // BUCKET_ROWS))
     spans = stage_table(_by_document(_occurrences(rows, unit, repeated), unit, buckets))
-    compared = _compare(stage_table(_regions(rows, spans, unit)), unit, method)
-    every = spans.where(F.size("cov") > 0).select("doc", "th", F.explode("cov").alias("s")).select("doc", "th", "s.lo", "s.hi").unionByName(compared)
+    every = _compare(stage_table(_regions(rows, spans, unit)), unit, method)
     return stage_table(every.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
 
 

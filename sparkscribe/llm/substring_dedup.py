@@ -9,57 +9,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .common import table
-from .repeats import Unit, apply_spans, keyed, repeated_spans
-from .rolling import mix, runs
+from .repeats import Owners, Unit, apply_spans, keyed, repeated_spans
+from .suffixes import common_prefixes, longest_before, suffix_array
 
 
-def parse(elements: np.ndarray, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of a block: the class of the window that starts there (-1: none), and whether a smaller document has it.
+def factors(longest: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the factors of all texts of a shard, parsed greedily side by side, from the longest match at each place.
 
-    The block is its own reference: an index of its windows, each with the first document (regions stand in that order). All
-    regions are parsed side by side. A factor starts where a window is found in a smaller document and goes on, word by word, as
-    long as the two agree. What starts inside the factor may still end in another one, so the parse takes up again at the first window that
-    crosses the factor's end.
+    A factor is the longest match of the reference at its place; the next one starts at its end, a word that does not match is passed
+    over. At each boundary the places inside the factor are checked: where a match of a window or more starts
+    there and reaches over the boundary, the parse goes on from the first such place.
     """
-    n, w = len(elements), unit.window
-    cls, covered = np.full(n, -1), np.zeros(n, bool)
+    n = len(longest)
+    long = np.where(longest >= window, np.arange(n), n)
+    following = np.append(np.minimum.accumulate(long[::-1])[::-1], n)  # the next place with a match of a window or more
     size = np.diff(offsets)
-    region = np.repeat(np.arange(len(size)), size)
-    end = offsets[1:][region] if n else np.empty(0, np.int64)
-    starts = np.flatnonzero(np.arange(n) + w <= end)
-    if not len(starts):
-        return cls, covered
-    hashes = mix(runs(elements, w))[starts]
-    order = np.argsort(hashes, kind="stable")
-    sorted_hashes = hashes[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = sorted_hashes[1:] != sorted_hashes[:-1]
-    index, first = sorted_hashes[fresh], starts[order[fresh]]  # the reference index: a window and its first place
-    cls[starts[order]] = first[np.cumsum(fresh) - 1]
-
-    hash_at = np.zeros(n, np.uint64)
-    hash_at[starts] = hashes
-    place = offsets[:-1][size >= w].copy()  # where each parse stands
-    stop = offsets[1:][size >= w]
+    place, stop = offsets[:-1][size >= window], offsets[1:][size >= window]
+    starts, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     while len(place):
-        source = first[np.searchsorted(index, hash_at[place])]
-        match = doc[region[source]] < doc[region[place]]
-        length = np.zeros(len(place), np.int64)
-        going, reach = np.flatnonzero(match), 0
-        while len(going):  # the factor grows while both texts agree
-            length[going] = reach = reach + 1
-            i, j = place[going] + reach, source[going] + reach
-            inside = (i < stop[going]) & (j < end[source[going]])
-            going, i, j = going[inside], i[inside], j[inside]
-            going = going[elements[i] == elements[j]]
-        long = length >= w  # a window with equal hash but other words is no factor
-        for k in range(int((length[long] - w).max(initial=-1)) + 1):
-            own = long & (length - w >= k)
-            covered[place[own] + k] = True
-        place = np.where(long, place + length - w + 1, place + 1)
-        on = place + w <= stop
+        length = longest[place]
+        starts.append(place)
+        lengths.append(length)
+        end = place + np.maximum(1, length)
+        inside = following[np.maximum(place + 1, end - window + 1)]  # an earlier window ends inside the factor
+        place = np.minimum(end, inside)
+        on = place + window <= stop
         place, stop = place[on], stop[on]
-    return cls, covered
+    return np.concatenate(starts), np.concatenate(lengths)
+
+
+def parse(symbols: np.ndarray, offsets: np.ndarray, owners: Owners, window: int) -> np.ndarray:
+    """Relative Lempel-Ziv: for each place whether a window starts there that a text of a smaller id in the shard has.
+
+    The shard is indexed once, by a suffix array of its words with common prefixes. The reference of a text is all text of smaller ids;
+    each text is cut into factors against it, and the windows inside a factor are those found.
+    """
+    place_owner = np.repeat(owners.ids, np.diff(offsets))
+    sa = suffix_array(symbols, offsets)
+    longest, _ = longest_before(sa, common_prefixes(symbols, offsets, sa), place_owner)
+    start, length = factors(longest, offsets, window)
+    some = length >= window
+    depth = np.zeros(len(symbols) + 1, np.int64)
+    np.add.at(depth, start[some], 1)
+    np.add.at(depth, (start + length)[some] - window + 1, -1)
+    return np.cumsum(depth[:-1]) > 0
 
 
 def remove_substrings(docs: DataFrame, *, window: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:

@@ -10,104 +10,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .repeats import Unit, apply_spans, keyed, repeated_spans
-from .rolling import runs
+from .repeats import Owners, Unit, apply_spans, keyed, repeated_spans
+from .suffixes import common_prefixes, first_places, left_of, suffix_array
 
 
-def _ranks(first: np.ndarray, second: np.ndarray | None, places: np.ndarray, n: int) -> np.ndarray:
-    """Ranks (from 0, equal for equal keys) of places 0 to n - 1 by one or two keys; -1 for other places.
-
-    Two ranks and a place fit into one 64-bit number in a block of up to 2^20 places, which sorts several times faster.
-    """
-    out = np.full(n, -1)
-    if not len(places):
-        return out
-    if second is not None and n <= 1 << 20:
-        packed = np.sort((first.astype(np.uint64) << np.uint64(40)) | (second.astype(np.uint64) << np.uint64(20)) | places.astype(np.uint64))
-        key, order = packed >> np.uint64(20), (packed & np.uint64((1 << 20) - 1)).astype(np.int64)
-        differs = key[1:] != key[:-1]
-    elif second is None and n <= 1 << 20:
-        low = np.uint64((1 << 20) - 1)
-        packed = np.sort((first & ~low) | np.arange(len(places), dtype=np.uint64))
-        at = (packed & low).astype(np.int64)
-        order, differs = places[at], (packed[1:] | low) != (packed[:-1] | low)
-        if ((first[at[1:]] != first[at[:-1]]) & ~differs).any():  # hashes that differ in their last 20 bits only
-            at = np.argsort(first)
-            order, differs = places[at], first[at[1:]] != first[at[:-1]]
-    else:
-        at = np.lexsort((first,) if second is None else (second, first))
-        order, differs = places[at], first[at[1:]] != first[at[:-1]]
-        if second is not None:
-            differs |= second[at[1:]] != second[at[:-1]]
-    out[order] = np.concatenate(([0], np.cumsum(differs)))
-    return out
-
-
-def _refine(rank: np.ndarray, places: np.ndarray, step: int) -> np.ndarray:
-    """Larsson-Sadakane step: order the suffixes at `places` by their rank and the rank `step` further on.
-
-    A suffix alone in its group is settled: it keeps a rank of its own and is not sorted again.
-    """
-    out = np.full(len(rank), -1)
-    if not len(places):
-        return out
-    own = rank[places]
-    counts = np.bincount(own)
-    single = counts[own] == 1
-    rest = places[~single]
-    out[places[single]] = own[single]
-    if len(rest):
-        inner = _ranks(rank[rest], rank[rest + step], rest, len(rank))[rest]
-        out[rest] = inner + len(counts)  # beyond the settled ones
-        used, back = np.unique(out[places], return_inverse=True)
-        out[places] = back
-    return out
-
-
-def _common_prefixes(data: np.ndarray, places: np.ndarray, before: np.ndarray, window: int) -> np.ndarray:
-    """Whether text at `places` and at `before` agrees over `window` bytes, for ascending places.
-
-    Kasai: where both follow on the pair one byte earlier, all but the last byte are known to agree; so only the first pair of such a
-    run is compared in full, and the others by their last byte.
-    """
-    follows = np.zeros(len(places), bool)
-    follows[1:] = (places[1:] == places[:-1] + 1) & (before[1:] == before[:-1] + 1)
-    last = data[places + window - 1] == data[before + window - 1]
-    lead = np.flatnonzero(~follows)
-    agree = last.copy()
-    for i in range(window - 1):
-        agree[lead] &= data[places[lead] + i] == data[before[lead] + i]
-    failed = np.cumsum(~agree)  # a pair holds if all pairs of its run up to it hold within the window
-    run = np.maximum.accumulate(np.where(~follows, np.arange(len(places)), 0))
-    return failed - np.where(run > 0, failed[run - 1], 0) == 0
-
-
-def suffix_classes(elements: np.ndarray, data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of a block: the class of the window that starts there (-1: none), and whether it occurred earlier.
-
-    The suffixes are ordered by the hashes of their grams of a quarter window, then refined by doubling up to a whole window; only
-    places that a window can need are kept at each depth. Each place is compared with its class's first, byte by byte.
-    """
-    n, w = len(elements), unit.window
-    q = -(-w // 4)
-    cls, covered = np.full(n, -1), np.zeros(n, bool)
-    length = np.repeat(np.diff(offsets), np.diff(offsets))
-    left = length - (np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets)))  # elements to the region's end
-    starts = np.flatnonzero(left >= w)
-    if not len(starts):
-        return cls, covered
-    g = runs(elements, q)
-    some = np.flatnonzero(left[: len(g)] >= q)
-    rank = _ranks(g[some], None, some, n)
-    rank = _refine(rank, np.flatnonzero(left >= 2 * q), q)
-    rank = _refine(rank, starts, w - 2 * q)
-    own = rank[starts]
-    head = np.full(own.max() + 1, n)
-    np.minimum.at(head, own, starts)  # the first place of each class in the corpus
-    cls[starts] = head[own]
-    places = starts[cls[starts] != starts]
-    covered[places[_common_prefixes(data, places, cls[places], w)]] = True
-    return cls, covered
+def covered_places(symbols: np.ndarray, offsets: np.ndarray, owners: Owners, window: int) -> np.ndarray:
+    """For each place of a shard whether the window that starts there occurred earlier: the runs of the suffix array whose neighbours
+    share a window or more, all but the first place of each. A place of two overlapping texts of a document is one place."""
+    sa = suffix_array(symbols, offsets)
+    first = first_places(sa, common_prefixes(symbols, offsets, sa), left_of(offsets), window)
+    p = np.flatnonzero((first >= 0) & (first != np.arange(len(first))))
+    head = first[p]
+    region = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = lambda x: x - offsets[region[x]] + owners.at[region[x]]
+    other = (owners.documents[region[p]] != owners.documents[region[head]]) | (at(p) != at(head))
+    covered = np.zeros(len(symbols), bool)
+    covered[p[other]] = True
+    return covered
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
@@ -124,7 +43,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 100, id_col: str = "doc_id"
 
 def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, keep: tuple[str, ...], texts: bool) -> DataFrame:
     rows = keyed(docs, id_col, text_col, keep)
-    spans = repeated_spans(rows, Unit(window, min(24, window), False, True), suffix_classes)
+    spans = repeated_spans(rows, Unit(window, min(24, window), False, True), covered_places)
 
     def finish(data, lo, hi):
         raw = data or b""
