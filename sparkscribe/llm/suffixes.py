@@ -9,6 +9,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: So few comparisons are finished one by one.
+FEW = 256
+
+
 def left_of(offsets: np.ndarray) -> np.ndarray:
     """For each place how many symbols its text still has, itself included."""
     return np.repeat(offsets[1:], np.diff(offsets)) - np.arange(offsets[-1])
@@ -24,35 +28,41 @@ def suffix_array(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(symbols)
     if not n:
         return np.empty(0, np.int64)
-    left = left_of(offsets)
+    size = np.diff(offsets)
     used = np.bincount(symbols) > 0
-    code = np.cumsum(used)[symbols].astype(np.uint64)  # from 1; 0 stands for the end of a text
-    bits, wide = int(used.sum()).bit_length(), max(1, (n - 1).bit_length())
-    depth = max(1, min(int(left.max()), (64 - wide) // bits))
-    key = code
+    # each text is followed by an end, code 0, so places inside are those of the symbols plus the number of texts before
+    whole = np.arange(n) + np.repeat(np.arange(len(size)), size)
+    total = n + len(size)
+    code = np.zeros(total, np.uint64)
+    code[whole] = np.cumsum(used)[symbols]
+    bits, wide = int(used.sum()).bit_length(), max(1, total.bit_length())
+    depth = max(1, min(int(size.max()), (64 - wide) // bits))
+    key, ended = code, code == 0  # whether the end of the text is among the symbols taken
     for d in range(1, depth):
         key = key << np.uint64(bits)
-        key[: n - d] |= np.where(left[: n - d] > d, code[d:], 0).astype(np.uint64)
+        key[: total - d] |= np.where(ended[: total - d], 0, code[d:]).astype(np.uint64)
+        ended = ended.copy()
+        ended[: total - d] |= code[d:] == 0
     place_bits, mask = np.uint64(wide), np.uint64((1 << wide) - 1)
-    key = np.sort((key << place_bits) | np.arange(n, dtype=np.uint64))
+    key = np.sort((key[whole] << place_bits) | whole.astype(np.uint64))
     sa = (key & mask).astype(np.int64)
     key >>= place_bits
-    ended = left[sa] < depth  # the end of the text is among the symbols taken, and no two ends are alike
-    fresh = np.ones(n, bool)
-    fresh[1:] = (key[1:] != key[:-1]) | ended[1:]
+    fresh = ended[sa]  # no two ends are alike
+    fresh[1:] |= key[1:] != key[:-1]
+    fresh[0] = True
     slots = np.arange(n)
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(fresh, slots, 0))
+    rank = np.zeros(total, np.int64)  # from 1; an end has 0
+    rank[sa] = np.maximum.accumulate(np.where(fresh, slots, 0)) + 1
     open_, slots, group = _unsettled(sa, slots, fresh)
     while len(open_):
-        after = np.where(left[open_] > depth, rank[np.minimum(open_ + depth, n - 1)] + 1, 0)
-        if int(group[-1]).bit_length() + 2 * wide + 1 <= 64:
-            key = ((group.astype(np.uint64) << np.uint64(wide + 1)) | after.astype(np.uint64)) << place_bits
-            key = np.sort(key | open_.astype(np.uint64))
+        after = rank[open_ + depth]
+        if int(group[-1]).bit_length() + 2 * wide <= 64:
+            key = ((group << wide) | after).astype(np.uint64) << place_bits
+            key |= open_.astype(np.uint64)
+            key.sort()
             open_ = (key & mask).astype(np.int64)
             key >>= place_bits
-            ended = key & np.uint64((1 << (wide + 1)) - 1) == 0
-            fresh = ended.copy()
+            fresh = key & mask == 0
             fresh[1:] |= key[1:] != key[:-1]
         else:
             order = np.lexsort((open_, after, group))
@@ -61,10 +71,11 @@ def suffix_array(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             fresh[1:] |= (after[1:] != after[:-1]) | (group[1:] != group[:-1])
         fresh[0] = True
         sa[slots] = open_
-        rank[open_] = np.maximum.accumulate(np.where(fresh, slots, 0))
+        rank[open_] = np.maximum.accumulate(np.where(fresh, slots, 0)) + 1
         open_, slots, group = _unsettled(open_, slots, fresh)
         depth *= 2
-    return sa
+    rank[whole] = np.arange(n)
+    return rank[sa]
 
 
 def _unsettled(places: np.ndarray, slots: np.ndarray, fresh: np.ndarray):
@@ -105,7 +116,7 @@ def common_prefixes(symbols: np.ndarray, offsets: np.ndarray, sa: np.ndarray) ->
     eights, step, at = _eights(symbols), 8 // symbols.itemsize, 0
     i, j, who, stop = lead, before[lead], np.arange(len(lead)), most
     length = most.copy()
-    while len(who):
+    while len(who) > FEW:
         x = eights[i] ^ eights[j]
         differ = np.flatnonzero(x)
         low = x[differ] & (~x[differ] + np.uint64(1))  # the lowest bit that differs
@@ -113,6 +124,15 @@ def common_prefixes(symbols: np.ndarray, offsets: np.ndarray, sa: np.ndarray) ->
         at += step
         on = np.flatnonzero((x == 0) & (stop > at))
         i, j, who, stop = i[on] + step, j[on] + step, who[on], stop[on]
+    for a, b, w, end in zip(i.tolist(), j.tolist(), who.tolist(), stop.tolist()):  # a few long ones, each by itself
+        size, done = 256, at
+        while done < end:
+            differ = symbols[a : a + min(size, end - done)] != symbols[b : b + min(size, end - done)]
+            first = int(differ.argmax())
+            if differ[first]:
+                length[w] = done + first
+                break
+            a, b, done, size = a + len(differ), b + len(differ), done + len(differ), size * 2
     shared[lead] = np.minimum(length, most)
     lead = np.maximum.accumulate(np.where(follows, 0, np.arange(n)))
     return np.where(before < 0, 0, shared[lead] - (np.arange(n) - lead))[sa]
