@@ -17,7 +17,9 @@ from .common import frugal, table
 #: Buckets for the tokens of a tag path and for words; plain features; units of each direction.
 PATHS, WORDS, PLAIN, UNITS = 128, 24, 8, 16
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: The same where quotes no longer pair.
+_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _NEXT = re.compile(r"<[a-zA-Z/!?]|\Z")
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]+")
@@ -34,13 +36,13 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 
 @lru_cache(maxsize=32)
 def _tags(name: str) -> re.Pattern:
-    return re.compile(rf"<(/?){name}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
+    return re.compile(rf"<(/?){name}(?=[\s/>])([^>]*+)>", re.I)
 
 
 def _ends(page: str, name: str, at: int) -> dict[int, int]:
     """Ends of the start tags of this name from `at` on, and of the end tags that close them; a start tag without one is missing."""
     ends, opened = {}, []
-    for m in _tags(name).finditer(page, at):
+    for m in _tags(name).finditer(page, at, page.rfind(">") + 1):
         if not m[1]:
             if not (name == "svg" and m[2].endswith("/")):
                 opened.append(m.end())
@@ -50,40 +52,56 @@ def _ends(page: str, name: str, at: int) -> dict[int, int]:
 
 
 class _Path:
-    """An open element: the sum of the hashed tokens of its tag path, its last token, elements below by their tokens."""
+    """An open element: the tokens of its tag, the element around it, elements below by their tokens, and, where a block asked for it,
+    the sum of the hashed tokens of its tag path."""
 
-    __slots__ = ("total", "last", "below")
+    __slots__ = ("above", "tokens", "below", "total")
 
-    def __init__(self, total: np.ndarray, last: str | None):
-        self.total, self.last, self.below = total, last, {}
+    def __init__(self, above: _Path | None, tokens: tuple[str, ...]):
+        self.above, self.tokens, self.below, self.total = above, tokens, None, None
 
     def inner(self, tokens: tuple[str, ...]) -> _Path:
+        if self.below is None:
+            self.below = {}
         found = self.below.get(tokens)
         if found is None:
-            total = self.total.copy()
-            for t in tokens:
-                i, sign = _bucket(t, PATHS)
-                total[i] += sign
-            found = self.below[tokens] = _Path(total, tokens[-1])
+            found = self.below[tokens] = _Path(self, tokens)
         return found
 
     def vector(self) -> np.ndarray:
-        v = self.total.copy()
-        if self.last is not None:
-            i, sign = _bucket(self.last, PATHS)
+        chain, at = [], self
+        while at is not None and at.total is None:
+            chain.append(at)
+            at = at.above
+        total = np.zeros(PATHS, np.float32) if at is None else at.total.copy()
+        for one in reversed(chain):
+            for t in one.tokens:
+                i, sign = _bucket(t, PATHS)
+                total[i] += sign
+        self.total = total
+        v = total.copy()
+        if self.tokens:
+            i, sign = _bucket(self.tokens[-1], PATHS)
             v[i] += 0.5 * sign
         return np.clip(v, -2, 2)
 
 
 def blocks(page: str) -> list[tuple[_Path, str, float]]:
-    """Leaf blocks in page order: tag path, text, share of its characters inside links."""
+    """Leaf blocks in page order: tag path, text, share of its characters inside links. Time is linear in the page.
+
+    A tag ends at the first > outside quotes. Where the page's end comes before one, quotes do not pair: from there on any > ends a
+    tag. A < without an end is text. A self-closed svg or math has no content; of an element that is not read and has no end tag only the
+    tag goes.
+    """
     out: list[tuple[_Path, str, float]] = []
-    root = _Path(np.zeros(PATHS, np.float32), None)
+    root = _Path(None, ())
     stack: list[tuple[str, _Path]] = []
+    opened: Counter = Counter()
     ends: dict[str, dict[int, int]] = {}
     unclosed: set[str] = set()
     words: list[str] = []
     linked = links = 0
+    last, tag = page.rfind(">"), _TAG.match
 
     def end():
         nonlocal linked
@@ -93,34 +111,48 @@ def blocks(page: str) -> list[tuple[_Path, str, float]]:
         words.clear()
         linked = 0
 
-    at, find = 0, _TOKEN.search
+    def close():
+        opened[stack.pop()[0]] -= 1
+
+    at = 0
     while at < len(page):
-        m = find(page, at)
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if name is None:
-            text = m[0]
-            if text[0] != "<" or len(text) == 1:
-                words.append(text)
-                if links:
-                    linked += len(text)
+        m = None
+        if page[at] != "<":
+            stop = page.find("<", at)
+            stop = stop if stop >= 0 else len(page)
+        elif page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else len(page)
+            continue
+        elif at < last and page[at + 1] in "!?":
+            at = page.find(">", at) + 1
             continue
-        name = name.lower()
+        else:
+            stop = at + 1
+            if at < last:
+                m = tag(page, at)
+                if m is None and tag == _TAG.match and _BARE_TAG.match(page, at):
+                    tag = _BARE_TAG.match
+                    m = tag(page, at)
+        if m is None:
+            words.append(page[at:stop])
+            if links:
+                linked += stop - at
+            at = stop
+            continue
+        at = m.end()
+        name = m[2].lower()
         if m[1]:
             if name in _INLINE:
                 links = max(0, links - (name == "a"))
-                continue
-            if name == "br":
+            elif name == "br":
                 words.append(" ")
-                continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    end()
-                    links = 0
-                    del stack[i:]
-                    break
+            elif opened[name] > 0:
+                end()
+                links = 0
+                while stack[-1][0] != name:
+                    close()
+                close()
             continue
         if name in _PLAIN:
             stop = None if name in unclosed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
@@ -141,21 +173,23 @@ def blocks(page: str) -> list[tuple[_Path, str, float]]:
         if name in _INLINE:
             links += name == "a"
             continue
-        if name == "br" or name in _VOID:
+        if name in _VOID:
             words.append(" ")
             continue
         end()
         links = 0
         if name in _ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
+            close()
         if name in _SIBLINGS and stack and stack[-1][0] in _SIBLINGS[name]:
-            stack.pop()
+            close()
         tokens = [name]
-        for a in _ATTR.finditer(m[3]):
-            tokens += [f".{t.lower()}" for t in _NAME.findall(a[2] or a[3] or a[4] or "")]
+        if m[3]:
+            for a in _ATTR.finditer(m[3]):
+                tokens += [f".{t.lower()}" for t in _NAME.findall(a[2] or a[3] or a[4] or "")]
         stack.append((name, (stack[-1][1] if stack else root).inner(tuple(tokens))))
+        opened[name] += 1
         if m[3].endswith("/") and name not in ("p", "div"):
-            stack.pop()
+            close()
     end()
     return out
 
@@ -166,9 +200,11 @@ def _bucket(token: str, size: int) -> tuple[int, float]:
     return h % size, 1.0 if h >> 31 else -1.0
 
 
-def features(page: list[tuple[_Path, str, float]]) -> np.ndarray:
-    x = np.zeros((len(page), PATHS + WORDS + PLAIN), np.float32)
-    for row, (path, text, linked) in enumerate(page):
+def features(page: list[tuple[_Path, str, float]], first: int = 0, stop: int | None = None) -> np.ndarray:
+    """Of the blocks from `first` to `stop`, all words of each."""
+    stop = len(page) if stop is None else stop
+    x = np.zeros((stop - first, PATHS + WORDS + PLAIN), np.float32)
+    for row, (path, text, linked) in enumerate(page[first:stop]):
         x[row, :PATHS] = path.vector()
         words = text.split(" ")
         own = x[row, PATHS : PATHS + WORDS]
@@ -177,7 +213,7 @@ def features(page: list[tuple[_Path, str, float]]) -> np.ndarray:
             own[i] += sign * n
         own *= np.sqrt(min(64, len(words))) / len(words)  # long blocks on the scale of 64 words
         marks = sum(text.count(c) for c in ".,;:!?")
-        x[row, PATHS + WORDS :] = (min(3, np.log1p(len(words)) / 2), linked, min(1, 5 * marks / len(words)), text[-1] in ".!?…\"”»", "©" in text, min(1, len(page) / 100), row / len(page), 1.0)
+        x[row, PATHS + WORDS :] = (min(3, np.log1p(len(words)) / 2), linked, min(1, 5 * marks / len(words)), text[-1] in ".!?…\"”»", "©" in text, min(1, len(page) / 100), (first + row) / len(page), 1.0)
     return x
 
 
@@ -196,12 +232,13 @@ class Labeller:
         self.p["d"] = rng.normal(0, 0.02, d).astype(np.float32)
         self.p["b"] = np.zeros(1, np.float32)
 
-    def _run(self, side: str, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """x: steps x pages x features, in reading order of this direction; states stand still where mask is 0."""
+    def _run(self, side: str, x: np.ndarray, mask: np.ndarray, keep: bool = False, state=None):
+        """x: steps x pages x features, in reading order of this direction; states stand still where mask is 0. `state` is that after
+        the steps before, and is updated."""
         steps, pages, _ = x.shape
         u, wh = self.units, self.p[f"h{side}"]
         z_in = (x.reshape(steps * pages, -1) @ self.p[f"x{side}"]).reshape(steps, pages, -1) + self.p[f"c{side}"]
-        h, c = np.zeros((pages, u), np.float32), np.zeros((pages, u), np.float32)
+        h, c = state or (np.zeros((pages, u), np.float32), np.zeros((pages, u), np.float32))
         hs, saved = np.zeros((steps, pages, u), np.float32), []
         for t in range(steps):
             z = z_in[t] + h @ wh
@@ -216,6 +253,8 @@ class Labeller:
             c = np.where(m, new, c)
             h = np.where(m, o * tc, h)
             hs[t] = h
+        if state is not None:
+            state[:] = h, c
         return (hs, saved) if keep else hs
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -223,6 +262,21 @@ class Labeller:
         fw, bw = self._run("f", x, mask), self._run("b", x[::-1], mask[::-1])[::-1]
         return fw @ self.p["o"][:u] + bw @ self.p["o"][u:] + x @ self.p["d"] + self.p["b"]
 
+    def logits_of(self, page: list, step: int = 20_000) -> np.ndarray:
+        """The same for the blocks of one page, `step` blocks in memory at a time."""
+        u, out = self.units, np.zeros(len(page), np.float32)
+        edges = [(a, min(len(page), a + step)) for a in range(0, len(page), step)]
+        state: list = []
+        for a, b in edges:
+            x = features(page, a, b)[:, None]
+            hs = self._run("f", x, np.ones((b - a, 1), bool), state=state)
+            out[a:b] = (hs @ self.p["o"][:u] + x @ self.p["d"] + self.p["b"])[:, 0]
+        state = []
+        for a, b in reversed(edges):
+            hs = self._run("b", features(page, a, b)[::-1, None], np.ones((b - a, 1), bool), state=state)[::-1]
+            out[a:b] += (hs @ self.p["o"][u:])[:, 0]
+        return out
+
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         u, g = self.units, {}
         (fw, sf), (bw, sb) = self._run("f", x, mask, True), self._run("b", x[::-1], mask[::-1], True)
@@ -262,18 +316,24 @@ def _padded(xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def label(model: Labeller, pages: list[np.ndarray], most: int = 60_000) -> list[np.ndarray]:
-    """Probabilities of main text for each block of each page; pages of like length run side by side."""
+def label(model: Labeller, pages: list[list], most: int = 60_000) -> list[np.ndarray]:
+    """Probabilities of main text for each block of each page of blocks(). Pages of like length run side by side, a page of over
+    `most` blocks by itself and in parts."""
+    chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
     order = sorted((i for i, x in enumerate(pages) if len(x)), key=lambda i: len(pages[i]))
     at = 0
     while at < len(order):
+        if len(pages[order[at]]) > most:
+            out[order[at]] = chance(model.logits_of(pages[order[at]]))
+            at += 1
+            continue
         stop = at + 1
         while stop < len(order) and len(pages[order[stop]]) * (stop + 1 - at) <= most:
             stop += 1
         group = order[at:stop]
-        x, mask = _padded([pages[i] for i in group])
-        p = 1 / (1 + np.exp(-np.clip(model.logits(x, mask), -30, 30)))
+        x, mask = _padded([features(pages[i]) for i in group])
+        p = chance(model.logits(x, mask))
         for k, i in enumerate(group):
             out[i] = p[: len(pages[i]), k]
         at = stop
@@ -441,7 +501,7 @@ def extract(pages: DataFrame, model: Labeller, *, threshold: float = 0.5, html_c
                     size += len(page)
                     found.append(blocks(page))
                     stop += 1
-                chances = label(shared.value, [features(b) for b in found])
+                chances = label(shared.value, found)
                 texts = [" ".join(t for (_, t, _), p in zip(b, c) if p >= threshold) for b, c in zip(found, chances)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, stop - at) for c in batch.columns[1:]), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema.names)
                 at = stop

@@ -313,7 +313,7 @@ def test_html(spark):
     right = total = 0
     for _ in range(100):
         page, y = html_text._training_page(rng)
-        p = html_text.label(html_text.trained(), [html_text.features(html_text.blocks(page))])[0]
+        p = html_text.label(html_text.trained(), [html_text.blocks(page)])[0]
         right, total = right + ((p >= 0.5) == np.array(y)).sum(), total + len(y)
     assert right / total > 0.98
     model = html_text.Labeller(3)
