@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,8 +20,10 @@ from .common import crc_fold, frugal, table, trim
 HOMOGLYPHS = dict(zip("аеіјорсухѕԁһӏвкмнтАЕІЈОРСУХЅВКМНТ", "aeijopcyxsdhlbkmhtaeijopcyxsbkmht")) | dict(zip("αεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeiknoptuxabezhikmnoptyx"))
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 
-#: A digit or sign counts as a letter where a letter follows in the same word.
-_LEET = re.compile(r"[0134578@$](?=[0134578@$]*[^\W\d_])")
+#: Runs of digits and signs; one counts as letters where a letter follows. A run is taken whole, so each is looked at once.
+_LEET = re.compile(r"[0134578@$]++")
+_AS_LETTERS = str.maketrans(DIGITS)
+_LETTER = re.compile(r"[^\W\d_]")
 _ZERO_WIDTH = re.compile("[­​-‍⁠﻿]")
 
 
@@ -35,7 +39,7 @@ _FOLD = _Fold()
 
 def fold(text: str) -> str:
     """Lower case, look-alikes and digit substitutions replaced, words parted and enclosed by one space."""
-    text = _LEET.sub(lambda m: DIGITS[m[0]], text)
+    text = _LEET.sub(lambda m: m[0].translate(_AS_LETTERS) if _LETTER.match(text, m.end()) else m[0], text)
     if not text.isascii():
         text = _ZERO_WIDTH.sub("", text)
     return f" {' '.join(text.translate(_FOLD).lower().split())} "
@@ -72,10 +76,14 @@ class Lexicon:
         if not len(self.automaton()):
             return
         matches = [(end + 1 - n, end + 1, w) for end, (n, w) in self.automaton().iter(folded)]
-        spared = [(s, e) for s, e, w in matches if w is None]
+        spared = sorted((s, e) for s, e, w in matches if w is None)
+        starts = [s for s, _ in spared]
+        reach = list(accumulate((e for _, e in spared), max))  # the furthest end of the phrases that start up to here
         for s, e, w in matches:
-            if w is not None and not any(a <= s and e <= b for a, b in spared):
-                yield s, e, w
+            if w is not None:
+                at = bisect_right(starts, s)
+                if not at or reach[at - 1] < e:
+                    yield s, e, w
 
     def amounts(self, folded: str) -> dict[str, float]:
         """For each entry found one plus the logarithm of its hits, over the text's norm: repeats count less and less."""
@@ -167,8 +175,9 @@ def fit_lexicon(rows: list[tuple[str, int]], *, share: float | None = None, entr
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, per_label: int = 3000, max_bytes: int = 20 << 20) -> tuple[list[tuple[str, int]], float | None]:
-    """(text, label) of a bounded sample, and the share of toxic rows among all training labels. For each label, up to per_label labelled training rows in the order of a hash of
-    the id, up to half of max_bytes each; a document over a 64th of max_bytes is not drawn. Whole texts."""
+    """(text, label) of a bounded sample, and the share of toxic rows among all training labels. For each label, up to per_label
+    labelled training rows in the order of a hash of the id, up to half of max_bytes each; a document over a 64th of max_bytes is
+    not drawn. Whole texts."""
     train = F.coalesce(crc_fold("doc_id", 5) != 0, F.lit(False))
     by = Window.partitionBy("label").orderBy("h", "doc_id")
     known = labels.where(train & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
