@@ -106,15 +106,29 @@ def stage_table(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_remove, spark)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete stage_table() tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_staged", None)
+        if path in _written:
+            _delete(df.sparkSession, path)
+            _written.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _remove(spark: SparkSession) -> None:
     try:
-        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for p in _written:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(conf).delete(path, True)
+        for path in _written:
+            _delete(spark, path)
     except Exception:  # the session may be gone at exit
         pass
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, table
+from .common import frugal, stage_table, table
 from .rolling import sums
 
 #: Words of a window; words of a shard; every so many suffix positions of a run are sampled.
@@ -172,77 +172,153 @@ def _cleaned(data: bytes, hit: np.ndarray) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> list[DataFrame]:
-    """The benchmark in blocks of about `most` bytes, by a hash of the item."""
-    total = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks = 1 + 2 * total // most if total > most else 1
-    return [benchmark.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)) == i) for i in range(blocks)]
+def _pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> tuple[DataFrame, int]:
+    """(name, data) of the items and the benchmark's bytes; an item over a quarter of `most` is cut into parts that overlap by a window less a word."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+    total, longest = items.agg(F.sum(F.octet_length("data")), F.max(F.octet_length("data"))).first()
+    if (longest or 0) <= most // 4:
+        return items, total or 0
+    step = max(window, most // 64)  # words
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            names, parts = [], []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(data)
+                for at in range(0, max(1, len(words) - window + 1), step):
+                    names.append(name)
+                    parts.append(b" ".join(words[at : at + step + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.binary())], ["name", "data"])
+
+    return items.mapInArrow(frugal(cut), "name string, data binary"), total or 0
+
+
+def _shards(batch, column: int):
+    """Slices of whole documents of a record batch, of about SHARD_WORDS words."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // (6 * SHARD_WORDS))) + 1
+    edges = [0, *cuts.tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
+
+
+def _texts(column) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
+
+
+def search_shard(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[set]]:
+    """Of a shard's texts: offsets of their words (one more place each), which words are hit, and the names of the items found in each."""
+    words = [words_of(t) for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))).astype(np.int64)
+    text, number = np.zeros(offsets[-1], np.int64), phrases.vocabulary.get
+    for w, a in zip(words, offsets.tolist()):
+        text[a : a + len(w)] = np.fromiter(map(number, w, repeat(0)), np.int64, len(w))
+    hit, found = _search(text, offsets, phrases)
+    names: list[set] = [set() for _ in texts]
+    for d, windows in found.items():
+        for w in windows:
+            names[d].update(phrases.names[i] for i in phrases.items[phrases.first_item[w] : phrases.first_item[w + 1]])
+    return offsets, hit, names
+
+
+def _spans(hit: np.ndarray) -> tuple[list[int], list[int]]:
+    edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+    return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
 
 
 def _hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", clean: bool = False, keep: tuple[str, ...] = (), most: int = 8 << 20) -> DataFrame:
-    blocks = [b.select(F.col(item_col).cast("string"), F.coalesce(F.col(item_text), F.lit("")).cast("binary")) for b in benchmark_blocks(benchmark, item_col, item_text, most)]
     spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(phrases_of([(r[0], bytes(r[1])) for r in b.collect()], window)) for b in blocks]  # each of about `most` bytes of text
+    items, total = _pieces(benchmark, item_col, item_text, window, most)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"k_{c}") for c in keep))
     kind = source.schema["_id"].dataType.simpleString()
     kept = source.drop("_id", "_text").schema
     schema = f"_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", _clean string" * clean + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
+    names_out = ["_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["_clean"] * clean, *kept.names]
 
-    def shards(batch):
-        """Slices of whole documents, of about SHARD_WORDS words."""
-        import pyarrow.compute as pc
+    def phrases_in(block: DataFrame):
+        """The windows of a block of about `most` bytes, for all workers."""
+        return spark.sparkContext.broadcast(phrases_of([(r["name"], bytes(r["data"])) for r in block.collect()], window))
 
-        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // (6 * SHARD_WORDS))) + 1
-        edges = [0, *cuts.tolist(), batch.num_rows]
-        return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
-
-    def scan(batches):
+    def digest(ids, texts, valid, offsets, hit, names, others):
         import pyarrow as pa
 
+        n_words, n_hit = np.diff(offsets) - 1, sums(hit, offsets)
+        names = [sorted(x for x in n if x is not None) for n in names]
+        columns = [
+            ids,
+            pa.array(n_words, pa.int64()),
+            pa.array(n_hit, pa.int64()),
+            pa.array([len(n) for n in names], pa.int64()),
+            pa.array([hashlib.sha256(",".join(n).encode()).hexdigest() for n in names], pa.string()),
+            pa.array(n_hit > 0),
+        ]
+        if clean:
+            left = (_cleaned(t, hit[a : a + w]) if n else t for t, w, a, n in zip(texts, n_words.tolist(), offsets.tolist(), n_hit))
+            columns.append(pa.array([t.decode("utf-8", "replace") if v else None for t, v in zip(left, valid)], pa.string()))
+        return pa.RecordBatch.from_arrays([*columns, *others], names_out)
+
+    if total <= most:
+        shared = phrases_in(items)
+
+        def scan(batches):
+            for batch in batches:
+                for part in _shards(batch, 1):
+                    texts = _texts(part.column(1))
+                    yield digest(part.column(0), texts, part.column(1).is_valid().to_pylist(), *search_shard(texts, shared.value), part.columns[2:])
+
+        return source.mapInArrow(frugal(scan), schema)
+
+    # a large benchmark: one block of it a pass, whose hits are written by the text's hash; then they are joined to the documents
+    blocks = 1 + 2 * total // most
+    dealt = stage_table(items.withColumn("block", F.pmod(F.xxhash64("name", "data"), F.lit(blocks)).cast("int")))
+    keyed = source.withColumn("_th", F.xxhash64("_text"))
+    every = None
+    for i in range(blocks):
+        shared = phrases_in(dealt.where(F.col("block") == i))
+
+        def find(batches, shared=shared):
+            import pyarrow as pa
+
+            for batch in batches:
+                for part in _shards(batch, 0):
+                    offsets, hit, names = search_shard(_texts(part.column(0)), shared.value)
+                    own = np.flatnonzero(sums(hit, offsets) > 0).tolist()
+                    if own:
+                        spans = [_spans(hit[offsets[d] : offsets[d + 1] - 1]) for d in own]
+                        lists = pa.list_(pa.int64())
+                        columns = [pa.array([x[k] for x in spans], lists) for k in (0, 1)]
+                        columns.append(pa.array([sorted(x or "" for x in names[d] if x is not None) for d in own], pa.list_(pa.string())))
+                        yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(own)), *columns], ["_th", "lo", "hi", "names"])
+
+        found = stage_table(keyed.select("_text", "_th").mapInArrow(frugal(find), "_th long, lo array<long>, hi array<long>, names array<string>").distinct())
+        shared.destroy()
+        every = found if every is None else every.unionByName(found)
+    merged = every.groupBy("_th").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("lo", "hi", "names")))  # as many rows of a text as blocks
+    joined = keyed.join(merged, "_th", "left").select("_id", "_text", "lo", "hi", "names", *kept.names)
+
+    def finish(batches):
         for batch in batches:
-            parts = list(shards(batch))
-            texts_of = [[t.as_buffer().to_pybytes() if t.is_valid else b"" for t in part.column(1)] for part in parts]
-            ends = [np.concatenate(([0], np.cumsum([len(words_of(t)) + 1 for t in texts]))) for texts in texts_of]
-            hits, named = [np.zeros(e[-1], bool) for e in ends], [[set() for _ in texts] for texts in texts_of]
-            for one in shared:
-                phrases = one.value
-                number = phrases.vocabulary.get
-                for texts, offsets, hit, names in zip(texts_of, ends, hits, named):
-                    text = np.zeros(offsets[-1], np.int64)
-                    for t, a, b in zip(texts, offsets.tolist(), offsets[1:].tolist()):
-                        text[a : b - 1] = np.fromiter(map(number, words_of(t), repeat(0)), np.int64, b - a - 1)
-                    more, found = _search(text, offsets, phrases)
-                    hit |= more
-                    for d, windows in found.items():
-                        for w in windows:
-                            names[d].update(phrases.names[i] for i in phrases.items[phrases.first_item[w] : phrases.first_item[w + 1]])
-                if len(shared) > 1:  # one block of the benchmark in memory at a time
-                    one.__dict__.pop("_value", None)
-            for part, texts, offsets, hit, names in zip(parts, texts_of, ends, hits, named):
-                n_words = np.diff(offsets) - 1
-                n_hit = sums(hit, offsets)
-                names = [sorted(x for x in n if x is not None) for n in names]
-                columns = [
-                    part.column(0),
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array([len(n) for n in names], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(n).encode()).hexdigest() for n in names], pa.string()),
-                    pa.array(n_hit > 0),
-                ]
-                if clean:
-                    columns.append(pa.array([(_cleaned(t, hit[a : a + w]).decode("utf-8", "replace") if n else t.decode("utf-8", "replace")) if v.is_valid else None for t, w, a, n, v in zip(texts, n_words.tolist(), offsets.tolist(), n_hit, part.column(1))], pa.string()))
-                yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], ["_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["_clean"] * clean, *part.schema.names[2:]])
-
-    return source.mapInArrow(frugal(scan), schema)
+            for part in _shards(batch, 1):
+                texts = _texts(part.column(1))
+                offsets = np.concatenate(([0], np.cumsum([len(words_of(t)) + 1 for t in texts]))).astype(np.int64)
+                hit = np.zeros(offsets[-1], bool)
+                for at, lo, hi in zip(offsets.tolist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    for a, b in zip(lo or (), hi or ()):
+                        hit[at + a : at + b] = True
+                names = [set(n or ()) for n in part.column(4).to_pylist()]
+                yield digest(part.column(0), texts, part.column(1).is_valid().to_pylist(), offsets, hit, names, part.columns[5:])
+
+    return joined.mapInArrow(frugal(finish), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", keep: tuple[str, ...] = (), clean: bool = False, **options) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated, kept columns, and with `clean` clean_text, the text less its hit spans.
 
-    A benchmark over `most` bytes (its size is checked first) is dealt into blocks of about that size; each batch of documents is searched for
-    one block after the other, and the hits are merged.
+    A benchmark over `most` bytes (its size is checked first) is dealt into blocks of about that size, long items in parts that overlap; each
+    block is one pass over the documents, so the driver and the workers hold one block at a time, and the hits are merged by text.
     Null texts have no words (n_words 0, the hash of nothing), null items and items without words no windows; an item
     with null id hits but is not named; items that repeat an id count once. Null document ids and repeated rows
     pass through; an empty table gives no rows, an empty benchmark no hits. Columns not kept are ignored.

@@ -120,20 +120,24 @@ def fit_filters(rows: list[tuple[str, str]], *, gram: int = GRAM, slot_bits: int
 
 
 def training_rows(docs: DataFrame, train, *, per_language: int = 1000, max_bytes: int = 8 << 20) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows: per language, up to per_language documents in the order of a hash of the id, up
-    to max_bytes over all languages, of which each has an equal share, a sixty-fourth at least however many there are; a
-    document over a sixty-fourth is not drawn. Whole texts."""
-    known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("doc_id"), F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).where(F.col("n") <= max_bytes // 64)
+    """A bounded sample of labelled rows: per language, up to per_language documents in the order of a hash of id and text, up to max_bytes
+    over all languages, of which each has an equal share, a sixty-fourth at least however many there are; a document over a sixty-fourth
+    is not drawn. Whole texts. Rows that repeat id, language and text are one; an id with several languages or texts is several rows. Reruns
+    draw the same rows."""
+    usable = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes // 64))
+    key = ["lang", "doc_id", "th"]
+    known = usable.select("lang", "doc_id", F.xxhash64("text").alias("th"), F.octet_length("text").alias("n")).groupBy(*key).agg(F.max("n").alias("n"))
+    known = cut(known.withColumn("h", F.xxhash64("doc_id", "th")))
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("total"))
     # the hash thins each language to about one and a half times what is drawn, so the window sees a bounded number of rows
-    known = cut(known.join(counts, "lang").where(F.pmod("h", F.lit(1 << 40)) <= (1 << 40) * 1.5 * per_language / F.col("total")).drop("total"))
-    by = Window.partitionBy("lang").orderBy("h", "doc_id")
-    drawn = known.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language)
+    thin = known.join(counts, "lang").where(F.pmod("h", F.lit(1 << 40)) <= (1 << 40) * 1.5 * per_language / F.col("total"))
+    by = Window.partitionBy("lang").orderBy("h", "doc_id", "th")
+    drawn = thin.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language)
     n_langs = max(1, drawn.select("lang").distinct().count())
-    drawn = drawn.withColumn("b", F.sum("n").over(by)).where(F.col("b") <= max_bytes // min(n_langs, 64)).select("doc_id").distinct()
-    chosen = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes // 64))
-    # at most per_language ids a language
-    return [(r.lang, r.text) for r in chosen.join(F.broadcast(drawn.limit(per_language * n_langs)), "doc_id", "left_semi").select("lang", "text").limit(per_language * n_langs).collect()]
+    drawn = drawn.withColumn("b", F.sum("n").over(by)).where(F.col("b") <= max_bytes // min(n_langs, 64)).select(*key)
+    # at most per_language rows a language, each once
+    chosen = usable.select("lang", "doc_id", F.xxhash64("text").alias("th"), "text").join(F.broadcast(drawn), key).groupBy(*key).agg(F.first("text").alias("text"))
+    return [(r.lang, r.text) for r in chosen.orderBy(*key).select("lang", "text").collect()]
 
 
 def identify(docs: DataFrame, model: LanguageFilters, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

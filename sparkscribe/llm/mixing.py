@@ -34,17 +34,18 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), cap: int
     """How much of each document a mix takes: doc_id, source, size, source_size, target, taken.
 
     Sources by code point, null last, carry the weights in turn and share the sum of all sizes; a target stops at
-    `cap` times its source's size. Within a source, documents stand in the order of a hash of the id; the mix takes
+    `cap` times its source's size. Within a source, documents stand in the order of a hash of id and text; the mix takes
     whole epochs, then documents in that order up to the exact budget, the one at the cut in part. taken counts
     words, repeats included, and is at most cap times the document's size.
 
     The key's leading digits deal each source over `buckets` ranges, so no source is sorted in one task: a running
     sum inside each range is shifted by the prefix sum of the ranges before it. Null text or no words: size 0, taken 0.
-    A null source is a source of its own; a null id hashes as empty; repeated rows are separate documents; an empty
+    A null source is a source of its own; a null id hashes as empty, so rows without ids are told apart by their texts; repeated rows are separate documents; an empty
     table gives no rows. Other columns are ignored.
     """
     words = F.expr(size) if size else F.coalesce(F.size(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))), F.lit(0))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    own = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(own)).cast("binary"))
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
@@ -77,7 +78,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         md5('42|' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+         md5('42|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 wtd AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w,
         (3 * source_size)::DOUBLE AS cap FROM src),

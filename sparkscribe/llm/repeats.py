@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import anchors, word_elements
-from .common import frugal, frugal_group, numbered, stage_table, trim
+from .common import drop_tables, frugal, frugal_group, numbered, stage_table, trim
 from .rolling import BYTE, arrow_bytes, mix, runs
 
 NO_ID = (1 << 63) - 1
@@ -492,8 +492,8 @@ def merged(arrays: list[list[bytes]]) -> list[bytes]:
     return arrays[0]
 
 
-def _across(reports: DataFrame, unit: Unit, shards: int, size: int) -> DataFrame:
-    """(doc, th, lo, hi): windows of reports (doc, th, lo, text, shard) that an earlier document or place of another shard has."""
+def _across(reports: DataFrame, unit: Unit, shards: int, size: int) -> list[DataFrame]:
+    """Of windows of reports (doc, th, lo, text, shard): the tables of all rounds, in which hi is set where another shard has an earlier one."""
     n = size // (5 if unit.words else 1)  # windows at most, about
 
     def split(text: bytes):
@@ -568,24 +568,10 @@ def _across(reports: DataFrame, unit: Unit, shards: int, size: int) -> DataFrame
         dealt = live.withColumn("b", F.pmod("w", F.lit(buckets))).withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(sets)) if sets > 1 else F.col("shard"))
         dealt = dealt.withColumn("set", F.col("shard") if sets > 1 else F.lit(0).cast("long"))
         done = stage_table(dealt.groupBy("b", "set").applyInArrow(frugal_group(merge), kind))
-        covered.append(done.where("hi >= 0").select("doc", "th", "lo", "hi"))
+        covered.append(done)
         if sets == 1:
-            break
+            return covered
         live, shards = done.where("hi < 0").select("w", "shard", "doc", "th", "lo", "text"), sets
-    out = covered[0]
-    for more in covered[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _compare(regions: DataFrame, unit: Unit, method: Method) -> DataFrame:
-    """(doc, th, lo, hi): the covered spans of all shards, and those that only several shards of one group show."""
-    found = stage_table(_shards(regions, unit, method, SHARD_BYTES))
-    spans = [x.where(F.col("text").isNull()).select("doc", "th", "lo", "hi") for x in (regions, found)]
-    out = spans[0].unionByName(spans[1])
-    reports = found.where(F.col("text").isNotNull())
-    n, shards, size = reports.agg(F.count(F.lit(1)), F.countDistinct("shard"), F.sum(F.octet_length("text"))).first()
-    return out.unionByName(_across(reports, unit, shards, size)) if n else out
 
 
 def _document(doc: np.ndarray, th: np.ndarray) -> np.ndarray:
@@ -602,9 +588,20 @@ def repeated_spans(rows: DataFrame, unit: Unit, method: Method) -> DataFrame:
     """(doc, th, spans): for each document of keyed() rows with any, its covered spans in elements, merged."""
     repeated = _anchor_keys(rows, unit)
     buckets = max(12, -(-repeated.rows // BUCKET_ROWS))
-    spans = stage_table(_by_document(_occurrences(rows, unit, repeated), unit, buckets))
-    every = _compare(stage_table(_regions(rows, spans, unit)), unit, method)
-    return stage_table(every.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
+    need = stage_table(_by_document(_occurrences(rows, unit, repeated), unit, buckets))
+    regions = stage_table(_regions(rows, need, unit))
+    drop_tables(need)
+    found = stage_table(_shards(regions, unit, method, SHARD_BYTES))
+    spans = [x.where(F.col("text").isNull()).select("doc", "th", "lo", "hi") for x in (regions, found)]
+    every, reports, across = spans[0].unionByName(spans[1]), found.where(F.col("text").isNotNull()), []
+    n, shards, size = reports.agg(F.count(F.lit(1)), F.countDistinct("shard"), F.sum(F.octet_length("text"))).first()
+    if n:
+        across = _across(reports, unit, shards, size)
+        for done in across:
+            every = every.unionByName(done.where("hi >= 0").select("doc", "th", "lo", "hi"))
+    out = stage_table(every.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
+    drop_tables(regions, found, *across)
+    return out
 
 
 def apply_spans(rows: DataFrame, spans: DataFrame, finish: Callable, schema: T.StructType) -> DataFrame:

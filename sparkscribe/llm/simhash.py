@@ -2,37 +2,56 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import cut, frugal, stage_table, table
+from .common import cut, frugal, numbered, stage_table, table
 from .components import components
 from .repeats import NO_ID, marked, only
 
 #: A variant shared by more fingerprints than this is not joined with itself; its members go by the one-bit neighbourhoods.
 BUCKET = 64
 
+#: Shingles hashed at once.
+STEP = 1 << 16
+
+_BLANK = re.compile(rb"[ \t\n\v\f\r]")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def _spaced(data: bytes) -> bytes:
+    """The words of a lower-cased text parted by one space; a long text in parts that end at white space, so only a part's words are listed."""
+    out, at = [], 0
+    while at < len(data):
+        stop = at + STEP * 16
+        if stop < len(data):
+            blank = _BLANK.search(data, stop)
+            stop = blank.start() if blank else len(data)
+        out.append(b" ".join(data[at:stop].split()))
+        at = stop
+    return b" ".join(x for x in out if x)
+
+
 def fingerprint(data: bytes, shingle: int = 3) -> bytes:
     """The 8 bytes, most significant first: a bit is set if set in over half the hashes of all shingles, repeats included."""
     import xxhash
 
-    words = data.translate(_LOWER).split()
-    if not words:
+    text, digest = _spaced(data.translate(_LOWER)), xxhash.xxh64_digest
+    if not text:
         return bytes(8)
-    if len(words) <= shingle:
-        return xxhash.xxh64_digest(b" ".join(words), 42)
-    text, digest = b" ".join(words), xxhash.xxh64_digest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-1]))
-    n = len(words) - shingle + 1
-    hashes = b"".join([digest(text[a:b], 42) for a, b in zip(starts[:n].tolist(), (ends[shingle - 1 :] - 1).tolist())])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1)
-    return np.packbits(bits.sum(0, dtype=np.int64) * 2 > n).tobytes()
+    blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    starts, ends = np.concatenate(([0], blanks + 1)), np.append(blanks, len(text))
+    n, times = len(starts) - shingle + 1, np.zeros(64, np.int64)
+    if n <= 1:
+        return digest(text, 42)
+    for at in range(0, n, STEP):
+        to = min(n, at + STEP)
+        hashes = b"".join([digest(text[a:b], 42) for a, b in zip(starts[at:to].tolist(), ends[at + shingle - 1 : to + shingle - 1].tolist())])
+        times += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(times * 2 > n).tobytes()
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -63,7 +82,9 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     segment = F.when(i < 32, half).otherwise(F.shiftrightunsigned("fp", 32))
     blank = F.expr("~shiftleft(1L, i % 32)")
     variants = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select("fp", "i", F.shiftleft(i.cast("long"), 32).bitwiseOR(segment.bitwiseAND(blank)).alias("key"))
-    shared = cut(variants.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").select("key", "i", "fp", "n"))
+    # counted with a partial sum and joined, so a variant of many fingerprints is not one task
+    counts = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = cut(variants.join(counts, "key").select("key", "i", "fp", "n"))
 
     cold = shared.where(F.col("n") <= bucket)
     x = F.col("a").bitwiseXOR(F.col("b"))
@@ -94,9 +115,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _rooted(found: DataFrame) -> DataFrame:
+def _rooted(found: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(fp, first, root) for each distinct fingerprint: its least document and its component."""
-    nodes = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = cut(found.groupBy("fp").agg(F.min(doc).alias("first")))
     roots = components(links(nodes.select("fp")))
     return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
@@ -107,15 +128,17 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Rows that repeat an id are told apart by their texts' hash; of rows that repeat both one stays. Only rows that may go
     are shuffled with their texts.
     """
-    found = stage_table(fingerprints(docs, id_col=id_col, text_col=text_col).withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))))
+    own = docs.columns
+    docs, number = numbered(docs, id_col)
+    docs = docs.select(*own, F.coalesce(number, F.lit(NO_ID)).alias("_order"))
+    found = stage_table(fingerprints(docs, id_col="_order", text_col=text_col).withColumnRenamed("doc_id", "doc"))
     # copies of one fingerprint are combined before the shuffle, so the join sees each fingerprint once
     least = found.groupBy("fp").agg(F.min(F.struct("doc", "th")).alias("k"))
-    stays = least.join(_rooted(found).select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.doc", "k.th", F.lit(True).alias("stay"))
+    stays = least.join(_rooted(found, "doc").select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.doc", "k.th", F.lit(True).alias("stay"))
     each = found.groupBy("doc", "th").agg(F.count(F.lit(1)).alias("n"))
     judged = stage_table(each.join(stays, ["doc", "th"], "left").select("doc", "th", "n", F.coalesce("stay", F.lit(False)).alias("stay")))
     doubtful = marked(judged.where("n > 1 or not stay"), "th")
-    own = [c for c in docs.columns]
-    keyed_docs = docs.select(F.struct(*own).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_col).alias("th"))
+    keyed_docs = docs.select(F.struct(*own).alias("row"), F.col("_order").alias("doc"), F.xxhash64(text_col).alias("th"))
     clear = only(keyed_docs, doubtful, inside=False).select("row.*")
     rest = only(keyed_docs, doubtful).join(judged.where("stay").select("doc", "th"), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("row.*")
     return clear.unionByName(rest)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,21 +13,36 @@ from .common import frugal, table
 
 #: Pieces of up to so many characters are looked up before they are encoded; the table is emptied at so many entries.
 SHORT, KNOWN = 48, 400_000
+#: A piece of more characters is also cut before a comma and the like that follows a letter.
+LONG = 1 << 14
+
+_STOP = re.compile(r"(?<=[^\W\d_])(?=[,;!?，、。；！？](?:[^\W_]|\s))")
 
 
 def pieces(text: str) -> Iterator[str]:
     """Cut text before each single space that follows other than white space and precedes a letter.
 
     No token, contraction, composed character or special string of the .json models spans such a place, and a
-    space keeps the letter run it stands before; so counts of the pieces add up to that of the text.
+    space keeps the letter run it stands before; so counts of the pieces add up to that of the text. A piece of over LONG characters
+    (text without such spaces) is cut too between a letter and a mark that a letter, digit or space follows: the models part
+    letters from marks, and none of these marks composes or belongs to a special string. What has neither, such as one run of
+    digits, is one piece, for a token may span any place of it.
     """
     start, at, last = 0, text.find(" ", 1), len(text) - 1
     while 0 < at < last:
         if text[at + 1].isalpha() and not text[at - 1].isspace():
-            yield text[start:at]
+            yield from _shorter(text, start, at)
             start = at
         at = text.find(" ", at + 1)
-    yield text[start:]
+    yield from _shorter(text, start, len(text))
+
+
+def _shorter(text: str, start: int, stop: int) -> Iterator[str]:
+    if stop - start > LONG:
+        for m in _STOP.finditer(text, start + 1, stop):
+            yield text[start : m.start()]
+            start = m.start()
+    yield text[start:stop]
 
 
 def _load(path: str):
