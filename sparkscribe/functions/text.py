@@ -81,8 +81,16 @@ def is_title(c: Column) -> Column:
     return (F.coalesce(c, F.lit("")) != "") & (keyword | ((F.length(c) < 80) & ~c.rlike("[.!?;:]$") & (words <= 8)))
 
 
+def _object(c: Column) -> Column:
+    return F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
 def recover_json(c: Column, schema: str) -> Column:
     """Parse a reply that may hold text around its object: as it is, else from the first brace to the last; null if neither parses."""
-    inner = F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))
-    whole = F.when(F.try_parse_json(c).isNotNull(), c)
+    whole, inner = F.when(F.try_parse_json(c).isNotNull(), c), _object(c)
     return F.from_json(F.coalesce(whole, F.when(F.try_parse_json(inner).isNotNull(), inner)), schema)
+
+
+def recovered(c: Column) -> Column:
+    """The same as a variant, whatever its type."""
+    return F.coalesce(F.try_parse_json(c), F.try_parse_json(_object(c)))

@@ -25,12 +25,6 @@ def l2_normalize(a: Column) -> Column:
     return bind(bind(a, sized), lambda s: F.transform(s["v"], lambda x: x.cast("double") / F.when(s["n"] == 0, 1.0).otherwise(s["n"])))
 
 
-def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """0 for a zero vector. Norms kept with an index save their part of the work."""
-    na, nb = norm_a if norm_a is not None else norm(a), norm_b if norm_b is not None else norm(b)
-    return dot(a, b) / (F.when(na == 0, 1.0).otherwise(na) * F.when(nb == 0, 1.0).otherwise(nb))
-
-
 def hash_embedding(text: Column, dim: int = 384) -> Column:
     """Deterministic unit vector: words of SHA-256 over 'counter:text', each as a number from -1 to 1, cut at dim, as floats."""
     digests = F.transform(F.sequence(F.lit(0), F.lit((dim + 7) // 8 - 1)), lambda i: F.sha2(F.concat(i.cast("string"), F.lit(":"), text), 256))

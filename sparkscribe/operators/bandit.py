@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -170,26 +171,29 @@ def _event_columns(policy: str, epsilon: float, seed: int) -> list[Column]:
 
 def replay_linucb(arms: DataFrame, rounds: int, epsilon: float, alpha: float = 1.0, seed: int = 42, n: int | None = None) -> DataFrame:
     """(round, query_no, arm_index, propensity, reward): each choice depends on all earlier rewards, so one task folds the rounds in
-    order. Only numbers go to it: features, and rewards of every arm, made beforehand."""
+    order, a batch of them in memory. Only numbers go to it: features, and rewards of every arm, made beforehand."""
     n = n or arms.count()
     rows = arms.sparkSession.range(rounds).select(F.col("id").cast("int").alias("round"), (F.col("id") % n).cast("int").alias("query_no")).join(arms, "query_no")
     key = (seed, F.col("round").cast("string"))
     rows = rows.select("round", "query_no", F.transform("arms", lambda a: a["feature"]).alias("x"), F.transform("arms", lambda a: reward(F.col("query"), a["text"], *key)).alias("rewards"), uniform(*key, "explore").alias("u"), uniform(*key, "arm").alias("v"))
     e = min(1.0, max(0.0, epsilon))
 
-    def fold(pdf):
-        import pandas as pd
+    def fold(batches):
+        import pyarrow as pa
 
-        model, out = LinUCB(alpha=alpha), []
-        for r in pdf.sort_values("round").itertuples(index=False):
-            x = np.array([list(v) for v in r.x], float)
-            best = model.choose(x)
-            chosen = int(r.v * len(x)) if r.u < e else best
-            model.update(x[chosen], float(r.rewards[chosen]))
-            out.append((r.round, r.query_no, chosen, (1 - e) * (chosen == best) + e / len(x), float(r.rewards[chosen])))
-        return pd.DataFrame(out, columns=["round", "query_no", "arm_index", "propensity", "reward"])
+        model = LinUCB(alpha=alpha)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                x = np.array(r["x"], float)
+                best = model.choose(x)
+                chosen = int(r["v"] * len(x)) if r["u"] < e else best
+                model.update(x[chosen], float(r["rewards"][chosen]))
+                out.append((r["round"], r["query_no"], chosen, (1 - e) * (chosen == best) + e / len(x), float(r["rewards"][chosen])))
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["round", "query_no", "arm_index", "propensity", "reward"])
 
-    return rows.groupBy(F.lit(0).alias("g")).applyInPandas(fold, "round int, query_no int, arm_index int, propensity double, reward double")
+    return rows.repartition(1).sortWithinPartitions("round").mapInArrow(fold, "round int, query_no int, arm_index int, propensity double, reward double")
 
 
 def policy_index(policy: str, events: DataFrame, model: LinUCB | None = None, seed: int = 42) -> Column:
@@ -221,16 +225,20 @@ def estimates(terms: DataFrame) -> DataFrame:
     return terms.groupBy("policy").agg((gain / F.count(F.lit(1))).alias("ips"), (gain / F.greatest(F.lit(FLOOR), F.sum("weight"))).alias("snips"), F.avg("v_hat").alias("dm"), F.avg("dr").alias("dr"), F.count(F.lit(1)).alias("n_events"))
 
 
+#: How often an event is drawn in a resample as the number of these that a uniform number exceeds: a Poisson number of mean 1.
+POISSON = tuple(round(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)), 12) for k in range(9))
+
+
 def bootstrap(terms: DataFrame, resamples: int = 200, seed: int = 59) -> DataFrame:
     """(policy, lo, hi): the 2.5 and 97.5 % quantiles of the mean of dr over resamples with replacement.
 
-    Each draw is a keyed uniform event number joined to the event's term: resamples x events rows, summed before the shuffle.
-    `round` numbers the events from 0.
+    Each event has a keyed Poisson weight of mean 1 in each resample, so a resample is a weighted sum over one pass of the
+    events, combined before the shuffle: resamples x policies rows move, whatever the number of events. `round` keys an event.
     """
-    sizes = terms.groupBy("policy").agg(F.count(F.lit(1)).alias("n"))
-    draws = sizes.select("policy", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select("policy", "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    drawn = draws.select("policy", "b", F.floor(uniform(seed, F.col("b").cast("string"), F.col("i").cast("string")) * F.col("n")).cast("int").alias("round"))
-    means = drawn.join(terms.select("policy", "round", "dr"), ["policy", "round"]).groupBy("policy", "b").agg(F.avg("dr").alias("m"))
+    drawn = terms.select("policy", "round", "dr", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    drawn = drawn.withColumn("u", uniform(seed, F.col("b").cast("string"), F.col("round").cast("string")))
+    weight = sum(((F.col("u") > c).cast("int") for c in POISSON[1:]), (F.col("u") > POISSON[0]).cast("int"))
+    means = drawn.select("policy", "b", "dr", weight.alias("w")).groupBy("policy", "b").agg((F.sum(F.col("w") * F.col("dr")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     return means.groupBy("policy").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkscribe.functions.text import clean_text, estimate_tokens, is_title, paragraphs
@@ -31,51 +31,101 @@ def page_paragraphs(pages: DataFrame) -> DataFrame:
     return pages.select("source_name", F.coalesce("page_num", F.lit(0)).alias("page_num"), F.posexplode(paragraphs(F.col("clean_text"))).alias("para_no", "para"))
 
 
-def number_chunks(paras: DataFrame, *, target: int = TARGET, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """(source_name, page_num, para_no, chunk_no): the ordered rule that closes and opens chunks, per source.
+class _Rule:
+    """The ordered rule that closes and opens chunks of one source; the state is one number, one length and one flag.
 
-    For each paragraph: without an open chunk, open one with it. A title closes a chunk of `least` characters or more, and so does
-    a paragraph that would carry such a chunk beyond `most`; it opens the next. Else it joins, two characters for the break; a chunk
-    of `target` or more that then ends like a sentence is closed. The rule depends on all earlier paragraphs of a source, so a
-    source is one ordered stream: only lengths and two flags go to it, sorted by Spark, and it holds one number of state.
+    Without an open chunk, a paragraph opens one. A title closes a chunk of `least` characters or more, and so does a paragraph that
+    would carry such a chunk beyond `most`; it opens the next. Else it joins, two characters for the break; a chunk of `target` or more
+    that then ends like a sentence is closed.
     """
-    flags = paras.select("source_name", "page_num", "para_no", F.length("para").alias("size"), is_title(F.col("para")).alias("title"), F.col("para").rlike("[.!?;]$").alias("final"))
+
+    def __init__(self, target: int = TARGET, least: int = LEAST, most: int = MOST):
+        self.target, self.least, self.most, self.source = target, least, most, object()
+
+    def next(self, source, size: int, title: bool, final: bool) -> int:
+        if source != self.source:
+            self.source, self.number, self.fresh = source, 0, True
+        if self.fresh or self.length >= self.least and (title or self.length + 2 + size > self.most):
+            self.number, self.length, self.fresh = self.number + 1, size, False
+        else:
+            self.length += 2 + size
+            self.fresh = self.length >= self.target and final
+        return self.number
+
+
+def _flags(para: Column) -> list[Column]:
+    return [F.length(para).alias("size"), is_title(para).alias("title"), para.rlike("[.!?;]$").alias("final")]
+
+
+def number_chunks(paras: DataFrame, *, target: int = TARGET, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """(source_name, page_num, para_no, chunk_no) by the rule, per source. It depends on all earlier paragraphs, so a source is one
+    ordered stream, sorted by Spark: only lengths and two flags go to it."""
+    flags = paras.select("source_name", "page_num", "para_no", *_flags(F.col("para")))
     ordered = flags.repartition("source_name").sortWithinPartitions("source_name", "page_num", "para_no")
 
     def fold(batches):
         import pyarrow as pa
 
-        source, number, length, fresh = object(), 0, 0, True
+        rule = _Rule(target, least, most)
         for batch in batches:
-            out = []
-            columns = batch.to_pydict()
-            for name, size, title, final in zip(columns["source_name"], columns["size"], columns["title"], columns["final"]):
-                if name != source:
-                    source, number, fresh = name, 0, True
-                if fresh or length >= least and (title or length + 2 + size > most):
-                    number, length, fresh = number + 1, size, False
-                else:
-                    length += 2 + size
-                    fresh = length >= target and final
-                out.append(number)
+            c = batch.to_pydict()
+            out = [rule.next(*x) for x in zip(c["source_name"], c["size"], c["title"], c["final"])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int32())], ["source_name", "page_num", "para_no", "chunk_no"])
 
     kinds = dict(flags.dtypes)
     return ordered.mapInArrow(fold, f"source_name string, page_num {kinds['page_num']}, para_no int, chunk_no int")
 
 
-def build_chunks(paras: DataFrame, prefix: str = "chunk", **sizes) -> DataFrame:
-    """Chunk rows with ids prefix_chunk_number (numbers from 1 in each source), texts joined by a blank line, and neighbours."""
-    numbered = paras.join(number_chunks(paras, **sizes), ["source_name", "page_num", "para_no"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "para_no", "para"))), lambda x: x["para"]), "\n\n")
-    chunks = numbered.groupBy("source_name", "chunk_no").agg(F.min("page_num").alias("page_start"), F.max("page_num").alias("page_end"), text.alias("chunk_text"))
-    chunks = chunks.withColumns({"char_count": F.length("chunk_text"), "token_estimate": estimate_tokens(F.col("chunk_text"))})
-    last = numbered.groupBy("source_name").agg(F.max("chunk_no").alias("last"))
-    return link_neighbours(chunks.join(last, "source_name"), prefix)
+def build_chunks(pages: DataFrame, prefix: str = "chunk", *, target: int = TARGET, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """Chunk rows of kept pages, with ids prefix_chunk_number (numbers from 1 in each source), texts joined by a blank line, and neighbours.
+
+    Pages stand in the order of their numbers, a missing one as 0, those of equal number in the order of their texts; pages without a source
+    are a source of their own. Each page is cleaned and cut into paragraphs once and goes once to its source's stream, which
+    holds the paragraphs of one chunk at a time and emits chunks as they close.
+    """
+    number = F.coalesce("page_num", F.lit(0)).alias("page_num")
+    paras = F.transform("paras", lambda p: F.struct(p.alias("para"), *_flags(p)))
+    rows = pages.select("source_name", number, "clean_text", paragraphs(F.col("clean_text")).alias("paras"))
+    rows = rows.select("source_name", "page_num", "clean_text", paras.alias("paras"))
+    ordered = rows.repartition("source_name").sortWithinPartitions("source_name", "page_num", "clean_text").drop("clean_text")
+    kind = dict(rows.dtypes)["page_num"]
+
+    def fold(batches):
+        import pyarrow as pa
+
+        rule, open_ = _Rule(target, least, most), None  # the open chunk: source, number, first and last page, paragraphs
+        names = ["source_name", "chunk_no", "page_start", "page_end", "chunk_text", "is_last"]
+
+        def closed(chunk, last: bool) -> tuple:
+            return (*chunk[:4], "\n\n".join(chunk[4]), last)
+
+        def batch_of(rows):
+            columns = [*zip(*rows)] if rows else [()] * 6
+            page = pa.int64() if kind == "bigint" else pa.int32()
+            kinds = [pa.string(), pa.int32(), page, page, pa.string(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        for batch in batches:
+            out = []
+            for source, page, paras in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for p in paras:
+                    n = rule.next(source, p["size"], p["title"], p["final"])
+                    if open_ is None or (source, n) != (open_[0], open_[1]):
+                        if open_ is not None:
+                            out.append(closed(open_, source != open_[0]))
+                        open_ = [source, n, page, page, []]
+                    open_[3] = page
+                    open_[4].append(p["para"])
+            yield batch_of(out)
+        if open_ is not None:
+            yield batch_of([closed(open_, True)])
+
+    chunks = ordered.mapInArrow(fold, f"source_name string, chunk_no int, page_start {kind}, page_end {kind}, chunk_text string, is_last boolean")
+    return link_neighbours(chunks.withColumns({"char_count": F.length("chunk_text"), "token_estimate": estimate_tokens(F.col("chunk_text"))}), prefix)
 
 
 def link_neighbours(chunks: DataFrame, prefix: str = "chunk") -> DataFrame:
     """chunk_id, prev_chunk_id and next_chunk_id: ids follow from the number, so neighbours need no window; null at the ends."""
     named = lambda n: F.format_string(f"{prefix}_chunk_%04d", n)
     n = F.col("chunk_no")
-    return chunks.withColumns({"chunk_id": named(n), "prev_chunk_id": F.when(n > 1, named(n - 1)), "next_chunk_id": F.when(n < F.col("last"), named(n + 1))}).drop("last")
+    return chunks.withColumns({"chunk_id": named(n), "prev_chunk_id": F.when(n > 1, named(n - 1)), "next_chunk_id": F.when(~F.col("is_last"), named(n + 1))}).drop("is_last")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkscribe.functions.text import clean_aliases, concept_id, recover_json, strip
+from sparkscribe.functions.text import clean_aliases, concept_id, recover_json, recovered, strip
 from sparkscribe.sources import schemas
 
 #: Keyword, type and display name of the default lexicon.
@@ -62,13 +62,19 @@ def extract_by_model(chunks: DataFrame, reply: Callable[[list[str]], list[str]])
 
 
 def parse_replies(chunks: DataFrame) -> DataFrame:
-    """`reply` to `concepts`, `relations` and `error`; a chunk with an unreadable reply or confidence yields nothing but its error."""
-    parsed = chunks.withColumn("r", recover_json(F.col("reply"), schemas.EXTRACTION)).drop("reply")
+    """`reply` to `concepts`, `relations` and `error`; a chunk whose reply cannot be read, whose concepts or relations are not lists of objects,
+    or with an unreadable confidence yields nothing but its error."""
+    parsed = chunks.withColumns({"r": recover_json(F.col("reply"), schemas.EXTRACTION), "v": recovered(F.col("reply"))}).drop("reply")
+    kind = lambda p: F.expr(f"schema_of_variant(try_variant_get(v, '{p}', 'variant'))")
+    no_object = ~F.coalesce(F.expr("schema_of_variant(v)"), F.lit("")).startswith("OBJECT")
+    no_list = lambda p: kind(p).isNotNull() & ~kind(p).startswith("ARRAY")
+    no_objects = lambda p: kind(p).startswith("ARRAY") & ~kind(p).startswith("ARRAY<OBJECT") & (kind(p) != "ARRAY<VOID>")
     empty = lambda t: F.array().cast(f"array<{t}>")
     concepts, relations = F.coalesce("r.concepts", empty(_CONCEPT)), F.coalesce("r.relations", empty(_RELATION))
     bad = F.exists(concepts, lambda x: x["confidence"].isNotNull() & x["confidence"].try_cast("double").isNull()) | F.exists(relations, lambda x: x["confidence"].isNotNull() & x["confidence"].try_cast("double").isNull())
-    error = F.when(F.col("r").isNull(), "unreadable reply").when(bad, "unreadable confidence")
-    out = parsed.withColumn("error", error)
+    error = F.when(F.col("r").isNull() | no_object, "unreadable reply").when(no_list("$.concepts") | no_list("$.relations"), "concepts and relations must be lists")
+    error = error.when(no_objects("$.concepts") | no_objects("$.relations"), "entries must be objects").when(bad, "unreadable confidence")
+    out = parsed.withColumn("error", error).drop("v")
     return out.withColumns({"concepts": F.when(F.col("error").isNull(), concepts).otherwise(empty(_CONCEPT)), "relations": F.when(F.col("error").isNull(), relations).otherwise(empty(_RELATION))}).drop("r")
 
 
@@ -93,20 +99,36 @@ def relation_rows(extracted: DataFrame, mentioned: DataFrame, least: float = 0.6
     return r.select(F.concat_ws("|", "source_concept_id", "relation", "target_concept_id", "chunk_id").alias("relation_id"), "source_concept_id", "relation", "target_concept_id", "confidence", "evidence", "chunk_id", "source_name", "page_start", "page_end", "ord")
 
 
-def aggregate_concepts(mentioned: DataFrame, order: str = "chunk_id") -> DataFrame:
-    """One row per concept: first name and type, all aliases, largest confidence, distinct chunks, first description that is not empty.
+def mention_edges(mentioned: DataFrame) -> DataFrame:
+    """(chunk_id, concept_id), each once: the edge table of the graph."""
+    return mentioned.select("chunk_id", "concept_id").distinct()
 
-    "First" is by the chunks' order and the place in a chunk, never by arrival.
+
+def aggregate_concepts(mentioned: DataFrame, order: str = "chunk_id", *, lists: bool = True) -> DataFrame:
+    """One row per concept: first name and type, all aliases, largest confidence, first description that is not empty, the number of
+    chunks and the first of them; with `lists` also all of them, as the exported table has it.
+
+    "First" is by the chunks' order and the place in a chunk, never by arrival. Without lists every column is a partial
+    aggregate of bounded size, however frequent a concept; mention_edges() has the chunks as rows.
     """
     ord_ = F.struct(order, "ord")
-    return mentioned.groupBy("concept_id").agg(
-        F.min_by("name", ord_).alias("name"),
-        F.min_by("type", ord_).alias("type"),
+    alone = mentioned.groupBy("concept_id", "chunk_id").agg(
+        F.min(F.struct(ord_.alias("o"), "name", "type")).alias("head"),
+        F.flatten(F.collect_set("aliases")).alias("aliases"),
+        F.min(F.when(F.col("description") != "", F.struct(ord_.alias("o"), "description"))).alias("about"),
+        F.max("confidence").alias("confidence"),
+    )
+    one = alone.groupBy("concept_id").agg(
+        F.min("head").alias("head"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("aliases")))).alias("aliases"),
-        F.coalesce(F.min_by(F.when(F.col("description") != "", F.col("description")), F.when(F.col("description") != "", ord_)), F.lit("")).alias("description"),
+        F.min("about").alias("about"),
         F.max("confidence").alias("max_confidence"),
-        F.array_sort(F.collect_set("chunk_id")).alias("mention_chunk_ids"),
+        F.count(F.lit(1)).alias("n_mentions"),
+        F.min("chunk_id").alias("first_chunk"),
+        *([F.array_sort(F.collect_list("chunk_id")).alias("mention_chunk_ids")] if lists else []),
     )
+    tail = ["n_mentions", "first_chunk"] + ["mention_chunk_ids"] * lists
+    return one.select("concept_id", "head.name", "head.type", "aliases", F.coalesce("about.description", F.lit("")).alias("description"), "max_confidence", *tail)
 
 
 def dedup_relations(rows: DataFrame) -> DataFrame:

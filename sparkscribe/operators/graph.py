@@ -30,8 +30,9 @@ def grounded(edges: DataFrame, source: str, sources: DataFrame, source_key: str,
     return kept.join(targets.select(F.col(target_key).alias(target)).distinct(), target, "left_semi").distinct()
 
 
-def build_graph(chunks: DataFrame, concepts: DataFrame, relations: DataFrame, *, unique: bool = True) -> dict[str, DataFrame]:
-    """Node and edge tables. unique: refuse repeated chunk or concept ids."""
+def build_graph(chunks: DataFrame, concepts: DataFrame, relations: DataFrame, mentions: DataFrame | None = None, *, unique: bool = True) -> dict[str, DataFrame]:
+    """Node and edge tables. mentions: (chunk_id, concept_id) rows; without them the lists of the concepts are exploded. unique: refuse
+    repeated chunk or concept ids."""
     if unique:
         assert_unique(chunks, "chunk_id")
         assert_unique(concepts, "concept_id")
@@ -39,7 +40,7 @@ def build_graph(chunks: DataFrame, concepts: DataFrame, relations: DataFrame, *,
     return {
         "chunks": nodes,
         "concepts": ideas,
-        "mentions": grounded(chunk_concept_map(concepts), "chunk_id", nodes, "chunk_id", "concept_id", ideas, "concept_id"),
+        "mentions": grounded(chunk_concept_map(concepts) if mentions is None else mentions, "chunk_id", nodes, "chunk_id", "concept_id", ideas, "concept_id"),
         "next": grounded(next_edges(chunks), "chunk_id", nodes, "chunk_id", "next_chunk_id", nodes, "chunk_id"),
         "relations": grounded(relations.drop("ord"), "source_concept_id", ideas, "concept_id", "target_concept_id", ideas, "concept_id").dropDuplicates(["relation_id"]),
     }

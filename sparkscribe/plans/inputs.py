@@ -34,18 +34,19 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return concepts.extract_by_lexicon(chunks(spark, sf_dir).withColumn("chunk_text", F.substring("chunk_text", 1, 4000)), TEST_LEXICON)
+    return concepts.extract_by_lexicon(chunks(spark, sf_dir), TEST_LEXICON)
 
 
-def concept_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def concept_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Concepts without lists, relations, and mention rows."""
     raw = extracted(spark, sf_dir)
     named = concepts.mentions(raw)
-    return concepts.aggregate_concepts(named), concepts.dedup_relations(concepts.relation_rows(raw, named))
+    return concepts.aggregate_concepts(named, lists=False), concepts.dedup_relations(concepts.relation_rows(raw, named)), concepts.mention_edges(named)
 
 
 def knowledge(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    ideas, relations = (df.persist() for df in concept_tables(spark, sf_dir))  # each is read by several joins
-    return graph.build_graph(chunks(spark, sf_dir), ideas, relations, unique=False)
+    ideas, relations, mentions = concept_tables(spark, sf_dir)
+    return graph.build_graph(chunks(spark, sf_dir), ideas, relations, mentions, unique=False)
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sparkscribe.functions.text import LIGATURES, TITLE_KEYWORDS
+from sparkscribe.operators.bandit import POISSON
 from sparkscribe.operators.concepts import ANCHOR
 from sparkscribe.plans.inputs import TEST_LEXICON
 
@@ -60,7 +61,7 @@ DOCS = "docs AS (SELECT doc_id, printf('doc_%07d', doc_id) AS chunk_id, source,
 LEX = "lex AS (SELECT * FROM (VALUES {}) t(ord, kw, type, name))".format(", ".join(f"({i}, '{k}', '{t}', '{n}')" for i, (k, t, n) in enumerate(TEST_LEXICON)))
 MENTIONS = f"""{DOCS}, {LEX},
 hit AS (SELECT d.chunk_id, d.doc_id, {slug('l.type')} || '::' || {slug('l.name')} AS concept_id, l.name, l.type, l.kw AS aliases, 'Keyword match for ''' || l.kw || '''.' AS description, 0.7::DOUBLE AS confidence
-        FROM docs d JOIN lex l ON contains(lower(substr(d.text, 1, 4000)), l.kw)),
+        FROM docs d JOIN lex l ON contains(lower(d.text), l.kw)),
 men AS (SELECT * FROM hit UNION ALL SELECT DISTINCT chunk_id, doc_id, 'concept::medical_imaging', '{ANCHOR[0]}', '{ANCHOR[1]}', '{ANCHOR[2]}', '{ANCHOR[3]}', {ANCHOR[4]}::DOUBLE FROM hit),
 rel AS (SELECT concept_id || '|used_for|concept::medical_imaging|' || chunk_id AS relation_id, concept_id AS source_concept_id, 'used_for' AS relation, 'concept::medical_imaging' AS target_concept_id,
         0.6::DOUBLE AS confidence, 'Heuristic default relation.' AS evidence, chunk_id FROM hit WHERE type = 'modality')"""
@@ -87,31 +88,71 @@ ev AS (SELECT sha256('42:' || p.round) AS event_id, p.round, p.query_no, p.k, p.
          + sqrt(-2 * ln(greatest({uniform("'42'", 'p.round::VARCHAR', "'u'")}, 1e-12))) * cos(2 * 3.141592653589793 * {uniform("'42'", 'p.round::VARCHAR', "'v'")}) * 0.05))::DOUBLE AS reward
        FROM pick p JOIN arm a ON a.query_no = p.query_no AND a.rank = p.arm_index + 1)"""
 Q = "0.1 * f1 + 0.2 * f2 + 0.05 * f3 + 0.05 * f4 + 0.5 * f5"
-TERMS = f"""{EVENTS},
-pol AS (SELECT 'retrieval' AS policy, ev.*, ev.best AS b FROM ev UNION ALL SELECT 'random', ev.*, floor({uniform("'42'", 'event_id', "'random'")} * k)::INT FROM ev),
-qh AS (SELECT query_no, rank - 1 AS i, {Q} AS q FROM arm), qs AS (SELECT query_no, sum(q) AS s FROM qh GROUP BY query_no),
+
+
+def terms(q: str, more: str = "", others: str = "") -> str:
+    return f"""{EVENTS}{more},
+pol AS (SELECT 'retrieval' AS policy, ev.*, ev.best AS b FROM ev UNION ALL SELECT 'random', ev.*, floor({uniform("'42'", 'event_id', "'random'")} * k)::INT FROM ev{others}),
+qh AS (SELECT query_no, rank - 1 AS i, {q} FROM {'arm, sol' if more else 'arm'}), qs AS (SELECT query_no, sum(q) AS s FROM qh GROUP BY query_no),
 term AS (SELECT p.policy, p.round, p.reward, (CASE WHEN p.b = p.arm_index THEN 0.95 ELSE 0 END + 0.05 / p.k) / greatest(1e-8, p.propensity) AS weight, qs.s * 0.05 / p.k + x.q * 0.95 AS v_hat, l.q AS q_logged
          FROM pol p JOIN qs USING (query_no) JOIN qh x ON x.query_no = p.query_no AND x.i = p.b JOIN qh l ON l.query_no = p.query_no AND l.i = p.arm_index),
 tm AS (SELECT *, v_hat + weight * (reward - q_logged) AS dr FROM term)"""
 
+
+TERMS = terms(f"{Q} AS q")
+
+
+def solved(source: str, n: int = 5) -> str:
+    """From rows of f1 to f5 and reward: g5 with the weights w_i of a ridge of 1 and the inverse v_i_j of its matrix, by elimination."""
+    cell = lambda i, j: f"m_{i}_{j}"
+    start = [f"sum(f{i + 1} * f{j + 1}) + {float(i == j)} AS {cell(i, j)}" for i in range(n) for j in range(n)]
+    start += [f"sum(f{i + 1} * reward) AS {cell(i, n)}" for i in range(n)] + [f"{float(i == j)}::DOUBLE AS {cell(i, n + 1 + j)}" for i in range(n) for j in range(n)]
+    steps = [f"g0 AS (SELECT {', '.join(start)}, count(*) AS n_trained, avg(reward) AS mean_reward FROM {source})"]
+    for k in range(n):
+        rows = [f"{cell(k, j)} / {cell(k, k)} AS {cell(k, j)}" if i == k else f"{cell(i, j)} - {cell(i, k)} * {cell(k, j)} / {cell(k, k)} AS {cell(i, j)}" for i in range(n) for j in range(2 * n + 1)]
+        steps.append(f"g{k + 1} AS (SELECT {', '.join(rows)}, n_trained, mean_reward FROM g{k})")
+    names = [f"{cell(i, n)} AS w_{i}" for i in range(n)] + [f"{cell(i, n + 1 + j)} AS v_{i}_{j}" for i in range(n) for j in range(n)]
+    return ", ".join([*steps, f"sol AS (SELECT {', '.join(names)}, n_trained, mean_reward FROM g{n})"])
+
+
+WX = " + ".join(f"w_{i} * f{i + 1}" for i in range(5))
+UCB = f"{WX} + sqrt(greatest(0, {' + '.join(f'v_{i}_{j} * f{i + 1} * f{j + 1}' for i in range(5) for j in range(5))}))"
+
+
+BOOT = f"""dw AS (SELECT policy, b.range AS b, dr, {uniform("'59'", 'b.range::VARCHAR', 'round::VARCHAR')} AS u FROM tm, range(200) b),
+bw AS (SELECT policy, b, dr, {' + '.join(f'(u > {c!r})::INT' for c in POISSON)} AS w FROM dw), bm AS (SELECT policy, b, sum(w * dr) / sum(w) AS m FROM bw GROUP BY ALL)"""
+
 _EMB_TOP = f"""e AS (SELECT vec_id, label, embedding, sqrt({dot('embedding', 'embedding')}) AS n FROM embeddings),
-s AS (SELECT q.vec_id AS qid, q.label AS own, v.vec_id AS vid, v.label, {dot('v.embedding', 'q.embedding')} / (v.n * q.n) AS score FROM e q, e v WHERE q.vec_id < 20),
+s AS (SELECT q.vec_id AS qid, q.label AS own, v.vec_id AS vid, v.label, {dot('v.embedding', 'q.embedding')} / (v.n * q.n) AS score FROM e q, e v WHERE q.vec_id % 20 = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vid)::INT AS rk FROM s)"""
 
-PAGES = f"pg AS (SELECT source AS source_name, doc_id AS page_num, {clean("replace(text, chr(10), chr(10) || chr(10))")} AS clean_text FROM documents)"
-PARAS = f"""{PAGES},
+_RAW = clean("replace(text, chr(10), chr(10) || chr(10))")
+PAGES = f"pg AS (SELECT source AS source_name, doc_id AS page_num, {_RAW} AS clean_text FROM documents)"
+#: Page numbers that repeat or are missing (0), sources that are missing.
+ODD_PAGES = f"pg AS (SELECT CASE WHEN doc_id % 5 <> 0 THEN source END AS source_name, CASE WHEN doc_id % 9 <> 0 THEN doc_id % 50 ELSE 0 END AS page_num, {_RAW} AS clean_text FROM documents)"
+
+
+def paras(pages: str) -> str:
+    return f"""{pages},
 pl AS (SELECT source_name, page_num, list_filter(list_transform(string_split(clean_text, chr(10) || chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS ps, clean_text FROM pg),
-par AS (SELECT source_name, page_num, unnest(range(0, len(ps)))::INT AS para_no, unnest(ps) AS para, clean_text FROM pl)"""
-CHUNKS = f"""{PARAS},
-kept AS (SELECT *, length(para) AS size, {title('para')} AS title, regexp_matches(para, '[.!?;]$') AS final, row_number() OVER (PARTITION BY source_name ORDER BY page_num, para_no) AS rn
-         FROM par WHERE length(clean_text) >= 80 OR {title('clean_text')}),
+par AS (SELECT source_name, page_num, unnest(range(0, len(ps)))::INT AS para_no, unnest(ps) AS para, clean_text FROM (SELECT * FROM pl ORDER BY source_name, page_num, clean_text))"""
+
+
+def chunks(pages: str) -> str:
+    opens = "f.fresh OR (f.len >= 600 AND (k.title OR f.len + 2 + k.size > 1800))"
+    return f"""{paras(pages)},
+kept AS (SELECT *, length(para) AS size, {title('para')} AS title, regexp_matches(para, '[.!?;]$') AS final, row_number() OVER (PARTITION BY source_name ORDER BY page_num, clean_text, copy, para_no) AS rn
+         FROM (SELECT *, row_number() OVER (PARTITION BY source_name, page_num, clean_text, para_no) AS copy FROM par) WHERE length(clean_text) >= 80 OR {title('clean_text')}),
 f AS (SELECT source_name, rn, 1 AS chunk_no, size AS len, false AS fresh FROM kept WHERE rn = 1
       UNION ALL
-      SELECT k.source_name, k.rn, CASE WHEN f.fresh OR (f.len >= 600 AND (k.title OR f.len + 2 + k.size > 1800)) THEN f.chunk_no + 1 ELSE f.chunk_no END,
-             CASE WHEN f.fresh OR (f.len >= 600 AND (k.title OR f.len + 2 + k.size > 1800)) THEN k.size ELSE f.len + 2 + k.size END,
-             CASE WHEN f.fresh OR (f.len >= 600 AND (k.title OR f.len + 2 + k.size > 1800)) THEN false ELSE f.len + 2 + k.size >= 1200 AND k.final END
-      FROM f JOIN kept k ON k.source_name = f.source_name AND k.rn = f.rn + 1),
-ch AS (SELECT source_name, chunk_no, min(page_num) AS page_start, max(page_num) AS page_end, string_agg(para, chr(10) || chr(10) ORDER BY rn) AS t FROM f JOIN kept USING (source_name, rn) GROUP BY ALL)"""
+      SELECT k.source_name, k.rn, CASE WHEN {opens} THEN f.chunk_no + 1 ELSE f.chunk_no END, CASE WHEN {opens} THEN k.size ELSE f.len + 2 + k.size END,
+             CASE WHEN {opens} THEN false ELSE f.len + 2 + k.size >= 1200 AND k.final END
+      FROM f JOIN kept k ON k.source_name IS NOT DISTINCT FROM f.source_name AND k.rn = f.rn + 1),
+ch AS (SELECT f.source_name, f.chunk_no, min(page_num) AS page_start, max(page_num) AS page_end, string_agg(para, chr(10) || chr(10) ORDER BY f.rn) AS t
+       FROM f JOIN kept k ON k.source_name IS NOT DISTINCT FROM f.source_name AND k.rn = f.rn GROUP BY ALL)"""
+
+
+PARAS, CHUNKS = paras(PAGES), chunks(PAGES)
 
 _HASH = normal_text("t")
 VERSIONS = f"""v1 AS (SELECT printf('doc_%07d', doc_id) AS chunk_id, sha256({normal_text('text')}) AS h FROM documents WHERE doc_id % 7 <> 0),
@@ -129,19 +170,42 @@ def _with(ctes: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{select}"
 
 
+REPORT = f"""{terms(f'{WX} AS q', f", {solved('ev')}, ub AS (SELECT query_no, arg_max(rank, (u, -rank)) - 1 AS b FROM (SELECT query_no, rank, {UCB} AS u FROM arm, sol) GROUP BY query_no)", " UNION ALL SELECT 'linucb', ev.*, ub.b FROM ev JOIN ub USING (query_no)")}, {BOOT}"""
+
+_ROUND = "s.round + 1"
+_NOISE = f"sqrt(-2 * ln(greatest({uniform("'42'", f'({_ROUND})::VARCHAR', "'u'")}, 1e-12))) * cos(2 * 3.141592653589793 * {uniform("'42'", f'({_ROUND})::VARCHAR', "'v'")}) * 0.05"
+_DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+_TIMES = lambda m, x: f"list_transform({m}, lambda r: {_DOT('r', x)})"
+#: The inverse matrix and the sums as lists, updated round by round (Sherman-Morrison).
+FOLD = f"""{ARMS},
+qa AS (SELECT query_no, list({{'x': [f1, f2, f3, f4, f5], 'base': least(1.0, len(list_intersect({words('query')}, {words('substr(text, 1, 1500)')}))::DOUBLE / greatest(1, len({words('query')})))}} ORDER BY rank) AS arms FROM arm GROUP BY query_no),
+nq AS (SELECT count(*) AS nq FROM qry),
+st AS (SELECT -1 AS round, -1 AS query_no, -1 AS arm_index, 0::DOUBLE AS propensity, 0::DOUBLE AS reward, list_transform(range(5), lambda i: list_transform(range(5), lambda j: (i = j)::INT::DOUBLE)) AS inv, [0.0, 0, 0, 0, 0]::DOUBLE[] AS b
+  UNION ALL
+  SELECT round, query_no, c - 1, CASE WHEN c = best THEN 0.8 ELSE 0 END::DOUBLE + 0.2::DOUBLE / k, rw,
+         list_transform(list_zip(inv, y), lambda p: list_transform(list_zip(p[1], y), lambda t: t[1] - p[2] * t[2] / den)), list_transform(list_zip(b, x), lambda t: t[1] + rw * t[2])
+  FROM (SELECT *, {_TIMES('inv', 'x')} AS y, 1 + {_DOT('x', _TIMES('inv', 'x'))} AS den
+    FROM (SELECT *, arms[c].x AS x, greatest(0.0, least(1.0, arms[c].base + noise))::DOUBLE AS rw
+      FROM (SELECT *, CASE WHEN eu < 0.2 THEN floor(av * k)::INT + 1 ELSE best END AS c
+        FROM (SELECT *, list_position(u, list_max(u)) AS best
+          FROM (SELECT {_ROUND} AS round, q.query_no, q.arms, len(q.arms) AS k, s.inv, s.b, {_NOISE} AS noise, {uniform("'42'", f'({_ROUND})::VARCHAR', "'explore'")} AS eu, {uniform("'42'", f'({_ROUND})::VARCHAR', "'arm'")} AS av,
+                       list_transform(q.arms, lambda a: {_DOT('a.x', _TIMES('s.inv', 's.b'))} + sqrt(greatest(0, {_DOT('a.x', _TIMES('s.inv', 'a.x'))}))) AS u
+                FROM st s, nq JOIN qa q ON true WHERE s.round < 199 AND q.query_no = (s.round + 1) % nq.nq))))))"""
+
 ORACLES = {
     "vector_topk": _with(_EMB_TOP, "SELECT qid, rk, vid, round(score, 6) AS score FROM t WHERE rk <= 10"),
-    "vector_topk_metadata": _with(_EMB_TOP, "SELECT t.qid, t.rk, t.vid, CASE WHEN d.doc_id IS NOT NULL THEN t.label END AS label, substr(d.text, 1, 350) AS preview FROM t LEFT JOIN documents d ON d.doc_id = t.vid AND d.doc_id % 3 <> 0 WHERE rk <= 5"),
+    "vector_topk_metadata": _with(_EMB_TOP, "SELECT t.qid, t.rk, t.vid, CASE WHEN d.doc_id IS NOT NULL THEN t.label END AS label, substr(d.text, 1, 350) AS preview FROM t LEFT JOIN documents d ON d.doc_id = t.vid WHERE rk <= 5"),
     "l2_normalized": f"SELECT vec_id, unnest(range(0, len(x)))::INT AS pos, unnest(list_transform(x, lambda y: round(y::DOUBLE / sqrt({dot('x', 'x')}), 6))) AS value FROM (SELECT vec_id, list_transform(embedding, lambda y: y::DOUBLE * 3) AS x FROM embeddings)",
     "hash_embeddings": f"WITH r AS (SELECT item_id, {embedding('text', 32)} AS r FROM benchmark) SELECT item_id, unnest(range(0, 32))::INT AS pos, unnest(list_transform(r, lambda x: round((x::DOUBLE / sqrt({dot('r', 'r')}))::FLOAT::DOUBLE, 6))) AS value FROM r",
     "content_hashes": f"SELECT doc_id, sha256({normal_text('text')}) AS hash FROM documents",
-    "slug_ids": f"SELECT doc_id, {slug("source || ' ' || lang")} || '::' || {slug('substr(text, 1, 25)')} AS concept_id FROM documents",
-    "token_sets": f"SELECT doc_id, len({words('text')})::INT AS n_tokens FROM documents",
+    "slug_ids": f"SELECT doc_id, {slug("source || ' ' || lang")} || '::' || {slug('text')} AS concept_id FROM documents",
+    "token_sets": f"SELECT doc_id, len({words('text')})::INT AS n_tokens, sha256(array_to_string(list_sort({words('text')}), ' ')) AS tokens_sha FROM documents",
     "json_recovery": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (props::JSON ->> 'k')::BIGINT END AS k FROM events",
     "clean_pages": f"SELECT doc_id AS page_num, {clean('text')} AS clean_text, length({clean('text')})::INT AS char_count FROM documents WHERE doc_id >= 5",
     "page_filter": f"WITH p AS (SELECT doc_id AS page_num, {clean('text')} AS t FROM documents) SELECT page_num, t <> '' AND (length(t) >= 80 OR {title('t')}) AS keep, {title('t')} AS is_title FROM p",
     "paragraphs": _with(PARAS, "SELECT page_num, para_no, length(para)::INT AS size, greatest(1, length(para) // 4)::INT AS tokens FROM par"),
     "chunks": _with(CHUNKS, "SELECT source_name, printf('chunk_chunk_%04d', chunk_no) AS chunk_id, page_start, page_end, length(t)::INT AS char_count, greatest(1, length(t) // 4)::INT AS token_estimate, sha256(t) AS text_sha FROM ch", True),
+    "chunks_repeated_pages": _with(chunks(ODD_PAGES), "SELECT source_name, printf('chunk_chunk_%04d', chunk_no) AS chunk_id, page_start, page_end, lead(printf('chunk_chunk_%04d', chunk_no)) OVER (PARTITION BY source_name ORDER BY chunk_no) AS next_chunk_id, sha256(t) AS text_sha FROM ch", True),
     "chunk_links": _with(CHUNKS, "SELECT source_name, printf('chunk_chunk_%04d', chunk_no) AS chunk_id, lag(printf('chunk_chunk_%04d', chunk_no)) OVER w AS prev_chunk_id, lead(printf('chunk_chunk_%04d', chunk_no)) OVER w AS next_chunk_id FROM ch WINDOW w AS (PARTITION BY source_name ORDER BY chunk_no)", True),
     "change_detection": _with(VERSIONS, "SELECT CASE WHEN v1.h = v2.h THEN 'unchanged' WHEN v1.h IS NOT NULL THEN 'changed' ELSE 'new' END AS status, count(*) AS n FROM v2 LEFT JOIN v1 USING (chunk_id) GROUP BY 1"),
     "upsert_result": _with(VERSIONS, "SELECT coalesce(v2.chunk_id, v1.chunk_id) AS chunk_id, coalesce(v2.h, v1.h) AS content_hash, CASE WHEN v2.h IS NULL OR v1.h = v2.h THEN 1 ELSE 2 END::INT AS version FROM v1 FULL JOIN v2 USING (chunk_id)"),
@@ -150,15 +214,16 @@ ORACLES = {
     "concept_aggregate": _with(MENTIONS, "SELECT concept_id, arg_min(name, chunk_id) AS name, arg_min(type, chunk_id) AS type, array_to_string(list_sort(list_distinct(list(aliases))), ';') AS aliases, arg_min(description, chunk_id) AS description, max(confidence) AS max_confidence, count(DISTINCT chunk_id)::INT AS n_mentions, min(chunk_id) AS first_chunk FROM men GROUP BY concept_id"),
     "relation_dedup": _with(MENTIONS, "SELECT * FROM rel"),
     "chunk_concept_map": _with(MENTIONS, "SELECT DISTINCT chunk_id, concept_id FROM men"),
-    "extraction_log": """WITH d AS (SELECT doc_id % 10 AS m, lower(source) AS s FROM documents)
-SELECT CASE WHEN m IN (3, 5) THEN 'error' ELSE 'ok' END AS status, CASE m WHEN 3 THEN 'unreadable reply' WHEN 5 THEN 'unreadable confidence' END AS error, count(*) AS n,
-       sum(CASE WHEN m NOT IN (3, 5) THEN 2 END)::BIGINT AS concepts, sum(CASE WHEN m NOT IN (3, 5) THEN 1 END)::BIGINT AS relations FROM d GROUP BY 1, 2""",
+    "extraction_log": """WITH d AS (SELECT doc_id % 10 AS m, m NOT IN (3, 5, 7, 8, 9) AS ok FROM documents)
+SELECT CASE WHEN ok THEN 'ok' ELSE 'error' END AS status,
+       CASE m WHEN 3 THEN 'unreadable reply' WHEN 9 THEN 'unreadable reply' WHEN 5 THEN 'unreadable confidence' WHEN 7 THEN 'concepts and relations must be lists' WHEN 8 THEN 'entries must be objects' END AS error,
+       count(*) AS n, sum(CASE WHEN ok THEN 2 END)::BIGINT AS concepts, sum(CASE WHEN ok THEN 1 END)::BIGINT AS relations FROM d GROUP BY 1, 2""",
     "graph_stats": _with(MENTIONS, "SELECT (SELECT count(*) FROM docs) AS chunks, (SELECT count(DISTINCT concept_id) FROM men) AS concepts, (SELECT count(*) FROM (SELECT DISTINCT chunk_id, concept_id FROM men)) AS mentions, (SELECT count(*) FROM rel) AS relations, (SELECT count(*) FROM docs a JOIN docs b ON b.doc_id = a.doc_id + 1) AS next_edges"),
-    "graph_expand": _with(f"{MENTIONS}, {EDGES}", "SELECT m.chunk_id, row_number() OVER (PARTITION BY m.chunk_id ORDER BY e.source_concept_id, e.relation, e.target_concept_id, e.confidence)::INT AS edge_no, e.* FROM (SELECT DISTINCT chunk_id, concept_id FROM men WHERE doc_id % 10 = 0) m JOIN edge e ON e.source_concept_id = m.concept_id QUALIFY edge_no <= 8"),
-    "index_binding": _with(DOCS, "SELECT chunk_id, CASE WHEN r.doc_id IS NOT NULL THEN 'main' END AS index_name, r.n AS row_index, CASE WHEN r.doc_id IS NOT NULL THEN 384 END::INT AS embedding_dim FROM docs LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM docs WHERE doc_id % 4 <> 1) r USING (doc_id)"),
+    "graph_expand": _with(f"{MENTIONS}, {EDGES}", "SELECT m.chunk_id, row_number() OVER (PARTITION BY m.chunk_id ORDER BY e.source_concept_id, e.relation, e.target_concept_id, e.confidence)::INT AS edge_no, e.* FROM (SELECT DISTINCT chunk_id, concept_id FROM men) m JOIN edge e ON e.source_concept_id = m.concept_id QUALIFY edge_no <= 8"),
+    "index_binding": _with(DOCS, "SELECT chunk_id, CASE WHEN r.doc_id IS NOT NULL THEN 'main' END AS index_name, r.n AS row_index, CASE WHEN r.doc_id IS NOT NULL THEN 384 END::INT AS embedding_dim FROM docs LEFT JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM docs) r USING (doc_id)"),
     "hybrid_retrieve": _with(
         f"{HITS}, {MENTIONS.replace(DOCS + ', ', '').replace('hit AS', 'khit AS').replace('FROM hit', 'FROM khit')}, {EDGES}",
-        "SELECT h.query_no AS query_id, h.rank, d.chunk_id, round(h.score, 6) AS score, d.source AS source_name, d.doc_id::INT AS page_start, substr(d.text, 1, 350) AS chunk_preview, (SELECT count(DISTINCT concept_id) FROM men m WHERE m.chunk_id = d.chunk_id)::INT AS n_mentions, least(8, (SELECT count(*) FROM (SELECT DISTINCT e.* FROM men m JOIN edge e ON e.source_concept_id = m.concept_id WHERE m.chunk_id = d.chunk_id)))::INT AS n_related FROM hit h JOIN docs d USING (doc_id) WHERE h.rank <= 5",
+        "SELECT h.query_no AS query_id, h.rank, d.chunk_id, round(h.score, 6) AS score, d.source AS source_name, d.doc_id::INT AS page_start, substr(d.text, 1, 350) AS chunk_preview, coalesce(mm.x, '') AS mentions, coalesce(rr.x, '') AS related FROM hit h JOIN docs d USING (doc_id) LEFT JOIN (SELECT chunk_id, string_agg(concept_id || '/' || name || '/' || type, ';' ORDER BY concept_id, name, type) AS x FROM (SELECT DISTINCT chunk_id, concept_id, name, type FROM men) GROUP BY chunk_id) mm ON mm.chunk_id = d.chunk_id LEFT JOIN (SELECT chunk_id, string_agg(source_concept_id || '/' || source_name || '/' || relation || '/' || target_concept_id || '/' || target_name, ';' ORDER BY n) AS x FROM (SELECT m.chunk_id, e.*, row_number() OVER (PARTITION BY m.chunk_id ORDER BY e.source_concept_id, e.relation, e.target_concept_id, e.confidence) AS n FROM (SELECT DISTINCT chunk_id, concept_id FROM men) m JOIN edge e ON e.source_concept_id = m.concept_id) WHERE n <= 8 GROUP BY chunk_id) rr ON rr.chunk_id = d.chunk_id WHERE h.rank <= 5",
     ),
     "arm_features": _with(ARMS, "SELECT query_no, rank, chunk_id, round(f1, 6) AS f1, round(f2, 6) AS f2, round(f3, 6) AS f3, round(f4, 6) AS f4, round(f5, 6) AS f5 FROM arm"),
     "greedy_choice": _with(ARMS, "SELECT query_no, (arg_max(rank, (f1, -rank)) - 1)::INT AS by_score, (arg_max(rank, (f5, -rank)) - 1)::INT AS by_overlap FROM arm GROUP BY query_no"),
@@ -167,13 +232,26 @@ SELECT CASE WHEN m IN (3, 5) THEN 'error' ELSE 'ok' END AS status, CASE m WHEN 3
     "ope_ips_snips": _with(TERMS, "SELECT policy, round(sum(weight * reward) / count(*), 6) AS ips, round(sum(weight * reward) / greatest(1e-8, sum(weight)), 6) AS snips, count(*) AS n_events FROM tm GROUP BY policy"),
     "ope_dm_dr": _with(TERMS, "SELECT policy, round(avg(v_hat), 6) AS dm, round(avg(dr), 6) AS dr FROM tm GROUP BY policy"),
     "ope_bootstrap": _with(
-        f"{TERMS}, dw AS (SELECT b.range AS b, floor({uniform("'59'", 'b.range::VARCHAR', 'i.range::VARCHAR')} * 200)::INT AS round FROM range(200) b, range(200) i), bm AS (SELECT policy, b, avg(dr) AS m FROM dw JOIN tm USING (round) GROUP BY ALL)",
+        f"{TERMS}, {BOOT}",
         "SELECT policy, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM bm GROUP BY policy",
     ),
+    "ucb_scores": _with(f"{EVENTS}, {solved('ev')}", f"SELECT query_no, rank, round({UCB}, 6) AS ucb FROM arm, sol"),
+    "ridge_weights": _with(f"{EVENTS}, {solved('ev')}", " UNION ALL ".join(f"SELECT 'w_{i}' AS entry, round(w_{i}, 6) AS value FROM sol" for i in range(5))),
+    "linucb_training": _with(f"{EVENTS}, {solved('ev')}", f"SELECT 200::BIGINT AS seen, n_trained AS trained, (200 - n_trained)::BIGINT AS skipped, round(mean_reward, 6) AS mean_reward, {', '.join(f'round(w_{i}, 6) AS theta_{i}' for i in range(5))} FROM sol"),
+    "ope_report": _with(
+        REPORT,
+        "SELECT policy, round(sum(weight * reward) / count(*), 6) AS ips, round(sum(weight * reward) / greatest(1e-8, sum(weight)), 6) AS snips, round(avg(v_hat), 6) AS dm, round(avg(dr), 6) AS dr, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n_events FROM tm JOIN (SELECT policy, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM bm GROUP BY policy) USING (policy) GROUP BY policy",
+    ),
+    "replay_linucb": _with(FOLD, "SELECT round::INT AS round, query_no, arm_index::INT AS arm_index, round(propensity, 6) AS propensity, round(reward, 6) AS reward FROM st WHERE round >= 0", True),
+    "index_build": _with(HITS, "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, printf('doc_%07d', doc_id) AS chunk_id, round(na, 6) AS vector_norm FROM dn"),
+    "index_map_rows": _with(DOCS, "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, chunk_id, 'hash-v1' AS embedding_model, 32 AS embedding_dim, 'main' AS index_name FROM docs"),
+    "vector_manifest": _with(VERSIONS, "SELECT count(*) AS chunks_total, count(*) FILTER (v1.h = v2.h) AS skipped, count(*) FILTER (v1.h IS DISTINCT FROM v2.h) AS recomputed, 'hash-v1' AS embedding_model FROM v2 LEFT JOIN v1 USING (chunk_id)"),
+    "graph_manifest": _with(MENTIONS, "SELECT (SELECT count(*) FROM docs) AS chunks_processed, 0::BIGINT AS log_errors, (SELECT count(DISTINCT concept_id) FROM men) AS concepts_total, (SELECT count(*) FROM rel) AS relations_total, 'heuristic' AS backend"),
+    "linked_count": "SELECT count(*) AS linked FROM documents",
     "chunk_quality": "SELECT source AS source_name, count(*) AS n_chunks, round(avg(length(text)), 6) AS avg_chars, round(count(*) FILTER (length(text) BETWEEN 600 AND 1800) / count(*), 6) AS pct_in_range, count(*) FILTER (length(text) < 300 OR length(text) > 2200) AS n_outliers FROM documents GROUP BY source",
     "bm25_topk": _with(BM25, "SELECT query_id, rank, id AS doc_id, round(score, 6) AS score FROM bm"),
     "retrieval_metrics": _with(
-        _EMB_TOP + ", tot AS (SELECT label, count(*) - 1 AS total FROM embeddings GROUP BY label), h AS (SELECT qid, rk - 1 AS rank, t.label = own AS rel, total FROM t JOIN tot ON tot.label = t.own WHERE rk <= 11 AND vid <> qid AND rk >= 2), p AS (SELECT qid, count(*) FILTER (rel) AS found, min(CASE WHEN rel THEN rank END) AS first, max(total) AS total FROM h WHERE rank <= 10 GROUP BY qid)",
+        _EMB_TOP + ", tot AS (SELECT label, count(*) - 1 AS total FROM embeddings GROUP BY label), h AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rk) AS rank, t.label = own AS rel, total FROM t JOIN tot ON tot.label = t.own WHERE vid <> qid), p AS (SELECT qid, count(*) FILTER (rel) AS found, min(CASE WHEN rel THEN rank END) AS first, max(total) AS total FROM h WHERE rank <= 10 GROUP BY qid)",
         "SELECT 10 AS k, round(avg(found / 10), 6) AS precision, round(avg(found / greatest(1, total)), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM p",
     ),
     "rank_fusion": _with(

@@ -39,7 +39,7 @@ def process_pages(pages: DataFrame, workspace: str, *, start_page: int = 11, pre
     cleaned = chunking.clean_pages(pages, start_page)
     files.write_jsonl(cleaned, f"{workspace}/pages")
     cleaned = files.read_jsonl(spark, f"{workspace}/pages", cleaned.schema.simpleString()[7:-1].replace(":", " "))
-    chunks = chunking.build_chunks(chunking.page_paragraphs(chunking.kept_pages(cleaned)), prefix, **sizes)
+    chunks = chunking.build_chunks(chunking.kept_pages(cleaned), prefix, **sizes)
     several = cleaned.select("source_name").distinct().limit(2).count() > 1
     if several:
         tag = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws("_", "source_name", c)).alias(c)
@@ -90,7 +90,7 @@ def extract_concepts(spark: SparkSession, workspace: str, *, backend: str = "heu
     raw.write.mode("overwrite").parquet(f"{workspace}/graph/raw")  # a model is asked once
     raw = spark.read.parquet(f"{workspace}/graph/raw")
     named = concepts.mentions(raw, least)
-    files.write_jsonl(concepts.aggregate_concepts(named), f"{workspace}/graph/concepts")
+    files.write_jsonl(concepts.aggregate_concepts(named).drop("n_mentions", "first_chunk"), f"{workspace}/graph/concepts")
     files.write_jsonl(concepts.dedup_relations(concepts.relation_rows(raw, named, least)).drop("ord"), f"{workspace}/graph/relations")
     log = concepts.extraction_log(raw, F.date_format(now(), "yyyy-MM-dd'T'HH:mm:ssXXX"), least)
     files.write_jsonl(log, f"{workspace}/graph/log")

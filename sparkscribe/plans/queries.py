@@ -9,7 +9,7 @@ from sparkscribe.functions import text as tx
 from sparkscribe.functions.vector import hash_embedding, l2_normalize
 from sparkscribe.operators import bandit, chunking, concepts, graph, quality, search
 from sparkscribe.plans import inputs as on
-from sparkscribe.sources import store
+from sparkscribe.sources import schemas, store
 
 QUERIES: dict = {}
 #: Reward weights of the estimator queries that compare with SQL.
@@ -28,15 +28,15 @@ def r6(c, name: str):
 @query
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = on.table(spark, sf_dir, "embeddings")
-    hits = search.top_k(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), 10, id_col="vec_id", order="vec_id")
+    hits = search.top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, id_col="vec_id", order="vec_id")
     return hits.select(F.col("query_id").alias("qid"), F.col("rank").alias("rk"), F.col("vec_id").alias("vid"), r6("score", "score"))
 
 
 @query
 def vector_topk_metadata(spark, sf_dir):
     e = on.table(spark, sf_dir, "embeddings")
-    hits = search.top_k(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), 5, id_col="vec_id", order="vec_id")
-    meta = e.select("vec_id", "label").join(on.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("chunk_text")).where("vec_id % 3 <> 0"), "vec_id")
+    hits = search.top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, id_col="vec_id", order="vec_id")
+    meta = e.select("vec_id", "label").join(on.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("chunk_text")), "vec_id")
     return search.with_metadata(hits, meta, id_col="vec_id").select(F.col("query_id").alias("qid"), F.col("rank").alias("rk"), F.col("vec_id").alias("vid"), "label", F.col("chunk_preview").alias("preview"))
 
 
@@ -60,12 +60,12 @@ def content_hashes(spark, sf_dir):
 @query
 def slug_ids(spark, sf_dir):
     d = on.table(spark, sf_dir, "documents")
-    return d.select("doc_id", tx.concept_id(F.substring("text", 1, 25), F.concat_ws(" ", "source", "lang")).alias("concept_id"))
+    return d.select("doc_id", tx.concept_id(F.col("text"), F.concat_ws(" ", "source", "lang")).alias("concept_id"))
 
 
 @query
 def token_sets(spark, sf_dir):
-    return on.table(spark, sf_dir, "documents").select("doc_id", F.size(tx.tokens(F.col("text"))).alias("n_tokens"))
+    return on.table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.sha2(F.array_join(F.array_sort("t"), " "), 256).alias("tokens_sha"))
 
 
 @query
@@ -98,8 +98,7 @@ def paragraphs(spark, sf_dir):
 
 
 def _chunks(spark, sf_dir):
-    kept = chunking.kept_pages(_paragraph_pages(spark, sf_dir))
-    return chunking.build_chunks(chunking.page_paragraphs(kept))
+    return chunking.build_chunks(chunking.kept_pages(_paragraph_pages(spark, sf_dir)))
 
 
 @query
@@ -107,6 +106,15 @@ def chunks(spark, sf_dir):
     return _chunks(spark, sf_dir).select("source_name", "chunk_id", "page_start", "page_end", "char_count", "token_estimate", F.sha2("chunk_text", 256).alias("text_sha"))
 
 
+@query
+def chunks_repeated_pages(spark, sf_dir):
+    """Sources whose page numbers repeat or are missing, and a source without a name."""
+    pages = on.pages(spark, sf_dir).withColumns({"page_num": F.when(F.col("page_num") % 9 != 0, F.col("page_num") % 50), "source_name": F.when(F.col("page_num") % 5 != 0, F.col("source_name"))})
+    pages = pages.withColumn("raw_text", F.replace("raw_text", F.lit("\n"), F.lit("\n\n")))
+    chunks = chunking.build_chunks(chunking.kept_pages(chunking.clean_pages(pages, 0)))
+    return chunks.select("source_name", "chunk_id", "page_start", "page_end", "next_chunk_id", F.sha2("chunk_text", 256).alias("text_sha"))
+
+
 @query
 def chunk_links(spark, sf_dir):
     return _chunks(spark, sf_dir).select("source_name", "chunk_id", "prev_chunk_id", "next_chunk_id")
@@ -139,6 +147,46 @@ def index_map(spark, sf_dir):
     return store.number_rows(e.select("vec_id"), "vec_id").select(F.col("n").cast("long").alias("row_index"), "vec_id")
 
 
+def _index(spark, sf_dir):
+    """The index over a store that holds all documents."""
+    c = on.chunks(spark, sf_dir)
+    nothing = spark.createDataFrame([], schemas.EMBEDDING)
+    rows = store.embed(store.detect_changes(c, nothing, "hash-v1", on.DIM), store.embedder("hash", on.DIM), "hash-v1", on.DIM, F.current_timestamp())
+    return store.build_index(c.withColumn("chunk_no", F.col("doc_id")), rows, "hash-v1", on.DIM)
+
+
+@query
+def index_build(spark, sf_dir):
+    return _index(spark, sf_dir).select(F.col("vector_row_index").cast("long").alias("row_index"), "chunk_id", r6("vector_norm", "vector_norm"))
+
+
+@query
+def index_map_rows(spark, sf_dir):
+    rows = store.index_map(_index(spark, sf_dir), "hash-v1", on.DIM, "main", F.current_timestamp())
+    return rows.select(F.col("vector_row_index").cast("long").alias("row_index"), "chunk_id", "embedding_model", "embedding_dim", "index_name")
+
+
+@query
+def vector_manifest(spark, sf_dir):
+    first, second = _versions(spark, sf_dir)
+    n = {r.status: r["count"] for r in store.detect_changes(second, first, "hash-v1", 384).groupBy("status").count().collect()}
+    m = store.manifest(sum(n.values()), n, "hash", "hash-v1", 384)
+    return spark.createDataFrame([(m["chunks_total"], m["skipped"], m["recomputed"], m["embedding_model"])], "chunks_total long, skipped long, recomputed long, embedding_model string")
+
+
+@query
+def graph_manifest(spark, sf_dir):
+    raw = on.extracted(spark, sf_dir)
+    ideas, relations, _ = on.concept_tables(spark, sf_dir)
+    return concepts.graph_manifest(concepts.extraction_log(raw, F.current_timestamp()), ideas, relations).drop("llm_model")
+
+
+@query
+def linked_count(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    return graph.linked_count(graph.bind_index(on.chunks(spark, sf_dir), index, "main", "hash-v1", on.DIM, F.current_timestamp())["edges"], "main")
+
+
 @query
 def concept_mentions(spark, sf_dir):
     m = concepts.mentions(on.extracted(spark, sf_dir))
@@ -147,26 +195,27 @@ def concept_mentions(spark, sf_dir):
 
 @query
 def concept_aggregate(spark, sf_dir):
-    ideas, _ = on.concept_tables(spark, sf_dir)
-    return ideas.select("concept_id", "name", "type", F.array_join("aliases", ";").alias("aliases"), "description", "max_confidence", F.size("mention_chunk_ids").alias("n_mentions"), F.element_at("mention_chunk_ids", 1).alias("first_chunk"))
+    ideas = on.concept_tables(spark, sf_dir)[0]
+    return ideas.select("concept_id", "name", "type", F.array_join("aliases", ";").alias("aliases"), "description", "max_confidence", F.col("n_mentions").cast("int").alias("n_mentions"), "first_chunk")
 
 
 @query
 def relation_dedup(spark, sf_dir):
-    _, relations = on.concept_tables(spark, sf_dir)
+    relations = on.concept_tables(spark, sf_dir)[1]
     return relations.select("relation_id", "source_concept_id", "relation", "target_concept_id", "confidence", "evidence", "chunk_id")
 
 
 @query
 def chunk_concept_map(spark, sf_dir):
-    return store.chunk_concept_map(on.concept_tables(spark, sf_dir)[0])
+    return on.concept_tables(spark, sf_dir)[2]
 
 
 @query
 def extraction_log(spark, sf_dir):
     c = on.chunks(spark, sf_dir)
     good = F.concat(F.lit('{"concepts":[{"name":"'), "source_name", F.lit('","type":"Method","confidence":0.9},{"name":" Goal ","type":"odd","confidence":0.7},{"name":"low","confidence":0.1}],"relations":[{"source":"goal","relation":"USED_FOR","target":"'), "source_name", F.lit('","confidence":0.8},{"source":"goal","relation":"likes","target":"low","confidence":0.8}]}'))
-    reply = F.when(F.col("doc_id") % 10 == 3, "{broken").when(F.col("doc_id") % 10 == 5, '{"concepts":[{"name":"a","confidence":"high"}]}').when(F.col("doc_id") % 10 == 6, F.concat(F.lit("Sure! "), good, F.lit(" Bye."))).otherwise(good)
+    reply = F.when(F.col("doc_id") % 10 == 3, "{broken").when(F.col("doc_id") % 10 == 5, '{"concepts":[{"name":"a","confidence":"high"}]}').when(F.col("doc_id") % 10 == 6, F.concat(F.lit("Sure! "), good, F.lit(" Bye.")))
+    reply = reply.when(F.col("doc_id") % 10 == 7, '{"concepts":"oops"}').when(F.col("doc_id") % 10 == 8, '{"concepts":[1]}').when(F.col("doc_id") % 10 == 9, '["a"]').otherwise(good)
     log = concepts.extraction_log(concepts.parse_replies(c.withColumn("reply", reply)), F.lit("2024-01-01"))
     return log.groupBy("status", "error").agg(F.count(F.lit(1)).alias("n"), F.sum("concept_count").alias("concepts"), F.sum("relation_count").alias("relations"))
 
@@ -178,14 +227,13 @@ def graph_stats(spark, sf_dir):
 
 @query
 def graph_expand(spark, sf_dir):
-    some = on.chunks(spark, sf_dir).where("doc_id % 10 = 0").select("chunk_id")
-    return graph.expand(some, on.knowledge(spark, sf_dir), 8).select("chunk_id", "edge_no", "source_concept_id", "source_name", "relation", "target_concept_id", "target_name", "confidence")
+    return graph.expand(on.chunks(spark, sf_dir).select("chunk_id"), on.knowledge(spark, sf_dir), 8).select("chunk_id", "edge_no", "source_concept_id", "source_name", "relation", "target_concept_id", "target_name", "confidence")
 
 
 @query
 def index_binding(spark, sf_dir):
     c = on.chunks(spark, sf_dir)
-    rows = store.number_rows(c.where("doc_id % 4 <> 1").select("chunk_id", "doc_id"), "doc_id").select("chunk_id", F.col("n").alias("vector_row_index"))
+    rows = store.number_rows(c.select("chunk_id", "doc_id"), "doc_id").select("chunk_id", F.col("n").alias("vector_row_index"))
     bound = graph.bind_index(c, rows, "main", "hash-v1", 384, F.lit("2024-01-01"))
     return bound["chunks"].select("chunk_id", "index_name", F.col("vector_row_index").cast("long").alias("row_index"), "embedding_dim")
 
@@ -194,7 +242,7 @@ def index_binding(spark, sf_dir):
 def hybrid_retrieve(spark, sf_dir):
     found = search.with_metadata(on.hits(spark, sf_dir, 5), on.chunks(spark, sf_dir).select("chunk_id", "source_name", "page_start", "chunk_text"))
     rich = graph.with_context(found, on.knowledge(spark, sf_dir))
-    return rich.select("query_id", "rank", "chunk_id", r6("score", "score"), "source_name", "page_start", "chunk_preview", F.size("graph.mentions").alias("n_mentions"), F.size("graph.related").alias("n_related"))
+    return rich.select("query_id", "rank", "chunk_id", r6("score", "score"), "source_name", "page_start", "chunk_preview", F.array_join(F.transform("graph.mentions", lambda m: F.concat_ws("/", m["concept_id"], m["name"], m["type"])), ";").alias("mentions"), F.array_join(F.transform("graph.related", lambda e: F.concat_ws("/", e["source_concept_id"], e["source_name"], e["relation"], e["target_concept_id"], e["target_name"])), ";").alias("related"))
 
 
 @query
@@ -222,10 +270,30 @@ def gram_matrix(spark, sf_dir):
     return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("entry"), r6(c, "value")) for c in names))).alias("x")).select("x.entry", "x.value")
 
 
+def _trained(spark, sf_dir):
+    events = on.events(spark, sf_dir).persist()  # one row per round, read several times by training
+    try:
+        return bandit.train(events)
+    finally:
+        events.unpersist()
+
+
+@query
+def ridge_weights(spark, sf_dir):
+    events = on.events(spark, sf_dir).select(F.col("chosen_arm.feature").alias("x"), F.col("reward").alias("r"))
+    return spark.createDataFrame([(f"w_{i}", round(float(v), 6)) for i, v in enumerate(bandit.ridge(events))], "entry string, value double")
+
+
+@query
+def linucb_training(spark, sf_dir):
+    model, info = _trained(spark, sf_dir)
+    row = (info["seen"], info["trained"], info["skipped"], round(info["mean_reward"], 6), *(round(float(x), 6) for x in model.theta()))
+    return spark.createDataFrame([row], "seen long, trained long, skipped long, mean_reward double, " + ", ".join(f"theta_{i} double" for i in range(bandit.FEATURES)))
+
+
 @query
 def ucb_scores(spark, sf_dir):
-    events = on.events(spark, sf_dir).persist()  # one row per round, read by training and again below
-    model, _ = bandit.train(events)
+    model, _ = _trained(spark, sf_dir)
     return on.arms(spark, sf_dir).select("query_no", "rank", r6(model.score(F.col("feature")), "ucb"))
 
 
@@ -236,7 +304,7 @@ def ope_ips_snips(spark, sf_dir):
 
 
 def _terms(spark, sf_dir):
-    events = on.events(spark, sf_dir).persist()  # both policies read it
+    events = on.events(spark, sf_dir)
     return bandit.event_terms(events, "retrieval", WEIGHTS).unionByName(bandit.event_terms(events, "random", WEIGHTS))
 
 
@@ -252,9 +320,8 @@ def ope_bootstrap(spark, sf_dir):
 
 @query
 def ope_report(spark, sf_dir):
-    events = on.events(spark, sf_dir).persist()  # one row per round, read by training and again below
-    model, _ = bandit.train(events)
-    return bandit.evaluate(events, model).select("policy", *(r6(c, c) for c in ("ips", "snips", "dm", "dr", "lo", "hi")), "n_events")
+    model, _ = _trained(spark, sf_dir)
+    return bandit.evaluate(on.events(spark, sf_dir), model).select("policy", *(r6(c, c) for c in ("ips", "snips", "dm", "dr", "lo", "hi")), "n_events")
 
 
 @query
@@ -281,7 +348,7 @@ def bm25_topk(spark, sf_dir):
 @query
 def retrieval_metrics(spark, sf_dir):
     e = on.table(spark, sf_dir, "embeddings")
-    hits = search.top_k(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), 10, id_col="vec_id", order="vec_id", exclude_self=True)
+    hits = search.top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, id_col="vec_id", order="vec_id", exclude_self=True)
     labels = e.select("vec_id", "label")
     total = labels.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("total_relevant"))
     own = labels.join(total, "label").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), "total_relevant")

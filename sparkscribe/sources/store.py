@@ -56,18 +56,24 @@ def upsert(existing: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataF
 
 
 class Store:
-    """Versions under one folder; a one-row pointer table names the current one. No version is written while it is read."""
+    """Versions under one folder; the current one is the largest whose write was completed. No version is written while it is read, and a write
+    that fails leaves the one before in place."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _versions(self) -> list[int]:
+        """Completed versions, ascending: those with the marker that a finished write leaves last."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(root)]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(hadoop.Path(f"{self.path}/{n}/_SUCCESS")))
 
     def version(self) -> int:
-        p, fs = self._fs()
-        return self.spark.read.parquet(f"{self.path}/current").first()["version"] if fs.exists(p) else 0
+        return max(self._versions(), default=0)
 
     def read(self) -> DataFrame:
         v = self.version()
@@ -75,10 +81,17 @@ class Store:
 
     def write(self, df: DataFrame) -> int:
         v = self.version() + 1
-        df.write.parquet(f"{self.path}/v{v}")
-        self.spark.createDataFrame([(v,)], "version INT").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/current")
+        df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/v{v}")  # no one reads an incomplete version
         return v
 
+    def remove_old(self, keep: int = 2) -> int:
+        """Delete all but the last `keep` versions; returns how many went. Readers of older ones must be done."""
+        hadoop, old = self.spark._jvm.org.apache.hadoop.fs, self._versions()[: -max(1, keep)]
+        for v in old:
+            p = hadoop.Path(f"{self.path}/v{v}")
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        return len(old)
+
     def refresh(self, chunks: DataFrame, *, backend: str = "hash", model: str = "hash-v1", dim: int = 384, force: bool = False, encode: Callable | None = None, metadata: bool = False) -> dict:
         """One incremental run: only new and changed chunks are encoded. metadata: also take page ranges and counts of unchanged ones.
         Returns the manifest. Repeated chunk ids are refused."""
@@ -108,19 +121,28 @@ def build_index(chunks: DataFrame, store: DataFrame, model: str, dim: int, order
     return number_rows(checked, order).select(F.col("n").alias("vector_row_index"), "chunk_id", "embedding", norm(F.col("embedding")).alias("vector_norm"))
 
 
-def number_rows(df: DataFrame, *order: str, ranges: int = 256) -> DataFrame:
+def number_rows(df: DataFrame, *order: str, ranges: int = 64) -> DataFrame:
     """Add n, from 0 in the given order: the position inside a value range plus the rows of the ranges before it."""
     first = order[0]
     if dict(df.dtypes)[first] not in ("int", "bigint", "smallint", "tinyint", "double", "float"):
         raise ValueError("rows are numbered by a numeric column")
-    edge = df.agg(F.min(first).alias("lo"), F.max(first).alias("hi"))
-    part = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(ranges - 1), F.floor((F.col(first) - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges))).otherwise(0)
-    ranged = df.crossJoin(F.broadcast(edge)).withColumn("_range", part.cast("int")).drop("lo", "hi")  # one row
+    # cut points are quantiles, so ranges hold like numbers of rows however the values lie; any cut points give the same numbers
+    edges = sorted(set(df.approxQuantile(first, [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    ranged = df.withColumn("_range", _range(F.col(first), edges))
     before = ranged.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return ranged.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn("n", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")  # `ranges` rows
 
 
+def _range(value: Column, edges: list[float]) -> Column:
+    """How many edges are at or below the value, by bisection."""
+    if not edges:
+        return F.lit(0)
+    mid = len(edges) // 2
+    low, high = _range(value, edges[:mid]), _range(value, edges[mid + 1 :])
+    return F.when(value < F.lit(edges[mid]), low).otherwise(high + F.lit(mid + 1))
+
+
 def index_map(index: DataFrame, model: str, dim: int, name: str, now: Column) -> DataFrame:
     return index.select("vector_row_index", "chunk_id", F.lit(model).alias("embedding_model"), F.lit(dim).alias("embedding_dim"), F.lit(name).alias("index_name"), now.alias("indexed_at"))
 

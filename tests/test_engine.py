@@ -130,7 +130,7 @@ def test_chunk_rule(spark):
 
 def test_chunks_link_and_keep_text(spark):
     pages = spark.createDataFrame([("a", 1, "x" * 700), ("a", 2, "y" * 1500 + "."), ("a", 3, "z" * 900), ("b", 1, "only one page here. " * 9)], "source_name string, page_num int, raw_text string")
-    chunks = chunking.build_chunks(chunking.page_paragraphs(chunking.kept_pages(chunking.clean_pages(pages, 1)))).orderBy("source_name", "chunk_no").collect()
+    chunks = chunking.build_chunks(chunking.kept_pages(chunking.clean_pages(pages, 1))).orderBy("source_name", "chunk_no").collect()
     assert [(c.source_name, c.chunk_no, c.prev_chunk_id is None, c.next_chunk_id is None) for c in chunks] == [("a", 1, True, False), ("a", 2, False, False), ("a", 3, False, True), ("b", 1, True, True)]
 
 
