@@ -1,7 +1,7 @@
-"""Anchors: minimisers that every repeat of a fixed length must share, and the contexts in which they stand.
+"""Anchors: minimisers that every repeat of a fixed length must share, and the spans in which its windows lie.
 
 A window of `window` elements holds `window - gram + 1` grams; the anchor of a window is its gram of the least hash. Equal windows
-have equal anchors at equal offsets. All windows with a given anchor lie in its context, the elements up to
+have equal anchors at equal offsets. All windows with a given anchor lie in its span, the elements up to
 `window - gram` before and after the gram, cut at the document's ends.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .rolling import BYTE, double, mix, runs
+from .rolling import BYTE, mix, runs
 
 #: Elements handled at once; a longer document is cut into such slices that overlap by two windows.
 SLICE = 1 << 18
@@ -57,7 +57,7 @@ def _digest(x: bytes) -> bytes:
 
 
 def anchors(elements: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
-    """Of documents end to end, n + 1 offsets: hash `a`, context hash `c`, document `doc`, and `at`, `left`, `right` as element positions."""
+    """Of documents end to end, n + 1 offsets: hash `a`, document `doc`, and `at`, `left`, `right` as element positions."""
     parts = [_slice(elements, offsets, window, gram, core, min(len(elements), core + SLICE)) for core in range(0, max(1, len(elements)), SLICE)]
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
@@ -66,38 +66,25 @@ def _slice(elements, offsets, window, gram, core, stop) -> dict[str, np.ndarray]
     low, high = max(0, core - 2 * window), min(len(elements), stop + 2 * window)
     x = elements[low:high]
     n, width = len(x), window - gram + 1
-    empty = {k: np.empty(0, np.uint64 if k in "ac" else np.int64) for k in ("a", "c", "doc", "at", "left", "right")}
+    empty = {k: np.empty(0, np.uint64 if k == "a" else np.int64) for k in ("a", "doc", "at", "left", "right")}
     if n < window:
         return empty
-    wide = 1 << (window.bit_length() - 1)  # half of it and it cover a context of `window` to 2 * window - gram elements
-    h, span, spans = x, 1, {}
     g = mix(runs(x, gram))
-    while span < wide * 2 and len(h) > span:
-        h, span = double(h, span), span * 2
-        if span >= wide:
-            spans[span] = h
-    np.maximum(g, 1, out=g)
+    order = np.maximum((g >> np.uint64(32)).astype(np.uint32), 1)  # grams of equal leading bits are anchors together
     # windows inside one document
     starts = np.clip(offsets[:-1] - low, 0, n)
     stops = np.clip(offsets[1:] - low - window + 1, starts, n)
     inside = np.zeros(n + 1, np.int32)
     np.add.at(inside, starts, 1)
     np.add.at(inside, stops, -1)
-    least = _sliding(g, width, np.minimum)
+    least = _sliding(order, width, np.minimum)
     least[np.cumsum(inside)[: len(least)] <= 0] = 0
-    pad = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), width, np.maximum) == g)
+    pad = np.zeros(width - 1, np.uint32)
+    at = np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), width, np.maximum) == order)
     at = at[(at + low >= core) & (at + low < stop)]
     if not len(at):
         return empty
     doc = np.searchsorted(offsets, at + low, "right") - 1
     left = np.maximum(offsets[doc], at + low - (window - gram))
     right = np.minimum(offsets[doc + 1], at + low + window)
-    size, k = (right - left).astype(np.uint64), at + low - left
-    c = np.empty(len(at), np.uint64)
-    long = size >= 2 * wide
-    for own, s in ((long, 2 * wide), (~long, wide)):
-        if own.any():
-            c[own] = mix(spans[s][left[own] - low]) * np.uint64(0x9E3779B97F4A7C15) + spans[s][right[own] - s - low]
-    c = mix(c + size * np.uint64(0xD6E8FEB86659FD93) + k.astype(np.uint64) * np.uint64(0x94D049BB133111EB))
-    return {"a": mix(g[at]), "c": c, "doc": doc, "at": at + low, "left": left, "right": right}
+    return {"a": mix(g[at]), "doc": doc, "at": at + low, "left": left, "right": right}

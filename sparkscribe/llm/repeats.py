@@ -6,8 +6,8 @@
    most frequent. The text around its occurrences, merged into regions of each document, goes to that group, so two equal windows meet.
 3. Regions are sorted by group over range partitions and read as shards of bounded bytes. Equal regions enter a shard
    once, with all their owners. An operator's own method finds the repeats of a shard by comparing text.
-4. A group too large for one shard, or cut by a partition's border, is spread over several. Their windows without an earlier
-   occurrence that several shards hold are merged: each shard's sorted windows are searched in the others' by binary search.
+4. A group too large for one shard, or cut by a partition's border, is spread over several. What several of its shards hold
+   without an earlier occurrence is merged: each shard's sorted windows are searched in the others' by binary search.
 5. Covered spans are applied to the texts. Texts move only for documents that have regions or spans.
 
 Positions are those of elements: bytes or words. A document is (doc, th): its id, the largest number for a null one, and a hash of its
@@ -17,6 +17,7 @@ numbered in their order.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,11 +32,11 @@ from .rolling import BYTE, arrow_bytes, mix, runs
 
 NO_ID = (1 << 63) - 1
 #: Bytes of a shard; bytes of text handled at once; rows of a bucket of occurrences or windows; elements of a piece of a long region.
-SHARD_BYTES, STEP_BYTES, BUCKET_ROWS, PIECE = 1 << 19, 1 << 19, 100_000, 1 << 16
+SHARD_BYTES, STEP_BYTES, BUCKET_ROWS, PIECE = 1 << 18, 1 << 19, 100_000, 1 << 15
 #: An anchor is listed if it occurs more often than this, and more often than one in LISTED of all occurrences: so at most LISTED are.
 HOT, LISTED = 8192, 500_000
-#: Shards whose windows are merged in one task.
-FAN = 256
+#: Bytes of text whose shards are merged in one task.
+MERGE_BYTES = 1 << 18
 #: Bits of the smallest and the largest bitmap (128 KB, 32 MB).
 LEAST_BITS, MOST_BITS = 20, 28
 
@@ -370,12 +371,12 @@ def symbols_of(texts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]
     return items.dictionary_encode().indices.to_numpy().astype(np.int32), np.concatenate(([0], np.searchsorted(offsets, stops)))
 
 
-def solve(shard: dict[bytes, list[tuple[int, int, int, bool]]], unit: Unit, method: Method) -> list[tuple]:
-    """(doc, th, lo, hi, text) of a shard of texts and their owners (doc, th, lo, whether other shards hold the group too): covered spans, whose
+def solve(shard: dict[bytes, list[tuple]], unit: Unit, method: Method) -> list[tuple]:
+    """(doc, th, lo, hi, m, text) of a shard of texts and their owners (doc, th, lo, the group if other shards hold it too): covered spans, whose
     text is null, and of shared groups the stretches of windows without an earlier occurrence here."""
     entries = []
     for text, owners in shard.items():
-        shared = any(o[3] for o in owners)
+        shared = sorted({o[3] for o in owners if o[3] is not None})
         owners = sorted({o[:3] for o in owners})
         entries.append((owners, text, shared))
     entries.sort(key=lambda e: e[0][0])
@@ -401,26 +402,26 @@ def solve(shard: dict[bytes, list[tuple[int, int, int, bool]]], unit: Unit, meth
     # owners of the same id as the first fare like it; all others have every window earlier
     alike = [[e[0][0]] if unit.by_start else [o for o in e[0] if o[0] == e[0][0][0]] for e in entries]
     for r, a, b in stretches(covered):
-        out += [(d, t, s + a, s + b + unit.window, None) for d, t, s in alike[r]]
+        out += [(d, t, s + a, s + b + unit.window, None, None) for d, t, s in alike[r]]
     for (owners, _, _), same, n in zip(entries, alike, size.tolist()):
-        out += [(d, t, s, s + n, None) for d, t, s in owners[len(same) :]]
-    share = np.array([e[2] for e in entries], bool)
+        out += [(d, t, s, s + n, None, None) for d, t, s in owners[len(same) :]]
+    share = np.array([bool(e[2]) for e in entries], bool)
     if share.any():
         whole = place <= np.maximum(size - unit.window, -1)[region]
         for r, a, b in stretches(whole & ~covered & share[region]):
             text = entries[r][1]
             text = b" ".join(text.split(b" ")[a : b + unit.window]) if unit.words else text[a : b + unit.window]
-            out += [(d, t, s + a, -1, text) for d, t, s in alike[r]]
+            out += [(d, t, s + a, -1, m, text) for d, t, s in alike[r] for m in entries[r][2]]
     return out
 
 
 def _shards(regions: DataFrame, unit: Unit, method: Method, shard_bytes: int) -> DataFrame:
-    """(doc, th, lo, hi, text, shard): what solve() finds in each shard."""
+    """(doc, th, lo, hi, m, text, shard): what solve() finds in each shard."""
     from pyspark import TaskContext
 
     total = regions.agg(F.sum("size")).first()[0] or 0
-    parts = min(20_000, max(12, -(-total // (16 * shard_bytes))))
-    fields = ["doc", "th", "lo", "hi", "text", "shard"]
+    parts = min(20_000, max(12, -(-total // (32 * shard_bytes))))
+    fields = ["doc", "th", "lo", "hi", "m", "text", "shard"]
 
     def run(batches):
         import pyarrow as pa
@@ -433,14 +434,14 @@ def _shards(regions: DataFrame, unit: Unit, method: Method, shard_bytes: int) ->
             nonlocal number
             number += 1
             out = solve(shard, unit, method)
-            columns = [*zip(*out)] if out else [()] * 5
-            rows = [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())]
+            columns = [*zip(*out)] if out else [()] * 6
+            rows = [*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())]
             return pa.RecordBatch.from_arrays([*rows, pa.array([task + number] * len(out), pa.int64())], fields)
 
         def close():
             nonlocal held, group, size
             for text, owners in group.items():
-                block.setdefault(text, []).extend((*o, shared) for o in owners)
+                block.setdefault(text, []).extend((*o, now if shared else None) for o in owners)
             held += size
             group, size = {}, 0
 
@@ -472,7 +473,7 @@ def _shards(regions: DataFrame, unit: Unit, method: Method, shard_bytes: int) ->
 
     spread = regions.where(F.col("text").isNotNull()).select("m", "doc", "th", "lo", "text", F.xxhash64("doc", "th", "lo").alias("salt"))
     ordered = spread.repartitionByRange(parts, "m", "salt").sortWithinPartitions("m", "salt").drop("salt")
-    return ordered.mapInArrow(frugal(run), "doc long, th long, lo long, hi long, text binary, shard long")
+    return ordered.mapInArrow(frugal(run), "doc long, th long, lo long, hi long, m long, text binary, shard long")
 
 
 def merged(arrays: list[list[bytes]]) -> list[bytes]:
@@ -492,86 +493,150 @@ def merged(arrays: list[list[bytes]]) -> list[bytes]:
     return arrays[0]
 
 
-def _across(reports: DataFrame, unit: Unit, shards: int, size: int) -> list[DataFrame]:
-    """Of windows of reports (doc, th, lo, text, shard): the tables of all rounds, in which hi is set where another shard has an earlier one."""
-    n = size // (5 if unit.words else 1)  # windows at most, about
+_LIVE = "m long, shard long, doc long, th long, lo long, text binary"
 
-    def split(text: bytes):
-        items = text.split(b" ") if unit.words else text
-        return items, len(items) - unit.window + 1
 
-    def window_keys(batches):
-        for batch in batches:
-            for part in _slices(batch, 0):
-                symbols = [t.as_buffer().to_pybytes() for t in part.column(0)]
-                data, ends = np.frombuffer(b"".join(t + b" " for t in symbols), np.uint8), np.concatenate(([0], np.cumsum([len(t) + 1 for t in symbols])))
-                elements, offsets = word_elements(data, ends)[:2] if unit.words else (BYTE[data], ends)
-                left = np.repeat(offsets[1:] - (0 if unit.words else 1), np.diff(offsets)) - np.arange(len(elements))
-                own = mix(runs(elements, unit.window))[np.flatnonzero(left >= unit.window)]
-                yield own, part, np.maximum(np.diff(offsets) - unit.window + (1 if unit.words else 0), 0)
+def _windows_of(text: bytes, unit: Unit) -> list[bytes]:
+    w = unit.window
+    if not unit.words:
+        return [text[i : i + w] for i in range(len(text) - w + 1)]
+    items = text.split(b" ")
+    return [b" ".join(items[i : i + w]) for i in range(len(items) - w + 1)]
+
+
+def _part(text: bytes, lo: int, hi: int, unit: Unit) -> bytes:
+    return b" ".join(text.split(b" ")[lo:hi]) if unit.words else text[lo:hi]
+
+
+def merge_shards(rows: list[tuple[int, int, int, int, int, bytes]], unit: Unit) -> list[tuple]:
+    """(m, doc, th, lo, hi, text) of stretches (m, shard, doc, th, lo, text) of several shards: runs of windows that an earlier place has, whose
+    text is null, and runs of the others."""
+    windows = [_windows_of(r[5], unit) for r in rows]
+    by: dict[int, set[bytes]] = {}
+    for r, own in zip(rows, windows):
+        by.setdefault(r[1], set()).update(own)
+    arrays = [sorted(x) for x in by.values()]
+    union = merged(arrays)
+    size = np.array([len(x) for x in windows])
+    row = np.repeat(np.arange(len(rows)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    number = np.searchsorted(union, np.array([*(w for own in windows for w in own), None], object)[:-1])
+    doc, th, lo = (np.array([r[k] for r in rows], np.int64)[row] for k in (2, 3, 4))
+    at = lo + place
+    order = np.lexsort((at, th, doc, number))
+    head = order[np.searchsorted(number[order], number)]  # each window's first place of all shards
+    late = doc != doc[head]
+    if unit.by_start:
+        late |= (th != th[head]) | (at != at[head])
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (late[1:] != late[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(row)) - 1
+    out = []
+    for r, a, b, done in zip(row[first].tolist(), place[first].tolist(), place[last].tolist(), late[first].tolist()):
+        m, _, d, t, s, text = rows[r]
+        out.append((m, d, t, s + a, s + b + unit.window, None if done else _part(text, a, b + unit.window, unit)))
+    return out
+
+
+def _across(reports: DataFrame, unit: Unit, size: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Of stretches of shared groups (m, shard, doc, th, lo, text): the tables of all rounds, whose rows without text are covered spans,
+    and the other tables written.
 
+    Windows that only one shard holds are left out. A group's shards then go to one task, or to several of bounded bytes, whose
+    results are merged in the next round. A group that shrinks too little from round to round, such as a frequent phrase between
+    different texts, is dealt by its windows instead, so that only copies of one window meet.
+    """
     parts = _parts(reports)
 
+    def window_keys(texts):
+        """Hashes of all windows of the texts, and where each text's begin."""
+        texts = [t.as_buffer().to_pybytes() for t in texts]
+        ends = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
+        data = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
+        if unit.words:
+            elements, offsets = word_elements(data, ends)[:2]
+            stops = offsets[1:]
+        else:
+            elements, offsets, stops = BYTE[data], ends, ends[1:] - 1
+        left = np.repeat(stops, np.diff(offsets)) - np.arange(len(elements))
+        counts = np.maximum(stops - offsets[:-1] - unit.window + 1, 0)
+        return texts, mix(runs(elements, unit.window))[np.flatnonzero(left >= unit.window)], np.concatenate(([0], np.cumsum(counts)))
+
     def keys(batches):
-        for own, _, _ in window_keys(batches):
-            if len(own):
-                yield _packed([own], parts)
+        for batch in batches:
+            for part in _slices(batch, 0):
+                own = window_keys(part.column(0))[1]
+                if len(own):
+                    yield _packed([own], parts)
 
-    twice = seen_more(reports.select("text").mapInArrow(frugal(keys), "part int, keys binary"), parts, slots_for(n))
-    names = ["w", "shard", "doc", "th", "lo", "text"]
+    twice = seen_more(reports.select("text").mapInArrow(frugal(keys), "part int, keys binary"), parts, slots_for(size // (5 if unit.words else 1)))
+    names = ["m", "shard", "doc", "th", "lo", "text"]
 
-    def windows(batches):
+    def live_batch(rows):
         import pyarrow as pa
 
-        for own, part, counts in window_keys(batches):
-            held = twice.held(own)
-            begin = np.concatenate(([0], np.cumsum(counts)))
-            for r in np.flatnonzero(np.add.reduceat(np.append(held, False), begin[:-1]) * (counts > 0) > 0).tolist() if len(counts) else ():
-                items, _ = split(part.column(0)[r].as_py())
-                at = np.flatnonzero(held[begin[r] : begin[r + 1]])
-                texts = [b" ".join(items[i : i + unit.window]) if unit.words else items[i : i + unit.window] for i in at.tolist()]
-                same = [pa.array(np.full(len(at), part.column(k)[r].as_py())) for k in (1, 2, 3)]
-                rows = [pa.array(own[begin[r] + at].view(np.int64)), *same, pa.array(at + part.column(4)[r].as_py()), pa.array(texts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(rows, names)
-
-    live = reports.select("text", "shard", "doc", "th", "lo").mapInArrow(frugal(windows), "w long, shard long, doc long, th long, lo long, text binary")
-    buckets = max(12, -(-n // BUCKET_ROWS))
-
-    def merge(key, rows):
+        columns = [*zip(*rows)] if rows else [()] * 6
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], names)
+
+    def narrow(batches):
+        for batch in batches:
+            for part in _slices(batch, 5):
+                texts, own, begin = window_keys(part.column(5))
+                held, rows = twice.held(own), []
+                edge = np.diff(np.concatenate(([0], held.astype(np.int8), [0])))
+                starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                others = [part.column(k).to_pylist() for k in range(5)]
+                for a, b in zip(starts.tolist(), stops.tolist()):
+                    r = int(np.searchsorted(begin, a, "right")) - 1
+                    while a < b:  # a run may reach over several texts
+                        to = min(b, int(begin[r + 1]))
+                        if to > a:
+                            i, j = a - int(begin[r]), to - int(begin[r]) + unit.window - 1
+                            m, shard, doc, th, lo = (c[r] for c in others)
+                            rows.append((m, shard, doc, th, lo + i, _part(texts[r], i, j, unit)))
+                        a, r = to, r + 1
+                yield live_batch(rows)
+
+    def singles(batches):
+        for batch in batches:
+            rows = []
+            for m, shard, doc, th, lo, text in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                for i, w in enumerate(_windows_of(text, unit)):
+                    rows.append((int(np.frombuffer(hashlib.blake2b(w, digest_size=8).digest(), np.int64)[0]), shard, doc, th, lo + i, w))
+            yield live_batch(rows)
+
+    def merge(key, table):
         import pyarrow as pa
 
-        v = {k: rows[k].to_numpy() for k in ("w", "shard", "doc", "th", "lo")}
-        text = rows["text"].to_pylist()
-        by: dict[int, dict[bytes, list[int]]] = {}
-        for i, (s, t) in enumerate(zip(v["shard"].tolist(), text)):
-            by.setdefault(s, {}).setdefault(t, []).append(i)
-        arrays = [sorted(x) for x in by.values()]
-        union = merged(arrays)
-        number = np.empty(len(text), np.int64)
-        for own, array in zip(by.values(), arrays):
-            for t, g in zip(array, np.searchsorted(union, np.array([*array, None], object)[:-1]).tolist()):
-                number[own[t]] = g
-        order = np.lexsort((v["lo"], v["th"], v["doc"], number))
-        number, v, text = number[order], {k: x[order] for k, x in v.items()}, [text[i] for i in order.tolist()]
-        heads = np.searchsorted(number, number)  # the first of all shards
-        late = v["doc"] != v["doc"][heads]
-        if unit.by_start:
-            late |= (v["th"] != v["th"][heads]) | (v["lo"] != v["lo"][heads])
-        left = [None if x else t for x, t in zip(late.tolist(), text)]
-        values = {k: v[k] for k in ("w", "shard", "doc", "th", "lo")} | {"hi": np.where(late, v["lo"] + unit.window, -1)}
-        return pa.table({k: pa.array(x, pa.int64()) for k, x in values.items()} | {"text": pa.array(left, pa.binary())})
-
-    kind = "w long, shard long, doc long, th long, lo long, hi long, text binary"
-    covered = []
-    while True:  # of a window that more than FAN shards hold, each round leaves one of FAN
-        sets = -(-shards // FAN)
-        dealt = live.withColumn("b", F.pmod("w", F.lit(buckets))).withColumn("shard", F.pmod(F.xxhash64("shard"), F.lit(sets)) if sets > 1 else F.col("shard"))
-        dealt = dealt.withColumn("set", F.col("shard") if sets > 1 else F.lit(0).cast("long"))
+        columns = [*zip(*merge_shards([*zip(*(table[c].to_pylist() for c in names))], unit))]
+        values = {c: pa.array(x, pa.int64()) for c, x in zip(("m", "doc", "th", "lo", "hi"), columns)}
+        return pa.table(values | {"text": pa.array(columns[5], pa.binary()), "shard": pa.array([key[1].as_py()] * len(columns[0]), pa.int64())})
+
+    kind = "m long, doc long, th long, lo long, hi long, text binary, shard long"
+    live = stage_table(reports.select(*names).mapInArrow(frugal(narrow), _LIVE))
+    out, singled, before, single = [live], [], None, False
+    while True:
+        groups = live.groupBy("m").agg(F.sum(F.octet_length("text")).alias("n"))
+        largest, total = groups.agg(F.max("n"), F.sum("n")).first()
+        if not total:
+            break
+        if before and largest > 0.7 * before and not single:
+            live, single, before = stage_table(live.mapInArrow(frugal(singles), _LIVE)), True, None
+            singled.append(live)
+            continue
+        # copies of one window shrink to one a set, but for places of one id, which do not cover each other: they end in one task
+        sets = 1 if before and largest > 0.7 * before else -(-largest // MERGE_BYTES)
+        before = largest
+        buckets = max(12, -(-total // MERGE_BYTES))
+        spread = F.pmod(F.xxhash64("shard"), F.lit(sets)) if sets > 1 else F.lit(0).cast("long")
+        dealt = live.withColumn("set", spread).withColumn("b", F.pmod(F.xxhash64("m", "set"), F.lit(buckets)).cast("int"))
         done = stage_table(dealt.groupBy("b", "set").applyInArrow(frugal_group(merge), kind))
-        covered.append(done)
+        out.append(done)
         if sets == 1:
-            return covered
-        live, shards = done.where("hi < 0").select("w", "shard", "doc", "th", "lo", "text"), sets
+            break
+        live = done.where(F.col("text").isNotNull()).select(*names)
+    return out[1:], [out[0], *singled]
 
 
 def _document(doc: np.ndarray, th: np.ndarray) -> np.ndarray:
@@ -594,11 +659,12 @@ def repeated_spans(rows: DataFrame, unit: Unit, method: Method) -> DataFrame:
     found = stage_table(_shards(regions, unit, method, SHARD_BYTES))
     spans = [x.where(F.col("text").isNull()).select("doc", "th", "lo", "hi") for x in (regions, found)]
     every, reports, across = spans[0].unionByName(spans[1]), found.where(F.col("text").isNotNull()), []
-    n, shards, size = reports.agg(F.count(F.lit(1)), F.countDistinct("shard"), F.sum(F.octet_length("text"))).first()
-    if n:
-        across = _across(reports, unit, shards, size)
-        for done in across:
-            every = every.unionByName(done.where("hi >= 0").select("doc", "th", "lo", "hi"))
+    size = reports.agg(F.sum(F.octet_length("text"))).first()[0]
+    if size:
+        rounds, others = _across(reports, unit, size)
+        across = rounds + others
+        for done in rounds:
+            every = every.unionByName(done.where(F.col("text").isNull()).select("doc", "th", "lo", "hi"))
     out = stage_table(every.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans")))
     drop_tables(regions, found, *across)
     return out

@@ -68,20 +68,20 @@ def brute_bytes(rows, window=100):
     return out
 
 
-#: Thresholds of listed anchors, bytes of a shard, shards merged at once, elements of a piece, and whether all text is routed to one group.
-SETTINGS = [(8192, 1 << 20, 256, 1 << 16, False), (3, 3000, 256, 1 << 16, False), (3, 2000, 2, 300, False), (8192, 1 << 24, 256, 1 << 16, True), (8192, 4000, 3, 1 << 16, True)]
+#: Thresholds of listed anchors, bytes of a shard, bytes of shards merged at once, elements of a piece, and whether all text is routed to one group.
+SETTINGS = [(8192, 1 << 20, 1 << 18, 1 << 16, False), (3, 3000, 1 << 18, 1 << 16, False), (3, 2000, 500, 300, False), (8192, 1 << 24, 1 << 18, 1 << 16, True), (8192, 4000, 3000, 1 << 16, True)]
 
 
-def settings(monkeypatch, hot, shard, fan, piece, one):
-    for name, value in (("HOT", hot), ("SHARD_BYTES", shard), ("FAN", fan), ("PIECE", piece)):
+def settings(monkeypatch, hot, shard, merge, piece, one):
+    for name, value in (("HOT", hot), ("SHARD_BYTES", shard), ("MERGE_BYTES", merge), ("PIECE", piece)):
         monkeypatch.setattr(repeats, name, value)
     if one:
         monkeypatch.setattr(repeats, "_shards", lambda regions, *rest, real=repeats._shards: real(regions.withColumn("m", F.lit(7).cast("long")), *rest))
 
 
-@pytest.mark.parametrize("hot,shard,fan,piece,one", SETTINGS)
-def test_bytes(spark, monkeypatch, hot, shard, fan, piece, one):
-    settings(monkeypatch, hot, shard, fan, piece, one)
+@pytest.mark.parametrize("hot,shard,merge,piece,one", SETTINGS)
+def test_bytes(spark, monkeypatch, hot, shard, merge, piece, one):
+    settings(monkeypatch, hot, shard, merge, piece, one)
     rows = corpus(1)
     want = brute_bytes(rows)
     got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5), texts=True, keep=("extra",)).collect()
@@ -97,9 +97,9 @@ def test_bytes(spark, monkeypatch, hot, shard, fan, piece, one):
         assert ok, r
 
 
-@pytest.mark.parametrize("hot,shard,fan,piece,one", SETTINGS)
-def test_words(spark, monkeypatch, hot, shard, fan, piece, one):
-    settings(monkeypatch, hot, shard, fan, piece, one)
+@pytest.mark.parametrize("hot,shard,merge,piece,one", SETTINGS)
+def test_words(spark, monkeypatch, hot, shard, merge, piece, one):
+    settings(monkeypatch, hot, shard, merge, piece, one)
     rows = corpus(2)
     words = {(order_key(i), t): (t or "").encode().split() for i, t, *_ in rows}
     first = {}
