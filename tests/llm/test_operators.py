@@ -346,3 +346,163 @@ def test_html_whole():
     for i in (1, 50, 198):
         other = html_text.features(html_text.blocks(f"<p>{' '.join([*words[:i], 'another', *words[i + 1 :]])}</p>"))
         assert html_text._bucket("another", html_text.WORDS) == html_text._bucket(words[i], html_text.WORDS) or (one != other).any()
+
+
+# brute force and hostile inputs
+
+
+def slow_fold(text):
+    letters = [c.isalnum() and not c.isdecimal() and c != "_" for c in text]
+    out = []
+    for i, c in enumerate(text):
+        j = i
+        while j < len(text) and text[j] in toxicity.DIGITS:
+            j += 1
+        out.append(toxicity.DIGITS[c] if c in toxicity.DIGITS and j < len(text) and letters[j] else c)
+    words, word = [], ""
+    for c in [*out, " "]:
+        c = toxicity.HOMOGLYPHS.get(c, c)
+        if c.isalpha():
+            word += c.lower()
+        elif word:
+            words.append(word)
+            word = ""
+    return f" {' '.join(words)} "
+
+
+def slow_score(model, folded):
+    spans = lambda p: [(i, i + len(p)) for i in range(len(folded) - len(p) + 1) if folded[i : i + len(p)] == p]
+    spared = [s for p in model.exceptions for s in spans(f" {p} ")]
+    total = 0.0
+    for p, w in model.entries.items():
+        n = sum(not any(a <= s and e <= b for a, b in spared) for s, e in spans(p))
+        total += w * (1 + np.log(n)) / (1 + np.log2(1 + max(0, folded.count(" ") - 1)) / 8) if n else 0.0
+    return 1 / (1 + np.exp(-np.clip(model.bias + total, -60, 60)))
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(21)
+    pieces = ["vile", "v1le", "$cum", "scum", "moron", "moron bay", "bay", "аss", "4ss", "tr@sh", "2024", "x", "1", "_", ",", "m0r0n ", "Évil"]
+    model = toxicity.Lexicon({" vile": 1.5, " scum ": 2.0, " moron ": 1.0, "ass": 0.7, " tr": -0.4}, ["moron bay", "old scum"], -1.0)
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", "", "-", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(200)] + ["", "vile " * 3000, "1" * 200_000, "moron bay " * 20_000]
+    rows = [(i, t, "") for i, t in enumerate(texts)] + [(3, texts[3], ""), (None, texts[4], "")]
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs(spark, rows), model).collect()}
+    for i, t in enumerate(texts[:-2]):
+        folded = slow_fold(t) if len(t) < 5000 else toxicity.fold(t)
+        assert toxicity.fold(t) == folded
+        if len(t) < 5000:
+            assert got[i] == pytest.approx(slow_score(model, folded))
+    assert got[None] == got[4] and len(got) == len(texts) + 1
+    assert toxicity.fold("1" * 3_000_000) == "  "
+
+
+def test_language_against_sets():
+    import pyarrow as pa
+
+    rng = random.Random(22)
+    say = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(n))
+    rows = [("aa", say("abcde", 200)), ("bb", say("defgh", 200)), ("cc", say("abxyz", 200))]
+    model = language.fit_filters(rows, slot_bits=10)
+    from sparkscribe.llm.language import _grams
+
+    texts = [say("abcdefgh", 20), say("xyz", 5), "", "a", "ABC! abc"]
+    hashes, offsets = _grams(pa.array(texts), model.gram)
+    shares = model.shares(pa.array(texts))
+    for i in range(3):
+        slots = {s for s in range(model.masks.shape[1]) if int(model.masks[0][s]) >> i & 1}
+        false = (len(slots) / model.masks.shape[1]) ** model.lookups
+        for t in range(len(texts)):
+            own = hashes[offsets[t] : offsets[t + 1]]
+            hit = sum(all(int(model._slots(own[k : k + 1], j)[0]) in slots for j in range(model.lookups)) for k in range(len(own))) / max(1, len(own))
+            assert shares[t, i] == pytest.approx(min(1, max(0, (hit - false) / (1 - false))))
+
+
+def test_language_draw_repeats(spark):
+    rows = [(i % 5, f"text number {i % 7} here", "aa" if i % 2 else "bb") for i in range(200)] + [(None, "no id", "aa")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = language.training_rows(frame, F.col("doc_id").isNotNull())
+    assert sorted(drawn) == sorted({(lang, t, i) for i, t, lang in rows if i is not None} and [(lang, t) for i, t, lang in {(i, t, lang) for i, t, lang in rows if i is not None}])
+    assert language.training_rows(frame.repartition(7), F.col("doc_id").isNotNull()) == drawn
+
+
+def slow_blocks(page):
+    """The texts of the blocks of a well-formed page, character by character."""
+    out, text, i = [], "", 0
+    inline = {"a", "b", "em", "span"}
+    while i < len(page):
+        if page[i] == "<":
+            j = page.index(">", i)
+            name = page[i + 1 : j].strip("/").split()[0].lower()
+            i = j + 1
+            if name == "script" and page[j - 1] != "/":
+                i = page.index("</script>", i) + len("</script>")
+            elif name == "br":
+                text += " "
+            elif name not in inline:
+                out.append(" ".join(text.split()))
+                text = ""
+        else:
+            text += page[i]
+            i += 1
+    return [t for t in [*out, " ".join(text.split())] if t]
+
+
+def slow_chances(model, x):
+    u, p = model.units, model.p
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    states = {}
+    for side, rows in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        h, c = np.zeros(u), np.zeros(u)
+        for t in rows:
+            z = x[t] @ p[f"x{side}"] + h @ p[f"h{side}"] + p[f"c{side}"]
+            c = sig(z[u : 2 * u]) * c + sig(z[:u]) * np.tanh(z[3 * u :])
+            h = sig(z[2 * u : 3 * u]) * np.tanh(c)
+            states[side, t] = h
+    return [sig(states["f", t] @ p["o"][:u] + states["b", t] @ p["o"][u:] + x[t] @ p["d"] + p["b"][0]) for t in range(len(x))]
+
+
+def test_html_against_brute_force():
+    rng = random.Random(23)
+
+    def node(depth):
+        kind = rng.random()
+        if depth > 4 or kind < 0.4:
+            return rng.choice(["some words", "A sentence.", " x ", "more<br>lines", "<script>var a = '<p>';</script>", "<b>bold</b> text", "<a href='x'>link</a>"])
+        tag = rng.choice(["div", "p", "section", "ul", "span"]) if kind < 0.9 else "em"
+        inner = "".join(node(depth + 1) for _ in range(rng.randint(0, 4))) if tag != "p" else "plain <em>words</em>"
+        return f'<{tag} class="c{depth}">{inner}</{tag}>'
+
+    model = html_text.trained()
+    for _ in range(60):
+        page = "".join(node(0) for _ in range(rng.randint(0, 6)))
+        found = html_text.blocks(page)
+        assert [t for _, t, _ in found] == slow_blocks(page)
+        if found:
+            want = slow_chances(model, html_text.features(found).astype(float))
+            assert np.allclose(html_text.label(model, [found])[0], want, atol=1e-4)
+            assert np.allclose(html_text.label(model, [found], most=0)[0], want, atol=1e-4)
+
+
+@pytest.mark.parametrize("page", ["<a b" * 300_000, "<div>" * 200_000, "<svg " * 200_000, '<a "x>' * 200_000, "<a '" * 200_000, "<div>" * 60_000 + "</p>" * 200_000, "<!" * 300_000])
+def test_html_hostile_pages(page):
+    assert len(html_text.blocks(page + "<p>The end.</p>")) <= 2
+    assert html_text.blocks("<p>First.</p>" + page)[0][1] == "First."
+
+
+def test_fingerprint_of_long_texts():
+    rng = random.Random(24)
+    text = rng.choice(["", " "]) + "  ".join(rng.choices(["Alpha", "beta", "gÄmma\n", "\tdelta"], k=150_000))
+    assert int.from_bytes(simhash.fingerprint(text.encode()), "big") == slow_fingerprint(text)
+
+
+def test_text_ids(spark):
+    rows = [("b", "one two three four five"), ("a", "one two three four five"), (None, "one two three four five"), ("c", "something else here")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == ["a", "c"]
+
+
+def test_long_benchmark_items(spark):
+    words = " ".join(f"w{i}" for i in range(4000))
+    rows = [(1, " ".join(f"w{i}" for i in range(1990, 2010))), (2, "nothing of it"), (1, " ".join(f"w{i}" for i in range(1990, 2010)))]
+    got = decontaminate.decontaminate(docs(spark, [(i, t, "") for i, t in rows]), spark.createDataFrame([(7, words)], "item_id long, text string"), most=2000).collect()
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in got) == [(1, 20, 1), (1, 20, 1), (2, 0, 0)]
