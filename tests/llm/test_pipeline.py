@@ -72,3 +72,20 @@ def test_stages(spark, corpus, tmp_path):
 def test_run(spark, corpus):
     assert corpus_pipeline.run(spark, corpus).count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (None, None, None, None, None)], [(1, "", "xx", "a", 0), (1, "", "xx", "a", 0), (None, "x", None, None, 1), (2, "12", "xx", "b", 2)]])
+def test_stages_on_small_tables(spark, tmp_path, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        kept = got.collect()
+        assert len(kept) <= len(rows)
+        if name not in ("language ID", "SimHash near-dedup"):
+            assert len(kept) == len(rows)
+        if name != "mixing to target weights":
+            assert sorted(got.columns) == sorted(docs.columns)
+    corpus_pipeline.run(spark, str(tmp_path)).count()
