@@ -49,8 +49,8 @@ def test_query_runs(spark, name):
 
 
 def test_metrics_of_copies(spark, tmp_path):
-    # vector 1 is a copy of vector 0, so 0 stands before 1 itself among the hits of 1
-    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.0, 1.0], 1)]
+    # vector 20 is a copy of vector 0, so 0 stands before 20 itself among the hits of 20; queries are the ids divisible by 20
+    rows = [(0, [1.0, 0.0], 0), (20, [1.0, 0.0], 0), (40, [0.0, 1.0], 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = QUERIES["retrieval_metrics"](spark, str(tmp_path)).first()
     assert (got.k, got.precision, got.recall, got.mrr) == (10, round(2 / 30, 6), round(2 / 3, 6), round(2 / 3, 6))
@@ -238,6 +238,40 @@ def test_estimators(spark):
     assert {r.policy for r in report.where("lo <= hi").collect()} == {"retrieval", "random", "linucb"}
 
 
+def test_store_survives_a_broken_write(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "store"))
+    frame = files.chunks_for_embedding(spark.createDataFrame([("c1", "s", 1, 1, "one")], "chunk_id string, source_name string, page_start int, page_end int, chunk_text string"))
+    assert s.version() == 0 and s.refresh(frame, dim=16)["recomputed"] == 1
+    (tmp_path / "store" / "v2").mkdir()  # a write that did not finish
+    (tmp_path / "store" / "v2" / "part-0.parquet").write_bytes(b"half")
+    assert s.version() == 1 and s.read().count() == 1
+    assert s.refresh(frame, dim=16)["skipped"] == 1 and s.version() == 2
+    s.refresh(frame, dim=16)
+    assert s.remove_old(1) == 2 and s.version() == 3 and s.read().count() == 1
+
+
+def test_numbers_of_uneven_values(spark):
+    rows = [(i + (10**12 if i % 3 else 0), i) for i in range(500)] + [(7, 1000 + i) for i in range(50)]
+    got = store.number_rows(spark.createDataFrame(rows, "x long, y int"), "x", "y", ranges=8).orderBy("n").collect()
+    assert [(r.x, r.y) for r in got] == sorted(rows) and [r.n for r in got] == list(range(550))
+
+
+def test_missing_metadata_and_unbound_chunks(spark):
+    hits = spark.createDataFrame([(0, 1, "a", 1.0), (0, 2, "b", 0.5)], "query_id int, rank int, chunk_id string, score double")
+    found = search.with_metadata(hits, spark.createDataFrame([("a", "text")], "chunk_id string, chunk_text string"))
+    assert {r.chunk_id: r.chunk_preview for r in found.collect()} == {"a": "text", "b": None}
+    bound = graph.bind_index(hits.select("chunk_id"), spark.createDataFrame([("a", 0)], "chunk_id string, vector_row_index int"), "main", "m", 8, F.lit("t"))["chunks"]
+    assert {r.chunk_id: (r.index_name, r.embedding_dim) for r in bound.collect()} == {"a": ("main", 8), "b": (None, None)}
+
+
+def test_replies_of_wrong_types(spark):
+    replies = ['{"concepts":"oops"}', '{"concepts":[],"relations":{}}', '{"concepts":[1]}', "[1]", '{"concepts":null}', "{}", 'so: {"concepts":[]} end', '{"concepts":[{"name":"a","confidence":"x"}]}']
+    chunks = spark.createDataFrame([(f"c{i}", "s", 1, 1, r) for i, r in enumerate(replies)], "chunk_id string, source_name string, page_start int, page_end int, reply string")
+    got = {r.chunk_id: r.error for r in concepts.parse_replies(chunks).collect()}
+    lists = "concepts and relations must be lists"
+    assert [got[f"c{i}"] for i in range(8)] == [lists, lists, "entries must be objects", "unreadable reply", lists, None, None, "unreadable confidence"]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "q.txt").write_text("\n  first \n\nsecond\n")
     assert [r.query for r in files.read_queries(spark, str(tmp_path / "q.txt")).orderBy("query_no").collect()] == ["first", "second"]
