@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import anchors, word_elements
+from .anchors import _sliding, anchors, word_elements
 from .common import drop_tables, frugal, frugal_group, numbered, stage_table, trim
 from .rolling import BYTE, arrow_bytes, mix, runs
 
@@ -544,13 +544,16 @@ def _across(reports: DataFrame, unit: Unit, size: int) -> tuple[list[DataFrame],
     and the other tables written.
 
     Windows that only one shard holds are left out. A group's shards then go to one task, or to several of bounded bytes, whose
-    results are merged in the next round. A group that shrinks too little from round to round, such as a frequent phrase between
-    different texts, is dealt by its windows instead, so that only copies of one window meet.
+    results are merged in the next round. Where groups shrink too little from round to round, such as a frequent phrase between
+    different texts, stretches are cut and dealt by rare grams: a window's is its gram of the least hash among those that occur so
+    seldom that all text around them fits a task. Neighbouring windows mostly share it, so a stretch stays in few parts. Where that
+    shrinks too little too (windows of frequent grams only), each window is dealt by itself, so that only copies of one window meet.
     """
     parts = _parts(reports)
+    frequent_from = max(2, MERGE_BYTES // (2 * unit.window * (6 if unit.words else 1)))
 
-    def window_keys(texts):
-        """Hashes of all windows of the texts, and where each text's begin."""
+    def run_keys(texts, length):
+        """Hashes of all runs of `length` elements of the texts, and where each text's begin."""
         texts = [t.as_buffer().to_pybytes() for t in texts]
         ends = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
         data = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
@@ -560,17 +563,21 @@ def _across(reports: DataFrame, unit: Unit, size: int) -> tuple[list[DataFrame],
         else:
             elements, offsets, stops = BYTE[data], ends, ends[1:] - 1
         left = np.repeat(stops, np.diff(offsets)) - np.arange(len(elements))
-        counts = np.maximum(stops - offsets[:-1] - unit.window + 1, 0)
-        return texts, mix(runs(elements, unit.window))[np.flatnonzero(left >= unit.window)], np.concatenate(([0], np.cumsum(counts)))
+        counts = np.maximum(stops - offsets[:-1] - length + 1, 0)
+        return texts, mix(runs(elements, length))[np.flatnonzero(left >= length)], np.concatenate(([0], np.cumsum(counts)))
 
-    def keys(batches):
-        for batch in batches:
-            for part in _slices(batch, 0):
-                own = window_keys(part.column(0))[1]
-                if len(own):
-                    yield _packed([own], parts)
+    def seen(rows, length, size, least):
+        def keys(batches):
+            for batch in batches:
+                for part in _slices(batch, 0):
+                    own = run_keys(part.column(0), length)[1]
+                    if len(own):
+                        yield _packed([own], parts)
 
-    twice = seen_more(reports.select("text").mapInArrow(frugal(keys), "part int, keys binary"), parts, slots_for(size // (5 if unit.words else 1)))
+        packed = rows.select("text").mapInArrow(frugal(keys), "part int, keys binary")
+        return seen_more(packed, parts, slots_for(size // (5 if unit.words else 1)), least)
+
+    twice = seen(reports, unit.window, size, 2)
     names = ["m", "shard", "doc", "th", "lo", "text"]
 
     def live_batch(rows):
@@ -582,7 +589,7 @@ def _across(reports: DataFrame, unit: Unit, size: int) -> tuple[list[DataFrame],
     def narrow(batches):
         for batch in batches:
             for part in _slices(batch, 5):
-                texts, own, begin = window_keys(part.column(5))
+                texts, own, begin = run_keys(part.column(5), unit.window)
                 held, rows = twice.held(own), []
                 edge = np.diff(np.concatenate(([0], held.astype(np.int8), [0])))
                 starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -598,6 +605,22 @@ def _across(reports: DataFrame, unit: Unit, size: int) -> tuple[list[DataFrame],
                         a, r = to, r + 1
                 yield live_batch(rows)
 
+    def by_rare(frequent):
+        def deal(batches):
+            for batch in batches:
+                for part in _slices(batch, 5):
+                    texts, own, begin = run_keys(part.column(5), unit.gram)
+                    order = (own >> np.uint64(1)) | (frequent.held(own).astype(np.uint64) << np.uint64(63))
+                    rows = []
+                    for r, (_, shard, doc, th, lo) in enumerate(zip(*(part.column(k).to_pylist() for k in range(5)))):
+                        least = _sliding(order[begin[r] : begin[r + 1]], unit.window - unit.gram + 1, np.minimum)
+                        edges = [0, *(np.flatnonzero(least[1:] != least[:-1]) + 1).tolist(), len(least)]
+                        for m, a, b in zip(mix(least[edges[:-1]]).view(np.int64).tolist(), edges, edges[1:]):
+                            rows.append((m, shard, doc, th, lo + a, _part(texts[r], a, b + unit.window - 1, unit)))
+                    yield live_batch(rows)
+
+        return deal
+
     def singles(batches):
         for batch in batches:
             rows = []
@@ -615,15 +638,16 @@ def _across(reports: DataFrame, unit: Unit, size: int) -> tuple[list[DataFrame],
 
     kind = "m long, doc long, th long, lo long, hi long, text binary, shard long"
     live = stage_table(reports.select(*names).mapInArrow(frugal(narrow), _LIVE))
-    out, singled, before, single = [live], [], None, False
+    out, dealt_again, before, finer = [live], [], None, 0
     while True:
         groups = live.groupBy("m").agg(F.sum(F.octet_length("text")).alias("n"))
         largest, total = groups.agg(F.max("n"), F.sum("n")).first()
         if not total:
             break
-        if before and largest > 0.7 * before and not single:
-            live, single, before = stage_table(live.mapInArrow(frugal(singles), _LIVE)), True, None
-            singled.append(live)
+        if before and largest > 0.7 * before and finer < 2:
+            deal = singles if finer else by_rare(seen(live, unit.gram, total, frequent_from))
+            live, finer, before = stage_table(live.mapInArrow(frugal(deal), _LIVE)), finer + 1, None
+            dealt_again.append(live)
             continue
         # copies of one window shrink to one a set, but for places of one id, which do not cover each other: they end in one task
         sets = 1 if before and largest > 0.7 * before else -(-largest // MERGE_BYTES)
@@ -636,7 +660,7 @@ def _across(reports: DataFrame, unit: Unit, size: int) -> tuple[list[DataFrame],
         if sets == 1:
             break
         live = done.where(F.col("text").isNotNull()).select(*names)
-    return out[1:], [out[0], *singled]
+    return out[1:], [out[0], *dealt_again]
 
 
 def _document(doc: np.ndarray, th: np.ndarray) -> np.ndarray:
