@@ -119,6 +119,23 @@ def test_words(spark, monkeypatch, hot, shard, merge, piece, one):
     assert sum(w[2] for w in want) > 500
 
 
+def test_frequent_phrase(spark, monkeypatch):
+    """A phrase shorter than a window between words of a small vocabulary: its group shrinks little, so it is dealt by rare grams."""
+    settings(monkeypatch, 8192, 4000, 6000, 1 << 16, True)
+    asked = []
+    real = repeats.seen_more
+    monkeypatch.setattr(repeats, "seen_more", lambda packed, parts, slots, least=2: asked.append(least) or real(packed, parts, slots, least))
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choices("abcdefgh", k=7)) for _ in range(12)]
+    phrase = "all of these words stand in the very same order in each text here, " + "x" * 20
+    rows = [(i, " ".join([*draw.choices(vocabulary, k=9), phrase, *draw.choices(vocabulary, k=9)]), "", "") for i in range(500)]
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    want = brute_bytes(rows)
+    assert {r.doc_id: r.n_removed for r in got} == {i: sum(want[i, t.encode()]) for i, t, *_ in rows}
+    assert sum(r.n_removed for r in got) > 5000
+    assert 30 in asked
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert remove_repeats(empty).count() == 0
