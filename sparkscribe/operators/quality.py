@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,27 +14,34 @@ def chunk_metrics(chunks: DataFrame, low: int = 600, high: int = 1800, under: in
     )
 
 
-def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf) with dl, the number of tokens. Counted within the row, so only distinct terms are shuffled."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    listed = df.select(F.col(id_col).alias("id"), words.alias("w"))
-    return listed.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+#: Pairs of a query and a term that are broadcast at most; more are joined by shuffles.
+ASKED = 1_000_000
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, rank, id, score) for documents that share a term; idf = ln(1 + (n - df + 0.5) / (df + 0.5)).
+def words(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
-    Documents are cut to the queries' terms by a semi join before anything is shuffled by term.
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.2, b: float = 0.75, asked_bound: int = ASKED) -> DataFrame:
+    """(query_id, rank, id, score) for documents that share a term; idf = ln(1 + (n - df + 0.5) / (df + 0.5)). Ids are unique.
+
+    Documents are read once and cut to the queries' terms, then one shuffle by document holds all postings. Where the queries' terms
+    are few enough to broadcast, scores are summed in place and each task keeps its k best of a query, so no pair is shuffled.
+    An empty term in every document counts documents and words, also of those without a term of a query.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(query_text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
-    posting = terms(docs, id_col, text_col)
-    totals = docs.select(F.size(F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    used = posting.join(asked.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = used.join(df, "term").crossJoin(F.broadcast(totals))  # one row
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(words(query_text))).alias("term"))
+    small = F.broadcast if asked.count() <= asked_bound else lambda df: df
+    wanted = asked.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    listed = docs.select(F.col(id_col).alias("id"), words(text_col).alias("w"))
+    found = listed.select("id", F.size("w").alias("dl"), F.explode(F.array_append("w", F.lit(""))).alias("term")).join(small(wanted), "term", "left_semi")
+    posting = found.repartition("id").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = posting.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    pairs = asked.join(scored.select("term", "id", weight.alias("w")), "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    every = lambda c: F.max(F.when(F.col("term") == "", F.col(c))).alias(c)  # noqa: E731, a filter would be pushed to a scan of its own
+    totals = counts.agg(every("n"), every("avgdl"))  # one row
+    terms = asked.join(counts.select("term", "df"), "term").crossJoin(F.broadcast(totals)).select("query_id", "term", idf.alias("idf"), "avgdl")
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    pairs = posting.join(small(terms), "term").groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

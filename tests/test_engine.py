@@ -1,5 +1,6 @@
 """Every registered query against its SQL, and the rules of the engine on small inputs."""
 
+import math
 import glob
 import os
 import random
@@ -287,3 +288,26 @@ def test_sources(spark, tmp_path):
     assert one(spark, lambda c: F.size(hash_embedding(c, 20)), "x") == 20
     walk = quality.edge_lines(spark.createDataFrame([("s", i, f"Head\nbody {i}\n{i}") for i in range(4)], "source_name string, page_num int, raw_text string"))
     assert [r.line for r in walk.collect()] == ["Head"]
+
+
+def test_bm25_with_and_without_broadcast(spark):
+    docs = [(1, "A b b c"), (2, "b"), (3, None), (4, ""), (5, "x y z"), (6, "a a c c d")]
+    asked = [(1, "b a b"), (2, "C d"), (3, None), (4, "nowhere")]
+    held = {i: (t or "").lower().split() for i, t in docs}
+    mean = sum(map(len, held.values())) / len(held)
+    want = []
+    for q, text in asked:
+        scores = {}
+        for term in set((text or "").lower().split()):
+            df = sum(term in w for w in held.values())
+            for i, w in held.items():
+                if term in w:
+                    tf = w.count(term)
+                    scores[i] = scores.get(i, 0) + math.log(1 + (len(held) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        want += [(q, n, i, round(s, 9)) for n, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:2], 1)]
+    d, a = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "q long, text string")
+    for bound in (quality.ASKED, 0):
+        got = quality.bm25(d, a, 2, id_col="id", text_col="text", query_id="q", query_text="text", asked_bound=bound)
+        assert sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in got.collect()) == sorted(want)
+    assert quality.bm25(d.limit(0), a, 2, id_col="id", text_col="text", query_id="q", query_text="text").count() == 0
+    assert quality.bm25(d, a.limit(0), 2, id_col="id", text_col="text", query_id="q", query_text="text").count() == 0
