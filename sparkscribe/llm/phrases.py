@@ -15,10 +15,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_tables, frugal, stage_table, table
+from .common import frugal, stage_table, table
+from .rolling import mix
 
 #: Bytes of text whose lists are held at once.
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 #: Bits of a level's bitmap for each frequent phrase, and at most: 16 MB. A bit set by another phrase only lets a longer one be counted in vain.
 BITS_EACH, MOST_BITS = 32, 1 << 27
 #: Groups a language is dealt over before its first phrases are ranked.
@@ -31,21 +32,34 @@ _KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 2
 
 @dataclass
 class Lists:
-    """Occurrences in the order of their positions, and the phrase (a number) that begins at each."""
+    """Occurrences in the order of their positions, and a hash of language and phrase at each; equal phrases have equal hashes, and those
+    that share one are told apart when they are counted."""
 
     at: np.ndarray
-    phrase: np.ndarray
+    key: np.ndarray
 
-    def where(self, kept: np.ndarray) -> Lists:
-        """The occurrences of the phrases that are kept."""
-        own = kept[self.phrase]
-        return Lists(self.at[own], self.phrase[own])
+    def where(self, bitmap: np.ndarray) -> Lists:
+        """The occurrences whose phrase may be frequent."""
+        bit = self.key & np.uint64(len(bitmap) * 64 - 1)  # a power of two: the same as a modulus
+        own = (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+        return Lists(self.at[own], self.key[own])
 
     def find(self, at: np.ndarray) -> np.ndarray:
-        """Merge-join with sorted positions: where each stands in this list, -1 for those that do not."""
+        """Merge-join with sorted positions: which of them stand in this list."""
         i = np.searchsorted(self.at, at)
         i[i == len(self.at)] = 0
-        return np.where(self.at[i] == at, i, -1) if len(self.at) else np.full(len(at), -1)
+        return self.at[i] == at if len(self.at) else np.zeros(len(at), bool)
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def _follow(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a phrase and one more word."""
+    return mix(key * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 class Block:
@@ -76,37 +90,46 @@ class Block:
         self.linked = (text[1:] == text[:-1]) & (broken[1:] == broken[:-1])  # a word and the next stand in one piece
         self.own = int(np.searchsorted(starts, own))
 
-    def words(self) -> Lists:
-        """Postings of the (language, word) pairs."""
-        return self._numbered(np.arange(len(self.word)), self.lang, self.word)
+    def words(self, seeds: np.ndarray) -> Lists:
+        """Postings of all words. seeds: a hash for each language."""
+        self.hash = _hashes(self.spelling.to_pylist())[self.word]
+        return Lists(np.arange(len(self.word)), _follow(seeds[self.lang], self.hash))
 
     def extend(self, lists: Lists, postings: Lists, size: int) -> Lists:
         """The lists of phrases of `size` words from those of one word less: an occurrence at p needs one at p + 1 and a posting of the
         last word at p + size - 1, in one piece."""
-        follow = lists.find(lists.at + 1) >= 0
+        joined = lists.find(lists.at + 1)
         if size == 2:
-            follow &= np.append(self.linked, False)[lists.at]
-        at, phrase = lists.at[follow], lists.phrase[follow]
-        last = postings.find(at + size - 1)
-        at, phrase, last = at[last >= 0], phrase[last >= 0], last[last >= 0]
-        return self._numbered(at, phrase, postings.phrase[last])
-
-    @staticmethod
-    def _numbered(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> Lists:
-        pair = left * (int(right.max(initial=0)) + 1) + right
-        return Lists(at, np.unique(pair, return_inverse=True)[1]) if len(at) else Lists(at, np.empty(0, np.int64))
-
-    def spelled(self, lists: Lists, size: int):
-        """Of each phrase: text, language number, and the length of its list among the block's own positions."""
+            joined &= np.append(self.linked, False)[lists.at]
+        at, key = lists.at[joined], lists.key[joined]
+        joined = postings.find(at + size - 1)
+        at, key = at[joined], key[joined]
+        return Lists(at, _follow(key, self.hash[at + size - 1]))
+
+    def counted(self, lists: Lists, size: int):
+        """Of each phrase that begins among the block's own words: text, language number, length of its list."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        n = int(lists.phrase.max(initial=-1)) + 1
-        at = np.zeros(n, np.int64)
-        at[lists.phrase[::-1]] = lists.at[::-1]
-        parts = [self.spelling.take(pa.array(self.word[at + i])) for i in range(size)]
-        text = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
-        return text, self.lang[at], np.bincount(lists.phrase[lists.at < self.own], minlength=n)
+        at = lists.at[lists.at < self.own]
+        phrase, spread = self.lang[at], len(self.spelling)
+        for i in range(size):  # numbered word by word: no hash decides what is one phrase
+            phrase = _numbered(phrase * spread + self.word[at + i])
+        n = np.bincount(phrase)
+        head = np.zeros(len(n), np.int64)
+        head[phrase] = at
+        parts = [self.spelling.take(pa.array(self.word[head + i])) for i in range(size)]
+        return pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0], self.lang[head], n
+
+
+def _numbered(x: np.ndarray) -> np.ndarray:
+    """Equal values to equal numbers from 0."""
+    top = int(x.max(initial=-1)) + 1
+    if top <= 4 * len(x):
+        seen = np.zeros(top, np.int64)
+        seen[x] = 1
+        return (np.cumsum(seen) - 1)[x]
+    return np.unique(x, return_inverse=True)[1]
 
 
 def text_blocks(texts, langs: np.ndarray, size: int, ahead: int) -> Iterator[Block]:
@@ -147,28 +170,31 @@ def text_blocks(texts, langs: np.ndarray, size: int, ahead: int) -> Iterator[Blo
         at = own
 
 
-def _bitmap(frequent: DataFrame) -> np.ndarray:
-    """A bit for each frequent (lang, phrase), by hash; its size is bounded whatever their number."""
+def _bitmap(frequent: DataFrame, size: int) -> np.ndarray:
+    """A bit for each frequent (lang, phrase) of `size` words, by hash; its size is bounded whatever their number."""
     n = frequent.count()
     bits = min(MOST_BITS, 1 << max(16, (BITS_EACH * n).bit_length()))
-    at = F.pmod(F.xxhash64("lang", "phrase"), F.lit(bits))
-    rows = frequent.select(at.alias("at")).selectExpr("shiftright(at, 6) AS word", "shiftleft(1L, cast(at & 63 AS int)) AS bit")
+
+    def place(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            key = _hashes(batch.column(0).to_pylist())
+            words = pc.list_flatten(pc.split_pattern(batch.column(1), " "))
+            hashes = _hashes(words.to_pylist()).reshape(len(batch), size)
+            for i in range(size):
+                key = _follow(key, hashes[:, i])
+            at = key & np.uint64(bits - 1)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bit"])
+
+    rows = frequent.select("lang", "phrase").mapInArrow(frugal(place), "word long, bit long")
     found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # MOST_BITS / 64 rows at most
     out = np.zeros(bits // 64, np.int64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
-def _kept(bitmap: np.ndarray, text, lang: np.ndarray, seeds: list[int]) -> np.ndarray:
-    import pyarrow as pa
-    from xxhash import xxh64_intdigest
-
-    seed = [seeds[i] for i in lang.tolist()]
-    h = np.fromiter((xxh64_intdigest(t, s) for t, s in zip(text.cast(pa.binary()).to_pylist(), seed)), np.uint64, len(text))
-    at = h & np.uint64(len(bitmap) * 64 - 1)  # a power of two: the same as a modulus
-    return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _counted(docs: DataFrame, size: int, bitmaps: list[np.ndarray], block: int) -> DataFrame:
     """(lang, phrase, f): frequencies of the phrases of `size` words all of whose shorter phrases pass the bitmaps; at size 1 also the number of
     all words, with a null phrase."""
@@ -177,28 +203,23 @@ def _counted(docs: DataFrame, size: int, bitmaps: list[np.ndarray], block: int)
     def count(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
-        from xxhash import xxh64_intdigest
 
         for batch in batches:
             coded = pc.fill_null(batch.column(0), "und").dictionary_encode()
             names = coded.dictionary
-            seeds = [xxh64_intdigest(x.encode(), 42) for x in names.to_pylist()]
+            seeds = _hashes(names.to_pylist())
             texts = pc.ascii_lower(pc.fill_null(batch.column(1), ""))
             for b in text_blocks(texts, coded.indices.to_numpy().astype(np.int64), block, size - 1):
-                lists = postings = b.words()
+                lists = postings = b.words(seeds)
                 for level in range(1, size):
-                    text, lang, _ = b.spelled(lists, level)
-                    lists = lists.where(_kept(shared.value[level - 1], text, lang, seeds))
+                    lists = lists.where(shared.value[level - 1])
                     if level == 1:
                         postings = lists
                     lists = b.extend(lists, postings, level + 1)
-                text, lang, n = b.spelled(lists, size)
-                some = np.flatnonzero(n)
-                if not len(some):
+                text, lang, n = b.counted(lists, size)
+                if not len(text):
                     continue
-                text, lang, n = text.take(pa.array(some)), lang[some], n[some]
-                out = [names.take(pa.array(lang)), text, pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(out, ["lang", "phrase", "f"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(lang)), text, pa.array(n, pa.int64())], ["lang", "phrase", "f"])
                 if size == 1:
                     total = np.bincount(lang, weights=n, minlength=len(names)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), pa.string()), pa.array(total, pa.int64())], ["lang", "phrase", "f"])
@@ -222,7 +243,7 @@ def frequent_phrases(docs: DataFrame, *, least: int = 30, longest: int = 4, lang
         kept = stage_table(found.where((F.col("f") >= least) | F.col("phrase").isNull()))
         levels.append(kept.select("lang", "phrase", F.when(F.col("phrase").isNull(), 0).otherwise(size).alias("size"), "f"))
         if size < longest:
-            bitmaps.append(_bitmap(kept.where(F.col("phrase").isNotNull())))
+            bitmaps.append(_bitmap(kept.where(F.col("phrase").isNotNull()), size))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
