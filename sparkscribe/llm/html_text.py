@@ -27,6 +27,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 _INLINE |= frozenset("math maction annotation annotation-xml menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: Elements that hold plain text up to their end tag, and those that hold elements.
+_COMMENT_END = re.compile(r"--!?>")
 _PLAIN = frozenset("script style iframe title textarea".split())
 _UNSEEN = _PLAIN | frozenset("noscript template svg object canvas select".split())
 #: A start tag of these ends an open element of the same set, or an open paragraph.
@@ -90,7 +91,8 @@ def blocks(page: str) -> list[tuple[_Path, str, float]]:
     """Leaf blocks in page order: tag path, text, share of its characters inside links. Time is linear in the page.
 
     A tag ends at the first > outside quotes. Where the page's end comes before one, quotes do not pair: from there on any > ends a
-    tag. A < without an end is text. A self-closed svg or math has no content; of an element that is not read and has no end tag only the
+    tag. A < without an end is text. A comment ends at --> or --!>, <!--> and <!---> are empty ones, and of a comment without an end
+    only its <!-- goes. noscript, template, svg, object, canvas and select are not read, wherever they stand. A self-closed svg or math has no content; of an element that is not read and has no end tag only the
     tag goes.
     """
     out: list[tuple[_Path, str, float]] = []
@@ -121,8 +123,15 @@ def blocks(page: str) -> list[tuple[_Path, str, float]]:
             stop = page.find("<", at)
             stop = stop if stop >= 0 else len(page)
         elif page.startswith("<!--", at):
-            stop = page.find("-->", at + 4)
-            at = stop + 3 if stop >= 0 else len(page)
+            at += 4
+            if page.startswith(">", at) or page.startswith("->", at):  # an empty comment
+                at = page.find(">", at) + 1
+            elif "<!--" not in unclosed:
+                stop = _COMMENT_END.search(page, at)
+                if stop:
+                    at = stop.end()
+                else:
+                    unclosed.add("<!--")
             continue
         elif at < last and page[at + 1] in "!?":
             at = page.find(">", at) + 1

@@ -98,7 +98,7 @@ class Block:
     def extend(self, lists: Lists, postings: Lists, size: int) -> Lists:
         """The lists of phrases of `size` words from those of one word less: an occurrence at p needs one at p + 1 and a posting of the
         last word at p + size - 1, in one piece."""
-        joined = lists.find(lists.at + 1)
+        joined = np.append(lists.at[1:] == lists.at[:-1] + 1, False)[: len(lists.at)]  # sorted: only the next can stand there
         if size == 2:
             joined &= np.append(self.linked, False)[lists.at]
         at, key = lists.at[joined], lists.key[joined]

@@ -16,7 +16,10 @@ SHORT, KNOWN = 48, 400_000
 #: A piece of more characters is also cut before a comma and the like that follows a letter.
 LONG = 1 << 14
 
-_STOP = re.compile(r"(?<=[^\W\d_])(?=[,;!?，、。；！？](?:[^\W_]|\s))")
+#: Letters that every version of the models' tables knows as such and that stay letters when lower-cased and composed: not İ, whose lower
+#: case ends in a combining mark.
+_LETTER = r"a-zA-Z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F\u0391-\u03A1\u03A3-\u03C9\u0410-\u044F\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3"
+_STOP = re.compile(rf"(?<=[{_LETTER}])(?=[,;!?，、。；！？](?:[^\W_]|\s))")
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -24,8 +27,9 @@ def pieces(text: str) -> Iterator[str]:
 
     No token, contraction, composed character or special string of the .json models spans such a place, and a
     space keeps the letter run it stands before; so counts of the pieces add up to that of the text. A piece of over LONG characters
-    (text without such spaces) is cut too between a letter and a mark that a letter, digit or space follows: the models part
-    letters from marks, and none of these marks composes or belongs to a special string. What has neither, such as one run of
+    (text without such spaces) is cut too between a letter of _LETTER and a mark that a letter, digit or space follows: the models part
+    letters from marks, and none of these marks composes or belongs to a special string; letters whose lower case ends in a mark, or that
+    a model's tables may not know, are no such place. What has neither, such as one run of
     digits, is one piece, for a token may span any place of it.
     """
     start, at, last = 0, text.find(" ", 1), len(text) - 1

@@ -123,11 +123,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "ve
     Rows are dealt over index blocks of about `block` and queries over blocks of about `queries`; each pair of blocks is one
     group of bounded size. A block's index gives bounds from coarse bit slices; all rows within the bound are
     scored exactly, so nothing is lost. Vectors that are null, empty, or hold null or non-finite components, and rows with a null id,
-    take no part; vectors of another length than the query's are no candidates. Ties go to the smaller id. A query's
+    take no part, nor do those whose whole components have a sum of squares of 2 ** 62 or more: their products could leave 64 bits, and no
+    product of the others does (Cauchy-Schwarz). Vectors of another length than the query's are no candidates. Ties go to the smaller id. A query's
     own id is no candidate; repeated rows count separately as candidates, identical queries once. Fewer candidates than k give
     fewer rows; an empty table none.
     """
     ok = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    ok &= F.aggregate("v", F.lit(0.0), lambda s, x: s + F.pow(F.floor(F.lit(256.0) * x.cast("double")).cast("double"), 2)) < float(1 << 62)
     # forall is null, hence not kept, for a null vector
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(ok).withColumn("dim", F.size("v"))
     n = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
@@ -162,8 +164,9 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: TRY_CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND list_sum(list_transform(embedding, lambda x: pow(floor(256 * x::DOUBLE), 2))) < 4611686018427387904),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
