@@ -100,15 +100,27 @@ def with_context(hits: DataFrame, graph: dict[str, DataFrame], max_edges: int =
     return joined.withColumn("graph", F.struct(empty("mentions"), empty("related"))).drop("mentions", "related")
 
 
-def prerequisite_walk(relations: DataFrame, start: str, relation: str = "depends_on", most: int = 20) -> DataFrame:
-    """(concept_id, depth): what a concept depends on, by breadth; an addition beyond the one-hop context."""
-    edges = relations.where(F.col("relation") == relation).select("source_concept_id", "target_concept_id").distinct()
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "concept_id string, depth int")
-    front = seen
-    for depth in range(1, most + 1):
-        step = front.join(edges, front.concept_id == edges.source_concept_id).select(F.col("target_concept_id").alias("concept_id")).distinct()
-        front = step.join(seen, "concept_id", "left_anti").withColumn("depth", F.lit(depth))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+def learning_path(relations: DataFrame, starts: DataFrame, relation: str = "depends_on", most: int = 4) -> DataFrame:
+    """(start, concept_id, depth, step) for each start of starts(concept_id): what it depends on, directly or through others up to `most` edges away,
+    by the shortest way; step 1 is what to learn first, the start itself comes last.
+
+    One recursive query. A path never comes back to a concept it has passed, so cycles end; parallel edges count once. Steps go by falling depth, then
+    by id. A start without edges is its own path of one step; null ids and edges with a null end take no part; repeated starts are one. The session's
+    spark.sql.cteRecursionRowLimit bounds the paths held at once and ends the run beyond it."""
+    edges = relations.where((F.col("relation") == relation) & F.col("source_concept_id").isNotNull() & F.col("target_concept_id").isNotNull()).select("source_concept_id", "target_concept_id").distinct()
+    first = starts.where(F.col("concept_id").isNotNull()).select("concept_id").distinct()
+    return starts.sparkSession.sql(
+        """
+        WITH RECURSIVE walk(start, concept_id, depth, path) AS (
+          SELECT concept_id, concept_id, 0, array(concept_id) FROM {first}
+          UNION ALL
+          SELECT w.start, e.target_concept_id, w.depth + 1, array_append(w.path, e.target_concept_id)
+          FROM walk w JOIN {edges} e ON e.source_concept_id = w.concept_id
+          WHERE w.depth < {most} AND NOT array_contains(w.path, e.target_concept_id)),
+        nearest AS (SELECT start, concept_id, min(depth) AS depth FROM walk GROUP BY start, concept_id)
+        SELECT start, concept_id, depth, row_number() OVER (PARTITION BY start ORDER BY depth DESC, concept_id) AS step FROM nearest
+        """,
+        first=first,
+        edges=edges,
+        most=int(most),
+    )

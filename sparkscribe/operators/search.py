@@ -6,39 +6,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkscribe.functions.text import preview
+from sparkscribe.operators.pruned import pruned_top_k
 
-#: Queries of one broadcast block.
+#: Queries that are broadcast at most.
 QUERY_BLOCK = 4096
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, *, id_col: str = "chunk_id", order: str = "vector_row_index", exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, id, score) from index(id, embedding, order) and queries(query_id, embedding).
 
-    Every query is scored against every row. Queries stand in blocks of about QUERY_BLOCK, their number being checked first; a block is
-    broadcast as a matrix, each Arrow batch of the index is multiplied with it, and each task keeps its k best of a query before
-    the shuffle. Scores are rounded to 12 places, so equal vectors tie; ties go to the smaller `order`. A zero vector
+    Up to QUERY_BLOCK queries, their number being checked first, are broadcast as a matrix; each Arrow batch of the index is multiplied with
+    it, and each task keeps its k best of a query before the shuffle. More queries go through pruned_top_k(), whose plan does not grow
+    with their number. Scores are rounded to 12 places, so equal vectors tie; ties go to the smaller `order`. A zero vector
     scores 0; rows and queries without a vector take no part; another length than the query's ends the run; k < 1 is refused.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    count = queries.count()
-    blocks = 1 if count <= QUERY_BLOCK else 2 * -(-count // QUERY_BLOCK)
+    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
+        return pruned_top_k(index, queries, k, id_col=id_col, order=order, exclude_self=exclude_self).drop("scored")
     rows = index.select(F.col(id_col).alias("_id"), F.col(order).cast("double").alias("_order"), F.col("embedding").cast("array<double>").alias("_e"))
     asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("_q")).where("_q is not null")
     kinds = dict(rows.dtypes)["_id"], dict(asked.dtypes)["query_id"]
-    wanted = k + 1 if exclude_self else k
-    best = None
-    for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        held = block.collect()  # about QUERY_BLOCK rows at most
-        found = rows.mapInArrow(_scan(block.sparkSession, [r["_q"] for r in held], wanted), f"_qi int, _id {kinds[0]}, _order double, score double")
-        names = block.sparkSession.createDataFrame([(n, r["query_id"]) for n, r in enumerate(held)], f"_qi int, query_id {kinds[1]}")
-        named = found.join(F.broadcast(names), "_qi")  # a block of queries
-        if exclude_self:
-            named = named.where(F.col("_id") != F.col("query_id"))
-        ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("_qi").orderBy(F.desc("score"), "_order"))).where(F.col("rank") <= k)
-        best = ranked if best is None else best.unionByName(ranked)
-    return best.select("query_id", "rank", F.col("_id").alias(id_col), "score")
+    held = asked.collect()  # QUERY_BLOCK rows at most
+    found = rows.mapInArrow(_scan(asked.sparkSession, [r["_q"] for r in held], k + 1 if exclude_self else k), f"_qi int, _id {kinds[0]}, _order double, score double")
+    names = asked.sparkSession.createDataFrame([(n, r["query_id"]) for n, r in enumerate(held)], f"_qi int, query_id {kinds[1]}")
+    named = found.join(F.broadcast(names), "_qi")  # a block of queries
+    if exclude_self:
+        named = named.where(F.col("_id") != F.col("query_id"))
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("_qi").orderBy(F.desc("score"), "_order"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", F.col("_id").alias(id_col), "score")
 
 
 def _scan(spark: SparkSession, vectors: list[list[float]], k: int):

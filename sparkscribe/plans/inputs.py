@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from sparkscribe.functions.text import estimate_tokens
 from sparkscribe.functions.vector import hash_embedding
 from sparkscribe.operators import bandit, concepts, graph, search
+from sparkscribe.sources.staging import staged
 from sparkscribe.sources.store import number_rows
 
 DIM, TOP, ROUNDS, EPSILON, SEED = 32, 10, 200, 0.2, 42
 #: A lexicon of strings that occur in the test documents.
 TEST_LEXICON = (("the", "concept", "The"), ("tion", "method", "Tion"), ("eau", "modality", "Eau"), ("ung", "signal", "Ung"), ("ción", "modality", "Ción"))
 
+#: Place of a concept in a reply and the word that names it; place of a relation and the words it joins.
+REPLY_CONCEPTS = ((0, 0), (1, 2), (2, 4), (3, 6), (4, 0))
+REPLY_RELATIONS = ((0, 0, 2), (1, 2, 4), (2, 4, 6), (3, 0, 2))
+#: Concepts and cues made of words that occur in the test documents.
+TEST_PHRASES = (("the", "The"), ("le", "Le"), ("der", "Der"), ("el", "El"), ("in", "In"), ("en", "En"), ("the in", "The In"), ("ch", "Ch"), ("sch", "Sch"))
+TEST_CUES = (("and", "part_of"), ("of", "is_a"), ("que", "depends_on"), ("und", "compares_with"), ("de", "used_for"), ("for", "used_for"), ("and the", "measures"))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,6 +57,28 @@ def knowledge(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return graph.build_graph(chunks(spark, sf_dir), ideas, relations, mentions, unique=False)
 
 
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with concepts and relations parsed from a reply for each document, made of its own words: names in several cases, one
+    name under two types, aliases, confidences that compete, relations that repeat in a chunk and over chunks."""
+    c = chunks(spark, sf_dir).withColumn("w", F.filter(F.regexp_extract_all("chunk_text", F.lit("[A-Za-z]+"), F.lit(0)), lambda x: F.length(x) >= 2))
+    word = lambda i: F.get("w", F.lit(i))
+    sure = lambda n, i: F.pmod(F.col("doc_id") * 7 + i * 13 + F.length(word(n)), F.lit(50)) / 100.0 + 0.5
+    kind = lambda n: F.element_at(F.array(F.lit("Method"), F.lit(" concept "), F.lit("signal")), F.length(word(n)) % 3 + 1)
+    about = lambda n: F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("About "), word(n + 1)))
+    concept = lambda i, n: F.struct(word(n).alias("name"), (F.lit("task") if i == 4 else kind(n)).alias("type"), F.array(F.lower(word(n)), word(n + 1), F.lit(" ")).alias("aliases"), about(n).alias("description"), sure(n, i).alias("confidence"))
+    named = F.element_at(F.array(*map(F.lit, ("depends_on", "part_of", "DEPENDS_ON", "likes"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    relation = lambda i, n, m: F.struct(F.upper(word(n)).alias("source"), named.alias("relation"), word(m).alias("target"), F.concat_ws(" ", word(n), word(m), F.lit(str(i))).alias("evidence"), sure(n, i).alias("confidence"))
+    reply = F.to_json(F.struct(F.array(*(concept(i, n) for i, n in REPLY_CONCEPTS)).alias("concepts"), F.array(*(relation(i, n, m) for i, n, m in REPLY_RELATIONS)).alias("relations")))
+    return concepts.parse_replies(c.withColumn("reply", reply).drop("w"))
+
+
+def reply_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Concepts, relations and mention rows of replies(), each computed once."""
+    raw = staged(replies(spark, sf_dir))
+    named = staged(concepts.mentions(raw))
+    return concepts.aggregate_concepts(named, lists=False), concepts.dedup_relations(concepts.relation_rows(raw, named)), concepts.mention_edges(named)
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
     return number_rows(b, "item_id").select(F.col("n").cast("int").alias("query_no"), "query")

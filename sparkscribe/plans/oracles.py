@@ -5,7 +5,7 @@ from __future__ import annotations
 from sparkscribe.functions.text import LIGATURES, TITLE_KEYWORDS
 from sparkscribe.operators.bandit import POISSON
 from sparkscribe.operators.concepts import ANCHOR
-from sparkscribe.plans.inputs import TEST_LEXICON
+from sparkscribe.plans.inputs import REPLY_CONCEPTS, REPLY_RELATIONS, TEST_CUES, TEST_LEXICON, TEST_PHRASES
 
 _WS = r"[\s\x0b\x1c-\x1f]"
 
@@ -192,6 +192,43 @@ st AS (SELECT -1 AS round, -1 AS query_no, -1 AS arm_index, 0::DOUBLE AS propens
                        list_transform(q.arms, lambda a: {_DOT('a.x', _TIMES('s.inv', 's.b'))} + sqrt(greatest(0, {_DOT('a.x', _TIMES('s.inv', 'a.x'))}))) AS u
                 FROM st s, nq JOIN qa q ON true WHERE s.round < 199 AND q.query_no = (s.round + 1) % nq.nq))))))"""
 
+_VALUES = lambda rows: ", ".join(repr(tuple(r)) for r in rows)
+_SURE = lambda w: f"((doc_id * 7 + ord * 13 + length({w})) % 50) / 100.0::DOUBLE + 0.5::DOUBLE"
+REPLIES = f"""{DOCS}, rw AS (SELECT *, list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x) >= 2) AS w FROM docs),
+rc AS (SELECT chunk_id, ord, w[n + 1] AS name, CASE WHEN ord = 4 THEN 'task' ELSE ['method', 'concept', 'signal'][length(w[n + 1]) % 3 + 1] END AS type, [lower(w[n + 1]), w[n + 2]] AS als,
+              CASE WHEN doc_id % 3 <> 0 AND w[n + 2] IS NOT NULL THEN 'About ' || w[n + 2] ELSE '' END AS description, {_SURE('w[n + 1]')} AS confidence FROM rw, (VALUES {_VALUES(REPLY_CONCEPTS)}) t(ord, n)),
+rm AS (SELECT *, {slug('type')} || '::' || {slug('name')} AS concept_id FROM rc WHERE name IS NOT NULL AND confidence >= 0.6),
+rn AS (SELECT chunk_id, lower(name) AS key, arg_max(concept_id, ord) AS id FROM rm GROUP BY ALL),
+rr AS (SELECT chunk_id, ord, w[n + 1] AS s, ['depends_on', 'part_of', 'depends_on', 'likes'][doc_id % 4 + 1] AS relation, w[m + 1] AS t, concat_ws(' ', w[n + 1], w[m + 1], ord::VARCHAR) AS evidence, {_SURE('w[n + 1]')} AS confidence
+       FROM rw, (VALUES {_VALUES(REPLY_RELATIONS)}) t(ord, n, m)),
+rj AS (SELECT x.id || '|' || relation || '|' || y.id || '|' || r.chunk_id AS relation_id, x.id AS source_concept_id, relation, y.id AS target_concept_id, confidence, evidence, r.chunk_id,
+              row_number() OVER (PARTITION BY x.id, relation, y.id, r.chunk_id ORDER BY confidence DESC, ord) AS best
+       FROM rr r JOIN rn x ON x.chunk_id = r.chunk_id AND x.key = lower(s) JOIN rn y ON y.chunk_id = r.chunk_id AND y.key = lower(t) WHERE relation <> 'likes' AND confidence >= 0.6),
+rel AS (SELECT * EXCLUDE (best) FROM rj WHERE best = 1),
+ideas AS (SELECT concept_id, arg_min(name, (chunk_id, ord)) AS name, arg_min(type, (chunk_id, ord)) AS type, array_to_string(list_sort(list_distinct(list_filter(flatten(list(als)), lambda a: a IS NOT NULL))), ';') AS aliases,
+              coalesce(arg_min(description, (chunk_id, ord)) FILTER (description <> ''), '') AS description, max(confidence) AS max_confidence, count(DISTINCT chunk_id)::INT AS n_mentions, min(chunk_id) AS first_chunk FROM rm GROUP BY concept_id),
+ment AS (SELECT DISTINCT chunk_id, concept_id FROM rm),
+edge AS (SELECT DISTINCT r.source_concept_id, s.name AS source_name, r.relation, r.target_concept_id, t.name AS target_name, r.confidence FROM rel r JOIN ideas s ON s.concept_id = r.source_concept_id JOIN ideas t ON t.concept_id = r.target_concept_id)"""
+WALK = f"""{REPLIES}, dep AS (SELECT DISTINCT source_concept_id AS a, target_concept_id AS b FROM rel WHERE relation = 'depends_on'),
+root AS (SELECT source_concept_id AS c FROM rel WHERE relation = 'depends_on' GROUP BY 1 HAVING count(*) >= 2),
+walk AS (SELECT c AS start, c AS concept_id, 0 AS depth FROM root UNION SELECT start, b, depth + 1 FROM walk JOIN dep ON a = concept_id WHERE depth < 3),
+nearest AS (SELECT start, concept_id, min(depth) AS depth FROM walk GROUP BY ALL)"""
+CUED = rf"""{DOCS}, se AS (SELECT chunk_id, unnest(range(0, len(p)))::INT AS sentence, unnest(p) AS s FROM (SELECT chunk_id, regexp_split_to_array(lower(text), '[.!?
+]') AS p FROM docs)),
+sw AS (SELECT chunk_id, sentence, regexp_extract_all(s, '[\p{{L}}\p{{N}}]+') AS w FROM se),
+sp AS (SELECT chunk_id, sentence, (i - 1)::INT AS start, (i - 1 + m)::INT AS stop, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM sw), (VALUES (1), (2), (3), (4)) t(m) WHERE i + m - 1 <= len(w)),
+co AS (SELECT chunk_id, sentence, start, stop, 'concept::' || {slug('n')} AS id FROM sp JOIN (VALUES {_VALUES(TEST_PHRASES)}) t(p, n) ON p = phrase),
+cu AS (SELECT chunk_id, sentence, start, stop, relation FROM sp JOIN (VALUES {_VALUES(TEST_CUES)}) t(p, relation) ON p = phrase),
+lo AS (SELECT cu.*, co.start AS s_start, co.id AS s_id FROM cu JOIN co ON co.chunk_id = cu.chunk_id AND co.sentence = cu.sentence AND co.stop <= cu.start QUALIFY row_number() OVER (PARTITION BY cu.chunk_id, cu.sentence, cu.start, cu.stop, relation ORDER BY co.stop DESC, co.start, co.id) = 1),
+hi AS (SELECT cu.*, co.stop AS t_stop, co.id AS t_id FROM cu JOIN co ON co.chunk_id = cu.chunk_id AND co.sentence = cu.sentence AND co.start >= cu.stop QUALIFY row_number() OVER (PARTITION BY cu.chunk_id, cu.sentence, cu.start, cu.stop, relation ORDER BY co.start, co.stop DESC, co.id) = 1)"""
+TFIDF = f"""tok AS (SELECT doc_id, {TOK} AS w FROM documents), nn AS (SELECT count(*) AS n FROM tok),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+dw AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), nn), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS size FROM dw GROUP BY doc_id),
+qt AS (SELECT item_id AS query_id, term, count(*) AS tf FROM (SELECT item_id, unnest({TOK}) AS term FROM benchmark) GROUP BY ALL), qw AS (SELECT query_id, term, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS w FROM qt LEFT JOIN df USING (term), nn),
+qn AS (SELECT query_id, sqrt(sum(w * w)) AS size FROM qw GROUP BY query_id),
+sc AS (SELECT q.query_id, d.doc_id, sum(q.w * d.w) AS dot FROM qw q JOIN dw d USING (term) GROUP BY ALL),
+ti AS (SELECT query_id, doc_id, dot / (qn.size * dn.size) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(dot / (qn.size * dn.size), 9) DESC, doc_id)::INT AS rank FROM sc JOIN qn USING (query_id) JOIN dn USING (doc_id) QUALIFY rank <= 10)"""
+
 ORACLES = {
     "vector_topk": _with(_EMB_TOP, "SELECT qid, rk, vid, round(score, 6) AS score FROM t WHERE rk <= 10"),
     "vector_topk_metadata": _with(_EMB_TOP, "SELECT t.qid, t.rk, t.vid, CASE WHEN d.doc_id IS NOT NULL THEN t.label END AS label, substr(d.text, 1, 350) AS preview FROM t LEFT JOIN documents d ON d.doc_id = t.vid WHERE rk <= 5"),
@@ -259,4 +296,12 @@ SELECT CASE WHEN ok THEN 'ok' ELSE 'error' END AS status,
         "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, id)::INT AS rank, id AS doc_id, round(rrf, 6) AS rrf FROM fu QUALIFY rank <= 10",
     ),
     "source_rollup": _with(BM25, "SELECT query_id, source, round(max(score), 6) AS best, round(sum(score), 6) AS total FROM bm JOIN documents d ON d.doc_id = bm.id GROUP BY ALL"),
+    "vector_topk_pruned": _with(_EMB_TOP, "SELECT qid, rk, vid, round(score, 6) AS score FROM t WHERE rk <= 10"),
+    "tfidf_topk": _with(TFIDF, "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM ti"),
+    "reply_concepts": _with(REPLIES, "SELECT * REPLACE (round(max_confidence, 6) AS max_confidence) FROM ideas"),
+    "reply_relations": _with(REPLIES, "SELECT * REPLACE (round(confidence, 6) AS confidence) FROM rel"),
+    "reply_graph_stats": _with(REPLIES, "SELECT (SELECT count(*) FROM docs) AS chunks, (SELECT count(*) FROM ideas) AS concepts, (SELECT count(*) FROM ment) AS mentions, (SELECT count(*) FROM rel) AS relations, (SELECT count(*) FROM docs a JOIN docs b ON b.doc_id = a.doc_id + 1) AS next_edges"),
+    "reply_expand": _with(REPLIES, "SELECT m.chunk_id, row_number() OVER (PARTITION BY m.chunk_id ORDER BY e.source_concept_id, e.relation, e.target_concept_id, e.confidence)::INT AS edge_no, e.* REPLACE (round(e.confidence, 6) AS confidence) FROM ment m JOIN edge e ON e.source_concept_id = m.concept_id QUALIFY edge_no <= 8"),
+    "learning_path": _with(WALK, "SELECT start, concept_id, depth::INT AS depth, row_number() OVER (PARTITION BY start ORDER BY depth DESC, concept_id)::INT AS step FROM nearest", True),
+    "pattern_relations": _with(CUED, "SELECT chunk_id, sentence, start AS at, s_id AS source_concept_id, relation, t_id AS target_concept_id, array_to_string(w[s_start + 1:t_stop], ' ') AS evidence FROM lo JOIN hi USING (chunk_id, sentence, start, stop, relation) JOIN sw USING (chunk_id, sentence) WHERE s_id <> t_id"),
 }

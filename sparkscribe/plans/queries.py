@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkscribe.functions import text as tx
 from sparkscribe.functions.vector import hash_embedding, l2_normalize
-from sparkscribe.operators import bandit, chunking, concepts, graph, quality, search
+from sparkscribe.operators import bandit, chunking, concepts, graph, patterns, quality, search
+from sparkscribe.operators.pruned import pruned_top_k
+from sparkscribe.operators.tfidf import tfidf_top_k
 from sparkscribe.plans import inputs as on
 from sparkscribe.sources import schemas, store
 
@@ -368,3 +370,57 @@ def rank_fusion(spark, sf_dir):
 def source_rollup(spark, sf_dir):
     s = on.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     return quality.source_rollup(_bm25(spark, sf_dir).select("query_id", "id", "score"), s).select("query_id", "source", r6("best", "best"), r6("total", "total"))
+
+
+@query
+def vector_topk_pruned(spark, sf_dir):
+    e = on.table(spark, sf_dir, "embeddings")
+    hits = pruned_top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, id_col="vec_id", order="vec_id")
+    return hits.select(F.col("query_id").alias("qid"), F.col("rank").alias("rk"), F.col("vec_id").alias("vid"), r6("score", "score"))
+
+
+@query
+def tfidf_topk(spark, sf_dir):
+    hits = tfidf_top_k(on.table(spark, sf_dir, "documents"), on.table(spark, sf_dir, "benchmark"), 10, id_col="doc_id", text_col="text", query_id="item_id", query_text="text")
+    return hits.select("query_id", "rank", F.col("id").alias("doc_id"), r6("score", "score"))
+
+
+@query
+def reply_concepts(spark, sf_dir):
+    ideas = on.reply_tables(spark, sf_dir)[0]
+    return ideas.select("concept_id", "name", "type", F.array_join("aliases", ";").alias("aliases"), "description", r6("max_confidence", "max_confidence"), F.col("n_mentions").cast("int").alias("n_mentions"), "first_chunk")
+
+
+@query
+def reply_relations(spark, sf_dir):
+    relations = on.reply_tables(spark, sf_dir)[1]
+    return relations.select("relation_id", "source_concept_id", "relation", "target_concept_id", r6("confidence", "confidence"), "evidence", "chunk_id")
+
+
+def _reply_graph(spark, sf_dir):
+    ideas, relations, mentions = on.reply_tables(spark, sf_dir)
+    return graph.build_graph(on.chunks(spark, sf_dir), ideas, relations, mentions, unique=False)
+
+
+@query
+def reply_graph_stats(spark, sf_dir):
+    return graph.statistics(_reply_graph(spark, sf_dir))
+
+
+@query
+def reply_expand(spark, sf_dir):
+    return graph.expand(on.chunks(spark, sf_dir).select("chunk_id"), _reply_graph(spark, sf_dir), 8).select("chunk_id", "edge_no", "source_concept_id", "source_name", "relation", "target_concept_id", "target_name", r6("confidence", "confidence"))
+
+
+@query
+def learning_path(spark, sf_dir):
+    """From each concept that at least two chunks name as the source of a dependency, three edges deep."""
+    relations = on.staged(on.reply_tables(spark, sf_dir)[1])
+    starts = relations.where("relation = 'depends_on'").groupBy("source_concept_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(F.col("source_concept_id").alias("concept_id"))
+    return graph.learning_path(relations, starts, most=3)
+
+
+@query
+def pattern_relations(spark, sf_dir):
+    named = spark.createDataFrame([(p, n) for p, n in on.TEST_PHRASES], "phrase string, name string").select("phrase", tx.concept_id(F.col("name"), F.lit("concept")).alias("concept_id"))
+    return patterns.pattern_relations(on.chunks(spark, sf_dir), named, on.TEST_CUES)
