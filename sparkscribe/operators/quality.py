@@ -65,8 +65,47 @@ def source_rollup(hits: DataFrame, sources: DataFrame) -> DataFrame:
     return hits.join(sources, "id").groupBy("query_id", "source").agg(F.max("score").alias("best"), F.sum("score").alias("total"))
 
 
-def edge_lines(pages: DataFrame, least: int = 3) -> DataFrame:
-    """First or last lines that repeat on `least` or more pages of a source: running headers and footers."""
-    lines = F.filter(F.split("raw_text", "\n"), lambda x: F.trim(x) != "")
-    ends = pages.select("source_name", F.explode(F.array_distinct(F.filter(F.array(F.try_element_at(lines, F.lit(1)), F.try_element_at(lines, F.lit(-1))), lambda x: x.isNotNull()))).alias("line"))
-    return ends.groupBy("source_name", "line").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= least)
+def _edges(pages: DataFrame, depth: int) -> DataFrame:
+    """(source_name, page_num, place, line): the first and the last `depth` lines of a page that are not blank, trimmed; place counts all lines from 0."""
+    lines = F.transform(F.split(F.coalesce("raw_text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("place"), F.trim(x).alias("line")))
+    full = F.filter(lines, lambda x: x["line"] != "")
+    ends = F.array_distinct(F.concat(F.slice("full", 1, depth), F.slice("full", F.greatest(F.lit(1), F.size("full") - depth + 1), depth)))
+    return pages.select("source_name", "page_num", full.alias("full")).select("source_name", "page_num", F.inline(ends))
+
+
+def edge_lines(pages: DataFrame, least: int = 3, depth: int = 1) -> DataFrame:
+    """(source_name, line, n_pages): first or last lines that stand on `least` or more pages of a source: running headers and footers.
+
+    Two passes. The first counts hashes only, with partial counts in each task; the second counts the texts of the lines whose hash is frequent, so a
+    shared hash cannot make a line frequent. A line counts once a page. A null source is a source of its own; null texts have no lines."""
+    ends = _edges(pages, depth).select("source_name", "page_num", "line").distinct()
+    ends = ends.withColumn("h", F.xxhash64("source_name", "line"))
+    often = ends.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("h")
+    exact = ends.join(often, "h", "left_semi").groupBy("source_name", "line").agg(F.count(F.lit(1)).alias("n_pages"))
+    return exact.where(F.col("n_pages") >= least)
+
+
+def page_flags(pages: DataFrame, least: int = 3, depth: int = 1) -> DataFrame:
+    """(source_name, page_num, body, removed, symbol_ratio, numeric_only) of pages whose (source_name, page_num) is unique: the text without its running
+    headers and footers (edge_lines), how many lines went, the share of characters of the rest that are neither letters, digits nor white space, and
+    whether it has digits but no letter. Null and empty texts: empty body, ratio 0, false. Pages of a null source are handled like any other."""
+    marked = _edges(pages, depth).withColumn("h", F.xxhash64("source_name", "line"))
+    often = edge_lines(pages, least, depth).select(F.col("source_name").alias("_s"), F.col("line").alias("_l"))
+    gone = marked.join(often, F.col("source_name").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_l")), "left_semi")
+    gone = gone.groupBy(F.col("source_name").alias("_s"), F.col("page_num").alias("_p")).agg(F.collect_set("place").alias("gone"))  # 2 * depth at most
+    joined = pages.join(gone, F.col("source_name").eqNullSafe(F.col("_s")) & (F.col("page_num") == F.col("_p")), "left")
+    lines = F.split(F.coalesce("raw_text", F.lit("")), "\n")
+    kept = F.filter(lines, lambda x, i: F.col("gone").isNull() | ~F.array_contains("gone", i))
+    body = joined.withColumns({"body": F.array_join(kept, "\n"), "removed": F.size("gone")})
+    marks = F.length(F.regexp_replace("body", r"[\p{L}\p{N}\s]+", ""))
+    ratio = F.when(F.length("body") > 0, marks / F.length("body")).otherwise(0.0)
+    return body.select("source_name", "page_num", "body", F.when(F.col("gone").isNull(), 0).otherwise(F.col("removed")).alias("removed"), ratio.alias("symbol_ratio"), (F.col("body").rlike(r"\p{N}") & ~F.col("body").rlike(r"\p{L}")).alias("numeric_only"))
+
+
+def corpus_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(level, source, lang, toxic, n_docs, chars, longest): one pass over documents with their labels, aggregated by every subset of source,
+    language and label. level tells the subset as Spark's grouping_id does: a bit is 1 where its column was summed over; a null in a column
+    of the subset is the value null. labels has one row a doc_id at most."""
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id", "left").select("source", "lang", "toxic", F.length("text").alias("size"))
+    sizes = F.coalesce(F.col("size"), F.lit(0)).cast("long")
+    return rows.cube("source", "lang", "toxic").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n_docs"), F.sum(sizes).alias("chars"), F.max(sizes).alias("longest")).select("level", "source", "lang", "toxic", "n_docs", "chars", "longest")

@@ -214,7 +214,8 @@ root AS (SELECT source_concept_id AS c FROM rel WHERE relation = 'depends_on' GR
 walk AS (SELECT c AS start, c AS concept_id, 0 AS depth FROM root UNION SELECT start, b, depth + 1 FROM walk JOIN dep ON a = concept_id WHERE depth < 3),
 nearest AS (SELECT start, concept_id, min(depth) AS depth FROM walk GROUP BY ALL)"""
 CUED = rf"""{DOCS}, se AS (SELECT chunk_id, unnest(range(0, len(p)))::INT AS sentence, unnest(p) AS s FROM (SELECT chunk_id, regexp_split_to_array(lower(text), '[.!?
-]') AS p FROM docs)),
+
+]') AS p FROM docs)),
 sw AS (SELECT chunk_id, sentence, regexp_extract_all(s, '[\p{{L}}\p{{N}}]+') AS w FROM se),
 sp AS (SELECT chunk_id, sentence, (i - 1)::INT AS start, (i - 1 + m)::INT AS stop, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM sw), (VALUES (1), (2), (3), (4)) t(m) WHERE i + m - 1 <= len(w)),
 co AS (SELECT chunk_id, sentence, start, stop, 'concept::' || {slug('n')} AS id FROM sp JOIN (VALUES {_VALUES(TEST_PHRASES)}) t(p, n) ON p = phrase),
@@ -228,6 +229,9 @@ qt AS (SELECT item_id AS query_id, term, count(*) AS tf FROM (SELECT item_id, un
 qn AS (SELECT query_id, sqrt(sum(w * w)) AS size FROM qw GROUP BY query_id),
 sc AS (SELECT q.query_id, d.doc_id, sum(q.w * d.w) AS dot FROM qw q JOIN dw d USING (term) GROUP BY ALL),
 ti AS (SELECT query_id, doc_id, dot / (qn.size * dn.size) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(dot / (qn.size * dn.size), 9) DESC, doc_id)::INT AS rank FROM sc JOIN qn USING (query_id) JOIN dn USING (doc_id) QUALIFY rank <= 10)"""
+_EDGE = r"""ln AS (SELECT source, doc_id, text, i - 1 AS place, trim(l[i]) AS line FROM (SELECT source, doc_id, text, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+full_ AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY place) AS a, row_number() OVER (PARTITION BY source, doc_id ORDER BY place DESC) AS z FROM ln WHERE line <> ''),
+ed AS (SELECT * FROM full_ WHERE a <= 2 OR z <= 2), hv AS (SELECT source AS source_name, line, count(DISTINCT doc_id) AS n_pages FROM ed GROUP BY ALL HAVING n_pages >= 3)"""
 
 ORACLES = {
     "vector_topk": _with(_EMB_TOP, "SELECT qid, rk, vid, round(score, 6) AS score FROM t WHERE rk <= 10"),
@@ -304,4 +308,12 @@ SELECT CASE WHEN ok THEN 'ok' ELSE 'error' END AS status,
     "reply_expand": _with(REPLIES, "SELECT m.chunk_id, row_number() OVER (PARTITION BY m.chunk_id ORDER BY e.source_concept_id, e.relation, e.target_concept_id, e.confidence)::INT AS edge_no, e.* REPLACE (round(e.confidence, 6) AS confidence) FROM ment m JOIN edge e ON e.source_concept_id = m.concept_id QUALIFY edge_no <= 8"),
     "learning_path": _with(WALK, "SELECT start, concept_id, depth::INT AS depth, row_number() OVER (PARTITION BY start ORDER BY depth DESC, concept_id)::INT AS step FROM nearest", True),
     "pattern_relations": _with(CUED, "SELECT chunk_id, sentence, start AS at, s_id AS source_concept_id, relation, t_id AS target_concept_id, array_to_string(w[s_start + 1:t_stop], ' ') AS evidence FROM lo JOIN hi USING (chunk_id, sentence, start, stop, relation) JOIN sw USING (chunk_id, sentence) WHERE s_id <> t_id"),
+    "running_lines": _with(_EDGE, "SELECT * FROM hv"),
+    "page_flags": _with(
+        _EDGE + r""", gn AS (SELECT doc_id, list(place) AS gone FROM ed JOIN hv ON hv.line = ed.line AND source_name IS NOT DISTINCT FROM source GROUP BY doc_id),
+bo AS (SELECT d.doc_id, coalesce(len(gone), 0)::INT AS removed, array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), chr(10)) AS body FROM documents d LEFT JOIN gn USING (doc_id))""",
+        r"SELECT doc_id AS page_num, sha256(body) AS body_sha, removed, CASE WHEN body = '' THEN 0 ELSE round(length(regexp_replace(body, '[\p{L}\p{N}\s]+', '', 'g')) / length(body), 6) END::DOUBLE AS symbol_ratio, regexp_matches(body, '\p{N}') AND NOT regexp_matches(body, '\p{L}') AS numeric_only FROM bo",
+    ),
+    "corpus_report": "SELECT GROUPING_ID(source, lang, toxic)::INT AS level, source, lang, toxic, count(*) AS n_docs, sum(coalesce(length(text), 0))::BIGINT AS chars, max(coalesce(length(text), 0))::BIGINT AS longest FROM documents LEFT JOIN (SELECT doc_id, toxic FROM labels) USING (doc_id) GROUP BY CUBE (source, lang, toxic)",
+    "as_of_events": "WITH c AS (SELECT user_id, ts, max(event_id) AS click_id, arg_max(value, event_id) AS click_value FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT event_id, CASE WHEN c.ts >= e.ts - INTERVAL 6 HOUR THEN click_id END AS click_id, CASE WHEN c.ts >= e.ts - INTERVAL 6 HOUR THEN round(click_value, 6) END AS click_value FROM events e ASOF LEFT JOIN c ON c.user_id = e.user_id AND e.ts >= c.ts",
 }

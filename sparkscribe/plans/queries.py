@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkscribe.functions import text as tx
 from sparkscribe.functions.vector import hash_embedding, l2_normalize
-from sparkscribe.operators import bandit, chunking, concepts, graph, patterns, quality, search
+from sparkscribe.operators import bandit, chunking, concepts, graph, patterns, quality, ranking, search
+from sparkscribe.operators.asof import as_of
 from sparkscribe.operators.pruned import pruned_top_k
 from sparkscribe.operators.tfidf import tfidf_top_k
 from sparkscribe.plans import inputs as on
@@ -424,3 +425,43 @@ def learning_path(spark, sf_dir):
 def pattern_relations(spark, sf_dir):
     named = spark.createDataFrame([(p, n) for p, n in on.TEST_PHRASES], "phrase string, name string").select("phrase", tx.concept_id(F.col("name"), F.lit("concept")).alias("concept_id"))
     return patterns.pattern_relations(on.chunks(spark, sf_dir), named, on.TEST_CUES)
+
+
+@query
+def page_flags(spark, sf_dir):
+    flags = quality.page_flags(on.pages(spark, sf_dir), depth=2)
+    return flags.select("page_num", F.sha2("body", 256).alias("body_sha"), F.col("removed").cast("int").alias("removed"), r6("symbol_ratio", "symbol_ratio"), "numeric_only")
+
+
+@query
+def running_lines(spark, sf_dir):
+    return quality.edge_lines(on.pages(spark, sf_dir), depth=2)
+
+
+@query
+def corpus_report(spark, sf_dir):
+    return quality.corpus_report(on.table(spark, sf_dir, "documents"), on.table(spark, sf_dir, "labels"))
+
+
+@query
+def as_of_events(spark, sf_dir):
+    """Each event with its user's last click at or before it, at most six hours old."""
+    e = on.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    joined = as_of(e, e.where("event_type = 'click'"), "user_id", "ts", tie="event_id", within="6 HOURS")
+    return joined.select("event_id", F.col("found.event_id").alias("click_id"), r6("found.value", "click_value"))
+
+
+@query
+def learned_ranking(spark, sf_dir):
+    """The first 20 of each vector query re-ranked by models of other queries, beside their order by cosine."""
+    e = on.table(spark, sf_dir, "embeddings")
+    hits = search.top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 20, id_col="vec_id", order="vec_id", exclude_self=True)
+    labels = e.select("vec_id", "label")
+    own = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")).join(labels.groupBy(F.col("label").alias("own")).agg((F.count(F.lit(1)) - 1).alias("total_relevant")), "own")
+    best = F.max("score").over(ranking.Window.partitionBy("query_id"))
+    x = F.array(F.col("score"), 1.0 / F.col("rank"), F.col("score") - best)
+    judged = hits.join(labels, "vec_id").join(own, "query_id").select("query_id", F.col("vec_id").alias("id"), "rank", x.alias("x"), (F.col("label") == F.col("own")).alias("relevant"), "total_relevant")
+    judged = on.staged(judged)
+    learned, _ = ranking.cross_ranked(judged.drop("rank"), 3)
+    m = ranking.compare({"cosine": judged, "learned": learned}, 10)
+    return m.select("ranker", "k", r6("precision", "precision"), r6("recall", "recall"), r6("mrr", "mrr"))
