@@ -46,9 +46,9 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concept_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Concepts without lists, relations, and mention rows."""
-    raw = extracted(spark, sf_dir)
-    named = concepts.mentions(raw)
+    """Concepts without lists, relations, and mention rows; texts are read and extracted once."""
+    raw = staged(extracted(spark, sf_dir).select("chunk_id", "source_name", "page_start", "page_end", "concepts", "relations", "error"))
+    named = staged(concepts.mentions(raw))
     return concepts.aggregate_concepts(named, lists=False), concepts.dedup_relations(concepts.relation_rows(raw, named)), concepts.mention_edges(named)
 
 
@@ -74,7 +74,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reply_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Concepts, relations and mention rows of replies(), each computed once."""
-    raw = staged(replies(spark, sf_dir))
+    raw = staged(replies(spark, sf_dir).select("chunk_id", "source_name", "page_start", "page_end", "concepts", "relations", "error"))
     named = staged(concepts.mentions(raw))
     return concepts.aggregate_concepts(named, lists=False), concepts.dedup_relations(concepts.relation_rows(raw, named)), concepts.mention_edges(named)
 
@@ -106,4 +106,4 @@ def arm_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bandit.replay(arm_lists(spark, sf_dir), ROUNDS, EPSILON, SEED, table(spark, sf_dir, "benchmark").count())
+    return staged(bandit.replay(arm_lists(spark, sf_dir), ROUNDS, EPSILON, SEED, table(spark, sf_dir, "benchmark").count()))

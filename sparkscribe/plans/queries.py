@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkscribe.functions import text as tx
 from sparkscribe.functions.vector import hash_embedding, l2_normalize
-from sparkscribe.operators import bandit, chunking, concepts, graph, patterns, quality, ranking, search
+from sparkscribe.operators import bandit, chunking, concepts, graph, patterns, quality, ranking, search, sketches
 from sparkscribe.operators.asof import as_of
 from sparkscribe.operators.pruned import pruned_top_k
 from sparkscribe.operators.tfidf import tfidf_top_k
 from sparkscribe.plans import inputs as on
 from sparkscribe.sources import schemas, store
+from sparkscribe.sources.staging import scratch
+from sparkscribe.streaming import windows
 
 QUERIES: dict = {}
 #: Reward weights of the estimator queries that compare with SQL.
@@ -273,14 +277,6 @@ def gram_matrix(spark, sf_dir):
     return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("entry"), r6(c, "value")) for c in names))).alias("x")).select("x.entry", "x.value")
 
 
-def _trained(spark, sf_dir):
-    events = on.events(spark, sf_dir).persist()  # one row per round, read several times by training
-    try:
-        return bandit.train(events)
-    finally:
-        events.unpersist()
-
-
 @query
 def ridge_weights(spark, sf_dir):
     events = on.events(spark, sf_dir).select(F.col("chosen_arm.feature").alias("x"), F.col("reward").alias("r"))
@@ -289,14 +285,14 @@ def ridge_weights(spark, sf_dir):
 
 @query
 def linucb_training(spark, sf_dir):
-    model, info = _trained(spark, sf_dir)
+    model, info = bandit.train(on.events(spark, sf_dir))
     row = (info["seen"], info["trained"], info["skipped"], round(info["mean_reward"], 6), *(round(float(x), 6) for x in model.theta()))
     return spark.createDataFrame([row], "seen long, trained long, skipped long, mean_reward double, " + ", ".join(f"theta_{i} double" for i in range(bandit.FEATURES)))
 
 
 @query
 def ucb_scores(spark, sf_dir):
-    model, _ = _trained(spark, sf_dir)
+    model, _ = bandit.train(on.events(spark, sf_dir))
     return on.arms(spark, sf_dir).select("query_no", "rank", r6(model.score(F.col("feature")), "ucb"))
 
 
@@ -323,8 +319,9 @@ def ope_bootstrap(spark, sf_dir):
 
 @query
 def ope_report(spark, sf_dir):
-    model, _ = _trained(spark, sf_dir)
-    return bandit.evaluate(on.events(spark, sf_dir), model).select("policy", *(r6(c, c) for c in ("ips", "snips", "dm", "dr", "lo", "hi")), "n_events")
+    events = on.events(spark, sf_dir)
+    model, _ = bandit.train(events)
+    return bandit.evaluate(events, model).select("policy", *(r6(c, c) for c in ("ips", "snips", "dm", "dr", "lo", "hi")), "n_events")
 
 
 @query
@@ -465,3 +462,35 @@ def learned_ranking(spark, sf_dir):
     learned, _ = ranking.cross_ranked(judged.drop("rank"), 3)
     m = ranking.compare({"cosine": judged, "learned": learned}, 10)
     return m.select("ranker", "k", r6("precision", "precision"), r6("recall", "recall"), r6("mrr", "mrr"))
+
+
+@query
+def sketch_report(spark, sf_dir):
+    """Users and values of each event type from merged daily states, beside the exact numbers."""
+    e = on.table(spark, sf_dir, "events")
+    daily = on.staged(sketches.states(e.withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id", "value"))
+    told = sketches.estimates(sketches.merged(daily, ["event_type"]))
+    exact = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("rows"))
+    below = e.join(told.select("event_type", "q50", "q90"), "event_type").groupBy("event_type").agg(*(F.avg((F.col("value") <= F.col(q)).cast("int")).alias(f"r{q}") for q in ("q50", "q90")))
+    near = lambda q, r: (F.col(f"r{q}") - r >= -sketches.RANK_ERROR)
+    joined = told.join(exact, "event_type").join(below, "event_type")
+    close = F.abs(F.col("n_items") - F.col("users")) <= sketches.DISTINCT_ERROR * F.col("users")
+    return joined.select("event_type", "users", F.col("n").alias("n_rows"), close.alias("users_near"), (near("q50", 0.5) & near("q90", 0.9)).alias("quantiles_near"))
+
+
+@query
+def session_windows(spark, sf_dir):
+    """Sessions of the events from a stream of files in the order of a hash, restarted once to close what was open."""
+    schema = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, value DOUBLE"
+    e = on.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    folder, out, checkpoint = (scratch(spark) for _ in range(3))
+    e.repartition(4, F.xxhash64("event_id")).write.parquet(folder)
+    last = e.agg(F.max("ts")).first()[0]
+    late = "3650 days"  # files come in any order here
+    windows.run_sessions(spark, folder, schema, out, checkpoint, late=late, files_per_trigger=2)
+    if last is not None:
+        windows.close_sessions(spark, folder, schema, last + timedelta(days=2 * 3650))
+        windows.run_sessions(spark, folder, schema, out, checkpoint, late=late)
+    done = spark.read.schema(windows.SESSION).parquet(out)
+    told = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return done.select("user_id", told("start"), told("end"), "n", r6("total", "total"))

@@ -22,15 +22,20 @@ def shared_folder(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet and read back: what is used several times is computed once and outlives executors. Deleted at exit."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there is deleted at exit."""
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _written:
         atexit.register(_clear)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet and read back: what is used several times is computed once and outlives executors. Deleted at exit."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _clear() -> None:
