@@ -307,7 +307,7 @@ SELECT CASE WHEN ok THEN 'ok' ELSE 'error' END AS status,
     "reply_graph_stats": _with(REPLIES, "SELECT (SELECT count(*) FROM docs) AS chunks, (SELECT count(*) FROM ideas) AS concepts, (SELECT count(*) FROM ment) AS mentions, (SELECT count(*) FROM rel) AS relations, (SELECT count(*) FROM docs a JOIN docs b ON b.doc_id = a.doc_id + 1) AS next_edges"),
     "reply_expand": _with(REPLIES, "SELECT m.chunk_id, row_number() OVER (PARTITION BY m.chunk_id ORDER BY e.source_concept_id, e.relation, e.target_concept_id, e.confidence)::INT AS edge_no, e.* REPLACE (round(e.confidence, 6) AS confidence) FROM ment m JOIN edge e ON e.source_concept_id = m.concept_id QUALIFY edge_no <= 8"),
     "learning_path": _with(WALK, "SELECT start, concept_id, depth::INT AS depth, row_number() OVER (PARTITION BY start ORDER BY depth DESC, concept_id)::INT AS step FROM nearest", True),
-    "pattern_relations": _with(CUED, "SELECT chunk_id, sentence, start AS at, s_id AS source_concept_id, relation, t_id AS target_concept_id, array_to_string(w[s_start + 1:t_stop], ' ') AS evidence FROM lo JOIN hi USING (chunk_id, sentence, start, stop, relation) JOIN sw USING (chunk_id, sentence) WHERE s_id <> t_id"),
+    "pattern_relations": _with(CUED, "SELECT chunk_id, sentence, start AS word_no, s_id AS source_concept_id, relation, t_id AS target_concept_id, array_to_string(w[s_start + 1:t_stop], ' ') AS evidence FROM lo JOIN hi USING (chunk_id, sentence, start, stop, relation) JOIN sw USING (chunk_id, sentence) WHERE s_id <> t_id"),
     "running_lines": _with(_EDGE, "SELECT * FROM hv"),
     "page_flags": _with(
         _EDGE + r""", gn AS (SELECT doc_id, list(place) AS gone FROM ed JOIN hv ON hv.line = ed.line AND source_name IS NOT DISTINCT FROM source GROUP BY doc_id),
@@ -317,5 +317,5 @@ bo AS (SELECT d.doc_id, coalesce(len(gone), 0)::INT AS removed, array_to_string(
     "corpus_report": "SELECT GROUPING_ID(source, lang, toxic)::INT AS level, source, lang, toxic, count(*) AS n_docs, sum(coalesce(length(text), 0))::BIGINT AS chars, max(coalesce(length(text), 0))::BIGINT AS longest FROM documents LEFT JOIN (SELECT doc_id, toxic FROM labels) USING (doc_id) GROUP BY CUBE (source, lang, toxic)",
     "as_of_events": "WITH c AS (SELECT user_id, ts, max(event_id) AS click_id, arg_max(value, event_id) AS click_value FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT event_id, CASE WHEN c.ts >= e.ts - INTERVAL 6 HOUR THEN click_id END AS click_id, CASE WHEN c.ts >= e.ts - INTERVAL 6 HOUR THEN round(click_value, 6) END AS click_value FROM events e ASOF LEFT JOIN c ON c.user_id = e.user_id AND e.ts >= c.ts",
     "sketch_report": "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n_rows, true AS users_near, true AS quantiles_near FROM events GROUP BY event_type",
-    "session_windows": "WITH o AS (SELECT user_id, ts, value, ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE AS opens FROM events WHERE ts IS NOT NULL), s AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM o) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS end, count(*) AS n, round(sum(coalesce(value, 0)), 6) AS total FROM s GROUP BY user_id, no",
+    "session_windows": "WITH o AS (SELECT user_id, ts, value, ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE AS opens FROM events WHERE ts IS NOT NULL), s AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM o) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS opened, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS closed, count(*) AS n, round(sum(coalesce(value, 0)), 6) AS total FROM s GROUP BY user_id, no",
 }

@@ -421,7 +421,7 @@ def learning_path(spark, sf_dir):
 @query
 def pattern_relations(spark, sf_dir):
     named = spark.createDataFrame([(p, n) for p, n in on.TEST_PHRASES], "phrase string, name string").select("phrase", tx.concept_id(F.col("name"), F.lit("concept")).alias("concept_id"))
-    return patterns.pattern_relations(on.chunks(spark, sf_dir), named, on.TEST_CUES)
+    return patterns.pattern_relations(on.chunks(spark, sf_dir), named, on.TEST_CUES).withColumnRenamed("at", "word_no")
 
 
 @query
@@ -492,5 +492,5 @@ def session_windows(spark, sf_dir):
         windows.close_sessions(spark, folder, schema, last + timedelta(days=2 * 3650))
         windows.run_sessions(spark, folder, schema, out, checkpoint, late=late)
     done = spark.read.schema(windows.SESSION).parquet(out)
-    told = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
-    return done.select("user_id", told("start"), told("end"), "n", r6("total", "total"))
+    told = lambda c, name: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
+    return done.select("user_id", told("start", "opened"), told("end", "closed"), "n", r6("total", "total"))
