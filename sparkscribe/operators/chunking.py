@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscribe.functions.text import clean_text, estimate_tokens, is_title, paragraphs
 from sparkscribe.functions.vector import bind
+from sparkscribe.sources.staging import shared_folder, staged
 
 TARGET, LEAST, MOST, PAGE_LEAST = 1200, 600, 1800, 80
 
@@ -42,9 +43,12 @@ class _Rule:
     def __init__(self, target: int = TARGET, least: int = LEAST, most: int = MOST):
         self.target, self.least, self.most, self.source = target, least, most, object()
 
+    def enter(self, source, number: int = 0, length: int = 0, fresh: bool = True) -> None:
+        self.source, self.number, self.length, self.fresh = source, number, length, fresh
+
     def next(self, source, size: int, title: bool, final: bool) -> int:
         if source != self.source:
-            self.source, self.number, self.fresh = source, 0, True
+            self.enter(source)
         if self.fresh or self.length >= self.least and (title or self.length + 2 + size > self.most):
             self.number, self.length, self.fresh = self.number + 1, size, False
         else:
@@ -57,70 +61,95 @@ def _flags(para: Column) -> list[Column]:
     return [F.length(para).alias("size"), is_title(para).alias("title"), para.rlike("[.!?;]$").alias("final")]
 
 
-def number_chunks(paras: DataFrame, *, target: int = TARGET, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """(source_name, page_num, para_no, chunk_no) by the rule, per source. It depends on all earlier paragraphs, so a source is one
-    ordered stream, sorted by Spark: only lengths and two flags go to it."""
-    flags = paras.select("source_name", "page_num", "para_no", *_flags(F.col("para")))
-    ordered = flags.repartition("source_name").sortWithinPartitions("source_name", "page_num", "para_no")
+def _states(ordered: DataFrame, **sizes) -> DataFrame:
+    """(part, number, length, fresh): the rule's state where a part begins inside a source, a row a part at most.
+
+    The rule depends on all earlier paragraphs, so a source is one ordered stream, sorted by Spark; only lengths and two flags go to it."""
+    flags = ordered.select("source_name", "part", "page", F.col("paras.size").alias("size"), F.col("paras.title").alias("title"), F.col("paras.final").alias("final"))
 
     def fold(batches):
         import pyarrow as pa
 
-        rule = _Rule(target, least, most)
+        rule, part = _Rule(**sizes), None
         for batch in batches:
-            c = batch.to_pydict()
-            out = [rule.next(*x) for x in zip(c["source_name"], c["size"], c["title"], c["final"])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int32())], ["source_name", "page_num", "para_no", "chunk_no"])
-
-    kinds = dict(flags.dtypes)
-    return ordered.mapInArrow(fold, f"source_name string, page_num {kinds['page_num']}, para_no int, chunk_no int")
-
-
-def build_chunks(pages: DataFrame, prefix: str = "chunk", *, target: int = TARGET, least: int = LEAST, most: int = MOST) -> DataFrame:
+            c, out = batch.to_pydict(), []
+            for source, at, *paras in zip(c["source_name"], c["part"], c["size"], c["title"], c["final"]):
+                if source != rule.source:
+                    rule.enter(source)
+                elif at != part:
+                    out.append((at, rule.number, rule.length, rule.fresh))
+                part = at
+                for p in zip(*paras):
+                    rule.next(source, *p)
+            columns, kinds = [*zip(*out)] if out else [()] * 4, [pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["part", "number", "length", "fresh"])
+
+    return flags.repartition("source_name").sortWithinPartitions("source_name", "page").mapInArrow(fold, "part int, number int, length long, fresh boolean")
+
+
+def build_chunks(pages: DataFrame, prefix: str = "chunk", *, target: int = TARGET, least: int = LEAST, most: int = MOST, parts: int | None = None) -> DataFrame:
     """Chunk rows of kept pages, with ids prefix_chunk_number (numbers from 1 in each source), texts joined by a blank line, and neighbours.
 
     Pages stand in the order of their numbers, a missing one as 0, those of equal number in the order of their texts; pages without a source
-    are a source of their own. Each page is cleaned and cut into paragraphs once and goes once to its source's stream, which
-    holds the paragraphs of one chunk at a time and emits chunks as they close.
+    are a source of their own; repeated pages count each; no pages give no chunks.
+
+    Texts are sorted into ranges of source, page and text (`parts` of them; else as many as Spark chooses), so a source's text spreads over many
+    tasks, and the ranges are checkpointed. Each source's lengths and flags alone pass through one ordered stream, which gives the rule's state at the start of each range;
+    from there each range makes its own chunks. Those at a range's ends, two a range at most, are merged by number.
     """
-    number = F.coalesce("page_num", F.lit(0)).alias("page_num")
-    paras = F.transform("paras", lambda p: F.struct(p.alias("para"), *_flags(p)))
-    rows = pages.select("source_name", number, "clean_text", paragraphs(F.col("clean_text")).alias("paras"))
-    rows = rows.select("source_name", "page_num", "clean_text", paras.alias("paras"))
-    ordered = rows.repartition("source_name").sortWithinPartitions("source_name", "page_num", "clean_text").drop("clean_text")
+    shared_folder(pages.sparkSession)
+    sizes = {"target": target, "least": least, "most": most}
+    cleaned = staged(pages.select("source_name", F.coalesce("page_num", F.lit(0)).alias("page_num"), "clean_text"))  # cleaned once: cutting ranges reads it too
+    order = ("source_name", "page_num", "clean_text")
+    ranged = cleaned.repartitionByRange(parts, *order) if parts else cleaned.repartitionByRange(*order)
+    paras = F.transform(paragraphs(F.col("clean_text")), lambda p: F.struct(p.alias("para"), *_flags(p))).alias("paras")
+    rows = ranged.sortWithinPartitions(*order).select("source_name", "page_num", paras).checkpoint()
+    ordered = rows.withColumns({"part": F.spark_partition_id(), "page": F.monotonically_increasing_id()})
+    entered = ordered.drop("page").join(F.broadcast(_states(ordered, **sizes)), "part", "left")  # one row a part
     kind = dict(rows.dtypes)["page_num"]
 
     def fold(batches):
         import pyarrow as pa
 
-        rule, open_ = _Rule(target, least, most), None  # the open chunk: source, number, first and last page, paragraphs
-        names = ["source_name", "chunk_no", "page_start", "page_end", "chunk_text", "is_last"]
+        rule, open_, entry = _Rule(**sizes), None, None  # the open chunk: source, number, first and last page, at an edge, paragraphs
+        page = pa.int64() if kind == "bigint" else pa.int32()
+        kinds = [pa.string(), pa.int32(), page, page, pa.bool_(), pa.string(), pa.bool_(), pa.int32()]
+        names = ["source_name", "chunk_no", "page_start", "page_end", "edge", "chunk_text", "more", "part"]
 
-        def closed(chunk, last: bool) -> tuple:
-            return (*chunk[:4], "\n\n".join(chunk[4]), last)
+        def closed(more: bool, at_end: bool = False) -> tuple:
+            return (*open_[:4], open_[4] or at_end, "\n\n".join(open_[5]), more, part)
 
         def batch_of(rows):
-            columns = [*zip(*rows)] if rows else [()] * 6
-            page = pa.int64() if kind == "bigint" else pa.int32()
-            kinds = [pa.string(), pa.int32(), page, page, pa.string(), pa.bool_()]
+            columns = [*zip(*rows)] if rows else [()] * len(kinds)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         for batch in batches:
-            out = []
-            for source, page, paras in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out, c = [], batch.to_pydict()
+            for source, number, paras, part, *state in zip(*(c[x] for x in ("source_name", "page_num", "paras", "part", "number", "length", "fresh"))):
+                if entry is None:
+                    entry = (source,) if state[0] is not None else ()
+                    if entry:
+                        rule.enter(source, *state)
                 for p in paras:
                     n = rule.next(source, p["size"], p["title"], p["final"])
                     if open_ is None or (source, n) != (open_[0], open_[1]):
                         if open_ is not None:
-                            out.append(closed(open_, source != open_[0]))
-                        open_ = [source, n, page, page, []]
-                    open_[3] = page
-                    open_[4].append(p["para"])
+                            out.append(closed(source == open_[0]))
+                        open_ = [source, n, number, number, open_ is None and entry == (source,), []]
+                    open_[3] = number
+                    open_[5].append(p["para"])
             yield batch_of(out)
         if open_ is not None:
-            yield batch_of([closed(open_, True)])
-
-    chunks = ordered.mapInArrow(fold, f"source_name string, chunk_no int, page_start {kind}, page_end {kind}, chunk_text string, is_last boolean")
+            yield batch_of([closed(False, at_end=True)])
+
+    made = staged(entered.mapInArrow(fold, f"source_name string, chunk_no int, page_start {kind}, page_end {kind}, edge boolean, chunk_text string, more boolean, part int"))
+    columns = ["source_name", "chunk_no", "page_start", "page_end", "chunk_text"]
+    inner = made.where(~F.col("edge")).select(*columns, (~F.col("more")).alias("is_last"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "chunk_text"))), lambda x: x["chunk_text"]), "\n\n")
+    edges = made.where("edge").groupBy("source_name", "chunk_no").agg(F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), text.alias("chunk_text"), F.max("more").alias("more"))
+    after = F.lead("chunk_no").over(Window.partitionBy("source_name").orderBy("chunk_no"))  # two rows a part at most
+    edges = edges.withColumn("is_last", ~F.col("more") & after.isNull()).select(*columns, "is_last")
+    chunks = inner.unionByName(edges)
     return link_neighbours(chunks.withColumns({"char_count": F.length("chunk_text"), "token_estimate": estimate_tokens(F.col("chunk_text"))}), prefix)
 
 

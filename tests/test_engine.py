@@ -112,21 +112,28 @@ def fold(paras, target=1200, least=600, most=1800):
     return out
 
 
-def test_chunk_rule(spark):
+@pytest.mark.parametrize("parts", [None, 1, 7, 40])
+def test_chunks_by_the_rule(spark, parts):
+    """A source of most pages, spread over many ranges; repeated pages, pages without number or source, single-page sources."""
     rng = random.Random(4)
     rows, want = [], {}
-    for s in range(4):
-        paras = []
-        for i in range(200):
-            size = rng.choice([5, 70, 90, 300, 599, 600, 601, 1198, 1199, 1200, 1801, 2500])
-            text = "w" * (size - 1) + rng.choice(".:a")
-            rows.append((f"s{s}", i // 7, i % 7, text))
-            paras.append((size, size < 80 and text[-1] == "a", text[-1] == "."))
-        want[f"s{s}"] = fold(paras)
+    for s in ["hot"] * 5 + [None, "b", *(f"s{i}" for i in range(5))]:
+        for i in range(1 if s and s[0] == "s" else 15):
+            paras = ["w" * (rng.choice([5, 70, 90, 300, 599, 600, 601, 1198, 1199, 1200, 1801, 2500]) - 1) + rng.choice(".:a") for _ in range(rng.randint(1, 6))]
+            rows += [(s, rng.choice([i, i, None, 3]), "\n\n".join(paras))] * rng.choice([1, 1, 1, 2])
+    for s in {r[0] for r in rows}:
+        told = sorted((n or 0, t) for source, n, t in rows if source == s)
+        paras = [(n, p) for n, t in told for p in t.split("\n\n")]
+        numbers = fold([(len(p), len(p) < 80 and p[-1] == "a", p[-1] == ".") for _, p in paras])
+        for no in range(1, numbers[-1] + 1):
+            own = [p for p, n in zip(paras, numbers) if n == no]
+            want[s, no] = (own[0][0], own[-1][0], "\n\n".join(p for _, p in own), no < numbers[-1])
     rng.shuffle(rows)
-    got = chunking.number_chunks(spark.createDataFrame(rows, "source_name string, page_num int, para_no int, para string")).orderBy("source_name", "page_num", "para_no").collect()
-    for s, numbers in want.items():
-        assert [r.chunk_no for r in got if r.source_name == s] == numbers
+    pages = spark.createDataFrame(rows, "source_name string, page_num int, clean_text string")
+    got = chunking.build_chunks(pages, parts=parts).collect()
+    assert {(r.source_name, r.chunk_no): (r.page_start, r.page_end, r.chunk_text, r.next_chunk_id is not None) for r in got} == want
+    assert len(got) == len(want) and all(r.char_count == len(r.chunk_text) for r in got)
+    assert chunking.build_chunks(pages.limit(0), parts=parts).collect() == []
 
 
 def test_chunks_link_and_keep_text(spark):
