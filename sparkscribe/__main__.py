@@ -39,7 +39,7 @@ def main(args: list[str] | None = None) -> None:
 
     spark = SparkSession.builder.appName("sparkscribe").getOrCreate()
     if name == "pages":
-        out = run.process_pages(files.read_jsonl(spark, a["raw"], schemas.RAW_PAGE), workspace, start_page=a["start_page"], prefix=a["prefix"])
+        out = run.process_pages(files.checked_jsonl(spark, a["raw"], schemas.RAW_PAGE), workspace, start_page=a["start_page"], prefix=a["prefix"])
     elif name == "retrieve":
         hits = run.retrieve(spark, workspace, [a["query"]], k=a["k"], max_edges=a["max_edges"], with_graph=not a["no_graph"])
         out = run.payload(hits, a["out"])

@@ -318,4 +318,15 @@ bo AS (SELECT d.doc_id, coalesce(len(gone), 0)::INT AS removed, array_to_string(
     "as_of_events": "WITH c AS (SELECT user_id, ts, max(event_id) AS click_id, arg_max(value, event_id) AS click_value FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT event_id, CASE WHEN c.ts >= e.ts - INTERVAL 6 HOUR THEN click_id END AS click_id, CASE WHEN c.ts >= e.ts - INTERVAL 6 HOUR THEN round(click_value, 6) END AS click_value FROM events e ASOF LEFT JOIN c ON c.user_id = e.user_id AND e.ts >= c.ts",
     "sketch_report": "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n_rows, true AS users_near, true AS quantiles_near FROM events GROUP BY event_type",
     "session_windows": "WITH o AS (SELECT user_id, ts, value, ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE AS opens FROM events WHERE ts IS NOT NULL), s AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM o) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS opened, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS closed, count(*) AS n, round(sum(coalesce(value, 0)), 6) AS total FROM s GROUP BY user_id, no",
+    "policy_models": """
+WITH e AS (SELECT event_type AS policy, [1.0::DOUBLE, value / 100, (props::JSON->>'$.k')::DOUBLE / 100, hour(ts) / 24.0::DOUBLE, (((user_id % 7) + 7) % 7) / 7.0::DOUBLE] AS x, value / (value + 50) AS r FROM events WHERE ts IS NOT NULL),
+f AS (SELECT * FROM e WHERE r IS NOT NULL AND NOT list_contains(list_transform(x, lambda v: v IS NULL), true)),
+ij AS (SELECT i, j, (row_number() OVER (ORDER BY i, j) - 1)::INT AS place FROM range(1, 6) a(i), range(1, 6) b(j) WHERE i <= j)
+SELECT policy, count(*) AS n, place, round(sum(x[i] * x[j]), 6) AS value FROM f, ij GROUP BY policy, place
+UNION ALL SELECT policy, count(*), (14 + i)::INT, round(sum(x[i] * r), 6) FROM f, range(1, 6) a(i) GROUP BY policy, i
+""",
+    "bad_json_lines": """
+WITH l AS (SELECT event_id // 1000 AS block, event_id, CASE WHEN event_id % 97 = 0 THEN substr(props, 1, 4) WHEN event_id % 89 = 0 THEN ' ' ELSE props END AS line FROM events)
+SELECT block, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY event_id, line) AS line_no FROM l) WHERE event_id % 97 = 0
+""",
 }

@@ -14,9 +14,9 @@ from sparkscribe.operators.asof import as_of
 from sparkscribe.operators.pruned import pruned_top_k
 from sparkscribe.operators.tfidf import tfidf_top_k
 from sparkscribe.plans import inputs as on
-from sparkscribe.sources import schemas, store
+from sparkscribe.sources import files, schemas, store
 from sparkscribe.sources.staging import scratch
-from sparkscribe.streaming import windows
+from sparkscribe.streaming import policies, windows
 
 QUERIES: dict = {}
 #: Reward weights of the estimator queries that compare with SQL.
@@ -494,3 +494,34 @@ def session_windows(spark, sf_dir):
     done = spark.read.schema(windows.SESSION).parquet(out)
     told = lambda c, name: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(name)
     return done.select("user_id", told("start", "opened"), told("end", "closed"), "n", r6("total", "total"))
+
+
+@query
+def policy_models(spark, sf_dir):
+    """Sums of a LinUCB model of each event type, from a stream of files in the order of a hash, broken off after a part of the files and started again."""
+    schema = "event_id BIGINT, ts TIMESTAMP, policy STRING, x ARRAY<DOUBLE>, r DOUBLE"
+    e = on.table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    x = F.array(F.lit(1.0), F.col("value") / 100, F.col("k") / 100, F.hour("ts") / 24.0, F.pmod("user_id", F.lit(7)) / 7.0)
+    rows = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("policy"), x.alias("x"), (F.col("value") / (F.col("value") + 50)).alias("r"))
+    folder, out, checkpoint = (scratch(spark) for _ in range(3))
+    late, closing = "3650 days", timedelta(days=2 * 3650)  # files come in any order here
+    for part in (0, 1):
+        half = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part)
+        half.repartition(2, F.xxhash64("event_id")).write.mode("append").parquet(folder)
+        policies.run_policies(spark, folder, schema, out, checkpoint, late=late, files_per_trigger=1)
+    last = e.agg(F.max("ts")).first()[0]
+    if last is not None:
+        windows.close_sessions(spark, folder, schema, last + closing)
+        policies.run_policies(spark, folder, schema, out, checkpoint, late=late)
+    sums = policies.policy_sums(spark.read.schema(policies.PART).parquet(out))
+    return sums.select("policy", "n", F.posexplode("sums").alias("place", "value")).select("policy", "n", "place", r6("value", "value"))
+
+
+@query
+def bad_json_lines(spark, sf_dir):
+    """The events' props as JSON lines, some of them cut short, in files of a thousand ids each: where the unreadable ones are."""
+    e = on.table(spark, sf_dir, "events").withColumn("block", F.floor(F.col("event_id") / 1000))
+    line = F.when(F.col("event_id") % 97 == 0, F.substring("props", 1, 4)).when(F.col("event_id") % 89 == 0, F.lit(" ")).otherwise(F.col("props"))
+    folder = scratch(spark)
+    e.select("block", "event_id", line.alias("value")).repartition("block").sortWithinPartitions("block", "event_id", "value").drop("event_id").write.partitionBy("block").text(folder)
+    return files.bad_lines(spark, folder, "k BIGINT").select(F.regexp_extract("file", "block=([0-9]+)", 1).cast("long").alias("block"), "line_no", "line")

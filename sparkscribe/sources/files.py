@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkscribe.functions.text import estimate_tokens, strip
@@ -20,6 +20,29 @@ DEFAULT_QUERIES = (
 )
 
 
+def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line_no, line) of the lines that are not JSON objects of the schema, numbered from 1 in their files, blank lines counted but not reported.
+
+    Files are read in blocks. A line's number is its place in its block plus the lines of the file's blocks before it; only blocks that hold a bad line
+    are numbered line by line. Empty files and folders give no rows."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    parsed = F.from_json("value", f"{schema}, _unread STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+    bad = (strip(F.col("value")) != "") & (parsed.isNull() | parsed["_unread"].isNotNull())
+    lines = read.withColumn("bad", F.coalesce(bad, F.lit(False)))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.max("bad").alias("any_bad")).withColumn("before", before).where("any_bad").select("file", "block", "before")
+    numbered = lines.join(blocks, ["file", "block"]).withColumn("line_no", F.col("before") + F.row_number().over(Window.partitionBy("file", "block").orderBy("at")))
+    return numbered.where("bad").select("file", "line_no", F.col("value").alias("line"))
+
+
+def checked_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """read_jsonl of lines from elsewhere: an unreadable one ends with an error that names its file and number. One more pass over the lines."""
+    first = bad_lines(spark, path, schema).orderBy("file", "line_no").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0].file}, line {first[0].line_no}: not a JSON record: {first[0].line[:80]}")
+    return read_jsonl(spark, path, schema)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Blank lines are skipped; a malformed line ends the read."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -10,10 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkscribe.operators import graph, patterns, pruned, quality, ranking, search, sketches, tfidf
+from sparkscribe.operators import bandit, graph, patterns, pruned, quality, ranking, search, sketches, tfidf
 from sparkscribe.operators.asof import as_of
+from sparkscribe.sources import files
 from sparkscribe.sources.staging import scratch
-from sparkscribe.streaming import windows
+from sparkscribe.streaming import policies, windows
 
 # pruned vector search
 
@@ -245,3 +246,62 @@ def test_sessions_over_a_restart(spark):
     got = sorted(map(str, spark.read.parquet(out).collect()))
     want = sorted(map(str, windows.sessions(spark.createDataFrame(rows, schema)).collect()))
     assert got == want and len(want) > 20
+
+
+def test_policies_over_a_restart(spark):
+    rng = random.Random(8)
+    start = dt.datetime(2024, 1, 1)
+    schema = "event_id BIGINT, ts TIMESTAMP, policy STRING, x ARRAY<DOUBLE>, r DOUBLE"
+    row = lambda i, day, policy: (i, start + dt.timedelta(days=day, seconds=rng.randint(0, 80_000)), policy, [1.0, rng.random(), rng.random()], rng.random())
+    early = [row(i, 0, rng.choice(["hot", "hot", "hot", "b", None])) for i in range(300)]
+    early += [(900, start, "hot", None, 1.0), (901, start, "hot", [1.0, None, 1.0], 1.0), (902, start, "hot", [1.0, 1.0], 1.0), (903, start, "b", [1.0, float("nan"), 1.0], 1.0), (904, None, "b", [1.0, 1.0, 1.0], 1.0), (905, start, "only bad", [1.0, 1.0, 1.0], None)]
+    mover = [row(999, 9, "b")]  # its time runs out the timers of the first day
+    again = [row(i, 9, "hot") for i in range(1000, 1050)]  # a new part
+    folder, out, checkpoint = (scratch(spark) for _ in range(3))
+    options = {"dim": 3, "shards": 4, "late": "2 days"}
+    rng.shuffle(early)
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    run = lambda: policies.run_policies(spark, folder, schema, out, checkpoint, files_per_trigger=1, **options)
+    write(early[:200])
+    run()
+    write(early[200:])
+    run()  # started again in mid-stream
+    assert spark.read.schema(policies.PART).parquet(out).count() == 0  # no timer has run out
+    write(mover)
+    run()
+    assert spark.read.schema(policies.PART).parquet(out).where("policy = 'hot'").count() == 4
+    write(again)
+    run()
+    windows.close_sessions(spark, folder, schema, start + dt.timedelta(days=30))
+    run()
+    parts = spark.read.schema(policies.PART).parquet(out)
+    assert parts.where("policy = 'hot'").groupBy("shard").count().where("count = 2").count() == 4  # two parts a shard
+    got = policies.models(parts, dim=3)
+    good = [r for r in early + mover + again if r[0] < 900 or r[0] >= 999]
+    assert set(got) == {"hot", "b", None}
+    assert {r.policy: r.n for r in policies.policy_sums(parts, 3).collect()} == {p: sum(r[2] == p for r in good) for p in got}
+    for p, model in got.items():
+        want = bandit.LinUCB(3)
+        for r in good:
+            if r[2] == p:
+                want.update(r[3], r[4])
+        assert np.allclose(model.A, want.A) and np.allclose(model.b, want.b)
+
+
+def test_bad_lines(spark, tmp_path):
+    lines = [f'{{"k": {i}}}' for i in range(4000)]
+    for i, text in {5: "", 6: "{oops", 2999: "[", 3999: '{"k": "x"}'}.items():
+        lines[i] = text
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text('\n \n{"k": null}\n{}\nnull\n7')
+    (tmp_path / "c.jsonl").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many blocks a file
+    try:
+        got = files.bad_lines(spark, str(tmp_path), "k BIGINT").collect()
+        with pytest.raises(ValueError, match="a.jsonl, line 7"):
+            files.checked_jsonl(spark, str(tmp_path), "k BIGINT")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.file[-7:], r.line_no, r.line) for r in got) == [("a.jsonl", 7, "{oops"), ("a.jsonl", 3000, "["), ("a.jsonl", 4000, '{"k": "x"}'), ("b.jsonl", 5, "null"), ("b.jsonl", 6, "7")]
+    assert files.checked_jsonl(spark, str(tmp_path / "c.jsonl"), "k BIGINT").collect() == []
