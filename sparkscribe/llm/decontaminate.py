@@ -271,10 +271,10 @@ def _hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col
 
         return source.mapInArrow(frugal(scan), schema)
 
-    # a large benchmark: one block of it a pass, whose hits are written by the text's hash; then they are joined to the documents
+    # a large benchmark: one block of it a pass, whose hits are written by the text's SHA-256, which no two texts share; then they are joined to the documents
     blocks = 1 + 2 * total // most
     dealt = stage_table(items.withColumn("block", F.pmod(F.xxhash64("name", "data"), F.lit(blocks)).cast("int")))
-    keyed = source.withColumn("_th", F.xxhash64("_text"))
+    keyed = source.withColumn("_th", F.unhex(F.sha2("_text", 256)))
     every = None
     for i in range(blocks):
         shared = phrases_in(dealt.where(F.col("block") == i))
@@ -293,7 +293,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col
                         columns.append(pa.array([sorted(x or "" for x in names[d] if x is not None) for d in own], pa.list_(pa.string())))
                         yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(own)), *columns], ["_th", "lo", "hi", "names"])
 
-        found = stage_table(keyed.select("_text", "_th").mapInArrow(frugal(find), "_th long, lo array<long>, hi array<long>, names array<string>").distinct())
+        found = stage_table(keyed.select("_text", "_th").mapInArrow(frugal(find), "_th binary, lo array<long>, hi array<long>, names array<string>").distinct())
         shared.destroy()
         every = found if every is None else every.unionByName(found)
     merged = every.groupBy("_th").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("lo", "hi", "names")))  # as many rows of a text as blocks
