@@ -57,15 +57,20 @@ class _Rule:
         return self.number
 
 
-def _flags(para: Column) -> list[Column]:
-    return [F.length(para).alias("size"), is_title(para).alias("title"), para.rlike("[.!?;]$").alias("final")]
+def _mark(para: Column) -> Column:
+    """A paragraph's length and two flags in one number: length * 4, 2 for a title, 1 for the end of a sentence."""
+    return F.length(para) * 4 + is_title(para).cast("int") * 2 + para.rlike("[.!?;]$").cast("int")
+
+
+def _read(mark: int) -> tuple[int, bool, bool]:
+    return mark >> 2, bool(mark & 2), bool(mark & 1)
 
 
 def _states(ordered: DataFrame, **sizes) -> DataFrame:
     """(part, number, length, fresh): the rule's state where a part begins inside a source, a row a part at most.
 
     The rule depends on all earlier paragraphs, so a source is one ordered stream, sorted by Spark; only lengths and two flags go to it."""
-    flags = ordered.select("source_name", "part", "page", F.col("paras.size").alias("size"), F.col("paras.title").alias("title"), F.col("paras.final").alias("final"))
+    flags = ordered.select("source_name", "part", "page", "marks")
 
     def fold(batches):
         import pyarrow as pa
@@ -73,14 +78,14 @@ def _states(ordered: DataFrame, **sizes) -> DataFrame:
         rule, part = _Rule(**sizes), None
         for batch in batches:
             c, out = batch.to_pydict(), []
-            for source, at, *paras in zip(c["source_name"], c["part"], c["size"], c["title"], c["final"]):
+            for source, at, marks in zip(c["source_name"], c["part"], c["marks"]):
                 if source != rule.source:
                     rule.enter(source)
                 elif at != part:
                     out.append((at, rule.number, rule.length, rule.fresh))
                 part = at
-                for p in zip(*paras):
-                    rule.next(source, *p)
+                for m in marks:
+                    rule.next(source, *_read(m))
             columns, kinds = [*zip(*out)] if out else [()] * 4, [pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["part", "number", "length", "fresh"])
 
@@ -101,9 +106,10 @@ def build_chunks(pages: DataFrame, prefix: str = "chunk", *, target: int = TARGE
     sizes = {"target": target, "least": least, "most": most}
     cleaned = staged(pages.select("source_name", F.coalesce("page_num", F.lit(0)).alias("page_num"), "clean_text"))  # cleaned once: cutting ranges reads it too
     order = ("source_name", "page_num", "clean_text")
-    ranged = cleaned.repartitionByRange(parts, *order) if parts else cleaned.repartitionByRange(*order)
-    paras = F.transform(paragraphs(F.col("clean_text")), lambda p: F.struct(p.alias("para"), *_flags(p))).alias("paras")
-    rows = ranged.sortWithinPartitions(*order).select("source_name", "page_num", paras).checkpoint()
+    cuts = ("source_name", "page_num", F.substring("clean_text", 1, 64))  # what is sampled for the ranges' ends goes to the driver: no whole texts
+    ranged = cleaned.repartitionByRange(parts, *cuts) if parts else cleaned.repartitionByRange(*cuts)
+    rows = ranged.sortWithinPartitions(*order).select("source_name", "page_num", paragraphs(F.col("clean_text")).alias("paras"))
+    rows = rows.select("source_name", "page_num", F.array_join("paras", "\n\n").alias("text"), F.transform("paras", _mark).alias("marks")).checkpoint()
     ordered = rows.withColumns({"part": F.spark_partition_id(), "page": F.monotonically_increasing_id()})
     entered = ordered.drop("page").join(F.broadcast(_states(ordered, **sizes)), "part", "left")  # one row a part
     kind = dict(rows.dtypes)["page_num"]
@@ -125,19 +131,21 @@ def build_chunks(pages: DataFrame, prefix: str = "chunk", *, target: int = TARGE
 
         for batch in batches:
             out, c = [], batch.to_pydict()
-            for source, number, paras, part, *state in zip(*(c[x] for x in ("source_name", "page_num", "paras", "part", "number", "length", "fresh"))):
+            for source, number, text, marks, part, *state in zip(*(c[x] for x in ("source_name", "page_num", "text", "marks", "part", "number", "length", "fresh"))):
                 if entry is None:
                     entry = (source,) if state[0] is not None else ()
                     if entry:
                         rule.enter(source, *state)
-                for p in paras:
-                    n = rule.next(source, p["size"], p["title"], p["final"])
+                at = 0
+                for m in marks:
+                    n = rule.next(source, *_read(m))
                     if open_ is None or (source, n) != (open_[0], open_[1]):
                         if open_ is not None:
                             out.append(closed(source == open_[0]))
                         open_ = [source, n, number, number, open_ is None and entry == (source,), []]
                     open_[3] = number
-                    open_[5].append(p["para"])
+                    open_[5].append(text[at : at + (m >> 2)])
+                    at += (m >> 2) + 2
             yield batch_of(out)
         if open_ is not None:
             yield batch_of([closed(False, at_end=True)])
