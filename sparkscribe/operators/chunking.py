@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkscribe.functions.text import clean_text, estimate_tokens, is_title, paragraphs
 from sparkscribe.functions.vector import bind
-from sparkscribe.sources.staging import shared_folder, staged
+from sparkscribe.sources.staging import discard, scratch, shared_folder, staged
 
 TARGET, LEAST, MOST, PAGE_LEAST = 1200, 600, 1800, 80
 
@@ -104,12 +104,14 @@ def build_chunks(pages: DataFrame, prefix: str = "chunk", *, target: int = TARGE
     """
     shared_folder(pages.sparkSession)
     sizes = {"target": target, "least": least, "most": most}
-    cleaned = staged(pages.select("source_name", F.coalesce("page_num", F.lit(0)).alias("page_num"), "clean_text"))  # cleaned once: cutting ranges reads it too
+    path = scratch(pages.sparkSession)
+    cleaned = staged(pages.select("source_name", F.coalesce("page_num", F.lit(0)).alias("page_num"), "clean_text"), path)  # cleaned once: cutting ranges reads it too
     order = ("source_name", "page_num", "clean_text")
     cuts = ("source_name", "page_num", F.substring("clean_text", 1, 64))  # what is sampled for the ranges' ends goes to the driver: no whole texts
     ranged = cleaned.repartitionByRange(parts, *cuts) if parts else cleaned.repartitionByRange(*cuts)
     rows = ranged.sortWithinPartitions(*order).select("source_name", "page_num", paragraphs(F.col("clean_text")).alias("paras"))
     rows = rows.select("source_name", "page_num", F.array_join("paras", "\n\n").alias("text"), F.transform("paras", _mark).alias("marks")).checkpoint()
+    discard(pages.sparkSession, path)
     ordered = rows.withColumns({"part": F.spark_partition_id(), "page": F.monotonically_increasing_id()})
     entered = ordered.drop("page").join(F.broadcast(_states(ordered, **sizes)), "part", "left")  # one row a part
     kind = dict(rows.dtypes)["page_num"]

@@ -31,17 +31,22 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet and read back: what is used several times is computed once and outlives executors. Deleted at exit."""
-    path = scratch(df.sparkSession)
+def staged(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df, written once as Parquet (to `path`, else to a new one) and read back: what is used several times is computed once and outlives executors. Deleted at exit."""
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more: all that was made from it has been written or checkpointed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clear() -> None:
     for spark, path in _written:
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            discard(spark, path)
         except Exception:  # the session may be gone at exit
             return
