@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscribe.sources.files import assert_unique
+from sparkscribe.sources.staging import staged
 from sparkscribe.sources.store import chunk_concept_map, upsert
 
 
@@ -104,23 +105,15 @@ def learning_path(relations: DataFrame, starts: DataFrame, relation: str = "depe
     """(start, concept_id, depth, step) for each start of starts(concept_id): what it depends on, directly or through others up to `most` edges away,
     by the shortest way; step 1 is what to learn first, the start itself comes last.
 
-    One recursive query. A path never comes back to a concept it has passed, so cycles end; parallel edges count once. Steps go by falling depth, then
-    by id. A start without edges is its own path of one step; null ids and edges with a null end take no part; repeated starts are one. The session's
-    spark.sql.cteRecursionRowLimit bounds the paths held at once and ends the run beyond it."""
+    Level by level: a concept goes on from where it is first reached only, so cycles end, and what is held are the pairs of the result, never the
+    paths, whose number grows with the product of the edges along them. Parallel edges count once. Steps go by falling depth, then by id. A start without
+    edges is its own path of one step; null ids and edges with a null end take no part; repeated starts are one."""
     edges = relations.where((F.col("relation") == relation) & F.col("source_concept_id").isNotNull() & F.col("target_concept_id").isNotNull()).select("source_concept_id", "target_concept_id").distinct()
-    first = starts.where(F.col("concept_id").isNotNull()).select("concept_id").distinct()
-    return starts.sparkSession.sql(
-        """
-        WITH RECURSIVE walk(start, concept_id, depth, path) AS (
-          SELECT concept_id, concept_id, 0, array(concept_id) FROM {first}
-          UNION ALL
-          SELECT w.start, e.target_concept_id, w.depth + 1, array_append(w.path, e.target_concept_id)
-          FROM walk w JOIN {edges} e ON e.source_concept_id = w.concept_id
-          WHERE w.depth < {most} AND NOT array_contains(w.path, e.target_concept_id)),
-        nearest AS (SELECT start, concept_id, min(depth) AS depth FROM walk GROUP BY start, concept_id)
-        SELECT start, concept_id, depth, row_number() OVER (PARTITION BY start ORDER BY depth DESC, concept_id) AS step FROM nearest
-        """,
-        first=first,
-        edges=edges,
-        most=int(most),
-    )
+    edges = staged(edges.where("source_concept_id <> target_concept_id"))
+    level = staged(starts.where(F.col("concept_id").isNotNull()).select(F.col("concept_id").alias("start"), "concept_id").distinct())
+    nearest = level.withColumn("depth", F.lit(0))
+    for depth in range(1, int(most) + 1):
+        reached = level.join(edges, F.col("concept_id") == F.col("source_concept_id")).select("start", F.col("target_concept_id").alias("concept_id")).distinct()
+        level = staged(reached.join(nearest, ["start", "concept_id"], "left_anti"))
+        nearest = nearest.unionByName(level.withColumn("depth", F.lit(depth)))
+    return nearest.withColumn("step", F.row_number().over(Window.partitionBy("start").orderBy(F.desc("depth"), "concept_id")))

@@ -117,6 +117,14 @@ def test_learning_path(spark):
     assert graph.learning_path(r.limit(0), starts.limit(0)).collect() == []
 
 
+def test_learning_path_holds_no_paths(spark):
+    """Three full layers of 110: 1.3 million paths of a start, 331 rows."""
+    r = spark.range(3 * 110 * 110).selectExpr("id div 12100 AS l", "id div 110 % 110 AS i", "id % 110 AS j")
+    r = r.selectExpr("if(l = 0 and i > 0, 'a', concat(l, '-', i)) AS source_concept_id", "'depends_on' AS relation", "concat(l + 1, '-', j) AS target_concept_id").replace("0-0", "a", "source_concept_id")
+    got = graph.learning_path(r, spark.createDataFrame([("a",)], "concept_id string"), most=3).groupBy("depth").count().collect()
+    assert {tuple(x) for x in got} == {(0, 1), (1, 110), (2, 110), (3, 110)}
+
+
 def test_merge_nodes_is_idempotent(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "concept_id string, n int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "concept_id string, n int")
