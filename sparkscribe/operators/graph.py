@@ -85,8 +85,11 @@ def expand(hits: DataFrame, graph: dict[str, DataFrame], max_edges: int = 8) ->
     """Distinct outgoing relations of the concepts a hit's chunk mentions, from any chunk; the first max_edges by source, relation, target."""
     named = graph["concepts"].select("concept_id", "name")
     edges = graph["relations"].groupBy("source_concept_id", "relation", "target_concept_id", "confidence").agg(F.lit(1).alias("_"))  # parallel edges of many chunks collapse before the join
-    found = hits.select("chunk_id").distinct().join(graph["mentions"], "chunk_id").join(edges, F.col("concept_id") == F.col("source_concept_id"))
-    out = found.join(named.select(F.col("concept_id").alias("source_concept_id"), F.col("name").alias("source_name")), "source_concept_id").join(named.select(F.col("concept_id").alias("target_concept_id"), F.col("name").alias("target_name")), "target_concept_id")
+    edges = edges.join(named.select(F.col("concept_id").alias("source_concept_id"), F.col("name").alias("source_name")), "source_concept_id").join(named.select(F.col("concept_id").alias("target_concept_id"), F.col("name").alias("target_name")), "target_concept_id")
+    # of a source, a chunk can take its first max_edges only: a concept of many edges and many chunks is not multiplied out
+    first = Window.partitionBy("source_concept_id").orderBy("relation", "target_concept_id", "confidence", "source_name", "target_name")
+    edges = edges.drop("_").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_edges).drop("_n")
+    out = hits.select("chunk_id").distinct().join(graph["mentions"], "chunk_id").join(edges, F.col("concept_id") == F.col("source_concept_id"))
     out = out.select("chunk_id", "source_concept_id", "source_name", "relation", "target_concept_id", "target_name", "confidence").distinct()
     by = Window.partitionBy("chunk_id").orderBy("source_concept_id", "relation", "target_concept_id", "confidence")
     return out.withColumn("edge_no", F.row_number().over(by)).where(F.col("edge_no") <= max_edges)

@@ -125,6 +125,32 @@ def test_learning_path_holds_no_paths(spark):
     assert {tuple(x) for x in got} == {(0, 1), (1, 110), (2, 110), (3, 110)}
 
 
+def test_expand_takes_the_first_edges_of_a_hub(spark):
+    """A hub of 300 edges in 50 chunks: no join makes a row for each chunk and edge."""
+    ideas = spark.range(300).selectExpr("format_string('c%03d', id) AS concept_id", "format_string('n%03d', id) AS name")
+    r = ideas.selectExpr("'c000' AS source_concept_id", "'part_of' AS relation", "concept_id AS target_concept_id", "0.9D AS confidence")
+    hits = spark.range(50).selectExpr("concat('d', id) AS chunk_id")
+    got = graph.expand(hits, {"concepts": ideas, "relations": r, "mentions": hits.selectExpr("chunk_id", "'c000' AS concept_id")}, 8)
+    rows = got.collect()
+    assert len(rows) == 400 and {(x.edge_no, x.target_name) for x in rows} == {(i + 1, f"n{i:03}") for i in range(8)}
+    metrics = re.findall(r"Join.*?numOutputRows=(\d+)", _metrics(got))
+    assert metrics and max(map(int, metrics)) <= 400
+
+
+def _metrics(df) -> str:
+    """Each node of the plan that ran, with its rows."""
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+    stack = [plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
+    while stack:
+        p = stack.pop()
+        if "QueryStage" in p.nodeName():
+            stack.append(p.plan())
+        rows = p.metrics().get("numOutputRows")
+        out.append(f"{p.nodeName()} numOutputRows={rows.get().value() if rows.isDefined() else 0}")
+        stack += [p.children().apply(i) for i in range(p.children().size())]
+    return "\n".join(out)
+
+
 def test_merge_nodes_is_idempotent(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "concept_id string, n int")
     new = spark.createDataFrame([("b", 3), ("c", 4)], "concept_id string, n int")
