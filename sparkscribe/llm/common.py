@@ -49,6 +49,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: it is sorted and merged, so AQE does not turn the join into a broadcast, which is built whole on the driver."""
+    return df.hint("merge")
+
+
 _trimmed = 0.0
 
 

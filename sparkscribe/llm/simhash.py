@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, frugal, numbered, stage_table, table
+from .common import cut, frugal, numbered, spread, stage_table, table
 from .components import components
 from .repeats import NO_ID, marked, only
 
@@ -84,7 +84,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     variants = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select("fp", "i", F.shiftleft(i.cast("long"), 32).bitwiseOR(segment.bitwiseAND(blank)).alias("key"))
     # counted with a partial sum and joined, so a variant of many fingerprints is not one task
     counts = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(variants.join(counts, "key").select("key", "i", "fp", "n"))
+    shared = cut(variants.join(spread(counts), "key").select("key", "i", "fp", "n"))
 
     cold = shared.where(F.col("n") <= bucket)
     x = F.col("a").bitwiseXOR(F.col("b"))
@@ -93,7 +93,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     bit = F.expr("shiftleft(1L, i % 32)")
     first = ((own == 0) & (i % 32 == 0)) | (own == bit)  # the one variant of a segment that answers for the pair
     once = (i < 32) | (F.bit_count(low) > 1)  # the second segment only where the first differs by more
-    pairs = cold.select("key", "i", F.col("fp").alias("a")).join(cold.select("key", F.col("fp").alias("b")), "key").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= 2) & first & once).select("a", "b")
+    pairs = cold.select("key", "i", F.col("fp").alias("a")).join(spread(cold.select("key", F.col("fp").alias("b"))), "key").where((F.col("a") < F.col("b")) & (F.bit_count(x) <= 2) & first & once).select("a", "b")
 
     hot = shared.where(F.col("n") > bucket).select("fp").distinct()
     near = hot.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i")).select("fp", F.expr("if(i = 64, fp, fp ^ shiftleft(1L, i))").alias("near"))
@@ -111,15 +111,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = stage_table(fingerprints(docs, id_col=id_col, text_col=text_col))
     rooted = _rooted(found)
     label = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(label, "root").select("fp", "component_id")
-    return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(spread(label), "root").select("fp", "component_id")
+    return found.join(spread(named), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _rooted(found: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(fp, first, root) for each distinct fingerprint: its least document and its component."""
     nodes = cut(found.groupBy("fp").agg(F.min(doc).alias("first")))
     roots = components(links(nodes.select("fp")))
-    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(spread(roots), nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,13 +134,13 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     found = stage_table(fingerprints(docs, id_col="_order", text_col=text_col).withColumnRenamed("doc_id", "doc"))
     # copies of one fingerprint are combined before the shuffle, so the join sees each fingerprint once
     least = found.groupBy("fp").agg(F.min(F.struct("doc", "th")).alias("k"))
-    stays = least.join(_rooted(found, "doc").select("fp", "root"), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.doc", "k.th", F.lit(True).alias("stay"))
+    stays = least.join(spread(_rooted(found, "doc").select("fp", "root")), "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.doc", "k.th", F.lit(True).alias("stay"))
     each = found.groupBy("doc", "th").agg(F.count(F.lit(1)).alias("n"))
-    judged = stage_table(each.join(stays, ["doc", "th"], "left").select("doc", "th", "n", F.coalesce("stay", F.lit(False)).alias("stay")))
+    judged = stage_table(each.join(spread(stays), ["doc", "th"], "left").select("doc", "th", "n", F.coalesce("stay", F.lit(False)).alias("stay")))
     doubtful = marked(judged.where("n > 1 or not stay"), "th")
     keyed_docs = docs.select(F.struct(*own).alias("row"), F.col("_order").alias("doc"), F.xxhash64(text_col).alias("th"))
     clear = only(keyed_docs, doubtful, inside=False).select("row.*")
-    rest = only(keyed_docs, doubtful).join(judged.where("stay").select("doc", "th"), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("row.*")
+    rest = only(keyed_docs, doubtful).join(spread(judged.where("stay").select("doc", "th")), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("row.*")
     return clear.unionByName(rest)
 
 

@@ -52,3 +52,14 @@ def test_huge_components_take_no_part(spark):
     want = [(q, r + 1, -i, s) for q in part for r, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(whole[q], whole[i])), -i) for i in part if i != q), reverse=True))]
     assert part == [1, 3, 7]
     assert sorted(map(tuple, got)) == sorted(want) and all(abs(r.score) < 1 << 62 for r in got)
+
+
+def test_near_duplicates_broadcast_nothing(spark):
+    """Every join grows with the corpus; a broadcast of small statistics would be built on the driver."""
+    from sparkscribe.llm import simhash
+
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('some words of text number ', id % 20) AS text")
+    for df in (simhash.near_duplicates(docs), simhash.keep_one(docs), simhash.links(simhash.fingerprints(docs).select("fp").distinct())):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
