@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cues, and the relation that each states between the concept before and the concept after it.
@@ -20,6 +20,9 @@ CUES = (
     ("is implemented by", "implemented_by"),
 )
 
+#: Phrases and cues that are broadcast at most; more are joined by shuffles.
+PHRASES = 100_000
+
 _WORD = r"[\p{L}\p{N}]+"
 
 
@@ -32,10 +35,11 @@ def sentences(chunks: DataFrame) -> DataFrame:
 
 def spans(sentences: DataFrame, phrases: DataFrame, longest: int) -> DataFrame:
     """(chunk_id, sentence, start, stop, ...): where a phrase of phrases(phrase, ...) stands, as word positions [start, stop)."""
-    at = F.explode(F.sequence(F.lit(0), F.size("words") - 1))
-    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - F.col("start"))))
-    found = sentences.select("*", at.alias("start")).select("*", size.alias("size"))
-    found = found.select("chunk_id", "sentence", "start", (F.col("start") + F.col("size")).alias("stop"), F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " ").alias("phrase"))
+    # one array of a sentence's phrases: the words are not copied to each of its rows
+    sizes = lambda start: F.sequence(F.lit(1), F.least(F.lit(longest), F.size("words") - start))
+    phrase = lambda start, size: F.struct(start.alias("start"), (start + size).alias("stop"), F.array_join(F.slice("words", start + 1, size), " ").alias("phrase"))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda start: F.transform(sizes(start), lambda size: phrase(start, size))))
+    found = sentences.select("chunk_id", "sentence", F.inline(every))
     return found.join(phrases, "phrase")
 
 
@@ -50,25 +54,23 @@ def pattern_relations(chunks: DataFrame, concepts: DataFrame, cues: Sequence[tup
     """
     spark = chunks.sparkSession
     tidy = lambda c: F.array_join(F.regexp_extract_all(F.lower(c), F.lit(_WORD), F.lit(0)), " ")
-    named = concepts.select(tidy("phrase").alias("phrase"), "concept_id").where("phrase <> '' and concept_id is not null").distinct()
+    named = concepts.select(tidy("phrase").alias("phrase"), "concept_id").where("phrase <> '' and concept_id is not null").groupBy("phrase").agg(F.min("concept_id").alias("concept_id"))
     stated = spark.createDataFrame([(c, r) for c, r in cues], "phrase string, relation string").select(tidy("phrase").alias("phrase"), "relation").distinct()
     both = named.select("phrase", "concept_id", F.lit(None).cast("string").alias("relation")).unionByName(stated.select("phrase", F.lit(None).cast("string").alias("concept_id"), "relation"))
-    text = sentences(chunks)
-    found = spans(text, both, longest)
+    begin = [r[0] for r in stated.select(F.element_at(F.split("phrase", " "), 1)).distinct().collect()]  # a word for each cue at most
+    text = sentences(chunks.where("chunk_id is not null")).where((F.size("words") > 2) & F.arrays_overlap("words", F.array(*map(F.lit, begin)).cast("array<string>")))  # others have no cue between concepts
+    # no word is shuffled but those of a phrase: the words' own joins stay in place
+    found = spans(text, F.broadcast(both) if both.count() <= PHRASES else both, longest).drop("phrase")
     concept = F.col("concept_id").isNotNull()
-    # a concept is an end (for cues after it) and a start (for cues before it); a cue looks back from its start and ahead from its stop
-    side = lambda place, name: F.struct(place.alias("place"), F.lit(name).alias("side"))
-    rows = found.select("*", F.explode(F.array(side(F.when(concept, F.col("stop")).otherwise(F.col("start")), "back"), side(F.when(concept, F.col("start")).otherwise(F.col("stop")), "ahead"))).alias("e")).select("*", "e.place", "e.side")
-    held = F.when(concept, F.struct("start", "stop", "concept_id"))
-    keys = ["chunk_id", "sentence", "side"]
-    length = F.col("stop") - F.col("start")
-    # at one place, concepts come before the cue on the way back and after it ahead; the best concept of a place is met last or first
-    back = Window.partitionBy(*keys).orderBy("place", F.when(concept, 0).otherwise(1), length, F.desc("concept_id")).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*keys).orderBy("place", F.when(concept, 1).otherwise(0), F.desc(length), "concept_id").rowsBetween(1, Window.unboundedFollowing)
-    seen = rows.withColumns({"source": F.last(held, ignorenulls=True).over(back), "target": F.first(held, ignorenulls=True).over(ahead)}).where(~concept)
-    one: Column = F.max(F.when(F.col("side") == "back", F.col("source")))
-    two: Column = F.max(F.when(F.col("side") == "ahead", F.col("target")))
-    edges = seen.groupBy("chunk_id", "sentence", "start", "stop", "relation").agg(one.alias("source"), two.alias("target"))
-    edges = edges.where("source is not null and target is not null and source.concept_id <> target.concept_id").join(text, ["chunk_id", "sentence"])
+    # a cue looks back from its start at the concepts' ends and ahead from its stop at their starts; the way ahead is swept from the sentence's end, so
+    # both ways the concepts of a place come before its cue, the best of them last
+    back, ahead = F.when(concept, F.col("stop")).otherwise(F.col("start")), F.when(concept, F.col("start")).otherwise(F.col("stop"))
+    tail = (F.when(concept, 0).otherwise(1), F.col("stop") - F.col("start"), F.desc("concept_id"))
+    keys = ["chunk_id", "sentence"]
+    sweep = lambda place: F.last(F.when(concept, F.struct("start", "stop", "concept_id")), ignorenulls=True).over(Window.partitionBy(*keys).orderBy(place, *tail).rowsBetween(Window.unboundedPreceding, -1))
+    seen = found.withColumns({"source": sweep(back.asc()), "target": sweep(ahead.desc())}).where(~concept)
+    edges = seen.groupBy(*keys, "start", "stop", "relation").agg(F.max("source").alias("source"), F.max("target").alias("target"))  # dealt by the same keys: no shuffle
+    lines = text.select(*keys, F.array_join("words", " ").alias("line"))
+    edges = edges.where("source is not null and target is not null and source.concept_id <> target.concept_id").join(lines, keys).withColumn("words", F.split("line", " "))
     words = F.slice("words", F.col("source.start") + 1, F.col("target.stop") - F.col("source.start"))
     return edges.select("chunk_id", "sentence", F.col("start").alias("at"), F.col("source.concept_id").alias("source_concept_id"), "relation", F.col("target.concept_id").alias("target_concept_id"), F.array_join(words, " ").alias("evidence"))

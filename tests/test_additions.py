@@ -170,6 +170,11 @@ def test_pattern_relations(spark):
     ]
     assert len([g for g in got if g[0] == "c4"]) == 300 and {g[3:6] for g in got if g[0] == "c4"} == {("l", "depends_on", "c")}
     assert patterns.pattern_relations(chunks, ideas.limit(0)).collect() == [] and patterns.pattern_relations(chunks.limit(0), ideas).collect() == []
+    # phrases are looked up in place: what is shuffled are the hits and the sentences, each once
+    df = patterns.pattern_relations(chunks, ideas)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastHashJoin [phrase" in plan and plan.count("hashpartitioning(chunk_id") == 2
 
 
 # pages and reports
