@@ -14,27 +14,30 @@ def chunk_metrics(chunks: DataFrame, low: int = 600, high: int = 1800, under: in
     )
 
 
-#: Pairs of a query and a term that are broadcast at most; more are joined by shuffles.
-ASKED = 1_000_000
+#: Pairs of a query and a term that are broadcast at most; more are joined by shuffles. Pairs of a query and a document of one task.
+ASKED, PAIRS = 1_000_000, 1_000_000
 
 
 def words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.2, b: float = 0.75, asked_bound: int = ASKED) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.2, b: float = 0.75, asked_bound: int = ASKED, pairs_bound: int = PAIRS) -> DataFrame:
     """(query_id, rank, id, score) for documents that share a term; idf = ln(1 + (n - df + 0.5) / (df + 0.5)). Ids are unique.
 
     Documents are read once and cut to the queries' terms, then one shuffle by document holds all postings. Where the queries' terms
-    are few enough to broadcast, scores are summed in place and each task keeps its k best of a query, so no pair is shuffled.
+    are few enough to broadcast, scores are summed in place and each task keeps its k best of a query, so no pair is shuffled. Documents
+    are dealt over as many tasks as it takes for each to hold `pairs_bound` pairs at most, however many documents and queries there are.
     An empty term in every document counts documents and words, also of those without a term of a query.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(words(query_text))).alias("term"))
-    small = F.broadcast if asked.count() <= asked_bound else lambda df: df
+    sizes = asked.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("query_id").alias("queries")).first()
+    small = F.broadcast if sizes.pairs <= asked_bound else lambda df: df
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() * sizes.queries // pairs_bound))
     wanted = asked.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
     listed = docs.select(F.col(id_col).alias("id"), words(text_col).alias("w"))
     found = listed.select("id", F.size("w").alias("dl"), F.explode(F.array_append("w", F.lit(""))).alias("term")).join(small(wanted), "term", "left_semi")
-    posting = found.repartition("id").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    posting = found.repartition(parts, "id").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = posting.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     every = lambda c: F.max(F.when(F.col("term") == "", F.col(c))).alias(c)  # noqa: E731, a filter would be pushed to a scan of its own

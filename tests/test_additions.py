@@ -104,6 +104,16 @@ def test_early_stop_scores_fewer_postings():
     assert set(best) <= set(docs.tolist()) and np.allclose(exact[docs], scores) and scored < 200
 
 
+def test_bm25_deals_pairs(spark):
+    """40 documents and 5 queries are 200 pairs; at 10 a task, 20 tasks."""
+    docs = spark.range(40).selectExpr("id", "concat('a b w', id % 7) AS text")
+    asked = spark.range(5).selectExpr("id AS q", "concat('b w', id) AS text")
+    run = lambda **bound: quality.bm25(docs, asked, 3, id_col="id", text_col="text", query_id="q", query_text="text", **bound)
+    few = run(pairs_bound=10)
+    assert re.search(r"hashpartitioning\(id#\d+L?, 20\)", few._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, run().collect()))
+
+
 # graph and patterns
 
 
