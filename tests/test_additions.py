@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -114,6 +115,24 @@ def test_bm25_deals_pairs(spark):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, run().collect()))
 
 
+def test_scan_holds_few_scores(spark):
+    """20,000 rows in one batch against 400 queries: 64 MB of scores if they were made at once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    e, q, k = rng.normal(size=(20_000, 4)), rng.normal(size=(400, 4)), 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(e))), pa.array(np.arange(len(e), dtype=float)), pa.array(list(e))], ["_id", "_order", "_e"])
+    scan = search._scan(spark, q.tolist(), k)
+    tracemalloc.start()
+    (got,) = scan([batch])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 << 20
+    cosine = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (e / np.linalg.norm(e, axis=1, keepdims=True)).T, 12)
+    want = {(i, int(j)) for i in range(len(q)) for j in np.argsort(-cosine[i], kind="stable")[:k]}
+    assert set(zip(got["_qi"].to_pylist(), got["_id"].to_pylist())) == want and got.num_rows == len(want)
+
+
 # graph and patterns
 
 
