@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkscribe.functions.text import clean_text, estimate_tokens, is_title, paragraphs
 from sparkscribe.functions.vector import bind
-from sparkscribe.sources.staging import discard, scratch, shared_folder, staged
+from sparkscribe.sources.staging import bound_batches, discard, scratch, shared_folder, staged
 
 TARGET, LEAST, MOST, PAGE_LEAST = 1200, 600, 1800, 80
 
@@ -103,6 +103,7 @@ def build_chunks(pages: DataFrame, prefix: str = "chunk", *, target: int = TARGE
     from there each range makes its own chunks. Those at a range's ends, two a range at most, are merged by number.
     """
     shared_folder(pages.sparkSession)
+    bound_batches(pages.sparkSession)
     sizes = {"target": target, "least": least, "most": most}
     path = scratch(pages.sparkSession)
     cleaned = staged(pages.select("source_name", F.coalesce("page_num", F.lit(0)).alias("page_num"), "clean_text"), path)  # cleaned once: cutting ranges reads it too

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkscribe.operators import bandit, graph, patterns, pruned, quality, ranking, search, sketches, tfidf
+from sparkscribe.operators import bandit, chunking, graph, patterns, pruned, quality, ranking, search, sketches, tfidf
 from sparkscribe.operators.asof import as_of
 from sparkscribe.sources import files
 from sparkscribe.sources.staging import scratch
@@ -133,6 +133,13 @@ def test_scan_holds_few_scores(spark):
     assert set(zip(got["_qi"].to_pylist(), got["_id"].to_pylist())) == want and got.num_rows == len(want)
 
 
+def test_chunks_bound_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(1 << 30))
+    chunking.build_chunks(spark.createDataFrame([("s", 1, "A page.")], "source_name string, page_num int, clean_text string"))
+    assert int(spark.conf.get(key)) <= 8 << 20
+
+
 # graph and patterns
 
 
