@@ -6,11 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkscribe.operators.quality import words
-from sparkscribe.sources.staging import staged
+from sparkscribe.operators.quality import ASKED, words
+from sparkscribe.sources.staging import bound_batches, staged
 
 #: Postings of a shard, (query, term) pairs of a part, postings of a block.
 SHARD, PART, BLOCK = 1 << 20, 1 << 17, 128
+#: A term of at most so many characters that makes up more than one in COMMON of all postings is broadcast: fewer than COMMON are.
+COMMON, LONG = 1 << 19, 64
 
 
 class Postings:
@@ -73,6 +75,23 @@ class Postings:
         return docs, total[docs], scored
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """(key, term, tf) of (key, words), row by row, without a shuffle."""
+
+    def count(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            terms = batch.column(1).flatten().dictionary_encode()
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            pair, times = np.unique(row * max(1, len(terms.dictionary)) + terms.indices.to_numpy(), return_counts=True)
+            row, term = np.divmod(pair, max(1, len(terms.dictionary)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), terms.dictionary.take(pa.array(term)), pa.array(times)], ["key", "term", "tf"])
+
+    return docs.mapInArrow(count, f"key {dict(docs.dtypes)['key']}, term string, tf long")
+
+
 def tfidf_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str, text_col: str, query_id: str, query_text: str, shard: int = SHARD, part: int = PART, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, id, score, scored, postings): cosine of the TF-IDF vectors of a query and a document that share a term.
 
@@ -80,25 +99,38 @@ def tfidf_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
     rounded to 9 places for the order, ties go to the smaller id. scored: postings whose product was formed for the query, of `postings` that its terms
     have. Ids are unique longs or strings; null texts have no words, and a text or query without words no row; an empty table gives none.
 
-    Document frequencies are partial counts; a document's length comes from all its terms, and only the queries' terms go on. Documents are dealt over
-    shards of about `shard` postings and queries over parts of about `part` terms; each pair is one task of bounded size.
+    A document's words are counted where it is read and written once; of all its terms only those that are not common are shuffled, for its length, and
+    only the queries' terms go on, as numbers. Documents are dealt over shards of about `shard` postings and queries over parts of about `part` terms;
+    each pair is one task of bounded size.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    n = F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))  # one row
-    counted = lambda df, key, text: df.select(F.col(key).alias("key"), F.explode(words(text)).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = F.ln((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    tf = staged(counted(docs, id_col, text_col))
-    df = staged(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(n))
-    asked = counted(queries, query_id, query_text).join(df.drop("n"), "term", "left").crossJoin(n).withColumn("w", F.col("tf") * idf)
-    asked = staged(asked.select("key", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))).alias("w"), F.xxhash64("key").alias("h")))
-    wanted = asked.select("term").distinct().withColumn("asked", F.lit(True))
-    weighed = tf.join(df.join(wanted, "term", "left"), "term").withColumn("w", F.col("tf") * idf)
-    size = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    postings = staged(weighed.where("asked").join(size, "key").select("key", "term", (F.col("w") / F.col("size")).alias("w"), F.xxhash64("key").alias("h")))
-    shards, parts = max(1, -(-postings.count() // shard)), max(1, -(-asked.count() // part))
-    left = postings.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).drop("h")
-    right = asked.withColumn("part", F.pmod("h", F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).drop("h")
+    bound_batches(docs.sparkSession)
+    rows = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("ids"), F.max(F.col(id_col).isNull().cast("int")).alias("null")).first()
+    n = F.lit(rows.n)
+    idf = F.ln((1 + n) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    tf = _counted(docs.select(F.col(id_col).alias("key"), words(text_col).alias("words")))
+    if rows.ids + (rows.null or 0) < rows.n:  # rows that repeat an id count as one document
+        tf = tf.groupBy("key", "term").agg(F.sum("tf").alias("tf"))
+    tf = staged(tf)
+    df = staged(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    asked = queries.select(F.col(query_id).alias("key"), F.explode(words(query_text)).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = asked.join(df, "term", "left").withColumn("w", F.col("tf") * idf)
+    asked = staged(asked.select("key", "term", "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))).alias("w"), F.xxhash64("key").alias("h")))
+    pairs = asked.count()
+    small = F.broadcast if pairs <= ASKED else lambda x: x
+    wanted = staged(asked.select("term", "df").distinct().withColumn("no", F.monotonically_increasing_id()))
+    total, every = wanted.agg(F.sum("df")).first()[0] or 0, df.agg(F.sum("df")).first()[0] or 0
+    common = F.broadcast(df.where((F.col("df") > every // COMMON) & (F.length("term") <= LONG)))
+    known = tf.where(F.col("key").isNotNull())
+    weight = F.col("tf") * idf
+    squares = known.join(common, "term").select("key", (weight * weight).alias("w")).unionByName(known.join(common, "term", "left_anti").join(df, "term").select("key", (weight * weight).alias("w")))
+    size = squares.groupBy("key").agg(F.sqrt(F.sum("w")).alias("w")).select("key", F.lit(-1).cast("long").alias("no"), "w")
+    postings = known.join(small(wanted), "term").select("key", "no", weight.alias("w")).unionByName(size)  # lengths stand among the postings, without a term
+    shards, parts = max(1, -(-total // shard)), max(1, -(-pairs // part))
+    left = postings.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    numbers = wanted.select("term", F.col("no").alias("own"))
+    right = asked.join(small(numbers), "term").select("key", F.col("own").alias("no"), "w", F.pmod("h", F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     kinds = dict(tf.dtypes)["key"], dict(asked.dtypes)["key"]
 
     def search(key, rows, own):
@@ -108,11 +140,17 @@ def tfidf_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
         out = pa.schema([("query_id", own.schema.field("key").type), ("id", rows.schema.field("key").type), ("score", pa.float64()), ("scored", pa.int64()), ("postings", pa.int64())])
         if not len(rows) or not len(own):
             return out.empty_table()
-        terms = pc.unique(rows["term"])
         docs = rows["key"].combine_chunks().dictionary_encode()
-        names = docs.dictionary
-        lists = Postings(pc.index_in(rows["term"], terms).to_numpy(), docs.indices.to_numpy(), rows["w"].to_numpy(), block)
-        place = pc.fill_null(pc.index_in(own["term"], terms), -1).to_numpy()
+        names, at = docs.dictionary, docs.indices.to_numpy()
+        term, weight, size = rows["no"].to_numpy(), rows["w"].to_numpy(), np.ones(len(names))
+        length = term < 0
+        size[at[length]] = weight[length]
+        at, term, weight = at[~length], term[~length], weight[~length]
+        lists = Postings(term, at, weight / size[at], block)
+        if not len(lists.terms):
+            return out.empty_table()
+        place = own["no"].to_numpy()
+        place = np.where(np.isin(place, lists.terms), place, -1)
         asking = own["key"].combine_chunks().dictionary_encode()
         by = np.argsort(asking.indices.to_numpy(), kind="stable")
         start = np.searchsorted(asking.indices.to_numpy()[by], np.arange(len(asking.dictionary) + 1))

@@ -92,6 +92,33 @@ def test_tfidf(spark, shard, block):
     assert tfidf.tfidf_top_k(d.limit(0), a, 5, id_col="doc_id", text_col="text", query_id="item_id", query_text="text").collect() == []
 
 
+def _shuffled(spark) -> int:
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_tfidf_shuffles_few_postings(spark):
+    """200 documents with 300 words of their own draw from 2,000, and one word asked for: only that word's postings and rare ones move."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"x{rng.randrange(2000)}" for _ in range(300)) + " asked" * (i % 3)) for i in range(200)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    before = _shuffled(spark)
+    got = tfidf.tfidf_top_k(d, spark.createDataFrame([(1, "asked")], "item_id long, text string"), 3, id_col="doc_id", text_col="text", query_id="item_id", query_text="text").collect()
+    assert len(got) == 3 and all(r.id % 3 == 2 for r in got)
+    assert _shuffled(spark) - before < 500_000  # 264 KB here, with the draw of d; 774 KB when all postings moved
+
+
+def test_tfidf_repeated_ids(spark):
+    """Rows of one id are one document; those without an id count as one and are not found."""
+    d = spark.createDataFrame([(1, "a b"), (1, "b c"), (None, "a"), (None, "b"), (2, "b"), (3, "c c d")], "doc_id long, text string")
+    ask = lambda x: tfidf.tfidf_top_k(x, spark.createDataFrame([(1, "b c")], "item_id long, text string"), 5, id_col="doc_id", text_col="text", query_id="item_id", query_text="text").collect()
+    n, df = 6, {"a": 2, "b": 3, "c": 2, "d": 1}
+    unit = lambda c: {t: w / math.sqrt(sum(v * v for v in x.values())) for x in [{t: m * (math.log((1 + n) / (1 + df[t])) + 1) for t, m in c.items()}] for t, w in x.items()}
+    q, vectors = unit({"b": 1, "c": 1}), {1: unit({"a": 1, "b": 2, "c": 1}), 2: unit({"b": 1}), 3: unit({"c": 2, "d": 1})}
+    want = {i: round(sum(q[t] * v.get(t, 0) for t in q), 9) for i, v in vectors.items()}
+    assert {r.id: round(r.score, 9) for r in ask(d)} == want
+
+
 def test_early_stop_scores_fewer_postings():
     rng = np.random.default_rng(0)
     n = 20_000
