@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +20,8 @@ def body_pages(pages: DataFrame, start_page: int = 11) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame, start_page: int = 11) -> DataFrame:
-    cleaned = body_pages(pages, start_page).withColumn("clean_text", clean_text(F.col("raw_text")))
+    """With clean_text and char_count. A filter on these is not pushed below the generator, where it would clean each text once more."""
+    cleaned = body_pages(pages, start_page).withColumn("clean_text", F.explode(F.array(clean_text(F.col("raw_text")))))
     return cleaned.withColumn("char_count", F.length("clean_text"))
 
 
@@ -46,24 +50,41 @@ class _Rule:
     def enter(self, source, number: int = 0, length: int = 0, fresh: bool = True) -> None:
         self.source, self.number, self.length, self.fresh = source, number, length, fresh
 
-    def next(self, source, size: int, title: bool, final: bool) -> int:
+    def numbers(self, source, marks: list[int]) -> list[int]:
+        """The chunks of the next paragraphs of a source."""
         if source != self.source:
             self.enter(source)
-        if self.fresh or self.length >= self.least and (title or self.length + 2 + size > self.most):
-            self.number, self.length, self.fresh = self.number + 1, size, False
-        else:
-            self.length += 2 + size
-            self.fresh = self.length >= self.target and final
-        return self.number
+        number, length, fresh, out = self.number, self.length, self.fresh, []
+        target, least, most = self.target, self.least, self.most
+        for m in marks:
+            size = m >> 2
+            if fresh or length >= least and (m & 2 or length + 2 + size > most):
+                number, length, fresh = number + 1, size, False
+            else:
+                length += 2 + size
+                fresh = length >= target and bool(m & 1)
+            out.append(number)
+        self.number, self.length, self.fresh = number, length, fresh
+        return out
 
 
 def _mark(para: Column) -> Column:
     """A paragraph's length and two flags in one number: length * 4, 2 for a title, 1 for the end of a sentence."""
-    return F.length(para) * 4 + is_title(para).cast("int") * 2 + para.rlike("[.!?;]$").cast("int")
+    final = functools.reduce(operator.or_, (F.endswith(para, F.lit(x)) for x in ".!?;"))
+    return F.length(para) * 4 + is_title(para).cast("int") * 2 + final.cast("int")
+
+
+def _lists(batch, name: str):
+    """A column of lists of numbers, list by list."""
+    column = batch.column(batch.schema.names.index(name))
+    values, ends = column.flatten().to_numpy().tolist(), [0]
+    for n in column.value_lengths().to_pylist():
+        ends.append(ends[-1] + n)
+    return (values[a:b] for a, b in zip(ends, ends[1:]))
 
 
-def _read(mark: int) -> tuple[int, bool, bool]:
-    return mark >> 2, bool(mark & 2), bool(mark & 1)
+#: Tasks at least that the sources' streams are dealt over: Spark would join what is small in bytes into one task.
+STREAMS = 24
 
 
 def _states(ordered: DataFrame, **sizes) -> DataFrame:
@@ -77,19 +98,18 @@ def _states(ordered: DataFrame, **sizes) -> DataFrame:
 
         rule, part = _Rule(**sizes), None
         for batch in batches:
-            c, out = batch.to_pydict(), []
-            for source, at, marks in zip(c["source_name"], c["part"], c["marks"]):
+            out = []
+            for source, at, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch, "marks")):
                 if source != rule.source:
                     rule.enter(source)
                 elif at != part:
                     out.append((at, rule.number, rule.length, rule.fresh))
                 part = at
-                for m in marks:
-                    rule.next(source, *_read(m))
+                rule.numbers(source, marks)
             columns, kinds = [*zip(*out)] if out else [()] * 4, [pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["part", "number", "length", "fresh"])
 
-    return flags.repartition("source_name").sortWithinPartitions("source_name", "page").mapInArrow(fold, "part int, number int, length long, fresh boolean")
+    return flags.repartition(max(STREAMS, ordered.rdd.getNumPartitions()), "source_name").sortWithinPartitions("source_name", "page").mapInArrow(fold, "part int, number int, length long, fresh boolean")
 
 
 def build_chunks(pages: DataFrame, prefix: str = "chunk", *, target: int = TARGET, least: int = LEAST, most: int = MOST, parts: int | None = None) -> DataFrame:
@@ -133,15 +153,14 @@ def build_chunks(pages: DataFrame, prefix: str = "chunk", *, target: int = TARGE
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         for batch in batches:
-            out, c = [], batch.to_pydict()
+            out, c = [], {x: _lists(batch, x) if x == "marks" else batch.column(i).to_pylist() for i, x in enumerate(batch.schema.names)}
             for source, number, text, marks, part, *state in zip(*(c[x] for x in ("source_name", "page_num", "text", "marks", "part", "number", "length", "fresh"))):
                 if entry is None:
                     entry = (source,) if state[0] is not None else ()
                     if entry:
                         rule.enter(source, *state)
                 at = 0
-                for m in marks:
-                    n = rule.next(source, *_read(m))
+                for m, n in zip(marks, rule.numbers(source, marks)):
                     if open_ is None or (source, n) != (open_[0], open_[1]):
                         if open_ is not None:
                             out.append(closed(source == open_[0]))

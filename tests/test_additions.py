@@ -64,6 +64,34 @@ def test_pruned_edges(spark, monkeypatch):
     assert sorted(map(tuple, search.top_k(index, asked, 3, id_col="id", order="o").collect())) == sorted(map(tuple, few))
 
 
+# Chunks
+
+
+def test_pages_are_cleaned_once(spark):
+    """A page's text is cleaned before the filter on it, not in the filter too."""
+    pages = chunking.clean_pages(spark.createDataFrame([("s", 1, "A page\r\nof  text.")], "source_name string, page_num int, raw_text string"), 0)
+    lines = chunking.kept_pages(pages).select("clean_text")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("-\\n(?=" in x for x in lines) == 1 and not any("Filter" in x and "regexp_replace" in x for x in lines)
+    assert [r[0] for r in chunking.kept_pages(pages.withColumn("char_count", F.lit(80))).select("clean_text").collect()] == ["A page of text."]
+
+
+def test_streams_of_sources_stay_apart(spark):
+    """Small as lengths and flags are, sources are not joined into one task."""
+    rows = spark.createDataFrame([(f"s{i}", 0, i, [40, 41, 43]) for i in range(60)], "source_name string, part int, page long, marks array<int>")
+    used = chunking._states(rows).rdd.getNumPartitions()
+    assert used >= chunking.STREAMS
+
+
+def test_strip_takes_white_space_of_unicode(spark):
+    from sparkscribe.functions import text as tx
+
+    c = F.col("c")
+    rows = [(chr(i), f"{chr(i)}a{chr(i)} b{chr(i)}\n") for i in range(1, 0x3100)]
+    df = spark.createDataFrame(rows, "x string, c string")
+    assert df.where(tx.strip(c) != F.regexp_replace(c, rf"(?U)^{tx.SPACE}+|{tx.SPACE}+$", "")).collect() == []
+    assert df.where(tx.strip(F.col("x")) == "").count() == len(tx.SPACES)
+
+
 # TF-IDF
 
 
