@@ -1,5 +1,6 @@
 """Which elements of a corpus lie in windows that also occur earlier: the frame of the two exact dedup operators.
 
+0. Of bytes, documents that are whole copies of one of a smaller id are covered, and left out of the next steps.
 1. Every document gives its anchors (see anchors.py). Those that occur once are dropped, by a bitmap sized from the corpus; it may let
    some through and loses none. Beyond its largest size more are let through, and step 2 counts them exactly.
 2. Anchors only route. An anchor's group is the part of its first document in which it stands, or the anchor itself if it is one of the
@@ -17,6 +18,7 @@ numbered in their order.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import _sliding, anchors, word_elements
-from .common import drop_tables, frugal, frugal_group, numbered, stage_table, trim
+from .common import drop_tables, frugal, frugal_group, numbered, spread, stage_table, trim
 from .rolling import BYTE, arrow_bytes, mix, runs
 
 NO_ID = (1 << 63) - 1
@@ -163,9 +165,9 @@ def seen_more(packed: DataFrame, parts: int, slots: int, least: int = 2) -> Repe
     return out
 
 
-def marked(keys: DataFrame, column: str) -> Repeated:
-    """A bitmap of all keys of a column of a written table."""
-    parts, slots = _parts(keys), slots_for(keys.count())
+def marked(keys: DataFrame, column: str, times: int = 1) -> Repeated:
+    """A bitmap of all keys of a column of a written table, of `times` as many slots as usual."""
+    parts, slots = _parts(keys), slots_for(keys.count() * times)
 
     def pack(batches):
         for batch in batches:
@@ -194,14 +196,46 @@ def _merge(row: np.ndarray, start: np.ndarray, stop: np.ndarray, key: np.ndarray
     return row[first], start[first], np.maximum.reduceat(stop, first), None if key is None else key[first]
 
 
-def _anchor_keys(rows: DataFrame, unit: Unit) -> Repeated:
+def _copies(rows: DataFrame, unit: Unit) -> DataFrame:
+    """(doc, th, n) of keyed() rows: documents of n bytes, a window or more, whose whole text a smaller id has too. Texts are told by SHA-256."""
+    size = F.octet_length("_text").cast("long")
+    told = stage_table(rows.where(size >= unit.window).select("doc", "th", F.sha2("_text", 256).alias("sha"), size.alias("n")))
+    first = told.groupBy("sha", "n").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("last > first").drop("last")
+    out = stage_table(told.join(spread(first), ["sha", "n"]).where("doc > first").select("doc", "th", "n").distinct())
+    drop_tables(told)
+    return out
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> tuple[DataFrame, Repeated]:
+    """(doc, th, _text, key) and a bitmap: those of the rows whose key is not in it are the documents not gone. Ones that the bitmap has by chance stand
+    once more, without a key."""
+    key = F.xxhash64("doc", "th")
+    bits = marked(gone.select(key.alias("key")), "key", times=8)
+    doubtful = only(rows.select("doc", F.col("th").alias("_th"), "_text", key.alias("th")), bits).withColumnsRenamed({"th": "key", "_th": "th"})
+    saved = stage_table(doubtful.join(spread(gone), ["doc", "th"], "left_anti").select("doc", "th", "_text", F.lit(None).cast("long").alias("key")))
+    return rows.select("doc", "th", "_text", key.alias("key")).unionByName(saved), bits
+
+
+def _left(batches, bits: Repeated | None):
+    """Batches whose last column is the key, without the rows that the bitmap has."""
+    import pyarrow as pa
+
+    for batch in batches:
+        if bits is not None and batch.num_rows:
+            key = batch.column(batch.num_columns - 1)
+            own = ~bits.held(key.fill_null(0).to_numpy(zero_copy_only=False)) | key.is_null().to_numpy(zero_copy_only=False)
+            batch = batch if own.all() else batch.filter(pa.array(own))
+        yield batch
+
+
+def _anchor_keys(rows: DataFrame, unit: Unit, gone: Repeated | None = None) -> Repeated:
     parts = _parts(rows)
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     about = size // (5 if unit.words else 1) * 2 // (unit.window - unit.gram + 2)
 
     def scan(batches):
         waiting, held = [], 0
-        for batch in batches:
+        for batch in _left(batches, gone):
             for part in _slices(batch, 0):
                 elements, offsets, *_ = _elements(unit, part.column(0))
                 waiting.append(anchors(elements, offsets, unit.window, unit.gram)["a"])
@@ -212,19 +246,23 @@ def _anchor_keys(rows: DataFrame, unit: Unit) -> Repeated:
         if waiting:
             yield _packed(waiting, parts)
 
-    return seen_more(rows.select("_text").mapInArrow(frugal(scan), "part int, keys binary"), parts, slots_for(about))
+    return seen_more(rows.select("_text", *_key(gone)).mapInArrow(frugal(scan), "part int, keys binary"), parts, slots_for(about))
+
+
+def _key(gone: Repeated | None) -> list[str]:
+    return [] if gone is None else ["key"]
 
 
 _ROW = ("b", "often", "a", "doc", "th", "at", "lo", "hi")
 
 
-def _occurrences(rows: DataFrame, unit: Unit, repeated: Repeated) -> DataFrame:
+def _occurrences(rows: DataFrame, unit: Unit, repeated: Repeated, gone: Repeated | None = None) -> DataFrame:
     """The anchors in the bitmap, with the spans of all windows they can stand for. b deals them: by anchor, listed ones by document."""
 
     def scan(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _left(batches, gone):
             for part in _slices(batch, 2):
                 elements, offsets, *_ = _elements(unit, part.column(2))
                 v = anchors(elements, offsets, unit.window, unit.gram)
@@ -238,7 +276,7 @@ def _occurrences(rows: DataFrame, unit: Unit, repeated: Repeated) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b, often, v["a"].view(np.int64), doc, th, *place)], _ROW)
 
     kind = "b long, often boolean, a long, doc long, th long, at int, lo int, hi int"
-    return rows.select("doc", "th", "_text").mapInArrow(frugal(scan), kind)
+    return rows.select("doc", "th", "_text", *_key(gone)).mapInArrow(frugal(scan), kind)
 
 
 def _by_document(occurrences: DataFrame, unit: Unit, buckets: int) -> DataFrame:
@@ -309,7 +347,9 @@ def _regions(rows: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
     """(m, doc, th, lo, hi, size, text): each span to compare with its text, words parted by one space; a long one in pieces that overlap.
 
     Text that an earlier row of the same batch and group has, byte by byte, is not passed on: such a span is covered (its text is null)."""
-    joined = only(rows.select("doc", "th", "_text"), marked(spans, "th")).join(spans, ["doc", "th"]).select("_text", "doc", "th", "need")
+    key = F.xxhash64("doc", "th")  # not th alone, which copies share
+    near = only(rows.select("doc", F.col("th").alias("_th"), "_text", key.alias("th")), marked(spans.select(key.alias("key")), "key"))
+    joined = near.select("doc", F.col("_th").alias("th"), "_text").join(spans, ["doc", "th"]).select("_text", "doc", "th", "need")
     step = PIECE - unit.window + 1
 
     def cut(batches):
@@ -674,15 +714,22 @@ def _firsts(doc: np.ndarray, th: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(rows: DataFrame, unit: Unit, method: Method) -> DataFrame:
-    """(doc, th, spans): for each document of keyed() rows with any, its covered spans in elements, merged."""
-    repeated = _anchor_keys(rows, unit)
+    """(doc, th, spans): for each document of keyed() rows with any, its covered spans in elements, merged.
+
+    Of bytes, whole copies of texts with smaller ids are covered at once and compared no more: what they hold starts in the smaller id too."""
+    gone, bits, left = None if unit.words else _copies(rows, unit), None, rows
+    if gone is not None and not gone.isEmpty():
+        left, bits = _without(rows, gone)
+    repeated = _anchor_keys(left, unit, bits)
     buckets = max(12, -(-repeated.rows // BUCKET_ROWS))
-    need = stage_table(_by_document(_occurrences(rows, unit, repeated), unit, buckets))
+    need = stage_table(_by_document(_occurrences(left, unit, repeated, bits), unit, buckets))
     regions = stage_table(_regions(rows, need, unit))
     drop_tables(need)
     found = stage_table(_shards(regions, unit, method, SHARD_BYTES))
     spans = [x.where(F.col("text").isNull()).select("doc", "th", "lo", "hi") for x in (regions, found)]
-    every, reports, across = spans[0].unionByName(spans[1]), found.where(F.col("text").isNotNull()), []
+    if gone is not None:
+        spans.append(gone.select("doc", "th", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
+    every, reports, across = functools.reduce(DataFrame.unionByName, spans), found.where(F.col("text").isNotNull()), []
     size = reports.agg(F.sum(F.octet_length("text"))).first()[0]
     if size:
         rounds, others = _across(reports, unit, size)

@@ -63,3 +63,20 @@ def test_near_duplicates_broadcast_nothing(spark):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_whole_copies_are_not_compared(spark, monkeypatch):
+    """Copies of a smaller id are covered as they are; of the others only two documents that share a passage go to the shards."""
+    import random
+
+    from sparkscribe.llm import repeats, suffix_dedup
+
+    rng, seen, real = random.Random(1), [], repeats._regions
+    made = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    a, b, c, passage = made(400), made(300), made(250), made(150)
+    rows = [(1, a), (2, b), (5, a), (6, a), (7, c), (7, c), (8, c), (None, b), (9, "short"), (10, "short"), (11, made(200) + passage), (12, made(90) + passage), (13, None)]
+    monkeypatch.setattr(repeats, "_regions", lambda rows, need, unit: (seen.append(need.count()), real(rows, need, unit))[1])
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = {(5, 400, 1), (6, 400, 1), (8, 250, 1), (None, 300, 1), (12, 150, 1)}
+    assert {(r.doc_id, r.n_removed, r.n_spans) for r in got if r.n_removed} == removed and len(got) == len(rows)
+    assert seen == [2]
