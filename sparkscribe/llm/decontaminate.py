@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, stage_table, table
+from .common import frugal, spread, stage_table, table
 from .rolling import sums
 
 #: Words of a window; words of a shard; every so many suffix positions of a run are sampled.
@@ -297,7 +297,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col
         shared.destroy()
         every = found if every is None else every.unionByName(found)
     merged = every.groupBy("_th").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("lo", "hi", "names")))  # as many rows of a text as blocks
-    joined = keyed.join(merged, "_th", "left").select("_id", "_text", "lo", "hi", "names", *kept.names)
+    joined = keyed.join(spread(merged), "_th", "left").select("_id", "_text", "lo", "hi", "names", *kept.names)
 
     def finish(batches):
         for batch in batches:

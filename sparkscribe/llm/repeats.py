@@ -349,7 +349,7 @@ def _regions(rows: DataFrame, spans: DataFrame, unit: Unit) -> DataFrame:
     Text that an earlier row of the same batch and group has, byte by byte, is not passed on: such a span is covered (its text is null)."""
     key = F.xxhash64("doc", "th")  # not th alone, which copies share
     near = only(rows.select("doc", F.col("th").alias("_th"), "_text", key.alias("th")), marked(spans.select(key.alias("key")), "key"))
-    joined = near.select("doc", F.col("_th").alias("th"), "_text").join(spans, ["doc", "th"]).select("_text", "doc", "th", "need")
+    joined = near.select("doc", F.col("_th").alias("th"), "_text").join(spread(spans), ["doc", "th"]).select("_text", "doc", "th", "need")
     step = PIECE - unit.window + 1
 
     def cut(batches):
@@ -769,5 +769,5 @@ def apply_spans(rows: DataFrame, spans: DataFrame, finish: Callable, schema: T.S
 
     none = F.lit(None).cast("array<struct<lo: long, hi: long>>")
     clean = rows.select("_text", none.alias("spans"), *kept, "th")
-    touched = only(rows, bits).join(spans, ["doc", "th"], "left").select("_text", "spans", *kept)
+    touched = only(rows, bits).join(spread(spans), ["doc", "th"], "left").select("_text", "spans", *kept)
     return clean.mapInArrow(frugal(work), out).unionByName(touched.mapInArrow(frugal(work), out))

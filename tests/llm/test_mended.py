@@ -65,6 +65,27 @@ def test_near_duplicates_broadcast_nothing(spark):
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_spans_are_never_broadcast(spark, monkeypatch):
+    """Their lists are packed in Parquet, so a table that Spark takes for small may be large once it is built on the driver."""
+    import random
+
+    from sparkscribe.llm import decontaminate, repeats, substring_dedup, suffix_dedup
+
+    def plan(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rng, plans, real = random.Random(2), [], repeats._regions
+    words = lambda n: " ".join("".join(rng.choices("abcdef", k=5)) for _ in range(n))
+    passage = words(60)
+    docs = spark.createDataFrame([(i, f"{words(20)} {passage} {words(i)}") for i in range(1, 5)], "doc_id long, text string")
+    monkeypatch.setattr(repeats, "_regions", lambda *args: (df := real(*args), plans.append(plan(df)))[0])
+    plans += [plan(dedup(docs)) for dedup in (suffix_dedup.without_repeats, substring_dedup.remove_substrings)]
+    items = spark.createDataFrame([(1, passage), (2, words(12))], "item_id long, text string")
+    plans.append(plan(decontaminate.decontaminate(docs, items, most=100)))
+    assert len(plans) == 5 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+
+
 def test_whole_copies_are_not_compared(spark, monkeypatch):
     """Copies of a smaller id are covered as they are; of the others only two documents that share a passage go to the shards."""
     import random
