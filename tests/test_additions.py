@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkscribe.operators import bandit, chunking, graph, patterns, pruned, quality, ranking, search, sketches, tfidf
 from sparkscribe.operators.asof import as_of
+from sparkscribe.plans.queries import QUERIES
 from sparkscribe.sources import files
 from sparkscribe.sources.staging import scratch
 from sparkscribe.streaming import policies, windows
@@ -435,3 +436,13 @@ def test_bad_lines(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sorted((r.file[-7:], r.line_no, r.line) for r in got) == [("a.jsonl", 7, "{oops"), ("a.jsonl", 3000, "["), ("a.jsonl", 4000, '{"k": "x"}'), ("b.jsonl", 5, "null"), ("b.jsonl", 6, "7")]
     assert files.checked_jsonl(spark, str(tmp_path / "c.jsonl"), "k BIGINT").collect() == []
+
+
+def test_report_reads_whole_texts(spark, tmp_path):
+    """The query's words stand after 2,000 characters of others: each reward is 1 and a little noise."""
+    rows = [(i, "zzz " * 500 + f"alpha beta gamma {i}", "en", "s") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.policy: r.snips for r in QUERIES["ope_report"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"retrieval", "random", "linucb"} and min(got.values()) > 0.9
+    assert QUERIES["replay_log"](spark, str(tmp_path)).agg(F.max("reward")).first()[0] < 0.3  # as its SQL has it: the first 1,500
