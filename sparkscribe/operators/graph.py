@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscribe.sources.files import assert_unique
-from sparkscribe.sources.staging import staged
+from sparkscribe.sources.staging import bound_batches, staged
 from sparkscribe.sources.store import chunk_concept_map, upsert
 
 
@@ -108,15 +109,132 @@ def learning_path(relations: DataFrame, starts: DataFrame, relation: str = "depe
     """(start, concept_id, depth, step) for each start of starts(concept_id): what it depends on, directly or through others up to `most` edges away,
     by the shortest way; step 1 is what to learn first, the start itself comes last.
 
-    Level by level: a concept goes on from where it is first reached only, so cycles end, and what is held are the pairs of the result, never the
-    paths, whose number grows with the product of the edges along them. Parallel edges count once. Steps go by falling depth, then by id. A start without
-    edges is its own path of one step; null ids and edges with a null end take no part; repeated starts are one."""
+    Concepts are numbered by id, and what lies within d edges of one is a set of numbers, joined from the sets within d - 1 edges of those it depends
+    on: a row of bits for each edge and level, never one for each pair or path, and the pairs of the result are written from the sets in their order,
+    without a sort. Parallel edges count once. Steps go by falling depth, then by id. A start without edges is its own path of one step; null ids and
+    edges with a null end take no part; repeated starts are one."""
+    spark = relations.sparkSession
+    bound_batches(spark)
     edges = relations.where((F.col("relation") == relation) & F.col("source_concept_id").isNotNull() & F.col("target_concept_id").isNotNull()).select("source_concept_id", "target_concept_id").distinct()
     edges = staged(edges.where("source_concept_id <> target_concept_id"))
-    level = staged(starts.where(F.col("concept_id").isNotNull()).select(F.col("concept_id").alias("start"), "concept_id").distinct())
-    nearest = level.withColumn("depth", F.lit(0))
+    first = staged(starts.where(F.col("concept_id").isNotNull()).select("concept_id").distinct())
+    names, n = _numbered(edges.select("source_concept_id").unionByName(edges.select("target_concept_id").toDF("source_concept_id")).union(first).toDF("concept_id").distinct())
+    end = lambda c, out: names.select(F.col("concept_id").alias(c), F.col("n").alias(out))
+    edges = staged(edges.join(end("source_concept_id", "a"), "source_concept_id").join(end("target_concept_id", "b"), "target_concept_id").select("a", "b"))
+    out = first.join(names, "concept_id").select(F.col("concept_id").alias("start"), F.col("n").alias("a"))
+    chosen, parts, within = staged(out.select("a")), max(24, 2 * spark.sparkContext.defaultParallelism), []
     for depth in range(1, int(most) + 1):
-        reached = level.join(edges, F.col("concept_id") == F.col("source_concept_id")).select("start", F.col("target_concept_id").alias("concept_id")).distinct()
-        level = staged(reached.join(nearest, ["start", "concept_id"], "left_anti"))
-        nearest = nearest.unionByName(level.withColumn("depth", F.lit(depth)))
-    return nearest.withColumn("step", F.row_number().over(Window.partitionBy("start").orderBy(F.desc("depth"), "concept_id")))
+        rows = edges if depth < int(most) else edges.join(chosen, "a", "left_semi")
+        near = rows.join(within[-1].withColumnsRenamed({"a": "b"}), "b", "left").select("a", "b", "near") if within else rows.withColumn("near", F.lit(None).cast("binary"))
+        within.append(staged(near.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(_united(n), "a int, near binary")))
+        out = out.join(within[-1].withColumnRenamed("near", f"near_{depth}"), "a", "left")
+    steps = out.repartition(parts, "a").mapInArrow(_layers(n, int(most)), f"start {out.schema['start'].dataType.simpleString()}, depth int, before int, found array<int>")
+    steps = steps.select("start", "depth", "before", F.posexplode("found").alias("at", "n"))
+    return steps.join(names, "n").select("start", "concept_id", "depth", (F.col("before") + F.col("at") + 1).alias("step"))
+
+
+def _numbered(ids: DataFrame) -> tuple[DataFrame, int]:
+    """(concept_id, n), n from 0 in the order of the ids, and how many there are."""
+    rows = staged(ids.orderBy("concept_id").withColumn("m", F.monotonically_increasing_id()).withColumn("part", F.shiftright("m", 33)))
+    before, total = [], 0
+    for r in rows.groupBy("part").count().orderBy("part").collect():  # a row a partition
+        before.append((r["part"], total))
+        total += r["count"]
+    offsets = ids.sparkSession.createDataFrame(before, "part long, before long")
+    return staged(rows.join(F.broadcast(offsets), "part").select("concept_id", (F.col("before") + F.col("m") - F.shiftleft("part", 33)).cast("int").alias("n"))), total
+
+
+#: Numbers in a row of a result's layer, and bytes of sets in a batch that leaves a worker.
+LAYER, SETS = 1 << 16, 8 << 20
+
+
+def _members(near: bytes, n: int) -> np.ndarray:
+    """The numbers of a set: one bit each, or four bytes each where that is shorter."""
+    if len(near) == -(-n // 8):
+        return np.flatnonzero(np.unpackbits(np.frombuffer(near, np.uint8), count=n)).astype(np.int32)
+    return np.frombuffer(near, np.int32)
+
+
+def _united(n: int):
+    """Rows (a, b, near), sorted by a, to a set for each a: itself, each b, and the sets near them."""
+    width = -(-n // 8)
+
+    def unite(batches):
+        import pyarrow as pa
+
+        bits, few, last, out, held = np.zeros(width, np.uint8), [], None, [], 0
+
+        def ended():
+            all_ = np.unpackbits(bits, count=n)
+            all_[np.concatenate([np.array([last], np.int32), *few])] = 1
+            k = int(all_.sum())
+            return last, (np.flatnonzero(all_).astype(np.int32) if 4 * k < width else np.packbits(all_)).tobytes()
+
+        def batch_of(rows):
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["a", "near"])
+
+        for batch in batches:
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.append(np.flatnonzero(np.diff(a, prepend=a[:1] - 1)), len(a)).tolist()
+            for lo, hi in zip(cuts, cuts[1:]):
+                if a[lo] != last:
+                    if last is not None:
+                        out.append(ended())
+                        held += len(out[-1][1])
+                        bits[:], few = 0, []
+                    last = int(a[lo])
+                few.append(b[lo:hi])
+                for near in batch.column(2).slice(lo, hi - lo):
+                    x = near.as_py()
+                    if x is None:
+                        continue
+                    if len(x) == width:
+                        np.bitwise_or(bits, np.frombuffer(x, np.uint8), bits)
+                    else:
+                        few.append(np.frombuffer(x, np.int32))
+                if len(few) > 1 and sum(map(len, few)) > max(n, 1024):
+                    few = [np.unique(np.concatenate(few))]
+                if held >= SETS:
+                    yield batch_of(out)
+                    out, held = [], 0
+        if last is not None:
+            out.append(ended())
+            yield batch_of(out)
+
+    return unite
+
+
+def _layers(n: int, most: int):
+    """Rows (a, start, sets within 1, 2, ... edges) to the numbers at each distance, the farthest first, by number, with how many come before."""
+
+    def part(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            columns, out, held = batch.to_pydict(), [], 0
+            for i, (a, start) in enumerate(zip(columns["a"], columns["start"])):
+                depth = np.full(n, -1, np.int32)
+                for d in range(most, 0, -1):
+                    near = columns[f"near_{d}"][i]
+                    if near is not None:
+                        depth[_members(near, n)] = d
+                depth[a] = 0
+                before = 0
+                for d in range(most, -1, -1):
+                    found = np.flatnonzero(depth == d).astype(np.int32)
+                    for at in range(0, len(found), LAYER):
+                        out.append((start, d, before + at, found[at : at + LAYER]))
+                    before += len(found)
+                held += 4 * before
+                if held >= SETS:
+                    yield rows_of(pa, out)
+                    out, held = [], 0
+            if out:
+                yield rows_of(pa, out)
+
+    def rows_of(pa, out):
+        start, depth, before, found = zip(*out)
+        lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), np.concatenate(found))
+        return pa.RecordBatch.from_arrays([pa.array(start), pa.array(depth, pa.int32()), pa.array(before, pa.int32()), lists], ["start", "depth", "before", "found"])
+
+    return part

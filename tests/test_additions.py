@@ -217,6 +217,26 @@ def test_learning_path_holds_no_paths(spark):
     assert {tuple(x) for x in got} == {(0, 1), (1, 110), (2, 110), (3, 110)}
 
 
+def test_learning_path_holds_no_pairs(spark, monkeypatch):
+    """300 concepts of two edges each and six levels: 8,100 pairs, and no table between has more rows than there are edges."""
+    rng, n, most, held = random.Random(4), 300, 6, []
+    name = [f"c{x}" for x in rng.sample(range(1000), n)]
+    to = {i: [(i + 1) % n, (i + 7) % n] for i in range(n)}
+    keep = graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df: held.append(keep(df)) or held[-1])
+    r = spark.createDataFrame([(name[i], "depends_on", name[j]) for i in to for j in to[i]], "source_concept_id string, relation string, target_concept_id string")
+    got = {tuple(x) for x in graph.learning_path(r, r.selectExpr("source_concept_id AS concept_id"), most=most).collect()}
+    want = set()
+    for i in range(n):
+        depth, level = {i: 0}, [i]
+        for d in range(1, most + 1):
+            level = sorted({j for x in level for j in to[x]} - set(depth))
+            depth |= dict.fromkeys(level, d)
+        want |= {(name[i], name[j], depth[j], k + 1) for k, j in enumerate(sorted(depth, key=lambda j: (-depth[j], name[j])))}
+    assert got == want and len(want) > 8000
+    assert max(x.count() for x in held) <= 2 * n
+
+
 def test_expand_takes_the_first_edges_of_a_hub(spark):
     """A hub of 300 edges in 50 chunks: no join makes a row for each chunk and edge."""
     ideas = spark.range(300).selectExpr("format_string('c%03d', id) AS concept_id", "format_string('n%03d', id) AS name")
